@@ -17,7 +17,7 @@ from dossier.schemas import ARTICLE_HEADING, PAGE
 
 _ARABIC = re.compile(r"[؀-ۿ]")
 _LEFT_TO_RIGHT = re.compile(r"[0-9A-Za-z٠-٩۰-۹]\Z")
-_JOINERS = "/.,:  "
+_JOINERS = "/.,: \u00a0"
 # l: left-to-right unit, j: joiner, o: anything else. A run starts and ends with l.
 _RUN = re.compile(r"l(?:[lj]*l)?")
 

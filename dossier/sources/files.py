@@ -36,10 +36,9 @@ def missing_files(documents: DataFrame, files: DataFrame) -> DataFrame:
 def write_by_case(df: DataFrame, path: str, mode: str = "append") -> None:
     """One directory per case; Spark names the files, so they never collide.
 
-    A case with many rows goes to several files: rows are spread by a hash within the case.
+    Rebalancing gathers small cases into few files and cuts a large case into several.
     """
-    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != "case_id"][:1]), F.lit(16))
-    df.repartition("case_id", salt).write.mode(mode).partitionBy("case_id").parquet(path)
+    df.hint("rebalance", "case_id").write.mode(mode).partitionBy("case_id").parquet(path)
 
 
 def reject_reason(filename: Column, length: Column) -> Column:
