@@ -124,7 +124,7 @@ def split_sections(texts: DataFrame, heading: str = ARTICLE_HEADING, text: str =
     `heading` is a Java pattern whose first group is the name. Text before the first heading and
     empty bodies are left out.
     """
-    multi = f"(?m){heading}"
+    multi = f"(?mdU){heading}"  # lines end at \\n only; Unicode white space
     names = F.regexp_extract_all(F.col(text), F.lit(multi), F.lit(1))
     bodies = F.slice(F.split(F.col(text), multi), 2, F.greatest(F.size("_names"), F.lit(1)))
     rest = [c for c in texts.columns if c != text]

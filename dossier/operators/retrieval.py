@@ -92,7 +92,7 @@ class _Best:
         tile = max(1, _TILE // max(1, len(asked)))
         for at in range(0, len(vectors), tile):
             rows, row_keys = vectors[at:at + tile], keys[at:at + tile]
-            distance = np.round(1.0 - rows @ questions[asked].T, DECIMALS)
+            distance = np.round(1.0 - rows @ questions[asked].T, DECIMALS) + 0.0  # no -0.0
             distance[np.isnan(distance)] = np.inf
             bound = self.bound[asked]
             if len(rows) >= self.k:

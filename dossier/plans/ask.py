@@ -137,7 +137,10 @@ def ask_batch(questions: DataFrame, users: DataFrame, assignments: DataFrame, ch
             c["page_number"].alias("page_number"))).alias("citations"))
     counts = loop.context.groupBy("query_id").agg(
         F.count_if("is_match").alias("n_matches"),
-        F.count(F.lit(1)).alias("n_context"))
+        F.count(F.lit(1)).alias("n_context"),
+        F.transform(F.array_sort(F.collect_list(F.when(
+            F.col("is_match"), F.struct("pass", "match_rank", "text")))), lambda m: m["text"])
+        .alias("match_texts"))
     calls = loop.usage.unionByName(replied.select("query_id", "usage"))
     tokens = usage_tally(calls, ["query_id"])
     answers = checked.select("query_id", "n_passages", "contexts", "answered", "rule", "text", "error")
@@ -165,6 +168,7 @@ def ask_batch(questions: DataFrame, users: DataFrame, assignments: DataFrame, ch
             (F.coalesce("n_context", F.lit(0)) - F.coalesce("n_passages", F.lit(0)))
             .alias("duplicate_passages_avoided"),
             F.coalesce("contexts", F.array().cast("array<string>")).alias("contexts"),
+            F.coalesce("match_texts", F.array().cast("array<string>")).alias("match_texts"),
             answered.alias("answered"), why.alias("why"), F.col("error").alias("model_error"),
             F.col("text").alias("answer"),
             F.coalesce("citations", F.array().cast(

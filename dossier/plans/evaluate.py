@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from dossier.operators.access import Scopes
 from dossier.operators.evaluation import (
-    aggregate_runs, answer_hit, context_hit, grade, lexical_grader, repeat_rounds, summarise_round,
+    aggregate_runs, answer_hit, grade, lexical_grader, repeat_rounds, summarise_round,
 )
 from dossier.operators.ordered import number_rows
-from dossier.operators.retrieval import unique_passages
 from dossier.plans.ask import Models, ask_batch
 from dossier.schemas import TOP_K
 from dossier.session import materialise
@@ -48,11 +47,11 @@ def eval_run(gold: DataFrame, chunks: DataFrame, documents: DataFrame, models: M
         questions, None, None, chunks, documents, models, k,
         multi_step=multi_step and mode == "graph", scopes=everyone(spark)))
     joined = repeated.join(asks.drop("user_id", "question"), "query_id")
-    hits = joined.withColumn("_contexts", F.array_join("contexts", "\n"))
-    # Matches are among the passages; the passages of an item are a bounded list.
+    # The matches decide, not their neighbours.
+    hits = joined.withColumn("_found", F.array_join("match_texts", "\n"))
     items = hits.select(
         F.lit(mode).alias("mode"), "round_index", "id", "lang", "question", "answered",
-        F.contains(F.col("_contexts"), F.col("expected_section")).alias("context_hit"),
+        F.contains(F.col("_found"), F.col("expected_section")).alias("context_hit"),
         answer_hit(F.col("answered"), F.col("answer"), F.col("expected_answer_contains"))
         .alias("answer_hit"),
         F.coalesce("answer", F.lit("")).alias("answer_text"), "contexts",

@@ -31,13 +31,16 @@ def ingest(files: DataFrame, ledger: DataFrame, parser: Callable, embedder: Call
     """Hash, skip what has not changed, parse, chunk, embed.
 
     files: document_id, case_id, filename, content. A document stays in its own row until it is
-    chunked, so nothing is shuffled on the way; an unreadable one is an outcome row.
+    chunked and embedded; an unreadable one is an outcome row.
     """
-    hashed = files.withColumn("content_hash", content_hash(F.col("content")))
-    readable = only_parseable(hashed)
-    todo = changed_documents(readable, ledger, force)
+    # First the hashes alone, so that contents are moved only for documents to be processed, and
+    # not even for those while their ids are few enough to be broadcast by Spark.
+    known = materialise(files.select(
+        "document_id", "filename", content_hash(F.col("content")).alias("content_hash")))
+    readable = only_parseable(known)
+    todo = changed_documents(readable.select("document_id", "content_hash"), ledger, force)
     parsed = materialise(parse_documents(
-        todo.select("document_id", "case_id", "content_hash", "content"), parser))
+        files.select("document_id", "case_id", "content").join(todo, "document_id"), parser))
     good = parsed.where(F.col("error").isNull())
     pieces = good.select(
         "document_id", "case_id",
@@ -54,7 +57,7 @@ def ingest(files: DataFrame, ledger: DataFrame, parser: Callable, embedder: Call
         parsed.select("document_id"), "document_id", "left_anti").select(
         "document_id", "content_hash", F.lit("unchanged").alias("status"),
         F.lit(0).cast("bigint").alias("n_chunks"), F.lit(None).cast("string").alias("error"))
-    refused = hashed.join(readable.select("document_id"), "document_id", "left_anti").select(
+    refused = known.join(readable.select("document_id"), "document_id", "left_anti").select(
         "document_id", "content_hash", F.lit("unsupported").alias("status"),
         F.lit(0).cast("bigint").alias("n_chunks"),
         F.lit("UnsupportedFileTypeError: no parser for this file type").alias("error"))

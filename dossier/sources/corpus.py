@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html as html_entities
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,19 +13,21 @@ from dossier.functions.text import strip
 from dossier.operators.ordered import number_rows
 from dossier.schemas import COURT_ROW_SECTIONS
 
-_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-             ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+_BREAK = "\u0001"
+
+
+@F.pandas_udf("string")
+def _unescape(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None or "&" not in t else html_entities.unescape(t))
 
 
 def html_main_text(html: Column, element: str = "main") -> Column:
     """Text nodes of the first such element, each stripped, blank ones left out, one per line."""
     inside = F.regexp_extract(html, rf"(?is)<{element}\b[^>]*>(.*?)</{element}\s*>", 1)
-    visible = F.regexp_replace(inside, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", "\u0001")
-    nodes = F.split(F.regexp_replace(visible, r"(?s)<[^>]*>", "\u0001"), "\u0001+")
-    plain = nodes
-    for entity, char in _ENTITIES:
-        plain = F.transform(plain, lambda t, e=entity, c=char: F.replace(t, F.lit(e), F.lit(c)))
-    texts = F.filter(F.transform(plain, strip), lambda t: t != "")
+    hidden = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
+    visible = F.regexp_replace(inside, hidden, _BREAK)
+    marked = _unescape(F.regexp_replace(visible, r"(?s)<[^>]*>", _BREAK))
+    texts = F.filter(F.transform(F.split(marked, _BREAK), strip), lambda t: t != "")
     return F.array_join(texts, "\n")
 
 
