@@ -38,7 +38,7 @@ def reading_order(units: list[str]) -> str:
     return "".join(reversed(parts))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def visual_to_logical(units: pd.Series) -> pd.Series:
     return units.map(lambda u: None if u is None else reading_order(list(u)))
 

@@ -16,7 +16,7 @@ from dossier.schemas import COURT_ROW_SECTIONS
 _BREAK = "\u0001"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or "&" not in t else html_entities.unescape(t))
 
