@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from dossier.functions.vectors import hash_embed, l2_normalise, vectors_from_payload
 from dossier.operators import chunking, embedding
-from dossier.operators.ordered import number_rows
-from workload.base import query, table
+from dossier.sources import corpus
+from workload.base import query, scratch, table
 from workload.sources import structured_cases
 
 # Word positions with the characters taken so far; where a chunk from each word ends, and where
@@ -73,6 +73,18 @@ def chunk_windows(spark, sf):
         "case_id", "section", "chunk_index", F.md5("body").alias("body_md5"))
 
 
+@query("a7_write_chunks", f"""
+WITH {_CASES_SQL} SELECT 'documents' AS source, count(*) AS n, count(*) AS n_whole FROM cut""")
+def write_chunks(spark, sf):
+    path = scratch(spark, "chunks")
+    corpus.write_chunks(chunking.chunk_windows(structured_cases(spark, sf)), path, "documents")
+    back = spark.read.schema(
+        "source string, case_id string, header string, body string, text string").json(path)
+    return back.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("text") == F.concat_ws("\n", "header", "body")).alias("n_whole"))
+
+
 @query("c3_chunk_header", f"""
 WITH {_CASES_SQL}
 SELECT DISTINCT case_id, section, '[القضية ' || case_id || ' | ' || source || CASE WHEN lang <> 'en' THEN ' | ' || lang ELSE '' END

@@ -1,11 +1,9 @@
 """Files, corpora, run files, and page text."""
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dossier.functions.text import normalise_text, tidy_line
-from dossier.operators import evaluation, pages
-from dossier.operators.chunking import chunk_windows
+from dossier.operators import pages
 from dossier.schemas import COURT_ROW_SECTIONS
 from dossier.sources import corpus, files, runs
 from workload.base import (
@@ -69,7 +67,7 @@ def stored_documents(spark, sf):
 SELECT regexp_replace(source, '\\D', '', 'g')::BIGINT AS case_id, count(*) AS n_lines FROM documents GROUP BY 1""")
 def read_documents(spark, sf):
     found = files.read_documents(spark, stored_documents(spark, sf))
-    lines = F.size(F.split(F.rtrim(F.decode("content", F.lit("UTF-8")), F.lit("\n")), "\n"))
+    lines = F.size(F.split(F.rtrim(F.decode("content", "UTF-8"), F.lit("\n")), "\n"))
     return found.groupBy("case_id").agg(F.sum(lines).alias("n_lines"))
 
 
@@ -108,17 +106,6 @@ def write_cases(spark, sf):
                        F.md5(F.array_join(F.col("sections.text"), "")).alias("text_md5"))
 
 
-@query("a7_write_chunks")
-def write_chunks(spark, sf):
-    path = scratch(spark, "chunks")
-    corpus.write_chunks(chunk_windows(structured_cases(spark, sf)), path, "documents")
-    back = spark.read.schema(
-        "source string, case_id string, header string, body string, text string").json(path)
-    return back.groupBy("source").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("text") == F.concat_ws("\n", "header", "body")).alias("n_whole"))
-
-
 def history(spark, sf):
     """A run per nation; its figures come from its customers."""
     from dossier.schemas import RATE_METRICS, QUALITY_METRICS
@@ -206,14 +193,10 @@ def read_gold(spark, sf):
     path = scratch(spark, "gold")
     item = F.struct(F.col("item_id").cast("string").alias("id"), F.lit("en").alias("lang"),
                     F.col("text").alias("question"), F.array(F.lit("x"), F.lit("y")).alias("expected_answer_contains"))
-    table(spark, sf, "benchmark").select(F.to_json(F.struct(
-        F.lit("benchmark").alias("corpus"), F.array(item).alias("items"))).alias("value")).write.text(
-        path, lineSep="\n")
-    # One set per line here; a multi-line file is read the same way.
-    from dossier.schemas import GOLD_SET
-
-    sets = spark.read.schema(GOLD_SET).json(path)
-    return sets.select(F.inline("items")).select(
+    table(spark, sf, "benchmark").select("item_id", F.to_json(F.struct(
+        F.lit("benchmark").alias("corpus"), F.array(item).alias("items")), {"pretty": "true"}).alias("value")
+    ).write.partitionBy("item_id").text(path)
+    return runs.read_gold(spark, path).select(
         "id", "question", F.size("expected_answer_contains").alias("n_needles"))
 
 
