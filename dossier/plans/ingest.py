@@ -12,7 +12,7 @@ from dossier.operators.chunking import chunk_document
 from dossier.operators.embedding import EmbeddingProvider, embed
 from dossier.operators.ingestion import changed_documents, content_hash
 from dossier.operators.pages import parse_documents
-from dossier.schemas import CHUNK_OVERLAP, CHUNK_SIZE
+from dossier.schemas import CHUNK_OVERLAP, CHUNK_SIZE, PARSEABLE_EXTENSIONS
 from dossier.session import materialise
 from dossier.sources.files import only_parseable
 
@@ -25,9 +25,10 @@ class Ingestion:
     outcomes: DataFrame  # document_id, content_hash, status, n_chunks, error
 
 
-def ingest(files: DataFrame, ledger: DataFrame, parser: Callable, embedder: Callable[[], EmbeddingProvider],
-           width: int, force: bool = False, size: int = CHUNK_SIZE,
-           overlap: int = CHUNK_OVERLAP) -> Ingestion:
+def ingest(files: DataFrame, ledger: DataFrame, parser: Callable,
+           embedder: Callable[[], EmbeddingProvider],
+           width: int, force: bool = False, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
+           extensions: list[str] = PARSEABLE_EXTENSIONS) -> Ingestion:
     """Hash, skip what has not changed, parse, chunk, embed.
 
     files: document_id, case_id, filename, content. A document stays in its own row until it is
@@ -37,7 +38,7 @@ def ingest(files: DataFrame, ledger: DataFrame, parser: Callable, embedder: Call
     # not even for those while their ids are few enough to be broadcast by Spark.
     known = materialise(files.select(
         "document_id", "filename", content_hash(F.col("content")).alias("content_hash")))
-    readable = only_parseable(known)
+    readable = only_parseable(known, extensions)
     todo = changed_documents(readable.select("document_id", "content_hash"), ledger, force)
     parsed = materialise(parse_documents(
         files.select("document_id", "case_id", "content").join(todo, "document_id"), parser))

@@ -19,7 +19,7 @@ from dossier.operators.ingestion import advance, stale_error
 from dossier.operators.workflow import move
 from dossier.plans.ingest import ingest, read_ledger, store
 from dossier.schemas import (
-    MAX_ATTEMPTS, RATE_LIMIT_ATTEMPTS, RATE_LIMIT_SECONDS, STALE_MINUTES,
+    MAX_ATTEMPTS, PARSEABLE_EXTENSIONS, RATE_LIMIT_ATTEMPTS, RATE_LIMIT_SECONDS, STALE_MINUTES,
 )
 
 
@@ -124,9 +124,9 @@ class _Jobs(StatefulProcessor):
             self.handle.registerTimer(ms + self.minutes * 60_000)
         self.job.update((*state, ms))
 
-    def _row(self, key, state: tuple, ms: int, event: str) -> dict:
-        return {"job_id": key[0], "ms": ms, "event": event, "status": state[0],
-                "attempts": state[1], "last_error": state[2]}
+    def _row(self, key, state: tuple, ms: int, event: str, event_id: int | None) -> dict:
+        return {"job_id": key[0], "event_id": event_id, "ms": ms, "event": event,
+                "status": state[0], "attempts": state[1], "last_error": state[2]}
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         state, ms = self._load()
@@ -136,11 +136,11 @@ class _Jobs(StatefulProcessor):
             if state[0] == "running" and row.ms > due:
                 # Its timer had not fired yet when this event came in.
                 state, _ = advance(state, ("stale", stale_error(self.minutes)), self.max_attempts)
-                out.append(self._row(key, state, due, "stale"))
+                out.append(self._row(key, state, due, "stale", None))
             error = row.error if isinstance(row.error, str) else None
             state, _ = advance(state, (row.event, error), self.max_attempts)
             ms = max(ms, int(row.ms))
-            out.append(self._row(key, state, int(row.ms), row.event))
+            out.append(self._row(key, state, int(row.ms), row.event, int(row.event_id)))
         self._watch(state, ms)
         yield self._frame(out)
 
@@ -151,12 +151,13 @@ class _Jobs(StatefulProcessor):
         due = expiredTimerInfo.getExpiryTimeInMs()
         state, _ = advance(state, ("stale", stale_error(self.minutes)), self.max_attempts)
         self.job.update((*state, due))
-        yield self._frame([self._row(key, state, due, "stale")])
+        yield self._frame([self._row(key, state, due, "stale", None)])
 
     @staticmethod
     def _frame(rows: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["job_id", "ms", "event", "status", "attempts",
-                                           "last_error"])
+        frame = pd.DataFrame(rows, columns=["job_id", "event_id", "ms", "event", "status",
+                                            "attempts", "last_error"])
+        return frame.astype({"event_id": "Int64"})
 
     def close(self) -> None:
         pass
@@ -174,13 +175,14 @@ def stale_job_stream(events: DataFrame, minutes: int = STALE_MINUTES,
         F.unix_millis("ts").alias("ms"))
     return timed.groupBy("job_id").transformWithStateInPandas(
         _Jobs(minutes, max_attempts),
-        "job_id bigint, ms bigint, event string, status string, attempts int, last_error string",
+        "job_id bigint, event_id bigint, ms bigint, event string, status string, attempts int, last_error string",
         "Append", "EventTime")
 
 
 def ingest_stream(spark: SparkSession, root: str, chunk_path: str, ledger_path: str,
                   checkpoint: str, parser: Callable, embedder: Callable, width: int,
-                  files_per_batch: int = 1000) -> StreamingQuery:
+                  files_per_batch: int = 1000,
+                  extensions: list[str] = PARSEABLE_EXTENSIONS) -> StreamingQuery:
     """Ingest the files that have arrived under <root>/<case id>/ and stop when none is left.
 
     The stream's own checkpoint remembers which files were taken, so a restart goes on there.
@@ -198,7 +200,8 @@ def ingest_stream(spark: SparkSession, root: str, chunk_path: str, ledger_path:
     named = _with_case(files, root).withColumn("document_id", F.xxhash64("file_path"))
 
     def drain(batch: DataFrame, _: int) -> None:
-        result = ingest(batch, read_ledger(batch.sparkSession, ledger_path), parser, embedder, width)
+        result = ingest(batch, read_ledger(batch.sparkSession, ledger_path), parser, embedder, width,
+                        extensions=extensions)
         store(result, chunk_path, ledger_path)
 
     return named.writeStream.foreachBatch(drain).option(

@@ -132,6 +132,7 @@ def history(spark, sf):
         .when(key % 3 == 1, F.create_map(F.lit("total"), F.col("n") * 100000)).alias("total_tokens"),
         F.when(rounds > 1, key % 4 == 0).alias("answers_repeated_exactly"),
         F.when(key % 2 == 0, F.col("n")).otherwise(F.col("n") - 1).alias("faithfulness_graded"),
+        F.col("n").alias("answer_relevancy_graded"),
     )
 
 
