@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ZERO = F.lit(0.0)
 
 
 def _as_double(vector: Column) -> Column:

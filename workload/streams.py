@@ -57,7 +57,7 @@ def stale_jobs(spark, sf):
 
 _STALE_SQL = f"""
 WITH RECURSIVE said AS (
-  SELECT user_id AS job_id, {sql_mapped("event_type", JOB_EVENT_OF_EVENT)} AS event, epoch_ms(ts) AS ms,
+  SELECT user_id AS job_id, {sql_mapped("event_type", JOB_EVENT_OF_EVENT)} AS event, epoch_us(ts) // 1000 AS ms,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS total FROM events),
 folded AS (
   SELECT job_id, n, total, ms, CASE WHEN event = 'enqueue' THEN 'pending' END AS status, 0 AS attempts, NULL::BIGINT AS due, NULL::VARCHAR AS due_status, NULL::INT AS due_attempts
@@ -78,7 +78,7 @@ SELECT job_id, due AS ms, 'stale' AS event, due_status AS status, due_attempts::
 UNION ALL
 SELECT job_id, ms + 1800000, 'stale', CASE WHEN attempts + 1 >= 3 THEN 'failed' ELSE 'pending' END, (attempts + 1)::INT,
   'StaleJobError: no progress for over 30 minutes; worker presumed dead'
-FROM folded WHERE n = total AND status = 'running' AND ms + 1800000 <= (SELECT max(epoch_ms(ts)) FROM events)"""
+FROM folded WHERE n = total AND status = 'running' AND ms + 1800000 <= (SELECT max(epoch_us(ts) // 1000) FROM events)"""
 
 
 @query("l3_stale_failures", _STALE_SQL)
