@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,27 +28,35 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once per row, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def l2_normalise(vector: Column, width: int) -> Column:
     """Unit length; a zero vector becomes the first unit vector; a wrong width is an error."""
-    length = norm(vector)
     first_unit = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), width - 1))
-    unit = F.when(length == 0.0, first_unit).otherwise(
-        F.transform(_as_double(vector), lambda x: x / length)
-    )
-    complaint = F.concat(F.lit("vector width is "), F.size(vector).cast("string"),
-                         F.lit(f", expected {width}"))
-    return F.when(F.size(vector) == width, unit).otherwise(F.raise_error(complaint))
+
+    def scaled(v: Column) -> Column:
+        unit = let(norm(v), lambda length: F.when(length == 0.0, first_unit).otherwise(
+            F.transform(v, lambda x: x / length)))
+        complaint = F.concat(F.lit("vector width is "), F.size(v).cast("string"),
+                             F.lit(f", expected {width}"))
+        return F.when(F.size(v) == width, unit).otherwise(F.raise_error(complaint))
+
+    return let(_as_double(vector), scaled)
 
 
 def hash_embed(text: Column, dims: int = 16) -> Column:
     """Deterministic vector from SHA-256 blocks of "counter:text", scaled to unit length."""
     blocks = -(-dims // 32)
     digests = F.concat(*[F.sha2(F.concat(F.lit(f"{i}:"), text), 256) for i in range(blocks)])
-    values = F.transform(
+    # Two hexadecimal digits to a byte.
+    values = let(digests, lambda hexes: F.transform(
         F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda i: F.conv(F.substring(digests, i * 2 + 1, F.lit(2)), 16, 10).cast("double")
+        lambda i: F.conv(F.substring(hexes, i * 2 + 1, F.lit(2)), 16, 10).cast("double")
         / 255.0 - 0.5,
-    )
+    ))
     return l2_normalise(values, dims)
 
 

@@ -58,8 +58,10 @@ def chunk_pages(pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_O
 
 def chunk_fixed(pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Pieces of all pages with `sequence` running over the pages of a document."""
+    _check(size, overlap)
     return number_rows(
-        chunk_pages(pages, size, overlap), ["document_id"], ["page_number", "piece"], "sequence"
+        pages, ["document_id"], ["page_number"], "sequence",
+        expand=lambda placed: chunk_pages(placed, size, overlap),
     ).drop("piece")
 
 

@@ -23,13 +23,18 @@ from dossier.session import materialise
 BLOCK = "_block"
 
 
-def range_blocks(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Rows sorted by (key, order), cut into blocks, written to the checkpoint folder."""
+def range_blocks(df: DataFrame, key: list[str], order: list[str],
+                 expand: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Rows sorted by (key, order), cut into blocks, written to the checkpoint folder.
+
+    `expand` is a narrow step that keeps the order (one row to several, say). It runs after the
+    rows have been placed, so that finding the range bounds does not run it a second time.
+    """
     columns = [*key, *order]
-    return materialise(
-        df.repartitionByRange(*columns).sortWithinPartitions(*columns)
-        .withColumn(BLOCK, F.spark_partition_id())
-    )
+    placed = df.repartitionByRange(*columns).sortWithinPartitions(*columns)
+    if expand is not None:
+        placed = expand(placed)
+    return materialise(placed.withColumn(BLOCK, F.spark_partition_id()))
 
 
 def _key_of(batch: pa.RecordBatch, key: list[str], row: int) -> tuple:
@@ -39,10 +44,10 @@ def _key_of(batch: pa.RecordBatch, key: list[str], row: int) -> tuple:
 # --- numbering ----------------------------------------------------------------------------
 
 
-def number_rows(df: DataFrame, key: list[str], order: list[str], name: str,
-                start: int = 0) -> DataFrame:
+def number_rows(df: DataFrame, key: list[str], order: list[str], name: str, start: int = 0,
+                expand: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Position of each row within its key, counted from `start` in the given order."""
-    blocks = range_blocks(df, key, order)
+    blocks = range_blocks(df, key, order, expand)
     schema = T.StructType([f for f in blocks.schema if f.name != BLOCK])
     schema = T.StructType([*schema.fields, T.StructField(name, T.LongType(), False)])
 

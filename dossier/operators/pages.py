@@ -39,10 +39,17 @@ def reading_order(units: list[str]) -> str:
 
 
 @F.pandas_udf(T.StringType())
-def visual_to_logical(units: pd.Series) -> pd.Series:
+def _reordered(units: pd.Series) -> pd.Series:
     return units.map(lambda u: None if u is None else reading_order(list(u)))
 
 
+def visual_to_logical(units: Column) -> Column:
+    """Reading order of a line's units; only lines with Arabic in them leave the JVM."""
+    joined = F.array_join(units, "")
+    arabic = joined.rlike("[\u0600-\u06ff]")
+    return F.coalesce(_reordered(F.when(arabic, units)), joined)
+
+
 def assemble_lines(fragments: DataFrame, boxes: DataFrame) -> DataFrame:
     """Text of each page from its fragments, top line first.
 

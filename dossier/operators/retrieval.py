@@ -286,7 +286,8 @@ def with_neighbours(matches: DataFrame, chunks: DataFrame) -> DataFrame:
         "sequence",
     ).withColumn("sequence", (F.col("sequence") + F.col("off")).cast("int"))
     texts = chunks.select("case_id", "document_id", "sequence", "page_number", "chunk_id", "text")
-    found = wanted.join(texts, ["case_id", "document_id", "sequence"])
+    # Placed by question once: the windows here, the passages and the prompts all go on from it.
+    found = wanted.join(texts, ["case_id", "document_id", "sequence"]).repartition("query_id")
     own = Window.partitionBy(*group)  # three rows at most
     cut = F.max(F.when(F.col("off") == 0, looks_cut_off(F.col("text")))).over(own)
     return found.withColumn("_cut", cut).where((F.col("off") == 0) | F.col("_cut")).select(

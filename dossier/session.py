@@ -52,3 +52,12 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write the rows to the checkpoint folder and go on from there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def fill_cores(df: DataFrame) -> DataFrame:
+    """Spread an input of very few splits over all cores before work that is heavy on the CPU.
+
+    An input with enough splits of its own is left where it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.operators.access import Scopes, resolve_scope
-from dossier.session import checkpoint_dir
+from dossier.session import checkpoint_dir, fill_cores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table whose long texts are to be worked on."""
+    return fill_cores(table(spark, sf, name).select(*columns))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder beside the checkpoints."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -162,6 +167,14 @@ def chunks(spark, sf) -> DataFrame:
     )
 
 
+def chunk_vectors(spark, sf) -> DataFrame:
+    """The same chunks without their texts, which ranking does not need."""
+    return table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("chunk_id"), (F.expr("vec_id div 5") % 10).alias("case_id"),
+        F.expr("vec_id div 5").alias("document_id"),
+        ((F.col("vec_id") % 5).cast("int")).alias("sequence"), "embedding")
+
+
 CHUNKS = """chunks AS (
   SELECT vec_id AS chunk_id, (vec_id // 5) % 10 AS case_id, vec_id // 5 AS document_id,
     (vec_id % 5)::INT AS sequence, ((vec_id % 5) // 2 + 1)::INT AS page_number, text,
@@ -227,7 +240,7 @@ passages AS (
 def matches(spark, sf, k: int = 5) -> DataFrame:
     from dossier.operators.retrieval import search_batch
 
-    return search_batch(questions(spark, sf), scopes(spark, sf), chunks(spark, sf), k)
+    return search_batch(questions(spark, sf), scopes(spark, sf), chunk_vectors(spark, sf), k)
 
 
 def context(spark, sf) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from dossier.functions.vectors import hash_embed, l2_normalise, vectors_from_payload
 from dossier.operators import chunking, embedding
 from dossier.sources import corpus
-from workload.base import query, scratch, table
+from workload.base import query, scratch, table, texts
 from workload.sources import structured_cases
 
 # Word positions with the characters taken so far; where a chunk from each word ends, and where
@@ -51,7 +51,7 @@ PAGES_SQL = r"""(SELECT doc_id AS document_id, unnest(range(1, len(p) + 1)) AS p
 SELECT doc_id, piece::INT AS piece, len(text)::INT AS n_chars, md5(text) AS text_md5 FROM pieces""")
 def chunk_fixed(spark, sf):
     """Each whole document as one page."""
-    pieces = chunking.chunk_pages(table(spark, sf, "documents").select("doc_id", "text"))
+    pieces = chunking.chunk_pages(texts(spark, sf, "documents", "doc_id", "text"))
     return pieces.select("doc_id", "piece", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
@@ -112,7 +112,7 @@ SELECT document_id, page_number::INT AS page_number, (row_number() OVER (PARTITI
 def numbering_nested(spark, sf):
     """The same for documents that hold their pages in one row: no shuffle."""
     page = F.transform(F.split("text", "\n"), lambda t, i: F.struct((i + 1).alias("page_number"), t.alias("text")))
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), page.alias("pages"))
+    docs = texts(spark, sf, "documents", "doc_id", "text").select(F.col("doc_id").alias("document_id"), page.alias("pages"))
     found = docs.select("document_id", F.inline(chunking.chunk_document(F.col("pages"), 200, 40)))
     return found.select("document_id", "page_number", "sequence", F.md5("text").alias("text_md5"))
 
@@ -147,7 +147,7 @@ SELECT doc_id, round(v[1], 6) AS v0, round(v[8], 6) AS v7, round(v[16], 6) AS v1
 
 @query("d1_hash_embed", _HASHED)
 def hashed(spark, sf):
-    vectors = table(spark, sf, "documents").select("doc_id", hash_embed(F.col("text"), 16).alias("v"))
+    vectors = texts(spark, sf, "documents", "doc_id", "text").select("doc_id", hash_embed(F.col("text"), 16).alias("v"))
     return vectors.select("doc_id", *[F.round(F.col("v")[i], 6).alias(f"v{i}") for i in (0, 7, 15)],
                           F.size("v").alias("width"))
 
@@ -170,7 +170,7 @@ def normalised(spark, sf):
 @query("d3_embed", _HASHED.replace("round(v[1], 6)", "round(v[1], 4)").replace("round(v[8], 6)", "round(v[8], 4)")
        .replace("round(v[16], 6)", "round(v[16], 4)"))
 def embedded(spark, sf):
-    vectors = embedding.embed(table(spark, sf, "documents").select("doc_id", "text"),
+    vectors = embedding.embed(texts(spark, sf, "documents", "doc_id", "text"),
                               lambda: embedding.HashProvider(16), 16)
     value = lambda i: F.round(F.col("embedding")[i].cast("double"), 4)
     return vectors.select("doc_id", *[value(i).alias(f"v{i}") for i in (0, 7, 15)],

@@ -7,7 +7,7 @@ from dossier.functions.vectors import cosine_distance
 from dossier.operators import access, retrieval
 from dossier.operators.embedding import HashProvider
 from workload.base import (
-    CHUNKS, CONTEXT, CUT_OFF, PASSAGES, RANKED, SCOPES, USERS, chunks, context, matches, passages,
+    CHUNKS, CONTEXT, CUT_OFF, PASSAGES, RANKED, SCOPES, USERS, chunk_vectors, chunks, context, matches, passages,
     query, scopes, table,
 )
 
@@ -78,7 +78,7 @@ def search_batch_cells(spark, sf):
     from workload.base import questions
 
     found = retrieval.search_batch(
-        questions(spark, sf), scopes(spark, sf), chunks(spark, sf), 5, max_questions=0)
+        questions(spark, sf), scopes(spark, sf), chunk_vectors(spark, sf), 5, max_questions=0)
     return found.select(*_MATCH_COLUMNS, F.round("distance", 6).alias("distance"))
 
 

@@ -7,7 +7,7 @@ from dossier.operators import pages
 from dossier.schemas import COURT_ROW_SECTIONS
 from dossier.sources import corpus, files, runs
 from workload.base import (
-    CASES, USERS, cases, query, scratch, table, users,
+    CASES, USERS, cases, query, scratch, table, texts, users,
 )
 
 _EXTENSIONS = ["pdf", "PDF", "docx", "txt", "Png", "doc", "jpeg", "tar.gz"]
@@ -86,7 +86,7 @@ def structured_cases(spark, sf):
     text = F.col("text")
     first = F.substring_index(text, "\n", 1)
     section = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("text"))
-    return table(spark, sf, "documents").select(
+    return texts(spark, sf, "documents", "doc_id", "text", "source", "lang", "n_chars").select(
         F.concat(F.lit("D-"), F.col("doc_id").cast("string")).alias("case_id"),
         F.col("source").alias("court"), F.when(F.col("lang") != "en", F.col("lang")).alias("city"),
         F.when(F.col("n_chars") > 1000, F.lit("")).otherwise(F.col("n_chars").cast("string")).alias("date"),
@@ -210,7 +210,7 @@ plain AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replac
 nodes AS (SELECT page_id, list_filter(list_transform(string_split(t, chr(1)), lambda x: trim(x, E' \n\t')), lambda x: x <> '') AS t FROM plain)
 SELECT page_id, len(t)::INT AS n_lines, md5(array_to_string(t, E'\n')) AS text_md5 FROM nodes""")
 def html_main_text(spark, sf):
-    text = table(spark, sf, "pages").select("page_id", corpus.html_main_text(F.col("html"), "article").alias("t"))
+    text = texts(spark, sf, "pages", "page_id", "html").select("page_id", corpus.html_main_text(F.col("html"), "article").alias("t"))
     return text.select("page_id", F.size(F.split("t", "\n")).alias("n_lines"), F.md5("t").alias("text_md5"))
 
 
@@ -309,7 +309,7 @@ SELECT doc_id, CASE WHEN len(parts) = 1 THEN 'ParserError: no line break'
   CASE WHEN error = '' THEN len(parts) ELSE 0 END::INT AS n_pages,
   CASE WHEN error = '' THEN md5(array_to_string(texts, '|')) ELSE '' END AS pages_md5 FROM paged""")
 def parse(spark, sf):
-    files_ = table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    files_ = texts(spark, sf, "documents", "doc_id", "text").select("doc_id", F.encode("text", "UTF-8").alias("content"))
     parsed = pages.parse_documents(files_, line_parser)
     return parsed.select(
         "doc_id", F.coalesce("error", F.lit("")).alias("error"),
@@ -330,12 +330,12 @@ _SECTIONS = r"""sections AS (
 WITH {_SECTIONS} SELECT doc_id, position::INT AS position, name, md5(body) AS body_md5 FROM sections""")
 def split_sections(spark, sf):
     """Short lines are headings."""
-    found = pages.split_sections(table(spark, sf, "documents").select("doc_id", "text"), _HEADING)
+    found = pages.split_sections(texts(spark, sf, "documents", "doc_id", "text"), _HEADING)
     return found.select("doc_id", "position", "name", F.md5("body").alias("body_md5"))
 
 
 @query("b7_merge_pages_in_order", f"""
 WITH {_SECTIONS} SELECT doc_id, position::INT AS position, row_number() OVER (ORDER BY doc_id, position) - 1 AS section_index FROM sections""")
 def merge_pages(spark, sf):
-    found = pages.split_sections(table(spark, sf, "documents").select("doc_id", "text"), _HEADING)
+    found = pages.split_sections(texts(spark, sf, "documents", "doc_id", "text"), _HEADING)
     return pages.merge_pages_in_order(found, "doc_id").select("doc_id", "position", "section_index")
