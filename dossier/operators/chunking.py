@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dossier.functions.rows import rows_of
 from dossier.functions.text import preview, words
 from dossier.operators.ordered import number_rows
 from dossier.schemas import (
@@ -52,8 +53,8 @@ def packed_pieces(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVE
 
 def chunk_pages(pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """One row per piece of a page, numbered within the page (`piece` from 0)."""
-    pieces = F.posexplode(packed_pieces(F.col("text"), size, overlap)).alias("piece", "text")
-    return pages.select(*[c for c in pages.columns if c != "text"], pieces)
+    kept = [c for c in pages.columns if c != "text"]
+    return rows_of(pages, kept, packed_pieces(F.col("text"), size, overlap), "piece", "text")
 
 
 def chunk_fixed(pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
@@ -136,10 +137,9 @@ def chunk_windows(cases: DataFrame, window: int = WINDOW_SIZE,
         ),
     ))
     cut = cases.withColumn("worded", sections).withColumn("pieces", pieces)
-    rows = cut.select(
-        "case_id", "court", "city", "date", F.size("pieces").alias("total_in_case"),
-        F.posexplode("pieces").alias("chunk_index", "piece"),
-    )
+    rows = rows_of(
+        cut, ["case_id", "court", "city", "date", F.size("pieces").alias("total_in_case")],
+        F.col("pieces"), "chunk_index", "piece")
     header = chunk_header(F.col("case_id"), F.col("court"), F.col("city"), F.col("date"),
                           F.col("piece.section"))
     return rows.select(

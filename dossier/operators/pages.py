@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dossier.functions.rows import rows_of
 from dossier.functions.text import normalise_text, strip, tidy_line
 from dossier.operators.ordered import number_rows
 from dossier.schemas import ARTICLE_HEADING, PAGE
@@ -38,16 +39,19 @@ def reading_order(units: list[str]) -> str:
     return "".join(reversed(parts))
 
 
+_UNIT_END = "\u0001"
+
+
 @F.pandas_udf(T.StringType())
 def _reordered(units: pd.Series) -> pd.Series:
-    return units.map(lambda u: None if u is None else reading_order(list(u)))
+    return units.map(lambda u: None if u is None else reading_order(u.split(_UNIT_END)))
 
 
 def visual_to_logical(units: Column) -> Column:
     """Reading order of a line's units; only lines with Arabic in them leave the JVM."""
     joined = F.array_join(units, "")
     arabic = joined.rlike("[\u0600-\u06ff]")
-    return F.coalesce(_reordered(F.when(arabic, units)), joined)
+    return F.coalesce(_reordered(F.when(arabic, F.array_join(units, _UNIT_END))), joined)
 
 
 def assemble_lines(fragments: DataFrame, boxes: DataFrame) -> DataFrame:
@@ -68,12 +72,14 @@ def assemble_lines(fragments: DataFrame, boxes: DataFrame) -> DataFrame:
                 F.concat(F.array(F.lit(" ")), p["units"])),
         )).alias("units"))
         .select(*page, "row", tidy_line(visual_to_logical(F.col("units"))).alias("line"))
-        .where(F.col("line") != "")
     )
+    # Blank lines go last, inside the page's own list: as a filter on rows the line would be
+    # worked out twice.
+    ordered = F.transform(
+        F.array_sort(F.collect_list(F.struct((-F.col("row")).alias("below"), "line"))),
+        lambda r: r["line"])
     return lines.groupBy(*page).agg(
-        F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct((-F.col("row")).alias("below"), "line"))),
-            lambda r: r["line"]), "\n").alias("text"))
+        F.array_join(F.filter(ordered, lambda line: line != ""), "\n").alias("text"))
 
 
 def parse_documents(files: DataFrame, parser: Callable[[], Callable[[bytes], list[str]]],
@@ -122,7 +128,8 @@ def parse_documents(files: DataFrame, parser: Callable[[], Callable[[bytes], lis
 def explode_pages(parsed: DataFrame) -> DataFrame:
     """One row per page of the files that could be read; blank pages stay."""
     rest = [c for c in parsed.columns if c not in ("pages", "error")]
-    return parsed.where(F.col("error").isNull()).select(*rest, F.inline("pages"))
+    good = parsed.where(F.col("error").isNull())
+    return rows_of(good, rest, F.col("pages"), "_n", "_p").select(*rest, "_p.*")
 
 
 def split_sections(texts: DataFrame, heading: str = ARTICLE_HEADING, text: str = "text") -> DataFrame:
@@ -137,7 +144,7 @@ def split_sections(texts: DataFrame, heading: str = ARTICLE_HEADING, text: str =
     rest = [c for c in texts.columns if c != text]
     return (
         texts.withColumn("_names", names).withColumn("_bodies", bodies)
-        .select(*rest, F.posexplode(F.arrays_zip("_names", "_bodies")).alias("position", "_s"))
+        .transform(lambda df: rows_of(df, rest, F.arrays_zip("_names", "_bodies"), "position", "_s"))
         .select(*rest, "position", strip(F.col("_s._names")).alias("name"),
                 strip(F.col("_s._bodies")).alias("body"))
         .where(F.col("body") != "")

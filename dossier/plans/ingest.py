@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossier.functions.rows import rows_of
 from dossier.operators.chunking import chunk_document
 from dossier.operators.embedding import EmbeddingProvider, embed
 from dossier.operators.ingestion import changed_documents, content_hash
@@ -43,9 +44,9 @@ def ingest(files: DataFrame, ledger: DataFrame, parser: Callable,
     parsed = materialise(parse_documents(
         files.select("document_id", "case_id", "content").join(todo, "document_id"), parser))
     good = parsed.where(F.col("error").isNull())
-    pieces = good.select(
-        "document_id", "case_id",
-        F.inline(chunk_document(F.col("pages"), size, overlap)))
+    pieces = rows_of(good, ["document_id", "case_id"],
+                     chunk_document(F.col("pages"), size, overlap), "_n", "_p").select(
+        "document_id", "case_id", "_p.*")
     chunks = materialise(embed(pieces, embedder, width))
 
     counts = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_chunks"))

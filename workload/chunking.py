@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from dossier.functions.rows import rows_of
 from dossier.functions.vectors import hash_embed, l2_normalise, vectors_from_payload
 from dossier.operators import chunking, embedding
 from dossier.sources import corpus
@@ -113,8 +114,8 @@ def numbering_nested(spark, sf):
     """The same for documents that hold their pages in one row: no shuffle."""
     page = F.transform(F.split("text", "\n"), lambda t, i: F.struct((i + 1).alias("page_number"), t.alias("text")))
     docs = texts(spark, sf, "documents", "doc_id", "text").select(F.col("doc_id").alias("document_id"), page.alias("pages"))
-    found = docs.select("document_id", F.inline(chunking.chunk_document(F.col("pages"), 200, 40)))
-    return found.select("document_id", "page_number", "sequence", F.md5("text").alias("text_md5"))
+    found = rows_of(docs, ["document_id"], chunking.chunk_document(F.col("pages"), 200, 40), "n", "c")
+    return found.select("document_id", "c.*").select("document_id", "page_number", "sequence", F.md5("text").alias("text_md5"))
 
 
 @query("c5_total_in_case", f"""
