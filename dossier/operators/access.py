@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dossier.operators.ordered import Fold, ordered_fold
 from dossier.operators.workflow import can_transition
@@ -17,7 +18,6 @@ from dossier.schemas import (
     ASSIGNABLE_ROLES, NEXT_STATUSES, PERMISSIONS_FOR_TARGET, PERMISSIONS_OF_ROLE,
     RATE_LIMIT_ATTEMPTS, RATE_LIMIT_SECONDS, SESSION_HOURS,
 )
-from pyspark.sql import types as T
 
 
 def role_permissions(spark: SparkSession) -> DataFrame:
@@ -107,17 +107,14 @@ def visible_counts(users: DataFrame, cases: DataFrame, assignments: DataFrame) -
         scopes.edges.join(cases.select("case_id"), "case_id").groupBy("user_id")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("case_id").alias("s"))
     )
-    every = cases.agg(F.count(F.lit(1)).alias("n_all"), F.sum("case_id").alias("s_all"))
-    return (
-        scopes.users.join(listed, "user_id", "left")
-        .join(F.broadcast(every))  # one row
-        .select(
-            "user_id",
-            F.when(F.col("all_cases"), F.col("n_all")).otherwise(F.coalesce("n", F.lit(0)))
-            .cast("bigint").alias("n_visible"),
-            F.when(F.col("all_cases"), F.col("s_all")).otherwise(F.coalesce("s", F.lit(0)))
-            .cast("bigint").alias("sum_case_id"),
-        )
+    n_all = cases.agg(F.count(F.lit(1))).scalar()
+    sum_all = cases.agg(F.sum("case_id")).scalar()
+    return scopes.users.join(listed, "user_id", "left").select(
+        "user_id",
+        F.when(F.col("all_cases"), n_all).otherwise(F.coalesce("n", F.lit(0)))
+        .cast("bigint").alias("n_visible"),
+        F.when(F.col("all_cases"), sum_all).otherwise(F.coalesce("s", F.lit(0)))
+        .cast("bigint").alias("sum_case_id"),
     )
 
 
@@ -133,10 +130,10 @@ def visible_document_counts(users: DataFrame, documents: DataFrame,
     per_case = documents.groupBy("case_id").agg(F.count(F.lit(1)).alias("n_documents"))
     listed = scopes.edges.join(per_case, "case_id").groupBy("user_id").agg(
         F.sum("n_documents").alias("n"))
-    every = documents.agg(F.count(F.lit(1)).alias("n_all"))
-    return scopes.users.join(listed, "user_id", "left").join(F.broadcast(every)).select(  # one row
+    n_all = documents.agg(F.count(F.lit(1))).scalar()
+    return scopes.users.join(listed, "user_id", "left").select(
         "user_id",
-        F.when(F.col("all_cases"), F.col("n_all")).otherwise(F.coalesce("n", F.lit(0)))
+        F.when(F.col("all_cases"), n_all).otherwise(F.coalesce("n", F.lit(0)))
         .cast("bigint").alias("n_documents"),
     )
 

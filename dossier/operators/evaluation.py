@@ -190,10 +190,14 @@ def answers_repeated_exactly(items: DataFrame) -> DataFrame:
         "mode", F.when(F.col("_rounds") > 1, F.col("_same")).alias("answers_repeated_exactly"))
 
 
+# A history line names at most this many unstable items; `unstable_items` always has them all.
+MAX_LISTED = 10_000
+
+
 def aggregate_runs(rounds: DataFrame, items: DataFrame) -> DataFrame:
     """One row per mode: spread of five metrics, cost, and what is unstable.
 
-    `n_unstable` and the item list follow from `unstable_items`; the gold set bounds the list.
+    `n_unstable` is exact for any gold set; the ids are listed only while they make a line.
     """
     first = F.min_by("total", "round_index")
     summary = rounds.groupBy("mode").agg(
@@ -208,13 +212,17 @@ def aggregate_runs(rounds: DataFrame, items: DataFrame) -> DataFrame:
     tokens = usage_tally(
         rounds.select("mode", F.col("tokens").alias("usage")), ["mode"]
     ).withColumnRenamed("tokens", "total_tokens")
-    unstable = unstable_items(items).groupBy("mode").agg(
-        F.array_sort(F.collect_list("id")).alias("unstable_items"))
+    unstable = unstable_items(items)
+    counts = unstable.groupBy("mode").agg(F.count(F.lit(1)).alias("n_unstable"))
+    listed = unstable.join(counts.where(F.col("n_unstable") <= MAX_LISTED), "mode", "left_semi")
+    listed = listed.groupBy("mode").agg(F.array_sort(F.collect_list("id")).alias("unstable_items"))
     return (
-        summary.join(tokens, "mode", "left").join(unstable, "mode", "left")
-        .join(answers_repeated_exactly(items), "mode", "left")
-        .withColumn("unstable_items", F.coalesce(
-            "unstable_items", F.array().cast("array<string>")))
+        summary.join(tokens, "mode", "left").join(counts, "mode", "left")
+        .join(listed, "mode", "left").join(answers_repeated_exactly(items), "mode", "left")
+        .withColumn("n_unstable", F.coalesce("n_unstable", F.lit(0)))
+        .withColumn("unstable_items", F.when(
+            F.col("n_unstable") == 0, F.array().cast("array<string>")
+        ).otherwise(F.col("unstable_items")))
     )
 
 
@@ -250,7 +258,7 @@ def runs_table(history: DataFrame) -> DataFrame:
         *[metric_cell(F.col(m), F.col(graded[m]) if m in QUALITY_METRICS else no_count,
                       F.col("total")).alias(m) for m in METRICS],
         stability_cell(F.col("rounds"), F.col("answers_repeated_exactly"),
-                       F.size(F.coalesce("unstable_items", F.array().cast("array<string>"))),
+                       F.coalesce("n_unstable", F.size("unstable_items"), F.lit(0)),
                        F.coalesce("total", F.lit(0))).alias("unstable"),
         dash("mean_latency_ms").alias("mean_ms"), tokens_cell(F.col("total_tokens")).alias("tokens"),
         F.coalesce("stamp", F.lit("")).alias("_s"), F.coalesce("mode", F.lit("")).alias("_m"),

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,7 +51,9 @@ def search(chunks: DataFrame, query_vector: list[float], within: Within, k: int
 
 # --- many questions at once ---------------------------------------------------------------
 
+# What may travel to every task: questions, bytes of their vectors, and (question, case) pairs.
 MAX_QUESTIONS = 4096
+MAX_QUESTION_BYTES = 256 * 1024 * 1024
 MAX_QUESTION_CASES = 1_000_000
 _TILE = 4_000_000  # distances held at a time
 
@@ -140,38 +143,37 @@ def _keys_matrix(batch) -> np.ndarray:
         [batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in _KEYS], axis=1)
 
 
-def _nearest_broadcast(chunks: DataFrame, questions: list, own: list, k: int) -> DataFrame:
+def _nearest_broadcast(chunks: DataFrame, questions: pd.DataFrame, own: pd.DataFrame,
+                       k: int) -> DataFrame:
     """Each task ranks its own chunks for all questions; chunks are not moved.
 
     `questions` and `own` are bounded by the caller.
     """
-    ids = np.array([q["query_id"] for q in questions], dtype=np.int64)
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    vectors = np.array([questions[i]["embedding"] for i in order], dtype=np.float64)
+    questions = questions.sort_values("query_id", kind="stable")
+    ids = questions["query_id"].to_numpy(np.int64)
+    vectors = np.array(questions["embedding"].tolist(), dtype=np.float64)
     with np.errstate(invalid="ignore", divide="ignore"):
         vectors /= np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
-    everywhere = np.array([questions[i]["all_cases"] for i in order], dtype=bool)
-    by_case: dict[int, list[int]] = {}
-    position = {int(q): i for i, q in enumerate(ids)}
-    for row in own:
-        by_case.setdefault(row["case_id"], []).append(position[row["query_id"]])
-    asked_of = {c: np.sort(np.concatenate([np.flatnonzero(everywhere), np.array(v, dtype=int)]))
-                for c, v in by_case.items()}
-    spark = chunks.sparkSession
-    shipped = spark.sparkContext.broadcast((ids, vectors, np.flatnonzero(everywhere), asked_of))
+    free = np.flatnonzero(questions["all_cases"].to_numpy(bool))
+    # Questions of restricted users by case; those without restriction are ranked apart.
+    places = np.searchsorted(ids, own["query_id"].to_numpy(np.int64))
+    of_case = {int(c): np.sort(p.to_numpy()) for c, p in
+               pd.Series(places).groupby(own["case_id"].to_numpy(np.int64))}
+    shipped = chunks.sparkSession.sparkContext.broadcast((ids, vectors, free, of_case))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors, free, asked_of = shipped.value
+        ids, vectors, free, of_case = shipped.value
         best = _Best(len(ids), k)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             keys = _keys_matrix(batch)
             rows = _matrix(batch.column("embedding"))
+            if len(free):
+                best.offer(rows, keys, vectors, free)
             for case in np.unique(keys[:, 1]):
-                asked = asked_of.get(int(case), free)
-                if len(asked):
+                asked = of_case.get(int(case))
+                if asked is not None:
                     here = keys[:, 1] == case
                     best.offer(rows[here], keys[here], vectors, asked)
         result = best.result(ids)
@@ -179,19 +181,20 @@ def _nearest_broadcast(chunks: DataFrame, questions: list, own: list, k: int) ->
             yield result
 
     needed = chunks.select(*[F.col(c) for c in _KEYS], "embedding")
-    if not everywhere.any():
-        cases = sorted(asked_of)
-        if len(cases) <= 1000:
-            needed = needed.where(F.col("case_id").isin(cases))  # reaches the scan
+    if not len(free) and len(of_case) <= 1000:
+        needed = needed.where(F.col("case_id").isin(sorted(of_case)))  # reaches the scan
     return needed.mapInArrow(rank, _MATCH)
 
 
-def _nearest_grid(chunks: DataFrame, questions: DataFrame, zone: Column, k: int,
+def _nearest_grid(chunks: DataFrame, questions: DataFrame, zone: Column | None, k: int,
                   rows_per_cell: int = 8192, questions_per_cell: int = 2048) -> DataFrame:
     """Questions and chunks of a zone meet in cells of bounded size, spread by hash.
 
-    A zone with many rows is cut into more cells; a cell returns only its k best per question.
+    A zone is a case, or everything when there is no zone column. The more rows it has the more
+    cells it is cut into; a cell returns only its k best per question.
     """
+    single = zone is None
+    zone = F.lit(0).cast("bigint") if single else zone
     c = chunks.select(*_KEYS, "embedding", zone.alias("zone"))
     q = questions.select("query_id", F.col("embedding").alias("question"), "zone")
     n_chunks = c.groupBy("zone").agg(
@@ -199,6 +202,8 @@ def _nearest_grid(chunks: DataFrame, questions: DataFrame, zone: Column, k: int,
     n_questions = q.groupBy("zone").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(questions_per_cell)).cast("int").alias("nq"))
     sizes = n_chunks.join(n_questions, "zone")
+    if single:
+        sizes = F.broadcast(sizes)  # one row
     left = c.join(sizes, "zone").select(
         "zone", *_KEYS, "embedding",
         F.pmod(F.xxhash64("chunk_id"), "nc").cast("int").alias("cb"),
@@ -239,21 +244,20 @@ def search_batch(questions: DataFrame, scopes: Scopes, chunks: DataFrame, k: int
     restricted = scoped.where(~F.col("all_cases")).select("query_id", "user_id").join(
         scopes.edges, "user_id").select("query_id", "case_id")
 
-    few = scoped.select("query_id", "all_cases", "embedding").limit(max_questions + 1).collect()
-    own = None
-    if len(few) <= max_questions:
-        own = restricted.limit(max_question_cases + 1).collect()
-    if own is not None and len(own) <= max_question_cases:
-        if not few:
-            return _ranked(chunks.sparkSession.createDataFrame([], _MATCH), k)
-        return _ranked(_nearest_broadcast(chunks, few, own, k), k)
+    few = scoped.select("query_id", "all_cases", "embedding").limit(max_questions + 1).toPandas()
+    if few.empty:
+        return _ranked(chunks.sparkSession.createDataFrame([], _MATCH), k)
+    if len(few) <= max_questions and len(few) * len(few["embedding"][0]) * 8 <= MAX_QUESTION_BYTES:
+        own = restricted.limit(max_question_cases + 1).toPandas()
+        if len(own) <= max_question_cases:
+            return _ranked(_nearest_broadcast(chunks, few, own, k), k)
 
     by_case = restricted.join(scoped.select("query_id", "embedding"), "query_id").select(
         "query_id", "embedding", F.col("case_id").alias("zone"))
     free = scoped.where("all_cases").select(
         "query_id", "embedding", F.lit(0).cast("bigint").alias("zone"))
     found = _nearest_grid(chunks, by_case, F.col("case_id"), k).unionByName(
-        _nearest_grid(chunks, free, F.lit(0).cast("bigint"), k))
+        _nearest_grid(chunks, free, None, k))
     return _ranked(found, k)
 
 

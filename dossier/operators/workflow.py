@@ -177,26 +177,24 @@ def feedback_of_cases(feedback: DataFrame, reviews: DataFrame) -> DataFrame:
     return feedback.join(reviews.select("review_id", "case_id"), "review_id")
 
 
-def thread_tree(feedback: DataFrame, max_depth: int = 1000) -> DataFrame:
+def thread_tree(feedback: DataFrame) -> DataFrame:
     """Depth, path from the root, and depth-first position of every reachable comment.
 
-    One join per level of the deepest thread; each level is written before the next one.
+    One join per level of the deepest thread; each level is written before the next one. What is
+    never reached hangs on an orphan or on a cycle.
     """
-    nodes = feedback.select("feedback_id", "review_id", "parent_id")
+    nodes = materialise(feedback.select("feedback_id", "review_id", "parent_id"))
+    children = nodes.where(F.col("parent_id").isNotNull())
     level = nodes.where(F.col("parent_id").isNull()).select(
         "feedback_id", "review_id", F.lit(0).alias("depth"), F.array("feedback_id").alias("path"))
-    children = nodes.where(F.col("parent_id").isNotNull())
-    level = materialise(level)
     found = level
-    for _ in range(max_depth):
+    while not level.isEmpty():
         above = level.select(F.col("feedback_id").alias("parent_id"), "review_id", "depth", "path")
         level = materialise(
             children.join(above, ["review_id", "parent_id"]).select(
                 "feedback_id", "review_id", (F.col("depth") + 1).alias("depth"),
                 F.concat("path", F.array("feedback_id")).alias("path"))
         )
-        if level.isEmpty():
-            break
         found = found.unionByName(level)
     return number_rows(found, ["review_id"], ["path"], "position")
 

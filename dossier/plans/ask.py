@@ -117,6 +117,10 @@ def ask_batch(questions: DataFrame, users: DataFrame, assignments: DataFrame, ch
     empty together.
     """
     scopes = scopes or resolve_scope(users, assignments)
+    # Only the askers' scopes, worked out once for all passes.
+    askers = questions.select("user_id").distinct()
+    scopes = Scopes(materialise(scopes.users.join(askers, "user_id", "left_semi")),
+                    materialise(scopes.edges.join(askers, "user_id", "left_semi")))
     scoped = questions.join(scopes.users, "user_id", "left").withColumn(
         "all_cases", F.coalesce("all_cases", F.lit(False))
     ).withColumn("n_cases", F.coalesce("n_cases", F.lit(0)))

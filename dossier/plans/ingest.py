@@ -66,7 +66,8 @@ def ingest(files: DataFrame, ledger: DataFrame, parser: Callable,
     return Ingestion(chunks, processed.unionByName(skipped).unionByName(refused))
 
 
-N_BUCKETS = 64
+# Large enough for a bucket of the full table to be rewritten by one small job.
+N_BUCKETS = 1024
 
 
 def store(result: Ingestion, chunk_path: str, ledger_path: str, n_buckets: int = N_BUCKETS) -> None:

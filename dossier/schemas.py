@@ -181,7 +181,7 @@ SPREAD = _struct(("mean", _D), ("stdev", _D), ("min", _D), ("max", _D), ("rounds
 HISTORY = _struct(
     ("stamp", _S), ("mode", _S), ("git_sha", _S), ("llm_model", _S), ("embedding_model", _S),
     ("multi_step", _S), ("top_k", _I), ("ragas", _B), ("rounds", _L), ("total", _L),
-    ("unstable_items", _STRINGS), *[(m, SPREAD) for m in RATE_METRICS + QUALITY_METRICS],
+    ("unstable_items", _STRINGS), ("n_unstable", _L), *[(m, SPREAD) for m in RATE_METRICS + QUALITY_METRICS],
     ("mean_latency_ms", _L), ("max_latency_ms", _L), ("total_tokens", _TOKENS),
     ("duplicates_avoided", _L), ("multi_step_routed", _L), ("answers_repeated_exactly", _B),
     ("faithfulness_graded", _L), ("answer_relevancy_graded", _L),

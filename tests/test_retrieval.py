@@ -93,7 +93,7 @@ def test_cells_of_any_size_give_the_same(frame):
     chunk_rows, questions, scopes, *world = random_world(frame, seed=6)
     free = questions.withColumn("zone", F.lit(0).cast("bigint"))
     found = retrieval._ranked(retrieval._nearest_grid(
-        chunk_rows, free, F.lit(0).cast("bigint"), 4, rows_per_cell=37, questions_per_cell=11), 4)
+        chunk_rows, free, None, 4, rows_per_cell=37, questions_per_cell=11), 4)
     everyone = {u: True for u in world[2]}
     assert {(r["query_id"], r["match_rank"], r["chunk_id"]) for r in found.collect()} == brute(
         world[0], world[1], everyone, set(), 4)

@@ -188,7 +188,7 @@ def aggregate(spark, sf):
     return found.select(
         "mode", "rounds", "total", *stats, "faithfulness_graded", "mean_latency_ms", "max_latency_ms", "duplicates_avoided",
         "multi_step_routed", F.col("total_tokens")["input"].alias("input"), F.col("total_tokens")["output"].alias("output"),
-        F.size("unstable_items").alias("n_unstable"), "answers_repeated_exactly")
+        F.col("n_unstable").cast("int").alias("n_unstable"), "answers_repeated_exactly")
 
 
 @query("j11_compare_modes", f"""
@@ -286,4 +286,4 @@ def run(spark, sf):
     return done.aggregate.select(
         "mode", "rounds", "total", F.col("context_hit_rate.mean").alias("context_hit"),
         F.col("answer_hit_rate.mean").alias("answer_hit"), F.col("answered_rate.mean").alias("answered"),
-        F.size("unstable_items").alias("n_unstable"), "answers_repeated_exactly")
+        F.col("n_unstable").cast("int").alias("n_unstable"), "answers_repeated_exactly")

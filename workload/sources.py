@@ -125,7 +125,7 @@ def history(spark, sf):
         F.when(key % 4 != 3, F.col("n_name")).alias("git_sha"), F.lit("model").alias("llm_model"),
         rounds.cast("bigint").alias("rounds"), F.col("n").alias("total"),
         F.when(key % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a"), F.lit("b")))
-        .alias("unstable_items"),
+        .alias("unstable_items"), F.lit(None).cast("bigint").alias("n_unstable"),
         *[F.when(key != 7, stats).alias(m) for m in RATE_METRICS + QUALITY_METRICS],
         (key * 1000).cast("bigint").alias("mean_latency_ms"),
         F.when(key % 3 == 0, F.create_map(F.lit("input"), F.col("n") * 1000, F.lit("output"), F.col("n")))
