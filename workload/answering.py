@@ -8,7 +8,7 @@ from dossier.operators import answering
 from dossier.operators.embedding import HashProvider
 from dossier.plans import ask
 from workload.base import (
-    CHUNKS, PASSAGES, RANKED, SCOPES, USERS, chunks, passages, query, scope_assignments, table, users,
+    CHUNKS, CONTEXT, PASSAGES, SCOPES, USERS, chunks, passages, query, scope_assignments, table, users,
 )
 
 
@@ -184,11 +184,38 @@ def loop(spark, sf):
         F.col("n").isNull().alias("within_scope"))
 
 
-@query("f10_ask_batch")
+def asked_sql(asked: str) -> str:
+    """Common tables of the whole flow for a table `asked` (query_id, user_id, question, all_cases)."""
+    return f"""
+hashed AS (SELECT *, list_transform(range(64), lambda i: ('0x' || substr(sha256('0:' || question) || sha256('1:' || question), i * 2 + 1, 2))::INT / 255.0::DOUBLE - 0.5) AS v FROM {asked}),
+unit AS (SELECT query_id, user_id, question, all_cases, list_transform(v, lambda x: (x / sqrt(list_dot_product(v, v)))::FLOAT::DOUBLE) AS embedding FROM hashed),
+pairs AS (SELECT query_id, chunk_id, c.case_id, document_id, sequence, round(1 - list_dot_product(q.embedding, c.embedding)
+    / (sqrt(list_dot_product(q.embedding, q.embedding)) * sqrt(list_dot_product(c.embedding, c.embedding))), 12) AS distance
+  FROM unit q JOIN chunks c ON q.all_cases OR EXISTS (SELECT 1 FROM scope_edges e WHERE e.user_id = q.user_id AND e.case_id = c.case_id)),
+matches AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS match_rank FROM pairs QUALIFY match_rank <= 5),
+""" + CONTEXT.split("QUALIFY match_rank <= 5),")[1] + PASSAGES[len(CONTEXT):] + r""",
+replies AS (SELECT query_id, CASE WHEN trim(s, E' \n') = '' THEN 'NOT_FOUND' ELSE trim(s, E' \n') || ' [1]' END AS reply
+  FROM (SELECT query_id, regexp_extract(text, '(?s)^(.*?)([.?!]\s|\n|$)', 0) AS s FROM passages WHERE passage = 1)),
+counts AS (SELECT query_id, count(*) AS n FROM passages GROUP BY 1),
+cited AS (SELECT query_id, reply, n, list_transform(regexp_extract_all(reply, '\[(\d+)\]', 1), lambda x: try_cast(x AS BIGINT)) AS numbers FROM replies JOIN counts USING (query_id)),
+checked AS (SELECT * FROM cited WHERE reply <> 'NOT_FOUND' AND len(numbers) > 0 AND len(list_filter(numbers, lambda x: x IS NULL OR x < 1 OR x > n)) = 0)"""
+
+
+@query("f10_ask_batch", f"""
+WITH {USERS}, {CHUNKS}, {SCOPES},
+asked AS (SELECT conv_id * 1000 + turn AS query_id, conv_id AS user_id, text AS question, all_cases FROM conversations JOIN scopes ON user_id = conv_id WHERE conversations.role = 'user'),
+{asked_sql("asked")},
+places AS (SELECT query_id, document_id, page_number, min(pos) AS pos FROM (SELECT query_id, unnest(numbers) AS passage, unnest(range(len(numbers))) AS pos FROM checked)
+  JOIN passages USING (query_id, passage) GROUP BY ALL),
+named AS (SELECT query_id, count(*)::INT AS n_citations, string_agg(coalesce('file_' || l.doc_id || '.pdf', 'Unknown document'), ', ' ORDER BY pos) AS documents
+  FROM places p LEFT JOIN labels l ON l.doc_id = p.document_id GROUP BY 1)
+SELECT query_id, coalesce(reply, '') AS answer, coalesce(n_citations, 0) AS n_citations, coalesce(documents, '') AS documents
+FROM asked LEFT JOIN checked USING (query_id) LEFT JOIN named USING (query_id)""")
 def ask_batch(spark, sf):
     found = ask.answers(asks(spark, sf))
     return found.select(
-        "query_id", "answer", F.size("citations").alias("n_citations"),
+        "query_id", F.coalesce("answer", F.lit("")).alias("answer"),
+        F.size("citations").alias("n_citations"),
         F.array_join(F.col("citations.document_name"), ", ").alias("documents"))
 
 

@@ -7,8 +7,8 @@ from dossier.operators.answering import ExtractiveProvider
 from dossier.operators.embedding import HashProvider
 from dossier.plans.ask import Models
 from dossier.plans.evaluate import eval_run
-from workload.answering import file_names
-from workload.base import CONTEXT, RANKED, chunks, context, query, table
+from workload.answering import asked_sql, file_names
+from workload.base import CHUNKS, CONTEXT, RANKED, chunks, context, query, table
 from workload.sources import history
 
 # Item: question of a vector; expected: the first word of the benchmark text with its number.
@@ -275,7 +275,15 @@ def grade(spark, sf):
     return graded.select("id", F.when(F.isnan("faithfulness"), -1.0).otherwise(F.round("faithfulness", 6)).alias("faithfulness"))
 
 
-@query("j20_eval_run")
+@query("j20_eval_run", f"""
+WITH {CHUNKS}, scope_edges AS (SELECT 0 AS user_id, 0 AS case_id WHERE false),
+asked AS (SELECT item_id AS query_id, 0 AS user_id, text AS question, true AS all_cases FROM benchmark),
+{asked_sql("asked")},
+found AS (SELECT query_id, string_agg(text, E'\\n' ORDER BY match_rank) AS texts FROM matches JOIN chunks USING (chunk_id) GROUP BY 1),
+judged AS (SELECT contains(texts, string_split(question, ' ')[1]) AS ctx, reply IS NOT NULL AND len(list_filter(string_split(question, ' '), lambda w: contains(reply, w))) > 0 AS ans, reply IS NOT NULL AS done
+  FROM asked JOIN found USING (query_id) LEFT JOIN checked USING (query_id))
+SELECT 'direct' AS mode, 2::BIGINT AS rounds, count(*) AS total, round_even(avg(ctx::INT), 3) AS context_hit, round_even(avg(coalesce(ans, false)::INT), 3) AS answer_hit,
+  round_even(avg(done::INT), 3) AS answered, 0::INT AS n_unstable, true AS answers_repeated_exactly FROM judged""")
 def run(spark, sf):
     """Benchmark texts as the gold set, two rounds."""
     gold_set = table(spark, sf, "benchmark").select(

@@ -54,11 +54,12 @@ def scan_cases(spark, sf):
 
 
 def stored_documents(spark, sf):
-    """The documents table written as text files, one directory per source."""
+    """The documents table written as text files, a line per document, one directory per source."""
     root = scratch(spark, "files")
     docs = table(spark, sf, "documents").select(
         F.regexp_replace("source", r"\D", "").cast("bigint").alias("case_id"), "doc_id", "text")
-    docs.select("case_id", F.to_json(F.struct("doc_id", "text")).alias("value")).hint(
+    docs.select("case_id", F.concat_ws(
+        " ", F.col("doc_id").cast("string"), F.translate("text", "\n", " ")).alias("value")).hint(
         "rebalance", "case_id").write.partitionBy("case_id").text(root)
     return root
 

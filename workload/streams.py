@@ -8,6 +8,7 @@ from dossier.operators.embedding import HashProvider
 from dossier.plans.ingest import read_chunks
 from dossier.streaming import streams
 from workload.access import RATE_LIMIT_SQL
+from workload.chunking import packed_sql
 from workload.base import JOB_EVENT_OF_EVENT, STATUS_OF_EVENT, mapped, query, scratch, sql_mapped, table
 from workload.ingestion import JOB_FOLD_SQL
 from workload.sources import line_parser, stored_documents
@@ -101,7 +102,11 @@ def transitions(spark, sf):
         "case_id", "request_id", "target_status", "status", "accepted")
 
 
-@query("l1_ingest_stream")
+_LINES = r"""(SELECT doc_id, doc_id || ' ' || replace(text, E'\n', ' ') AS text FROM documents)"""
+
+
+@query("l1_ingest_stream", packed_sql(["doc_id"], "text", _LINES, 800, 100) + """
+SELECT regexp_replace(source, '\\D', '', 'g')::BIGINT AS case_id, count(*) AS n_chunks, sum(len(p.text))::BIGINT AS n_chars FROM pieces p JOIN documents USING (doc_id) GROUP BY 1""")
 def ingest(spark, sf):
     """Files written from the documents table, ingested until none is left."""
     root = stored_documents(spark, sf)
@@ -109,4 +114,4 @@ def ingest(spark, sf):
     streams.ingest_stream(spark, root, store, ledger, scratch(spark, "stream-state"), line_parser,
                           lambda: HashProvider(16), 16, extensions=[".txt"]).awaitTermination()
     return read_chunks(spark, store).groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("n_chunks"), F.count_distinct("document_id").alias("n_documents"))
+        F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))
