@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -94,10 +95,8 @@ def _key_struct(key: list[str]):
     return F.struct(*[F.col(k) for k in key]) if key else F.struct(F.lit(0).alias("_all"))
 
 
-def _positions(batch: pa.RecordBatch, key: list[str], previous: tuple, position: int):
-    """Positions of a sorted batch, going on from the last key and position before it."""
-    import numpy as np
-
+def _breaks(batch: pa.RecordBatch, key: list[str], previous: tuple) -> np.ndarray:
+    """Where a sorted batch goes over to another key than the row before."""
     n = batch.num_rows
     breaks = np.zeros(n, dtype=bool)
     breaks[0] = _key_of(batch, key, 0) != previous
@@ -108,10 +107,16 @@ def _positions(batch: pa.RecordBatch, key: list[str], previous: tuple, position:
             both_null = pc.and_(values.slice(1).is_null(), values.slice(0, n - 1).is_null())
             equal = pc.fill_null(pc.or_kleene(same, both_null), False)
             breaks[1:] |= ~equal.to_numpy(zero_copy_only=False)
-    index = np.arange(n)
+    return breaks
+
+
+def _positions(batch: pa.RecordBatch, key: list[str], previous: tuple, position: int):
+    """Positions of a sorted batch, going on from the last key and position before it."""
+    breaks = _breaks(batch, key, previous)
+    index = np.arange(batch.num_rows)
     last_break = np.maximum.accumulate(np.where(breaks, index, -1))
     numbers = np.where(last_break < 0, index + position, index - last_break)
-    return numbers, _key_of(batch, key, n - 1), int(numbers[-1]) + 1
+    return numbers, _key_of(batch, key, batch.num_rows - 1), int(numbers[-1]) + 1
 
 
 # --- folding ------------------------------------------------------------------------------
@@ -132,84 +137,83 @@ class Fold:
     possible: list[Any] | None = None
 
 
-_EDGE = T.StructType([
+_END = T.StructType([
     T.StructField(BLOCK, T.IntegerType()),
-    T.StructField("first", T.BinaryType()),
-    T.StructField("last", T.BinaryType()),
     T.StructField("ends", T.BinaryType()),
 ])
 
 
-def _edges(blocks: DataFrame, key: list[str], fold: Fold, carry: dict[int, Any]) -> list:
-    """Per block: first key, last key, and the state the last key ends with."""
+def _values(batch: pa.RecordBatch, columns: list[str]) -> list[tuple]:
+    return list(zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist()
+                      for c in columns]))
+
+
+def _tail_states(blocks: DataFrame, key: list[str], fold: Fold, tails: dict[int, tuple],
+                 starts: dict[int, list]) -> dict[int, list]:
+    """States the last key of each block ends with, for each of the given start states.
+
+    `tails` names the last key of every block in question; other rows are not folded.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = first = current = None
-        starts: list = []
-        states: list = []
+        block, states = None, []
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            keys = list(zip(*[batch.column(batch.schema.get_field_index(k)).to_pylist()
-                              for k in key]))
-            rows = zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist()
-                         for c in fold.inputs])
             if block is None:
                 block = batch.column(batch.schema.get_field_index(BLOCK))[0].as_py()
-                first = current = keys[0]
-                starts = (fold.possible if fold.possible and block not in carry
-                          else [carry.get(block, fold.start)])
-                states = list(starts)
-            for k, values in zip(keys, rows):
-                if k != current:
-                    current, starts, states = k, [None], [fold.start]
+                states = list(starts[block])
+            own = None
+            for name, value in zip(key, tails[block]):
+                column = batch.column(batch.schema.get_field_index(name))
+                here = column.is_null() if value is None else pc.fill_null(
+                    pc.equal(column, pa.scalar(value, column.type)), False)
+                own = here if own is None else pc.and_(own, here)
+            for values in _values(batch.filter(own), fold.inputs):
                 states = [fold.step(s, values)[0] for s in states]
         if block is not None:
-            ends = {"whole": first == current, "starts": starts, "states": states}
             yield pa.RecordBatch.from_pydict(
-                {BLOCK: [block], "first": [pickle.dumps(first)], "last": [pickle.dumps(current)],
-                 "ends": [pickle.dumps(ends)]},
-                schema=pa.schema([(BLOCK, pa.int32()), ("first", pa.binary()),
-                                  ("last", pa.binary()), ("ends", pa.binary())]),
-            )
+                {BLOCK: [block], "ends": [pickle.dumps(states)]},
+                schema=pa.schema([(BLOCK, pa.int32()), ("ends", pa.binary())]))
 
-    needed = blocks.select(BLOCK, *dict.fromkeys([*key, *fold.inputs]))
+    needed = blocks.where(F.col(BLOCK).isin(list(starts))).select(
+        BLOCK, *dict.fromkeys([*key, *fold.inputs]))
     # At most one row per block comes back.
-    return [
-        (r[BLOCK], pickle.loads(r["first"]), pickle.loads(r["last"]), pickle.loads(r["ends"]))
-        for r in needed.mapInArrow(scan, _EDGE).collect()
-    ]
+    return {r[BLOCK]: pickle.loads(r["ends"]) for r in needed.mapInArrow(scan, _END).collect()}
 
 
 def _carried_states(blocks: DataFrame, key: list[str], fold: Fold) -> tuple[dict, set]:
     """State each block starts with, and the blocks whose last key goes on in the next one."""
-    edges = {b: (first, last, ends) for b, first, last, ends in _edges(blocks, key, fold, {})}
+    edges = {
+        r[BLOCK]: (tuple(r["first"]), tuple(r["last"]))
+        for r in blocks.groupBy(BLOCK).agg(
+            F.min(_key_struct(key)).alias("first"), F.max(_key_struct(key)).alias("last")).collect()
+    }
     order = sorted(edges)
-    goes_on = {a for a, b in zip(order, order[1:]) if edges[a][1] == edges[b][0]}
-    known: dict[int, Any] = {}
+    pairs = [(a, b) for a, b in zip(order, order[1:]) if edges[a][1] == edges[b][0]]
+    goes_on = {a for a, _ in pairs}
+    if not pairs:
+        return {}, goes_on
+    tails = {b: last for b, (_, last) in edges.items()}
+    whole = {b for b, (first, last) in edges.items() if first == last}
+    starts = {b: fold.possible if fold.possible and b in whole else [fold.start] for b in goes_on}
+    ends = _tail_states(blocks, key, fold, tails, starts)
     while True:
-        wanted, redo = {}, {}
-        for a, b in zip(order, order[1:]):
-            if a not in goes_on:
-                continue
-            first, last, ends = edges[a]
-            begins = wanted.get(a, fold.start)
-            if not ends["whole"]:
-                state = ends["states"][0]
-            elif begins in ends["starts"]:
-                state = ends["states"][ends["starts"].index(begins)]
+        carry: dict[int, Any] = {}
+        redo: dict[int, list] = {}
+        for a, b in pairs:
+            begins = carry.get(a, fold.start) if a in whole else fold.start
+            if begins in starts[a]:
+                carry[b] = ends[a][starts[a].index(begins)]
             else:
-                redo[a] = begins
-                state = ends["states"][0]  # a guess, put right by another round
-            wanted[b] = state
-        known = wanted
+                redo[a] = [begins]
+                carry[b] = ends[a][0]  # a guess, put right by another round
         if not redo:
-            return known, goes_on
+            return carry, goes_on
         # Blocks inside one long key are read again from the state now known for them, until
         # no block starts with another state than the block before it ended with.
-        again = blocks.where(F.col(BLOCK).isin(list(redo)))
-        for b, first, last, ends in _edges(again, key, fold, redo):
-            edges[b] = (first, last, ends)
+        starts.update(redo)
+        ends.update(_tail_states(blocks, key, fold, tails, redo))
 
 
 def ordered_fold(df: DataFrame, key: list[str], order: list[str], fold: Fold,
@@ -225,40 +229,34 @@ def ordered_fold(df: DataFrame, key: list[str], order: list[str], fold: Fold,
     out_names = [f.name for f in fold.outputs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = current = state = None
+        block = previous = state = None
         held = None  # last row seen, not yet known to be the last of its key
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            keys = list(zip(*[batch.column(batch.schema.get_field_index(k)).to_pylist()
-                              for k in key]))
-            rows = zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist()
-                         for c in fold.inputs])
             if block is None:
                 block = batch.column(batch.schema.get_field_index(BLOCK))[0].as_py()
-                current, state = keys[0], carry.get(block, fold.start)
-            produced, ends = [], []
-            for i, (k, values) in enumerate(zip(keys, rows)):
-                if k != current:
-                    ends.append(i - 1)
-                    current, state = k, fold.start
-                state, out = fold.step(state, values)
+                previous, state = _key_of(batch, key, 0), carry.get(block, fold.start)
+            breaks = _breaks(batch, key, previous)
+            previous = _key_of(batch, key, batch.num_rows - 1)
+            produced = []
+            for fresh, values in zip(breaks.tolist(), _values(batch, fold.inputs)):
+                state, out = fold.step(fold.start if fresh else state, values)
                 produced.append(out)
-            columns = [pa.array([row[j] for row in produced], kind)
-                       for j, kind in enumerate(out_types)]
+            columns = [pa.array(column, kind) for column, kind in zip(zip(*produced), out_types)]
             kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != BLOCK]
             names = [n for n in batch.schema.names if n != BLOCK]
             result = pa.RecordBatch.from_arrays([*kept, *columns], names=[*names, *out_names])
             if not last_only:
                 yield result
                 continue
-            if held is not None and keys[0] != held[0]:
-                yield held[1]
-            inner = [e for e in ends if e >= 0]
-            if inner:
-                yield result.take(pa.array(inner))
-            held = (keys[-1], result.slice(result.num_rows - 1))
+            if held is not None and breaks[0]:
+                yield held
+            ends = np.flatnonzero(breaks[1:])  # rows before a change of key
+            if len(ends):
+                yield result.take(pa.array(ends))
+            held = result.slice(result.num_rows - 1)
         if held is not None and block not in goes_on:
-            yield held[1]
+            yield held
 
     return blocks.mapInArrow(run, schema)
