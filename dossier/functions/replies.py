@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dossier.functions.text import strip
-from dossier.schemas import CONTINUE, DONE, MULTI_STEP, NOT_FOUND, SINGLE_SHOT
+from dossier.schemas import CITATION, CONTINUE, DONE, MULTI_STEP, NOT_FOUND, SINGLE_SHOT
 
 # Wording of the instruction sheets; the tokens and the layout below are what replies and
 # citations depend on.
@@ -100,7 +100,7 @@ _ARABIC_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
 
 def cited_numbers(reply: Column) -> Column:
     """Bracketed numbers in order; digits of any script; null for one too long to be a number."""
-    found = F.regexp_extract_all(reply, F.lit(r"(?U)\[(\d+)\]"), F.lit(1))
+    found = F.regexp_extract_all(reply, F.lit(f"(?U){CITATION}"), F.lit(1))
     return F.transform(
         found, lambda n: F.translate(n, _ARABIC_DIGITS, "0123456789" * 2).try_cast("bigint")
     )

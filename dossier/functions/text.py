@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dossier.schemas import SENTENCE_ENDS
+from dossier.schemas import DIGIT, SENTENCE_ENDS
 
 # What a Unicode-aware split takes for white space, spelled out: such a class matches much faster
 # than the Unicode form of \s. _BLANK is the same without the line feed.
@@ -13,7 +13,6 @@ _OTHER = r"\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE = rf"[\t-\r{_OTHER}]"
 _BLANK = rf"[\t\x0b-\r{_OTHER}]"
 _LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
-_DIGIT = "[0-9٠-٩]"
 
 
 # The same characters as a plain string, for trimming.
@@ -39,7 +38,7 @@ def is_blank(text: Column) -> Column:
 def tidy_line(line: Column) -> Column:
     """One space at most in a row; dates drawn apart closed up again."""
     single = F.regexp_replace(line, " {2,}", " ")
-    closed = F.regexp_replace(single, rf"(?<={_DIGIT}) ?([/.]) ?(?={_DIGIT})", "$1")
+    closed = F.regexp_replace(single, rf"(?<={DIGIT}) ?([/.]) ?(?={DIGIT})", "$1")
     return strip(closed)
 
 

@@ -44,14 +44,16 @@ def append_chunks(path: str, new: DataFrame) -> None:
     """Add chunks of documents not stored yet; refuse a (document, sequence) already there."""
     from dossier.operators.quality import unique_violations
 
-    spark = new.sparkSession
-    keys = new.select("document_id", "sequence")
-    try:
-        keys = keys.unionByName(spark.read.parquet(path).select("document_id", "sequence"))
-    except Exception as exc:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
-            raise
-    doubled = unique_violations(keys, ["document_id", "sequence"]).head()
+    key = ["document_id", "sequence"]
+    doubled = unique_violations(new, key).head()
+    if doubled is None:
+        try:
+            stored = new.sparkSession.read.parquet(path).select(*key)
+        except Exception as exc:  # noqa: BLE001
+            if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
+                raise
+        else:
+            doubled = stored.join(new.select(*key), key, "left_semi").head()
     if doubled is not None:
         raise ValueError(
             f"chunk {doubled['sequence']} of document {doubled['document_id']} is there already")

@@ -14,21 +14,20 @@ from pyspark.sql import types as T
 from dossier.functions.rows import rows_of
 from dossier.functions.text import normalise_text, strip, tidy_line
 from dossier.operators.ordered import number_rows
-from dossier.schemas import ARTICLE_HEADING, PAGE
+from dossier.schemas import ARABIC, ARTICLE_HEADING, LEFT_TO_RIGHT, NUMBER_JOINERS, PAGE
 
-_ARABIC = re.compile(r"[؀-ۿ]")
-_LEFT_TO_RIGHT = re.compile(r"[0-9A-Za-z٠-٩۰-۹]\Z")
-_JOINERS = "/.,: \u00a0"
+_HAS_ARABIC = re.compile(ARABIC)
+_IS_LEFT_TO_RIGHT = re.compile(LEFT_TO_RIGHT + r"\Z")
 # l: left-to-right unit, j: joiner, o: anything else. A run starts and ends with l.
 _RUN = re.compile(r"l(?:[lj]*l)?")
 
 
 def reading_order(units: list[str]) -> str:
     """Text of one line of glyph units given left to right as they appear on the page."""
-    if not any(_ARABIC.search(u) for u in units):
+    if not any(_HAS_ARABIC.search(u) for u in units):
         return "".join(units)
     kinds = "".join(
-        "l" if _LEFT_TO_RIGHT.match(u) else "j" if u in _JOINERS else "o" for u in units
+        "l" if _IS_LEFT_TO_RIGHT.match(u) else "j" if u in NUMBER_JOINERS else "o" for u in units
     )
     parts, at = [], 0
     for run in _RUN.finditer(kinds):
@@ -50,7 +49,7 @@ def _reordered(units: pd.Series) -> pd.Series:
 def visual_to_logical(units: Column) -> Column:
     """Reading order of a line's units; only lines with Arabic in them leave the JVM."""
     joined = F.array_join(units, "")
-    arabic = joined.rlike("[\u0600-\u06ff]")
+    arabic = joined.rlike(ARABIC)
     return F.coalesce(_reordered(F.when(arabic, F.array_join(units, _UNIT_END))), joined)
 
 

@@ -36,13 +36,22 @@ def these_cases(*case_ids: int) -> Within:
     return Within(False, frozenset(case_ids))
 
 
+# A scope of this many cases goes to the scan as a list; a larger one is joined.
+MAX_LISTED_CASES = 10_000
+
+
 def search(chunks: DataFrame, query_vector: list[float], within: Within, k: int = TOP_K) -> DataFrame:
     """The k chunks closest to one vector, from the scope only."""
     allowed = chunks
     if not within.all_cases:
         if not within.case_ids:
             return chunks.withColumn("distance", F.lit(0.0)).limit(0)
-        allowed = chunks.where(F.col("case_id").isin(sorted(within.case_ids)))
+        if len(within.case_ids) <= MAX_LISTED_CASES:
+            allowed = chunks.where(F.col("case_id").isin(sorted(within.case_ids)))
+        else:
+            own = chunks.sparkSession.createDataFrame(
+                pd.DataFrame({"case_id": sorted(within.case_ids)}))
+            allowed = chunks.join(own, "case_id", "left_semi")
     query = F.array(*[F.lit(float(x)) for x in query_vector])
     ranked = allowed.withColumn(
         "distance", F.round(cosine_distance(F.col("embedding"), query), DECIMALS))
@@ -237,8 +246,11 @@ def search_batch(questions: DataFrame, scopes: Scopes, chunks: DataFrame, k: int
 
     questions: query_id, user_id, embedding. Users without a scope row, or with an empty scope,
     get nothing. Up to `max_questions` questions travel to the chunks; beyond that both sides
-    meet in cells. Both ways give the same rows.
+    meet in cells. Both ways give the same rows. Where both sides name their model, it must be
+    the same one.
     """
+    if "model" in questions.columns and "model" in chunks.columns:
+        chunks = same_model(questions, chunks)
     scoped = questions.select("query_id", "user_id", "embedding").join(
         scopes.users.select("user_id", "all_cases"), "user_id")
     restricted = scoped.where(~F.col("all_cases")).select("query_id", "user_id").join(
@@ -267,12 +279,20 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
         F.col("match_rank") <= k)
 
 
-def same_model(questions: DataFrame, chunks: DataFrame) -> None:
-    """Refuse to compare vectors of different models (both sides carry a `model` column)."""
-    names = questions.select("model").distinct().unionByName(
-        chunks.select("model").distinct()).distinct().limit(2).collect()
+def same_model(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The chunks, for comparison with these questions; vectors of another model are an error.
+
+    Both sides carry a `model` column. Chunk rows are checked as they are read.
+    """
+    names = [r[0] for r in questions.select("model").distinct().limit(2).collect()]
     if len(names) > 1:
-        raise ValueError(f"vectors of different models: {sorted(str(r[0]) for r in names)}")
+        raise ValueError(f"questions of different models: {sorted(map(str, names))}")
+    if not names:
+        return chunks
+    complaint = F.concat(F.lit(f"the question vectors are of model {names[0]}, a chunk is of "),
+                         F.coalesce("model", F.lit("no model")))
+    return chunks.withColumn("embedding", F.when(
+        F.col("model") == F.lit(names[0]), F.col("embedding")).otherwise(F.raise_error(complaint)))
 
 
 # --- context ------------------------------------------------------------------------------

@@ -95,6 +95,12 @@ COURT_ROW_SECTIONS = {
     "applicable_laws": "السند النظامي",
     "verdict": "نص الحكم",
 }
+# Character classes of page text, and the marker of a citation.
+ARABIC = "[؀-ۿ]"
+LEFT_TO_RIGHT = "[0-9A-Za-z٠-٩۰-۹]"
+NUMBER_JOINERS = "/.,: \u00a0"
+DIGIT = "[0-9٠-٩]"
+CITATION = r"\[(\d+)\]"
 HEADER_CASE, HEADER_SECTION = "القضية", "القسم:"
 ARTICLE_HEADING = r"^(المادة\s+[^\n:]+?)\s*:\s*$"
 

@@ -153,8 +153,18 @@ def test_citation_names(frame):
     assert got == {100: "ruling.pdf", 999: "Unknown document"}
 
 
-def test_models_must_agree(frame):
-    one, two = frame([("a",)], "model string"), frame([("b",)], "model string")
-    retrieval.same_model(one, one)
+def test_models_must_agree(frame, chunks):
+    scopes = Scopes(frame([(1, True, 0)], "user_id bigint, all_cases boolean, n_cases bigint"),
+                    frame([], "user_id bigint, case_id bigint"))
+    asked = frame([(1, 1, vector("x"), "a")], "query_id bigint, user_id bigint, embedding array<double>, model string")
+    assert retrieval.search_batch(asked, scopes, chunks.withColumn("model", F.lit("a"))).count() == 5
+    with pytest.raises(Exception, match="of model a, a chunk is of b"):
+        retrieval.search_batch(asked, scopes, chunks.withColumn("model", F.lit("b"))).count()
     with pytest.raises(ValueError, match="different models"):
-        retrieval.same_model(one, two)
+        retrieval.same_model(asked.unionByName(asked.withColumn("model", F.lit("c"))), chunks)
+
+
+def test_a_very_long_scope_is_joined(chunks, monkeypatch):
+    monkeypatch.setattr(retrieval, "MAX_LISTED_CASES", 1)
+    asked = vector("The notice period is a month.")
+    assert set(ids(retrieval.search(chunks, asked, retrieval.these_cases(10, 77), 5))) == {1, 2, 3}
