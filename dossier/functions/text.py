@@ -53,9 +53,7 @@ def looks_cut_off(text: Column) -> Column:
     """Starts with a letter that is not upper case, or does not end a sentence."""
     body = strip(text)
     starts_inside = body.rlike(r"^[\p{L}&&[^\p{Lu}]]")
-    ends_clean = F.lit(False)
-    for mark in SENTENCE_ENDS:
-        ends_clean = ends_clean | F.endswith(body, F.lit(mark))
+    ends_clean = F.substring(body, -1, 1).isin(SENTENCE_ENDS)
     return (body != "") & (starts_inside | ~ends_clean)
 
 
