@@ -1,7 +1,7 @@
 """Streams over attempts, job events, status requests and arriving files.
 
 Rows later than the watermark are dropped; within a micro-batch the rows of a key are taken in
-event order. The batch operators give the reference result.
+event order. The batch operators give the expected result.
 """
 
 from __future__ import annotations

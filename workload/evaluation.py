@@ -26,7 +26,7 @@ def gold(spark, sf):
 
 
 @query("j1_context_hit", f"""
-WITH {RANKED.replace('matches AS (', 'matches AS (')}, {_GOLD},
+WITH {RANKED}, {_GOLD},
 texts AS (SELECT query_id, string_agg(text, E'\\n' ORDER BY match_rank) AS found FROM matches JOIN chunks USING (chunk_id) GROUP BY 1)
 SELECT id, coalesce(contains(found, expected), expected = '') AS context_hit FROM gold LEFT JOIN texts ON query_id = id""")
 def context_hit(spark, sf):
