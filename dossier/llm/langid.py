@@ -206,7 +206,7 @@ def trained_on(docs: DataFrame) -> Model:
     return train(docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
 
 
-def known_language(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+def known_language(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
     """The rows whose text is in a known language with a calibrated score of at least `least`; all columns stay."""
 
     def work(batch):
