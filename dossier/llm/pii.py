@@ -259,9 +259,12 @@ def op9_pii(spark, sf_dir):
         return F.concat_ws(",", F.transform(
             spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
+    def number(kind):
+        return F.size(F.filter(plain, lambda s: s["kind"] == kind)).cast("bigint")
+
     return found.select(
         "doc_id",
-        *[F.size(F.filter(plain, lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{kind}") for kind in KINDS],
+        *[number(kind).alias(f"n_{kind}") for kind in KINDS],
         F.sha2(line(plain).cast("binary"), 256).alias("base_sha256"),
         line(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: s["added"])).cast("bigint").alias("n_added"))
