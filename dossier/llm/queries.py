@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from dossier.llm import ann, decontaminate, langid, ngram_join, packing, pii, templates, warc  # noqa: F401
+from dossier.llm import ann, decontaminate, langid, lattice, licenses, ngram_join, packing, pii, templates, warc  # noqa: F401
 from dossier.llm.base import ORACLES, QUERIES  # noqa: F401
