@@ -12,8 +12,9 @@ is the product over its words, and each distinct word needs one recursion. S sta
 maximisation over all distinct words of training; the vocabulary itself stays as it is.
 
 Documents are read once and packed in chunks of about CHUNK_TOKENS tokens: the chunk's words, and each document as
-counts over them. Words travel once per chunk with their counts, so a word in every document is one row
-per chunk, joined where adaptive execution splits what is skewed. Scores return to their chunk the same way.
+counts over them. Words travel once per chunk with their counts, packed in buckets of the range of their hash, so a word in
+every document is one entry per chunk, and buckets are alike. Scores return to their chunk the same way. The number of buckets
+follows the number of entries.
 
 A null, empty or blank text is its end alone. A null doc_id is neither held out nor learned from. Repeated rows
 are learned and scored as they come. With nothing to learn from, words are spelled by the vocabulary's scores. Columns beside
@@ -23,6 +24,7 @@ doc_id and text are not read.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 
 from dossier.llm.base import crc_of_id, map_batches, query, table, words_of, written
 
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 1 << 21
+BUCKET_WORDS = 1 << 20
 DISCOUNT = 0.5
 RANK_SHIFT = 10.0
 PRIOR = 100.0  # weight of the vocabulary's own scores, in pieces
@@ -129,8 +132,14 @@ def chunks(docs: DataFrame) -> DataFrame:
         train, ids, held, tokens, widths, at, n, learned, size = [], [], [], [], [], [], [], 0, 0
 
         def flush():
-            row = [task << 24 | number, b" ".join(local), np.array(train, "<i8").tobytes(), ids, held, np.array(tokens, "<i8").tobytes(),
-                   np.array(widths, "<i8").tobytes(), np.concatenate(at).tobytes(), np.concatenate(n).tobytes(), learned]
+            # Words in the order of their hash: whatever the number of buckets, each is one stretch.
+            hashes = np.fromiter(map(zlib.crc32, local), np.int64, len(local))
+            order = np.argsort(hashes, kind="stable")
+            place, names = np.empty(len(order), "<i4"), list(local)
+            place[order] = np.arange(len(order), dtype="<i4")
+            row = [task << 24 | number, b" ".join([names[i] for i in order.tolist()]), np.array(train, "<i8")[order].tobytes(), ids, held,
+                   np.array(tokens, "<i8").tobytes(), np.array(widths, "<i8").tobytes(), place[np.concatenate(at)].tobytes(),
+                   np.concatenate(n).tobytes(), learned]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, CHUNKS_ARROW, strict=True)], schema=CHUNKS_ARROW)
 
         for batch in batches:
@@ -162,21 +171,42 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held"), "text").mapInArrow(run, CHUNKS)
 
 
-def chunk_words(packed: DataFrame) -> DataFrame:
-    """chunk, place, word, train: the words of each chunk with their number in its training documents."""
+def slices(packed: DataFrame, bits: int) -> DataFrame:
+    """The words of each chunk with their number in its training documents, one row for each bucket of their hash."""
 
     def run(batches):
         for batch in batches:
             for chunk, joined, train in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = joined.split(b" ") if joined else []
+                buckets = np.fromiter(map(zlib.crc32, found), np.int64, len(found)) >> (32 - bits)
+                edge = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])) if found else np.empty(0, np.int64)
+                stop = np.append(edge[1:], len(found))
                 counts = np.frombuffer(train, "<i8")
-                for a in range(0, len(found), 50_000):
-                    part = found[a:a + 50_000]
+                if found:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), chunk, np.int64)), pa.array(np.arange(a, a + len(part), dtype=np.int32)),
-                         pa.array(part, pa.binary()), pa.array(counts[a:a + len(part)])], ["chunk", "place", "word", "train"])
+                        [pa.array(buckets[edge]), pa.array(np.full(len(edge), chunk, np.int64)),
+                         pa.array([b" ".join(found[i:j]) for i, j in zip(edge.tolist(), stop.tolist(), strict=True)], pa.binary()),
+                         pa.array([counts[i:j].tobytes() for i, j in zip(edge.tolist(), stop.tolist(), strict=True)], pa.binary())],
+                        ["bucket", "chunk", "words", "train"])
 
-    return packed.select("chunk", "words", "train").mapInArrow(run, "chunk bigint, place int, word binary, train bigint")
+    return packed.select("chunk", "words", "train").mapInArrow(run, "bucket bigint, chunk bigint, words binary, train binary")
+
+
+def word_counts(sliced: DataFrame) -> DataFrame:
+    """bucket, words, c: the distinct words of each bucket with their number in training. A word has one entry per chunk here,
+    so a word of every document makes its bucket no larger than others."""
+
+    def work(group: pa.Table) -> pa.Table:
+        totals: dict[bytes, int] = {}
+        for joined, train in zip(group.column("words"), group.column("train"), strict=True):
+            for word, c in zip(joined.as_py().split(b" "), np.frombuffer(train.as_py(), "<i8").tolist(), strict=True):
+                totals[word] = totals.get(word, 0) + c
+        return pa.table([group.column("bucket").slice(0, 1).combine_chunks(), pa.array([b" ".join(totals)], pa.binary()),
+                         pa.array([np.fromiter(totals.values(), "<i8", len(totals)).tobytes()], pa.binary()),
+                         pa.array([sum(totals.values())], pa.int64()), pa.array([sum(c > 0 for c in totals.values())], pa.int64())],
+                        names=["bucket", "words", "c", "known", "kinds"])
+
+    return sliced.groupBy("bucket").applyInArrow(work, "bucket bigint, words binary, c binary, known bigint, kinds bigint")
 
 
 def piece_weights(counted: DataFrame, prior: dict[bytes, float]) -> dict[bytes, float]:
@@ -184,12 +214,14 @@ def piece_weights(counted: DataFrame, prior: dict[bytes, float]) -> dict[bytes,
     def run(batches):
         arcs, totals = arcs_of(prior), Counter()
         for batch in batches:
-            for word in batch.column("word").to_pylist():
-                expect(word, arcs, totals)
+            for joined, c in zip(batch.column("words").to_pylist(), batch.column("c").to_pylist(), strict=True):
+                for word, k in zip(joined.split(b" "), np.frombuffer(c, "<i8").tolist(), strict=True):
+                    if k > 0:
+                        expect(word, arcs, totals)
         if totals:
             yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.binary()), pa.array(list(totals.values()), pa.float64())], ["piece", "n"])
 
-    expected = (counted.where("c > 0").select("word").mapInArrow(run, "piece binary, n double")
+    expected = (counted.select("words", "c").mapInArrow(run, "piece binary, n double")
                 .groupBy("piece").agg(F.sum("n").alias("n")).collect())
     seen = {bytes(r["piece"]): r["n"] for r in expected}
     total = sum(seen.values()) + PRIOR
@@ -199,10 +231,11 @@ def piece_weights(counted: DataFrame, prior: dict[bytes, float]) -> dict[bytes,
 def score(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     packed = written(chunks(docs), "lm-chunks")
-    placed = written(chunk_words(packed), "lm-words")
-    counted = written(placed.groupBy("word").agg(F.sum("train").alias("c")), "lm-counts")
-    ends = packed.agg(F.coalesce(F.sum("train_docs"), F.lit(0))).head()[0]
-    known, kinds = counted.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
+    ends, entries = packed.agg(F.coalesce(F.sum("train_docs"), F.lit(0)), F.coalesce(F.sum(F.octet_length("train") / 8), F.lit(0))).head()
+    bits = max(5, int(entries // BUCKET_WORDS).bit_length())
+    sliced = slices(packed, bits)
+    counted = written(word_counts(sliced), "lm-counts")
+    known, kinds = counted.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).head()
     total, distinct = known + ends, kinds + (ends > 0)
     weights = piece_weights(counted, vocabulary(vocabulary_path))
     below = total + 0.1 * (distinct + 1)
@@ -210,30 +243,42 @@ def score(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     def log_base(c):
         return np.log10((c + 0.1) / below)
 
+    share = DISCOUNT * kinds + 1.0
+
     def scored(batch):
-        arcs = _arcs(weights)
-        c = batch.column("c").to_numpy()
-        spelled = np.exp(np.array([spelling(w, arcs) for w in batch.column("word").to_pylist()]))
-        kept = np.maximum(c - DISCOUNT, 0.0)
-        share = DISCOUNT * kinds + 1.0
-        with np.errstate(divide="ignore"):
-            whole = np.log10(kept + share * spelled)
-        far = ~np.isfinite(whole)  # spelled so rarely that its weight has no double: the log itself has one
-        if far.any():
-            whole[far] = [math.log10(share) + spelling(w, arcs) / math.log(10) for w, f in
-                          zip(batch.column("word").to_pylist(), far.tolist(), strict=True) if f]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("word"), pa.array(c > 0), pa.array(log_base(c)), pa.array(whole - math.log10(total + 2.0))],
-            ["word", "known", "base", "model"])
-
-    table_of = written(map_batches(counted, scored, "word binary, known boolean, base double, model double"), "lm-scores")
-    back = placed.select("chunk", "place", "word").join(table_of, "word").select("chunk", "place", "known", "base", "model")
+        arcs, out = _arcs(weights), []
+        for joined, counts in zip(batch.column("words").to_pylist(), batch.column("c").to_pylist(), strict=True):
+            spelled = np.array([spelling(w, arcs) for w in joined.split(b" ")]) + math.log(share)
+            kept = np.maximum(np.frombuffer(counts, "<i8") - DISCOUNT, 0.0)
+            with np.errstate(divide="ignore"):
+                out.append((np.logaddexp(np.log(kept), spelled) / math.log(10) - math.log10(total + 2.0)).tobytes())
+        return pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("words"), batch.column("c"), pa.array(out, pa.binary())],
+                                          ["bucket", "words", "c", "model"])
+
+    scores = written(map_batches(counted.select("bucket", "words", "c"), scored, "bucket bigint, words binary, c binary, model binary"), "lm-scores")
+
+    def answer(asked: pa.Table, known_words: pa.Table) -> pa.Table:
+        row = known_words.to_pylist()[0]
+        place = {w: i for i, w in enumerate(row["words"].split(b" "))}
+        c, model = np.frombuffer(row["c"], "<i8"), np.frombuffer(row["model"], "<f8")
+        counts, models = [], []
+        for joined in asked.column("words"):
+            at = np.array([place[w] for w in joined.as_py().split(b" ")])
+            counts.append(c[at].tobytes())
+            models.append(model[at].tobytes())
+        return pa.table([asked.column("chunk").combine_chunks(), asked.column("bucket").combine_chunks(), pa.array(counts, pa.binary()),
+                         pa.array(models, pa.binary())], names=["chunk", "bucket", "c", "model"])
+
+    back = (sliced.select("bucket", "chunk", "words").groupBy("bucket").cogroup(scores.groupBy("bucket"))
+            .applyInArrow(answer, "chunk bigint, bucket bigint, c binary, model binary"))
     end = (float(log_base(ends)), math.log10((ends + 1.0) / (total + 2.0)), int(ends > 0))
 
     def gather(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         widths, at, n = (np.frombuffer(row[k], t) for k, t in (("widths", "<i8"), ("at", "<i4"), ("n", "<i4")))
-        order = np.argsort(right.column("place").to_numpy())
+        parts = right.sort_by("bucket")
+        c = np.frombuffer(b"".join(parts.column("c").to_pylist()), "<i8")
+        model = np.frombuffer(b"".join(parts.column("model").to_pylist()), "<f8")
         ends_at = np.cumsum(widths)
 
         def sums(values):
@@ -243,10 +288,9 @@ def score(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
                 running[filled] = np.add.reduceat(values, (ends_at - widths)[filled])
             return running
 
-        of = {k: right.column(k).to_numpy(zero_copy_only=False)[order].astype(np.float64) for k in ("known", "base", "model")}
         return pa.table([pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(np.frombuffer(row["tokens"], "<i8")),
-                         pa.array(sums(of["known"][at] * n).astype(np.int64) + end[2]), pa.array(sums(of["base"][at] * n) + end[0]),
-                         pa.array(sums(of["model"][at] * n) + end[1])],
+                         pa.array(sums((c > 0)[at] * n).astype(np.int64) + end[2]), pa.array(sums(log_base(c)[at] * n) + end[0]),
+                         pa.array(sums(model[at] * n) + end[1])],
                         names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     vectors = packed.select("chunk", "doc_ids", "held", "tokens", "widths", "at", "n")
