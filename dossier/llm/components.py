@@ -31,3 +31,18 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
                 now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         seen = mark
+
+
+def merged(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components `found` (node, component) once the edges (a, b) are added; only the edges' components are worked on."""
+    ends = edges.select("a", "b")
+    for end in ("a", "b"):
+        known = found.select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+        other = "b" if end == "a" else "a"
+        ends = ends.join(known, F.col(end) == F.col("_node"), "left").select(F.coalesce("_component", end).alias(end), other)
+    between = components(ends).select(F.col("node").alias("_node"), F.col("component").alias("_component"))
+    relabelled = found.join(between, found["component"] == between["_node"], "left").select(
+        "node", F.coalesce("_component", "component").alias("component"))
+    fresh = between.join(found, between["_node"] == found["node"], "left_anti").select(
+        F.col("_node").alias("node"), F.col("_component").alias("component"))
+    return written(relabelled.unionByName(fresh), "components")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from dossier.llm.base import map_batches, query, table, written
-from dossier.llm.components import components
+from dossier.llm.components import components, merged
 from dossier.llm.shingles import mixed, shingle_sets
 
 FREQUENT = 64
@@ -312,8 +312,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     rest = (star.select("a", "hub").join(tried, ["a", "hub"], "left_anti"))
     rest = written(_between(rest, found), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(written(_linked(rest, sets), "links"))
-        found = components(links)
+        found = merged(found, written(_linked(rest, sets), "links"))
     tried = written(star.select("a", "hub"), "tried")
 
     open_entries = postings.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
@@ -328,10 +327,10 @@ def link_components(docs: DataFrame) -> DataFrame:
                  .where("component <> hub_component and 3 * n <= 4 * hub_n and (n > hub_n or (n = hub_n and doc_id > hub))")
                  .select(F.col("doc_id").alias("a"), "hub").distinct().join(tried, ["a", "hub"], "left_anti"))
         pairs = written(pairs, "pairs")
-        if not pairs.isEmpty():
-            links = links.unionByName(written(_linked(pairs, sets), "links"))
-            tried = tried.unionByName(pairs)
-            found = components(links)
+        links = written(_linked(pairs, sets), "links")
+        tried = tried.unionByName(pairs)
+        if not links.isEmpty():
+            found = merged(found, links)
         open_entries = open_entries.join(chosen.select("entry", F.col("hub").alias("doc_id")), ["entry", "doc_id"], "left_anti")
 
     label = classes.join(found, classes["rep"] == found["node"], "left").select("mark", F.coalesce("component", "rep").alias("c"))
