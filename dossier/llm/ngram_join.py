@@ -12,7 +12,7 @@ Two documents link when 100 * |intersection| >= 75 * |union| of their shingle se
    frequent shingles counts k - 1. The number of classes follows the size of the set, on levels that a partner shares.
 3. Documents of an index entry are not paired all with all. They are compared with the smallest of them; what links is one
    component. Only entries whose documents are still in several components are looked at again, HUBS
-   more documents of each entry at a time, until none is left. So a group of thousands of near copies costs
+   more documents of each entry at a time (twice as many after a round that finds no link), until none is left. So a group of thousands of near copies costs
    one comparison each, and no link between components is lost.
 
 Each comparison counts the common shingles exactly (hashes of 46 bits and more within a pair). Equal sets are one node
@@ -316,12 +316,13 @@ def link_components(docs: DataFrame) -> DataFrame:
     tried = written(star.select("a", "hub"), "tried")
 
     open_entries = postings.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
+    width = HUBS
     while True:
         open_entries = written(_unsettled(open_entries.select("entry", "doc_id", "n"), found), "open-entries")
         if open_entries.isEmpty():
             break
         first = Window.partitionBy("entry").orderBy("n", "doc_id")
-        ranked = open_entries.withColumn("place", F.row_number().over(first)).where(F.col("place") <= HUBS)
+        ranked = open_entries.withColumn("place", F.row_number().over(first)).where(F.col("place") <= width)
         chosen = written(ranked.select("entry", F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component")), "hubs")
         pairs = (open_entries.join(chosen, "entry")
                  .where("component <> hub_component and 3 * n <= 4 * hub_n and (n > hub_n or (n = hub_n and doc_id > hub))")
@@ -329,7 +330,9 @@ def link_components(docs: DataFrame) -> DataFrame:
         pairs = written(pairs, "pairs")
         links = written(_linked(pairs, sets), "links")
         tried = tried.unionByName(pairs)
-        if not links.isEmpty():
+        if links.isEmpty():
+            width *= 2
+        else:
             found = merged(found, links)
         open_entries = open_entries.join(chosen.select("entry", F.col("hub").alias("doc_id")), ["entry", "doc_id"], "left_anti")
 
