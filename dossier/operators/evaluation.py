@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.functions.cells import metric_cell, stability_cell, tokens_cell
+from dossier.functions.vectors import let
 from dossier.schemas import QUALITY_METRICS, RATE_METRICS
 
 METRICS = RATE_METRICS + QUALITY_METRICS
@@ -127,9 +128,29 @@ def _whole(value: Column) -> Column:
     return value.cast("bigint")
 
 
+def thousandths(value: Column) -> Column:
+    """A number rounded to three places by its stored value, ties to even.
+
+    0.8665 is stored as a little more and becomes 0.867. The fraction is taken as a whole number of
+    2**-62, which is exact wherever a tie can lie.
+    """
+    unit, half = (F.lit(2**k).cast("decimal(19,0)") for k in (62, 61))
+
+    def fraction(size: Column) -> Column:
+        return ((size - F.floor(size)) * F.lit(2.0**62)).cast("bigint").cast("decimal(19,0)") * F.lit(1000).cast("decimal(4,0)")
+
+    def nearest(parts: Column) -> Column:
+        rest = parts % unit
+        below = ((parts - rest) / unit).cast("bigint")
+        return below + ((rest > half) | ((rest == half) & (below % 2 == 1))).cast("int")
+
+    return let(value, lambda v: F.signum(v) * (
+        F.floor(F.abs(v)) * 1000 + let(fraction(F.abs(v)), nearest)) / F.lit(1000.0))
+
+
 def summarise_round(items: DataFrame, grades: DataFrame) -> DataFrame:
     """One row per (mode, round): rates, graded means with their coverage, cost."""
-    rate = lambda c: F.bround(F.avg(F.col(c).cast("int")), 3).alias(f"{c}_rate")
+    rate = lambda c: thousandths(F.avg(F.col(c).cast("int"))).alias(f"{c}_rate")
     base = items.groupBy(*RUN).agg(
         F.count(F.lit(1)).alias("total"),
         rate("context_hit"), rate("answer_hit"), rate("answered"),
@@ -140,8 +161,8 @@ def summarise_round(items: DataFrame, grades: DataFrame) -> DataFrame:
         F.max("latency_ms").alias("max_latency_ms"),
     )
     quality = grades.groupBy(*RUN).agg(
-        F.bround(F.avg(_graded(F.col("faithfulness"))), 3).alias("mean_faithfulness"),
-        F.bround(F.avg(_graded(F.col("answer_relevancy"))), 3).alias("mean_answer_relevancy"),
+        thousandths(F.avg(_graded(F.col("faithfulness")))).alias("mean_faithfulness"),
+        thousandths(F.avg(_graded(F.col("answer_relevancy")))).alias("mean_answer_relevancy"),
         F.count(_graded(F.col("faithfulness"))).alias("faithfulness_graded"),
         F.count(_graded(F.col("answer_relevancy"))).alias("answer_relevancy_graded"),
     )
@@ -155,8 +176,8 @@ def summarise_round(items: DataFrame, grades: DataFrame) -> DataFrame:
 def spread(value: Column) -> Column:
     """Aggregate: mean, sample deviation (null for one round), least, most, rounds counted."""
     return F.struct(
-        F.bround(F.avg(value), 3).alias("mean"), F.bround(F.stddev_samp(value), 3).alias("stdev"),
-        F.bround(F.min(value), 3).alias("min"), F.bround(F.max(value), 3).alias("max"),
+        thousandths(F.avg(value)).alias("mean"), thousandths(F.stddev_samp(value)).alias("stdev"),
+        thousandths(F.min(value)).alias("min"), thousandths(F.max(value)).alias("max"),
         F.count(value).alias("rounds"),
     )
 
@@ -190,14 +211,10 @@ def answers_repeated_exactly(items: DataFrame) -> DataFrame:
         "mode", F.when(F.col("_rounds") > 1, F.col("_same")).alias("answers_repeated_exactly"))
 
 
-# A history line names at most this many unstable items; `unstable_items` always has them all.
-MAX_LISTED = 10_000
-
-
 def aggregate_runs(rounds: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per mode: spread of five metrics, cost, and what is unstable.
+    """One row per mode: spread of five metrics, cost, and how many items are unstable.
 
-    `n_unstable` is exact for any gold set; the ids are listed only while they make a line.
+    Which ones they are is a table of its own (`unstable_items`), kept beside the history.
     """
     first = F.min_by("total", "round_index")
     summary = rounds.groupBy("mode").agg(
@@ -212,17 +229,11 @@ def aggregate_runs(rounds: DataFrame, items: DataFrame) -> DataFrame:
     tokens = usage_tally(
         rounds.select("mode", F.col("tokens").alias("usage")), ["mode"]
     ).withColumnRenamed("tokens", "total_tokens")
-    unstable = unstable_items(items)
-    counts = unstable.groupBy("mode").agg(F.count(F.lit(1)).alias("n_unstable"))
-    listed = unstable.join(counts.where(F.col("n_unstable") <= MAX_LISTED), "mode", "left_semi")
-    listed = listed.groupBy("mode").agg(F.array_sort(F.collect_list("id")).alias("unstable_items"))
+    counts = unstable_items(items).groupBy("mode").agg(F.count(F.lit(1)).alias("n_unstable"))
     return (
         summary.join(tokens, "mode", "left").join(counts, "mode", "left")
-        .join(listed, "mode", "left").join(answers_repeated_exactly(items), "mode", "left")
+        .join(answers_repeated_exactly(items), "mode", "left")
         .withColumn("n_unstable", F.coalesce("n_unstable", F.lit(0)))
-        .withColumn("unstable_items", F.when(
-            F.col("n_unstable") == 0, F.array().cast("array<string>")
-        ).otherwise(F.col("unstable_items")))
     )
 
 
@@ -237,7 +248,7 @@ def compare_modes(aggregates: DataFrame, before: str = "direct", after: str = "g
     both = side(before, "before").join(side(after, "after"), "metric")
     return both.where(F.col("before").isNotNull() & F.col("after").isNotNull()).select(
         "metric", "before", "after",
-        F.bround(F.col("after") - F.col("before"), 3).alias("delta"),
+        thousandths(F.col("after") - F.col("before")).alias("delta"),
         F.greatest("_s_before", "_s_after").alias("noise"),
     ).withColumn(
         "verdict",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,14 +26,31 @@ def _lines(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """Recorded runs, oldest first; lines that are not JSON are left out, no file is no runs."""
+    """Recorded runs, oldest first. Lines that are no JSON object are left out; a field of another
+    type is null, its line stays. No file is no runs."""
     lines = _lines(spark, path)
     if lines is None:
         return spark.createDataFrame([], HISTORY)
-    return lines.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record").orderBy(
+    odd = F.col("_corrupt_record")
+    return lines.where(odd.isNull() | _is_object(odd)).drop("_corrupt_record").orderBy(
         F.coalesce("stamp", F.lit("")), F.coalesce("mode", F.lit("")))
 
 
+def _is_object(line: Column) -> Column:
+    return F.coalesce(
+        F.startswith(F.schema_of_variant(F.try_parse_json(line)), F.lit("OBJECT")), F.lit(False))
+
+
+def append_unstable(unstable: DataFrame, stamp: str, path: str) -> None:
+    """The unstable items (mode, id) of a run as rows beside the history, however many they are."""
+    unstable.select(F.lit(stamp).alias("stamp"), "mode", "id").write.mode("append").json(path)
+
+
+def read_unstable(spark: SparkSession, path: str) -> DataFrame:
+    """stamp, mode, id of all recorded unstable items; a report joins them to the runs it names."""
+    return spark.read.schema("stamp string, mode string, id string").json(path)
+
+
 def count_malformed(spark: SparkSession, path: str) -> DataFrame:
     """How many lines of the history could not be read."""
     try:
@@ -42,9 +59,7 @@ def count_malformed(spark: SparkSession, path: str) -> DataFrame:
         if "PATH_NOT_FOUND" in str(exc):
             return spark.sql("SELECT CAST(0 AS BIGINT) AS n_malformed")
         raise
-    parsed = F.try_parse_json("value")
-    bad = (F.trim("value") != "") & (
-        parsed.isNull() | ~F.startswith(F.schema_of_variant(parsed), F.lit("OBJECT")))
+    bad = (F.trim("value") != "") & ~_is_object(F.col("value"))
     return lines.agg(F.count_if(F.coalesce(bad, F.lit(False))).alias("n_malformed"))
 
 

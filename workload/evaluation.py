@@ -1,5 +1,7 @@
 """Verdicts, rounds, runs and report cells."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from dossier.operators import evaluation
@@ -7,10 +9,23 @@ from dossier.operators.answering import ExtractiveProvider
 from dossier.operators.embedding import HashProvider
 from dossier.plans.ask import Models
 from dossier.plans.evaluate import eval_run
+from dossier.sources import runs as runs_
 from workload.answering import asked_sql, file_names
-from workload.base import CHUNKS, CONTEXT, RANKED, chunks, context, query, table
+from workload.base import CHUNKS, CONTEXT, RANKED, chunks, context, query, scratch, table
 from workload.sources import history
 
+_UNIT = 2**62
+
+
+def stored(sql: str) -> str:
+    """`round_even(x, 3)` decided on the stored value of x, in whole numbers of 2**-62."""
+    exact = (
+        f"list_transform([{{}}], lambda v: list_transform([floor((abs(v) - floor(abs(v))) * {_UNIT}::DOUBLE)::HUGEINT * 1000], lambda p: "
+        f"sign(v) * (floor(abs(v)) * 1000 + (p // {_UNIT})::DOUBLE + (p % {_UNIT} > {_UNIT // 2} OR (p % {_UNIT} = {_UNIT // 2} AND (p // {_UNIT}) % 2 = 1))::INT)"
+        f" / 1000::DOUBLE)[1])[1]")
+    return re.sub(r"round_even\((.*?), 3\)", lambda m: exact.format(m[1]), sql)
+
+
 # Item: question of a vector; expected: the first word of the benchmark text with its number.
 _GOLD = """gold AS (SELECT vec_id AS id, string_split(b.text, ' ')[1] AS expected FROM embeddings JOIN benchmark b
   ON item_id = vec_id % (SELECT count(*) FROM benchmark))"""
@@ -135,15 +150,15 @@ rounds AS (SELECT mode, round_index, count(*) AS total, round_even(avg(context_h
   sum(input)::BIGINT AS input, sum(output)::BIGINT AS output FROM items GROUP BY 1, 2)"""
 
 
-@query("j6_summarise_round", f"WITH {_ROUNDS} SELECT * FROM rounds")
+@query("j6_summarise_round", stored(f"WITH {_ROUNDS} SELECT * FROM rounds"))
 def summarise(spark, sf):
     return rounds(spark, sf).select("*", F.col("tokens")["input"].alias("input"),
                                     F.col("tokens")["output"].alias("output")).drop("tokens")
 
 
-@query("j7_spread", """
+@query("j7_spread", stored("""
 SELECT o_custkey, round_even(avg(v), 3) AS mean, round(coalesce(stddev_samp(v), -1), 3) AS stdev, round_even(min(v), 3) AS least,
-  round_even(max(v), 3) AS most, count(v) AS rounds FROM (SELECT o_custkey, ln(o_totalprice) AS v FROM orders) GROUP BY 1""")
+  round_even(max(v), 3) AS most, count(v) AS rounds FROM (SELECT o_custkey, ln(o_totalprice) AS v FROM orders) GROUP BY 1"""))
 def spread(spark, sf):
     found = table(spark, sf, "orders").withColumn("v", F.log("o_totalprice")).groupBy("o_custkey").agg(
         evaluation.spread(F.col("v")).alias("s"))
@@ -162,6 +177,19 @@ def unstable(spark, sf):
 _REPEATED = """repeated AS (SELECT mode, bool_and(n = 1) AS answers_repeated_exactly FROM (SELECT mode, id, count(DISTINCT answer_text) AS n FROM items GROUP BY 1, 2) GROUP BY 1)"""
 
 
+@query("j10_unstable_rows", """
+SELECT '20260101-000000' AS stamp, 'direct' AS mode, doc_id || '-' || k AS id FROM documents, (SELECT unnest(range(60)) AS k) WHERE doc_id % 2 = 1""")
+def unstable_rows(spark, sf):
+    """Sixty items a document, in two rounds; those of odd documents change their verdict. Written beside the history and read back."""
+    path = scratch(spark, "unstable")
+    many = table(spark, sf, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("k"))
+    rows = many.select("doc_id", "k", F.explode(F.array(F.lit(0), F.lit(1))).alias("round_index")).select(
+        F.lit("direct").alias("mode"), "round_index", F.concat_ws("-", F.col("doc_id").cast("string"), F.col("k").cast("string")).alias("id"),
+        F.lit(True).alias("context_hit"), ((F.col("doc_id") % 2 == 0) | (F.col("round_index") == 0)).alias("answer_hit"))
+    runs_.append_unstable(evaluation.unstable_items(rows), "20260101-000000", path)
+    return runs_.read_unstable(spark, path)
+
+
 @query("j9_answers_repeated_exactly", f"""
 WITH {_ITEMS}, {_REPEATED} SELECT * FROM repeated""")
 def repeated(spark, sf):
@@ -180,8 +208,8 @@ _SHORT = {"context": "context_hit_rate", "answer": "answer_hit_rate", "answered"
           "faithful": "mean_faithfulness", "relevancy": "mean_answer_relevancy"}
 
 
-@query("j10_aggregate_runs", f"""
-WITH {_RUNS} SELECT runs.*, (SELECT count(*) FROM unstable u WHERE u.mode = runs.mode)::INT AS n_unstable, answers_repeated_exactly FROM runs JOIN repeated USING (mode)""")
+@query("j10_aggregate_runs", stored(f"""
+WITH {_RUNS} SELECT runs.*, (SELECT count(*) FROM unstable u WHERE u.mode = runs.mode)::INT AS n_unstable, answers_repeated_exactly FROM runs JOIN repeated USING (mode)"""))
 def aggregate(spark, sf):
     found = evaluation.aggregate_runs(rounds(spark, sf), items(spark, sf))
     stats = [F.col(m)[part].alias(f"{short}_{part}") for short, m in _SHORT.items() for part in ("mean", "stdev")]
@@ -191,12 +219,12 @@ def aggregate(spark, sf):
         F.col("n_unstable").cast("int").alias("n_unstable"), "answers_repeated_exactly")
 
 
-@query("j11_compare_modes", f"""
+@query("j11_compare_modes", stored(f"""
 WITH {_RUNS}, long AS (""" + " UNION ALL ".join(
     f"SELECT mode, '{m}' AS metric, {short}_mean AS mean, {short}_stdev AS stdev FROM runs" for short, m in _SHORT.items()) + """),
-sides AS (SELECT b.metric, b.mean AS before, a.mean AS after, round(a.mean - b.mean, 3) AS delta, greatest(coalesce(b.stdev, 0), coalesce(a.stdev, 0)) AS noise
+sides AS (SELECT b.metric, b.mean AS before, a.mean AS after, round_even(a.mean - b.mean, 3) AS delta, greatest(coalesce(b.stdev, 0), coalesce(a.stdev, 0)) AS noise
   FROM long b JOIN long a USING (metric) WHERE b.mode = 'direct' AND a.mode = 'graph')
-SELECT *, CASE WHEN abs(delta) <= noise THEN 'NOISE' ELSE 'outside spread' END AS verdict FROM sides""")
+SELECT *, CASE WHEN abs(delta) <= noise THEN 'NOISE' ELSE 'outside spread' END AS verdict FROM sides"""))
 def compare(spark, sf):
     return evaluation.compare_modes(evaluation.aggregate_runs(rounds(spark, sf), items(spark, sf)))
 
@@ -275,7 +303,7 @@ def grade(spark, sf):
     return graded.select("id", F.when(F.isnan("faithfulness"), -1.0).otherwise(F.round("faithfulness", 6)).alias("faithfulness"))
 
 
-@query("j20_eval_run", f"""
+@query("j20_eval_run", stored(f"""
 WITH {CHUNKS}, scope_edges AS (SELECT 0 AS user_id, 0 AS case_id WHERE false),
 asked AS (SELECT item_id AS query_id, 0 AS user_id, text AS question, true AS all_cases FROM benchmark),
 {asked_sql("asked")},
@@ -283,7 +311,7 @@ found AS (SELECT query_id, string_agg(text, E'\\n' ORDER BY match_rank) AS texts
 judged AS (SELECT contains(texts, string_split(question, ' ')[1]) AS ctx, reply IS NOT NULL AND len(list_filter(string_split(question, ' '), lambda w: contains(reply, w))) > 0 AS ans, reply IS NOT NULL AS done
   FROM asked JOIN found USING (query_id) LEFT JOIN checked USING (query_id))
 SELECT 'direct' AS mode, 2::BIGINT AS rounds, count(*) AS total, round_even(avg(ctx::INT), 3) AS context_hit, round_even(avg(coalesce(ans, false)::INT), 3) AS answer_hit,
-  round_even(avg(done::INT), 3) AS answered, 0::INT AS n_unstable, true AS answers_repeated_exactly FROM judged""")
+  round_even(avg(done::INT), 3) AS answered, 0::INT AS n_unstable, true AS answers_repeated_exactly FROM judged"""))
 def run(spark, sf):
     """Benchmark texts as the gold set, two rounds."""
     gold_set = table(spark, sf, "benchmark").select(
