@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from unicodedata import category, digit
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dossier.functions.text import strip
+from dossier.functions.text import LINE_BREAK, strip
 from dossier.schemas import CITATION, CONTINUE, DONE, MULTI_STEP, NOT_FOUND, SINGLE_SHOT
 
 # Wording of the instruction sheets; the tokens and the layout below are what replies and
@@ -84,7 +86,7 @@ def parse_route(reply: Column, multi_step: bool = True) -> Column:
 
 def parse_reason(reply: Column, question: Column) -> Column:
     """struct(should_continue, sub_question, unexpected) of one reasoning reply."""
-    lines = F.split(strip(F.coalesce(reply, F.lit(""))), r"\r\n|[\n\r]")
+    lines = F.split(strip(F.coalesce(reply, F.lit(""))), LINE_BREAK)
     decision = F.upper(strip(F.element_at(lines, 1)))
     goes_on = decision == CONTINUE
     second = F.when(F.size(lines) > 1, strip(F.try_element_at(lines, F.lit(2)))).otherwise(question)
@@ -95,14 +97,15 @@ def parse_reason(reply: Column, question: Column) -> Column:
     )
 
 
-_ARABIC_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
+_DIGITS = "".join(c for c in map(chr, range(0x80, 0x20000)) if category(c) == "Nd")
+_AS_ASCII = "".join(str(digit(c)) for c in _DIGITS)
 
 
 def cited_numbers(reply: Column) -> Column:
     """Bracketed numbers in order; digits of any script; null for one too long to be a number."""
     found = F.regexp_extract_all(reply, F.lit(f"(?U){CITATION}"), F.lit(1))
     return F.transform(
-        found, lambda n: F.translate(n, _ARABIC_DIGITS, "0123456789" * 2).try_cast("bigint")
+        found, lambda n: F.translate(n, _DIGITS, _AS_ASCII).try_cast("bigint")
     )
 
 

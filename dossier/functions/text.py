@@ -12,7 +12,7 @@ from dossier.schemas import DIGIT, SENTENCE_ENDS
 _OTHER = r"\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE = rf"[\t-\r{_OTHER}]"
 _BLANK = rf"[\t\x0b-\r{_OTHER}]"
-_LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 # The same characters as a plain string, for trimming.
@@ -44,7 +44,7 @@ def tidy_line(line: Column) -> Column:
 
 def normalise_text(text: Column) -> Column:
     """No trailing white space on any line, at most one blank line in a row, stripped."""
-    lines = F.regexp_replace(text, _LINE_BREAK, "\n")
+    lines = F.regexp_replace(text, LINE_BREAK, "\n")
     trimmed = F.regexp_replace(lines, rf"{_BLANK}+(?=\n|\z)", "")
     return strip(F.regexp_replace(trimmed, r"\n{3,}", "\n\n"))
 

@@ -54,17 +54,19 @@ def visual_to_logical(units: Column) -> Column:
 
 
 def assemble_lines(fragments: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Text of each page from its fragments, top line first.
+    """Text of each page from its fragments, top line first; a page without any has an empty text.
 
-    fragments: document_id, page_number, x, y, units; boxes: document_id, page_number, left,
-    right. What lies outside the box is dropped.
+    fragments: document_id, page_number, x, y, units and, if known, position (the order of drawing,
+    which decides between equal x); boxes: document_id, page_number, left, right. What lies outside
+    the box is dropped.
     """
     page = ["document_id", "page_number"]
+    place = ["x", "position"] if "position" in fragments.columns else ["x"]
     inside = fragments.join(boxes, page).where(
         F.col("x").between(F.col("left") - 1, F.col("right") + 1))
     lines = (
         inside.groupBy(*page, F.bround("y").cast("bigint").alias("row"))
-        .agg(F.array_sort(F.collect_list(F.struct("x", "units"))).alias("parts"))
+        .agg(F.array_sort(F.collect_list(F.struct(*place, "units"))).alias("parts"))
         .select(*page, "row", F.flatten(F.transform(
             "parts",
             lambda p, i: F.when(i == 0, p["units"]).otherwise(
@@ -77,8 +79,10 @@ def assemble_lines(fragments: DataFrame, boxes: DataFrame) -> DataFrame:
     ordered = F.transform(
         F.array_sort(F.collect_list(F.struct((-F.col("row")).alias("below"), "line"))),
         lambda r: r["line"])
-    return lines.groupBy(*page).agg(
+    texts = lines.groupBy(*page).agg(
         F.array_join(F.filter(ordered, lambda line: line != ""), "\n").alias("text"))
+    return boxes.select(*page).join(texts, page, "left").withColumn(
+        "text", F.coalesce("text", F.lit("")))
 
 
 def parse_documents(files: DataFrame, parser: Callable[[], Callable[[bytes], list[str]]],

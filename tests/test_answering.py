@@ -17,7 +17,7 @@ WIDTH = 8
 
 
 @pytest.mark.parametrize("reply, n, rule, numbers", [
-    ("Yes [1].", 2, "answered", [1]), ("Yes [2][1][2]", 2, "answered", [2, 1, 2]), ("Yes [3]", 2, "out of range", None),
+    ("Yes [१].", 2, "answered", [1]), ("Yes [1].", 2, "answered", [1]), ("Yes [2][1][2]", 2, "answered", [2, 1, 2]), ("Yes [3]", 2, "out of range", None),
     ("Yes [0]", 2, "out of range", None), ("Yes", 2, "no citation", None), (" NOT_FOUND\n", 2, "not found", None),
     ("", 2, "empty", None), (None, 2, "empty", None), ("نعم [٢]", 2, "answered", [2]), ("[99999999999999999999]", 2, "out of range", None),
     ("NOT_FOUND [1]", 2, "answered", [1]), ("ok [1]", 0, "no passages", None), ("see [a] [1 ]", 2, "no citation", None),

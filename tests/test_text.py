@@ -76,10 +76,17 @@ def test_assemble_lines(frame):
         (1, 1, -442.0, 100.0, ["g", "h"]), (1, 1, -1.0, 50.0, ["e"]), (1, 1, 10.0, 20.0, [" "]),
         (1, 2, 0.0, 2.5, ["b"]), (1, 2, 5.0, 1.5, ["c"]),
     ], "document_id bigint, page_number int, x double, y double, units array<string>")
-    boxes = frame([(1, 1, 0.0, 482.0), (1, 2, 0.0, 482.0)],
+    boxes = frame([(1, 1, 0.0, 482.0), (1, 2, 0.0, 482.0), (1, 3, 0.0, 482.0)],
                   "document_id bigint, page_number int, left double, right double")
     got = {r["page_number"]: r["text"] for r in pages.assemble_lines(fragments, boxes).collect()}
-    assert got == {1: "top\nhi wo\ne", 2: "b c"}
+    assert got == {1: "top\nhi wo\ne", 2: "b c", 3: ""}
+
+
+def test_order_of_drawing_decides_between_equal_places(frame):
+    fragments = frame([(1, 1, 5.0, 2.0, 2, ["a"]), (1, 1, 5.0, 2.0, 1, ["b"])],
+                      "document_id bigint, page_number int, x double, y double, position int, units array<string>")
+    boxes = frame([(1, 1, 0.0, 482.0)], "document_id bigint, page_number int, left double, right double")
+    assert pages.assemble_lines(fragments, boxes).head()["text"] == "b a"
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

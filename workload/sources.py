@@ -242,20 +242,22 @@ def lookup(spark, sf):
 # --- page text ----------------------------------------------------------------------------
 
 _FRAGMENTS = """fragments AS (
-  SELECT l_orderkey AS document_id, l_linenumber AS page_number, l_extendedprice / 1000 AS x, l_quantity / 2 AS y,
+  SELECT l_orderkey AS document_id, l_linenumber AS page_number, l_extendedprice / 1000 AS x, l_quantity / 2 AS y, l_suppkey AS position,
     [l_returnflag, l_linestatus, ' ', (l_partkey)::VARCHAR] AS units FROM lineitem)"""
 
 
 @query("b1_assemble_lines", f"""
 WITH {_FRAGMENTS},
 kept AS (SELECT *, round_even(y, 0)::BIGINT AS r FROM fragments WHERE x BETWEEN 9 AND 71),
-lines AS (SELECT document_id, page_number, r, string_agg(array_to_string(units, ''), ' ' ORDER BY x, units) AS line FROM kept GROUP BY ALL)
-SELECT document_id, page_number, string_agg(trim(line), E'\\n' ORDER BY r DESC) AS text FROM lines GROUP BY ALL""")
+lines AS (SELECT document_id, page_number, r, string_agg(array_to_string(units, ''), ' ' ORDER BY x, position, units) AS line FROM kept GROUP BY ALL),
+boxes AS (SELECT DISTINCT document_id, page_number FROM fragments),
+texts AS (SELECT document_id, page_number, string_agg(trim(line), E'\\n' ORDER BY r DESC) AS text FROM lines GROUP BY ALL)
+SELECT document_id, page_number, coalesce(text, '') AS text FROM boxes LEFT JOIN texts USING (document_id, page_number)""")
 def assemble_lines(spark, sf):
     fragments = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page_number"),
         (F.col("l_extendedprice") / 1000).alias("x"), (F.col("l_quantity") / 2).alias("y"),
-        F.array("l_returnflag", "l_linestatus", F.lit(" "), F.col("l_partkey").cast("string")).alias("units"))
+        F.col("l_suppkey").alias("position"), F.array("l_returnflag", "l_linestatus", F.lit(" "), F.col("l_partkey").cast("string")).alias("units"))
     boxes = fragments.select("document_id", "page_number").distinct().withColumns(
         {"left": F.lit(10.0), "right": F.lit(70.0)})
     return pages.assemble_lines(fragments, boxes)
