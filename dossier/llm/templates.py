@@ -1,11 +1,14 @@
 """Main text of web pages, with the site's template removed.
 
-Every element of a page is hashed with its class, its text (digits as 0) and its children. Spark counts, for each host, the pages
-that hold a hash. A subtree on at least MIN_PAGES pages and SHARE of the host's pages belongs to the template and is
-deleted. As each page adds its elements only once, a host has no more than elements per page / SHARE such
-hashes; they are kept as one short list per host. Elements that say by their tag, role, class or id that they are
-no article (menus, headers, footers, sidebars, notices, adverts, forms, comments) are deleted as well. Text blocks
-inside an article stay even where they recur: pages of a host may quote or repeat each other.
+Every element of a page is hashed with its class, its text (digits as 0) and its children. Pages of a host with the same main text
+(digits as 0) are copies of one body. Spark counts, for each host, the bodies that hold a hash. A subtree on at least MIN_PAGES
+bodies and SHARE of the host's bodies belongs to the template and is deleted. As each body adds its elements only
+once, a host has no more than elements per page / SHARE such hashes; they are kept as one short list per host, with their
+share. Elements that say by their tag, role, class or id that they are no article (menus, headers, footers, sidebars, notices,
+adverts, forms, comments) are deleted as well. Text blocks inside an article stay even where they recur: pages of a host may
+quote or repeat each other. Outside an article a text block goes only if it is on more than TEXT_SHARE of the bodies, or if it
+recurs and all its words are links. If nothing is left of a page, the subtree that is on the fewest bodies stays, unless it
+is one of several on more than TEXT_SHARE of them: such a page is all template.
 
 The text is that of the outermost article elements; failing these, of main; failing that, of the body. Blocks are joined by one
 space, inline elements by nothing.
@@ -28,6 +31,7 @@ from dossier.llm.base import map_batches, query, table, written
 
 MIN_PAGES = 5
 SHARE = 0.1
+TEXT_SHARE = 0.5
 MAX_BROADCAST = 1_000_000
 
 # --- fixed values: kinds of elements ---------------------------------------------------------------
@@ -174,12 +178,21 @@ def parse(text: str) -> tuple[Node, list[Node]]:
     return root, nodes
 
 
-def subtree_hashes(text: str | None) -> list[int]:
-    """The hashes of a page's elements, each once, as signed 64-bit numbers."""
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def body_and_hashes(text: str | None) -> tuple[int, list[int]]:
+    """The digest of a page's main text (of all its text where the main text is no more than half of it), and the hashes of its
+    elements, each once and in order, as signed 64-bit numbers."""
     if not text:
-        return []
-    found = {n.hash for n in parse(text)[1] if n.tag not in ("html", "body", "b", "i", "em", "strong", "a", "span")}
-    return [h - (1 << 64) if h >> 63 else h for h in found]
+        return 0, []
+    root, nodes = parse(text)
+    found = {n.hash for n in nodes if n.tag not in ("html", "body", "b", "i", "em", "strong", "a", "span")}
+    main, whole = _main_text(root, {}), _text(root, {}, False)
+    main = main if 2 * len(main) > len(whole) else whole
+    body = xxhash.xxh64(DIGITS.sub("0", main).encode("utf-8", "surrogatepass")).intdigest()
+    return signed(body), sorted(map(signed, found))
 
 
 def _tops(root: Node, tag: str) -> list[Node]:
@@ -194,7 +207,21 @@ def _tops(root: Node, tag: str) -> list[Node]:
     return found
 
 
-def _text(node: Node, template: frozenset, protects: bool) -> str:
+def _only_links(node: Node) -> bool:
+    """Whether all words of an element are in links."""
+    todo = [node]
+    while todo:
+        for part in todo.pop().parts:
+            if isinstance(part, str):
+                if NAME.search(part) or any(map(str.isalnum, html.unescape(part))):
+                    return False
+            elif part.tag != "a" and not part.dropped:
+                todo.append(part)
+    return True
+
+
+def _text(node: Node, template: dict[int, float], protects: bool, gone: list[Node] | None = None) -> str:
+    """The text of an element; the subtrees deleted as template go to `gone`."""
     out, todo = [], [iter(node.parts)]
     ends = [" "]
     while todo:
@@ -206,26 +233,41 @@ def _text(node: Node, template: frozenset, protects: bool) -> str:
             out.append(part)
         else:
             gap = " " if part.tag in BLOCKS else ""
-            deleted = part.dropped or (part.hash in template and not (protects and part.tag in TEXT_BLOCKS))
-            if deleted or not part.parts:
-                out.append(gap)
-            else:
-                out.append(gap)
+            recurs = not part.dropped and part.hash in template
+            if recurs and part.tag in TEXT_BLOCKS:
+                recurs = not protects and (template[part.hash] > TEXT_SHARE or _only_links(part))
+            if recurs and gone is not None:
+                gone.append(part)
+            out.append(gap)
+            if not part.dropped and not recurs and part.parts:
                 todo.append(iter(part.parts))
                 ends.append(gap)
     return " ".join(html.unescape("".join(out)).split())
 
 
-def main_text(text: str | None, template: frozenset = frozenset()) -> str:
-    """The main text of a page; `template` holds the hashes that recur on its host."""
-    if not text:
-        return ""
-    root, _ = parse(text)
+def _texts(nodes: list[Node], template: dict[int, float], protects: bool, last: bool) -> str:
+    """The text of elements; where nothing is left, that of the deleted subtree on the fewest bodies. If that is on more than
+    TEXT_SHARE of them, it stays only where nothing else was deleted and there is no other place to look (`last`)."""
+    while True:
+        gone: list[Node] = []
+        found = " ".join(filter(None, (_text(n, template, protects, gone) for n in nodes)))
+        gone = [n for n in gone if not found and _text(n, {}, True)]
+        least = min((template[n.hash] for n in gone), default=1.0)
+        if found or not gone or least > TEXT_SHARE and not (last and len(gone) == 1):
+            return found
+        nodes, protects = [n for n in gone if template[n.hash] == least], True
+
+
+def _main_text(root: Node, template: dict[int, float]) -> str:
     for tag in ("article", "main"):
-        found = " ".join(filter(None, (_text(n, template, True) for n in _tops(root, tag))))
-        if found:
+        if found := _texts(_tops(root, tag), template, True, False):
             return found
-    return _text(root, template, False)
+    return _texts([root], template, False, True)
+
+
+def main_text(text: str | None, template: dict[int, float] | None = None) -> str:
+    """The main text of a page; `template` holds the hashes that recur on its host, with their share of its bodies."""
+    return _main_text(parse(text)[0], template or {}) if text else ""
 
 
 def host_of(url: Column) -> Column:
@@ -235,26 +277,27 @@ def host_of(url: Column) -> Column:
 
 
 def site_templates(pages: DataFrame) -> DataFrame:
-    """host and the hashes of the subtrees that recur on it."""
+    """host and the hashes of the subtrees that recur on it, with their share of its bodies."""
     located = pages.select(host_of(F.col("url")).alias("host"), "html").where("host is not null")
 
     def work(batch):
-        hashes = [subtree_hashes(t) for t in batch.column("html").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("host"), pa.array(hashes, pa.list_(pa.int64()))], ["host", "hashes"])
+        bodies, hashes = zip(*map(body_and_hashes, batch.column("html").to_pylist()), strict=True)
+        return pa.RecordBatch.from_arrays([batch.column("host"), pa.array(bodies, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
+                                          ["host", "body", "hashes"])
 
-    # The hash 0 stands for the page itself: its count is the number of the host's pages.
-    rows = map_batches(located, work, "host string, hashes array<bigint>").select(
-        "host", F.explode_outer(F.array_append("hashes", F.lit(0).cast("bigint"))).alias("hash"))
+    # Of copies of a body the one with the least list counts. The hash 0 stands for the body itself: its count is the number of bodies.
+    bodies = map_batches(located, work, "host string, body bigint, hashes array<bigint>").groupBy("host", "body").agg(F.min("hashes").alias("hashes"))
+    rows = bodies.select("host", F.explode_outer(F.array_append("hashes", F.lit(0).cast("bigint"))).alias("hash"))
     counts = written(rows.groupBy("host", "hash").agg(F.count("*").alias("n")).where(f"hash = 0 or n >= {MIN_PAGES}"), "subtrees")
     totals = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
     return (counts.where("hash <> 0").join(totals, "host").where(F.col("n") >= F.col("pages") * SHARE)
-            .groupBy("host").agg(F.collect_list("hash").alias("template")))
+            .groupBy("host").agg(F.collect_list(F.struct("hash", (F.col("n") / F.col("pages")).alias("share"))).alias("template")))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and main text of every page."""
     templates = written(site_templates(pages), "templates")
-    size = templates.agg(F.coalesce(F.sum(F.size("template") + 4), F.lit(0))).head()[0]
+    size = templates.agg(F.coalesce(F.sum(2 * F.size("template") + 4), F.lit(0))).head()[0]
     side = F.broadcast(templates) if size <= MAX_BROADCAST else templates
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(side, "host", "left")
 
@@ -263,7 +306,7 @@ def extract(pages: DataFrame) -> DataFrame:
         texts = []
         for host, text, template in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), batch.column("template"), strict=True):
             if host not in known:
-                known[host] = frozenset(h & ((1 << 64) - 1) for h in template.as_py() or ())
+                known[host] = {x["hash"] & ((1 << 64) - 1): x["share"] for x in template.as_py() or ()}
             texts.append(main_text(text, known[host]))
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 

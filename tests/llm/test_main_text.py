@@ -2,7 +2,7 @@
 
 import pytest
 
-from dossier.llm.templates import main_text
+from dossier.llm.templates import extract, main_text
 
 
 @pytest.mark.parametrize("html, text", [
@@ -12,3 +12,50 @@ from dossier.llm.templates import main_text
 ])
 def test_main_text(html, text):
     assert main_text(html) == text
+
+
+def texts_of(spark, pages):
+    rows = [(i, f"http://a.example/{i}", p) for i, p in enumerate(pages)]
+    return {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+
+
+def page(*parts):
+    return f"<html><body>{''.join(parts)}</body></html>"
+
+
+MENU = "<div class=top><ul><li><a href=/>Start</a></li><li><a href=/b>Shop</a></li></ul></div>"
+STORY = "<p>A long story.</p><p>Its end.</p>"
+WORDS = "oak elm ash fir yew bay fig box may sal asp nut tea pea rye hop bog fen dew ice".split()
+
+
+def test_copies_of_one_body_keep_their_text(spark):
+    others = [page(MENU, f"<div class=c><p>Only {w} here.</p></div>") for w in WORDS]
+    plain = [page(MENU, f"<div class=c>{STORY}</div>")] * 6
+    nested = [page(MENU, f"<article><div class=body>{STORY}</div></article>", f"<div class=x>{w}</div>") for w in WORDS[:6]]
+    whole = [page(MENU, f"<section class=s>{STORY}</section>", f"<div class={w}></div>") for w in WORDS[:6]]
+    for copies in (plain, nested, whole):
+        got = texts_of(spark, copies + others)
+        assert [got[i] for i in range(6)] == ["A long story. Its end."] * 6
+        assert [got[6 + i] for i in range(len(WORDS))] == [f"Only {w} here." for w in WORDS]
+
+
+def test_near_copies_keep_a_subtree_that_is_all_they_have(spark):
+    labels = [f"<div class=t>{w}</div>" for w in WORDS[:6]]
+    near = [page(MENU, f"<div class=c>{STORY}</div>", x) for x in labels]
+    others = [page(MENU, f"<div class=c><p>Only {w} here.</p></div>", *labels) for w in WORDS]
+    got = texts_of(spark, near + others)
+    assert [got[i] for i in range(6)] == ["A long story. Its end."] * 6
+    assert [got[6 + i] for i in range(len(WORDS))] == [f"Only {w} here." for w in WORDS]
+
+
+def test_paragraphs_of_a_host_without_articles(spark):
+    said, notice = "<p>As they say.</p>", "<p>All rights reserved.</p>"
+    pages = [page(MENU, f"<p>Only {w} here.</p>", said if i < 6 else "", notice) for i, w in enumerate(WORDS)]
+    got = texts_of(spark, pages)
+    assert [got[i] for i in range(len(WORDS))] == [f"Only {w} here." + (" As they say." if i < 6 else "") for i, w in enumerate(WORDS)]
+
+
+def test_a_page_that_is_all_template_is_empty(spark):
+    foot = "<div class=end>Some firm.</div>"
+    got = texts_of(spark, [page(MENU, f"<div class=c>Only {w} here.</div>", foot) for w in WORDS] + [page(MENU, foot)])
+    assert got[len(WORDS)] == "" and got[0] == "Only oak here."
