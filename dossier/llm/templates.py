@@ -8,7 +8,8 @@ share. Elements that say by their tag, role, class or id that they are no articl
 adverts, forms, comments) are deleted as well. Text blocks inside an article stay even where they recur: pages of a host may
 quote or repeat each other. Outside an article a text block goes only if it is on more than TEXT_SHARE of the bodies, or if it
 recurs and all its words are links. If nothing is left of a page, the subtree that is on the fewest bodies stays, unless it
-is one of several on more than TEXT_SHARE of them: such a page is all template.
+is one of several on more than TEXT_SHARE of them: such a page is all template. The template goes first: an article or main
+in a deleted container is not looked at.
 
 The text is that of the outermost article elements; failing these, of main; failing that, of the body. Blocks are joined by one
 space, inline elements by nothing.
@@ -195,15 +196,16 @@ def body_and_hashes(text: str | None) -> tuple[int, list[int]]:
     return signed(body), sorted(map(signed, found))
 
 
-def _tops(root: Node, tag: str) -> list[Node]:
-    """The outermost elements of a tag that are not dropped."""
+def _tops(root: Node, tag: str, template: dict[int, float]) -> list[Node]:
+    """The outermost elements of a tag that are not dropped and in no container of the template."""
     found, todo = [], [root]
     while todo:
         node = todo.pop()
         if node.tag == tag:
             found.append(node)
         else:
-            todo.extend(p for p in reversed(node.parts) if isinstance(p, Node) and not p.dropped)
+            todo.extend(p for p in reversed(node.parts) if isinstance(p, Node) and not p.dropped
+                        and (p.tag == tag or p.tag in TEXT_BLOCKS or p.hash not in template))
     return found
 
 
@@ -260,7 +262,7 @@ def _texts(nodes: list[Node], template: dict[int, float], protects: bool, last:
 
 def _main_text(root: Node, template: dict[int, float]) -> str:
     for tag in ("article", "main"):
-        if found := _texts(_tops(root, tag), template, True, False):
+        if found := _texts(_tops(root, tag, template), template, True, False):
             return found
     return _texts([root], template, False, True)
 

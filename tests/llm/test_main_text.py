@@ -59,3 +59,11 @@ def test_a_page_that_is_all_template_is_empty(spark):
     foot = "<div class=end>Some firm.</div>"
     got = texts_of(spark, [page(MENU, f"<div class=c>Only {w} here.</div>", foot) for w in WORDS] + [page(MENU, foot)])
     assert got[len(WORDS)] == "" and got[0] == "Only oak here."
+
+
+def test_the_template_goes_before_the_main_block_is_picked(spark):
+    notice = "<div class=x1><article><p>Our offer.</p></article></div>"
+    top, foot = "<section class=x2><p>Hello, you.</p></section>", "<div class=x3><p>Some firm.</p></div>"
+    pages = [page(top, notice, f"<div class=c><p>Only {w} here, and a longer text than that.</p></div>", foot) for w in WORDS]
+    got = texts_of(spark, pages)
+    assert [got[i] for i in range(len(WORDS))] == [f"Only {w} here, and a longer text than that." for w in WORDS]
