@@ -163,6 +163,29 @@ def test_spans_are_source_offsets(text, kind, span):
     assert (kind, span) in found and span not in pii.masked(text)
 
 
+NUMBER = "one five five five one two three four five six".split()
+
+
+@pytest.mark.parametrize("run", [
+    "plus,four," + ",".join(NUMBER), "plus.four." + ".".join(NUMBER), "Plus-Four-" + "-".join(NUMBER), "plus\tfour\n" + "\n".join(NUMBER),
+    "plus four, " + ", ".join(NUMBER), "plus,fıve," + ",".join(NUMBER), "plus,four,\u2028" + ",".join(NUMBER)])
+@pytest.mark.parametrize("around", ["{}", "({})", "[{}]", "call:{};now", "<b>{}</b>", "\"{}\""])
+def test_spelled_runs_are_found_with_and_without_the_quick_test(monkeypatch, run, around):
+    text = around.format(run)
+    got = pii.find_spans(text)
+    monkeypatch.setattr(pii, "says_something", lambda text: True)
+    assert got == pii.find_spans(text)
+    if "ı" not in run:
+        assert [(k, text[s:e]) for s, k, e in got[1]] == [(3, run)]
+
+
+@pytest.mark.parametrize("text", ["jo[dot]do [AT] mail {poınt} org", "jo at mail dot org", "ann at MAIL DOT ORG", "jo(at)mail<.>org", "four,one", "someone,4 1 2 3", ""])
+def test_quick_test_changes_nothing(monkeypatch, text):
+    got = pii.find_spans(text)
+    monkeypatch.setattr(pii, "says_something", lambda text: True)
+    assert got == pii.find_spans(text)
+
+
 def test_clean_text_stays(spark):
     assert pii.find_spans("Version 1.2.3 of two or three things, at noon.") == ([], [])
     assert [r["text"] for r in pii.redact(docs_of(spark, ODD)).collect()] == [t for _, t in ODD]
