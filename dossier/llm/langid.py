@@ -3,8 +3,8 @@
 Features are the 1- to 3-grams of the letters of a whole text, in lower case, every stretch of other characters being
 one space; they are hashed to FEATURES columns, weighted (1 + log tf) * idf and brought to unit length.
 Document frequencies are counted over every training row. The classifier itself is fitted on a bounded sample,
-about PER_LANGUAGE rows of each language and never more than MAX_SAMPLE in all, chosen by a hash of the row, by
-follow-the-regularised-leader with elastic-net penalties; a fifth of the sample is kept out to find the
+PER_LANGUAGE rows of each language, or an equal share of MAX_SAMPLE where there are too many languages for that, those with the
+smallest hashes, by follow-the-regularised-leader with elastic-net penalties; a fifth of the sample is kept out to find the
 temperature that calibrates the scores.
 
 A null text, or one without a letter, is "und" with score 0; so is every text if there is nothing to learn from.
@@ -18,7 +18,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.llm.base import crc_of_id, map_batches, query, table
@@ -127,11 +127,15 @@ def temperature_of(logits: np.ndarray, labels: np.ndarray) -> float:
 
 
 def _sample(labelled: DataFrame, per_language: int) -> DataFrame:
-    """Rows whose hash falls into a share that leaves about per_language of each language."""
-    totals = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()
-    shares = F.create_map(*[F.lit(v) for r in totals for v in (r["lang"], max(1, r["count"] // per_language))])
-    h = F.pmod(F.xxhash64("doc_id", "text"), F.element_at(shares, F.col("lang")))
-    return labelled.where(h == 0).limit(MAX_SAMPLE)
+    """Of each language the rows with the smallest hashes, per_language of them or, with many languages, an equal share of MAX_SAMPLE."""
+    marked = labelled.withColumn("_h", F.xxhash64("doc_id", "text")).withColumn("_b", F.shiftright("_h", 52))
+    languages = labelled.agg(F.count_distinct("lang")).head()[0]
+    quota = max(1, min(per_language, MAX_SAMPLE // max(1, languages)))
+    # At most 4,096 ranges of hashes in a language: the last range that is needed.
+    below = F.sum("count").over(Window.partitionBy("lang").orderBy("_b")) - F.col("count")
+    bounds = marked.groupBy("lang", "_b").count().withColumn("_below", below).where(f"_below < {quota}").groupBy("lang").agg(F.max("_b").alias("_last"))
+    near = marked.join(F.broadcast(bounds), "lang").where("_b <= _last")
+    return near.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(f"_n <= {quota}").select("doc_id", "text", "lang")
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:

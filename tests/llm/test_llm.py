@@ -253,6 +253,18 @@ def test_language_of_odd_rows(spark):
     assert langid.predict(docs, langid.trained_on(empty)).where("lang_pred <> 'und'").count() == 0
 
 
+def test_sample_keeps_every_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_SAMPLE", 200)
+    rows = [(100 * k + i, f"text {i} of {k}", f"l{k:02}") for k in range(25) for i in range(100)] + [(9000, "alone", "rare")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").orderBy("lang")
+    first, again = (langid._sample(d, 100).collect() for d in (docs, docs.orderBy("doc_id").repartition(7)))
+    counts = Counter(r["lang"] for r in first)
+    assert set(counts) == {r[2] for r in rows} and sum(counts.values()) <= 200 and counts["rare"] == 1
+    assert set(counts[f"l{k:02}"] for k in range(25)) == {200 // 26} and sorted(first) == sorted(again)
+    copies = spark.createDataFrame([(1, "same", "en")] * 300, "doc_id bigint, text string, lang string")
+    assert langid._sample(copies, 100).count() == 100
+
+
 def test_pipeline_stages_equal_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
