@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-from dossier.llm import ann, decontaminate, langid, lattice, licenses, ngram_join, packing, pii, templates, warc  # noqa: F401
+from dossier.llm import (  # noqa: F401
+    ann, decontaminate, langid, lattice, licenses, merkle, ngram_join, packing, pii, quality, resampling, templates, warc,
+)
 from dossier.llm.base import ORACLES, QUERIES  # noqa: F401
