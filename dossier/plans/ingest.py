@@ -12,10 +12,12 @@ from dossier.functions.rows import rows_of
 from dossier.operators.chunking import chunk_document
 from dossier.operators.embedding import EmbeddingProvider, embed
 from dossier.operators.ingestion import changed_documents, content_hash
+from dossier.operators.ordered import number_rows
 from dossier.operators.pages import parse_documents
-from dossier.schemas import CHUNK_OVERLAP, CHUNK_SIZE, PARSEABLE_EXTENSIONS
+from dossier.schemas import CHUNK_OVERLAP, CHUNK_SIZE, PARSEABLE_EXTENSIONS, UPLOAD_EXTENSIONS
 from dossier.session import materialise
-from dossier.sources.files import only_parseable
+from dossier.sources.files import only_parseable, reject_reason
+from dossier.sources.store import add_batch, read_chunks, read_table  # noqa: F401
 
 
 @dataclass(frozen=True)
@@ -29,17 +31,21 @@ class Ingestion:
 def ingest(files: DataFrame, ledger: DataFrame, parser: Callable,
            embedder: Callable[[], EmbeddingProvider],
            width: int, force: bool = False, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-           extensions: list[str] = PARSEABLE_EXTENSIONS) -> Ingestion:
-    """Hash, skip what has not changed, parse, chunk, embed.
+           extensions: list[str] = PARSEABLE_EXTENSIONS, requested: DataFrame | None = None) -> Ingestion:
+    """Admit, hash, skip what has not changed, parse, chunk, embed.
 
     files: document_id, case_id, filename, content. A document stays in its own row until it is
-    chunked and embedded; an unreadable one is an outcome row.
+    chunked and embedded; an unreadable or refused one is an outcome row, and so is one of `requested`
+    (document_id) that has no file.
     """
     # First the hashes alone, so that contents are moved only for documents to be processed, and
     # not even for those while their ids are few enough to be broadcast by Spark.
+    size_of = F.col("length") if "length" in files.columns else F.octet_length("content")
+    refusal = reject_reason(F.col("filename"), size_of, [*UPLOAD_EXTENSIONS, *extensions])
     known = materialise(files.select(
-        "document_id", "filename", content_hash(F.col("content")).alias("content_hash")))
-    readable = only_parseable(known, extensions)
+        "document_id", "filename", refusal.alias("refusal"),
+        F.when(refusal.isNull(), content_hash(F.col("content"))).alias("content_hash")))
+    readable = only_parseable(known.where("refusal IS NULL"), extensions)
     todo = changed_documents(readable.select("document_id", "content_hash"), ledger, force)
     parsed = materialise(parse_documents(
         files.select("document_id", "case_id", "content").join(todo, "document_id"), parser))
@@ -60,60 +66,56 @@ def ingest(files: DataFrame, ledger: DataFrame, parser: Callable,
         "document_id", "content_hash", F.lit("unchanged").alias("status"),
         F.lit(0).cast("bigint").alias("n_chunks"), F.lit(None).cast("string").alias("error"))
     refused = known.join(readable.select("document_id"), "document_id", "left_anti").select(
-        "document_id", "content_hash", F.lit("unsupported").alias("status"),
+        "document_id", "content_hash",
+        F.when(F.col("refusal").isNull(), "unsupported").otherwise("rejected").alias("status"),
         F.lit(0).cast("bigint").alias("n_chunks"),
-        F.lit("UnsupportedFileTypeError: no parser for this file type").alias("error"))
-    return Ingestion(chunks, processed.unionByName(skipped).unionByName(refused))
-
-
-# Large enough for a bucket of the full table to be rewritten by one small job.
-N_BUCKETS = 1024
-
-
-def store(result: Ingestion, chunk_path: str, ledger_path: str, n_buckets: int = N_BUCKETS) -> None:
-    """Replace the chunks of the ingested documents, then record their hashes.
-
-    Chunks lie in hash buckets of document_id; only buckets that hold a re-ingested document are
-    rewritten, from a copy in the checkpoint folder. The ledger comes last, so a run that stops
-    early is repeated and not taken for done.
+        F.coalesce("refusal", F.lit("UnsupportedFileTypeError: no parser for this file type")).alias("error"))
+    outcomes = processed.unionByName(skipped).unionByName(refused)
+    if requested is not None:
+        gone = requested.select("document_id").distinct().join(known, "document_id", "left_anti")
+        outcomes = outcomes.unionByName(gone.select(
+            "document_id", F.lit(None).cast("string").alias("content_hash"), F.lit("failed").alias("status"),
+            F.lit(0).cast("bigint").alias("n_chunks"),
+            F.concat(F.lit("ValueError: Document "), F.col("document_id").cast("string"), F.lit(" no longer exists")).alias("error")))
+    return Ingestion(chunks, outcomes)
+
+
+def store(result: Ingestion, chunk_path: str, ledger_path: str) -> None:
+    """Add the chunks of the ingested documents as a version of the store, then record their hashes.
+
+    Files of earlier versions stay as they are. The ledger comes last, so a run that stops early is repeated and not
+    taken for done. Where no document was ingested nothing is written.
     """
-    from dossier.operators.ingestion import replace_chunks
-
     spark = result.chunks.sparkSession
-    bucket = F.pmod(F.xxhash64("document_id"), F.lit(n_buckets)).cast("int")
-    fresh = result.chunks.withColumn("bucket", bucket)
-    existing = read_chunks(spark, chunk_path)
-    if existing is not None:
-        # Documents without a chunk any more also lose their old ones.
-        ok = result.outcomes.where(F.col("status") == "ingested").select("document_id")
-        touched = [r["bucket"] for r in ok.select(bucket.alias("bucket")).distinct().collect()]
-        old = existing.where(F.col("bucket").isin(touched)).join(ok, "document_id", "left_anti")
-        fresh = materialise(replace_chunks(old, fresh.select(*old.columns)))
-    (fresh.hint("rebalance", "bucket").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(chunk_path))
-
-    result.outcomes.where(F.col("status") == "ingested").select(
-        "document_id", F.col("content_hash").alias("ingested_content_hash"),
-        F.current_timestamp().alias("recorded_at")).write.mode("append").parquet(ledger_path)
-
-
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception as exc:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
-            return None
-        raise
-
-
-def read_chunks(spark: SparkSession, path: str) -> DataFrame | None:
-    return _read(spark, path)
+    done = materialise(result.outcomes.where(F.col("status") == "ingested").select("document_id", "content_hash"))
+    if done.head() is None:
+        return
+    add_batch(spark, chunk_path, done, result.chunks)
+    done.select("document_id", F.col("content_hash").alias("ingested_content_hash"),
+                F.current_timestamp().alias("recorded_at")).write.mode("append").parquet(ledger_path)
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """Last recorded hash of each document."""
-    rows = _read(spark, path)
+    rows = read_table(spark, path)
     if rows is None:
         return spark.createDataFrame([], "document_id bigint, ingested_content_hash string")
     return rows.groupBy("document_id").agg(
         F.max_by("ingested_content_hash", "recorded_at").alias("ingested_content_hash"))
+
+
+def register_files(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
+    """The documents table (document_id, file_path) after every file_path of `files` has a number in it.
+
+    New files go on from the highest number, in order of their paths; a path keeps its number for good. One writer at a time.
+    """
+    schema = "document_id bigint, file_path string"
+    known = read_table(spark, path)
+    known = spark.createDataFrame([], schema) if known is None else known
+    new = materialise(files.select("file_path").distinct().join(known, "file_path", "left_anti"))
+    if new.head() is not None:
+        highest = known.agg(F.coalesce(F.max("document_id"), F.lit(0))).head()[0]
+        numbered = number_rows(new, [], ["file_path"], "_n", start=highest + 1)
+        numbered.select(F.col("_n").alias("document_id"), "file_path").write.mode("append").parquet(path)
+    rows = read_table(spark, path)
+    return known if rows is None else rows

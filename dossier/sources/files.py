@@ -41,11 +41,11 @@ def write_by_case(df: DataFrame, path: str, mode: str = "append") -> None:
     df.hint("rebalance", "case_id").write.mode(mode).partitionBy("case_id").parquet(path)
 
 
-def reject_reason(filename: Column, length: Column) -> Column:
+def reject_reason(filename: Column, length: Column, extensions: list[str] = UPLOAD_EXTENSIONS) -> Column:
     """First rule an upload breaks; null for an admitted one."""
     extension = file_extension(filename)
     return F.when(
-        ~extension.isin(UPLOAD_EXTENSIONS),
+        ~extension.isin(extensions),
         F.concat(F.lit("File type '"), extension, F.lit("' is not allowed")),
     ).when(length > MAX_UPLOAD_BYTES, F.lit("File exceeds maximum allowed size of 10 MB"))
 

@@ -35,7 +35,7 @@ def embedder():
 def once(spark, frame, rows, store, ledger, force=False):
     result = plan.ingest(frame(rows, FILE), plan.read_ledger(spark, ledger), parser, embedder, 4, force, size=10, overlap=0)
     outcomes = {r["document_id"]: (r["status"], r["n_chunks"]) for r in result.outcomes.collect()}
-    plan.store(result, store, ledger, n_buckets=3)
+    plan.store(result, store, ledger)
     chunks = {(r["document_id"], r["sequence"]): r["text"] for r in plan.read_chunks(spark, store).collect()}
     return outcomes, chunks
 
@@ -61,6 +61,19 @@ def test_ingest_again_and_again(spark, frame, tmp_path):
     assert chunks == {(1, 0): "new", (2, 0): "other text"}
 
 
+def test_refused_and_vanished_documents_are_outcomes(spark, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "MAX_UPLOAD_BYTES", 12)
+    rows = [(1, 10, "a.pdf", bytearray(b"twelve bytes")), (2, 10, "b.pdf", bytearray(b"thirteen bytes")), (3, 10, "c.exe", bytearray(b"x")),
+            (4, 10, "d.PNG", bytearray(b"x"))]
+    result = plan.ingest(frame(rows, FILE), plan.read_ledger(spark, str(tmp_path / "none")), parser, embedder, 4,
+                         requested=frame([(1,), (9,)], "document_id bigint"))
+    got = {r["document_id"]: (r["status"], r["error"]) for r in result.outcomes.collect()}
+    assert got == {1: ("ingested", None), 2: ("rejected", "File exceeds maximum allowed size of 10 MB"),
+                   3: ("rejected", "File type '.exe' is not allowed"),
+                   4: ("unsupported", "UnsupportedFileTypeError: no parser for this file type"),
+                   9: ("failed", "ValueError: Document 9 no longer exists")}
+
+
 def test_changed_documents(frame):
     docs = frame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "document_id bigint, content_hash string")
     ledger = frame([(1, "a"), (2, "x"), (3, None)], "document_id bigint, ingested_content_hash string")
@@ -190,6 +203,13 @@ def test_quality_checks(frame):
     assert {tuple(r["blank"]) for r in quality.blank_violations(texts, ["title", "content"]).collect()} == {("title",), ("content",)}
 
 
+def test_chunks_of_another_case(frame):
+    documents = frame([(1, 10), (2, 11), (3, None)], "document_id bigint, case_id bigint")
+    chunks = frame([(100, 1, 10), (101, 1, 11), (102, 2, None), (103, 9, 10), (104, 3, None)], "chunk_id bigint, document_id bigint, case_id bigint")
+    got = {r["chunk_id"]: r["document_case_id"] for r in quality.chunk_case_violations(chunks, documents).collect()}
+    assert got == {101: 10, 102: 11, 103: None}
+
+
 def test_remaps(value):
     to_new = lambda s: value(quality.remap(F.lit(s), OLD_STATUS_TO_NEW, "draft"))
     assert [to_new(s) for s in ("OPEN", "IN_PROGRESS", "CLOSED", "?")] == ["draft", "in_progress", "closed", "draft"]

@@ -6,6 +6,7 @@ from dossier.operators import ingestion
 from dossier.operators.embedding import HashProvider
 from dossier.plans import ingest as plan
 from workload.base import JOB_EVENT_OF_EVENT, mapped, query, scratch, sql_mapped, table
+from workload.chunking import packed_sql
 from workload.sources import line_parser
 
 NOW = "TIMESTAMP '2024-02-01 00:00:00'"
@@ -108,10 +109,43 @@ def ingest_twice(spark, sf):
         done = plan.ingest(_files(spark, sf), plan.read_ledger(spark, ledger), line_parser,
                            lambda: HashProvider(16), 16)
         outcomes = done.outcomes
-        plan.store(done, store, ledger, n_buckets=4)
+        plan.store(done, store, ledger)
     return outcomes.select("document_id", "status")
 
 
+# Lines of the texts as they are in the first run (labelled ones of low quality with a further mark) and in the second; a text
+# that cannot be read in the second keeps what the first has left.
+_RUN_PAGES = r"""(SELECT run, doc_id, unnest(range(1, len(p) + 1)) AS page_number, unnest(p) AS text FROM (
+  SELECT run, doc_id, string_split(CASE WHEN run = 2 AND position(E'\n' IN text) > 0 AND trim(text, E' \n') <> '' THEN text ELSE before END, E'\n') AS p
+  FROM (SELECT *, CASE WHEN quality = 0 THEN text || '.' ELSE text END AS before FROM documents LEFT JOIN labels USING (doc_id) WHERE lang IN ('en', 'fr')), (VALUES (1), (2)) r(run)
+  WHERE position(E'\n' IN before) > 0 AND trim(before, E' \n') <> ''))"""
+
+
+# A page of up to 800 characters is one chunk; only longer ones are packed.
+_WORDS = r"array_to_string(string_split_regex(trim(text, E' \n\t'), '\s+'), ' ')"
+
+
+@query("i5_ingest_store", packed_sql(["run", "doc_id", "page_number"], "text", f"(SELECT * FROM {_RUN_PAGES} WHERE len({_WORDS}) > 800)", 800, 100) + f""",
+whole AS (SELECT run, doc_id, page_number, 0 AS piece, {_WORDS} AS text FROM {_RUN_PAGES} WHERE len({_WORDS}) BETWEEN 1 AND 800),
+every AS (SELECT run, doc_id, page_number, piece, text FROM pieces UNION ALL SELECT * FROM whole),
+kept AS (SELECT run, doc_id AS document_id, (row_number() OVER (PARTITION BY run, doc_id ORDER BY page_number, piece) - 1)::INT AS sequence, page_number::INT AS page_number, md5(text) AS text_md5 FROM every)
+SELECT * FROM kept UNION ALL SELECT 3, * EXCLUDE (run) FROM kept WHERE run = 2""")
+def ingest_store(spark, sf):
+    """What the store holds after a first run, after one in which some contents have changed, and after one in which none has."""
+    store, ledger = scratch(spark, "chunks"), scratch(spark, "ledger")
+    files = _files(spark, sf)
+    low = table(spark, sf, "labels").where("quality = 0").select(F.col("doc_id").alias("document_id"), F.lit(b".").alias("_mark"))
+    before = files.join(low, "document_id", "left").withColumn(
+        "content", F.concat("content", F.coalesce("_mark", F.lit(b"")))).drop("_mark")
+    found = None
+    for run, contents in ((1, before), (2, files), (3, files)):
+        plan.store(plan.ingest(contents, plan.read_ledger(spark, ledger), line_parser, lambda: HashProvider(16), 16), store, ledger)
+        held = plan.read_chunks(spark, store).select(
+            F.lit(run).alias("run"), "document_id", "sequence", "page_number", F.md5("text").alias("text_md5"))
+        found = held if found is None else found.unionByName(held)
+    return found
+
+
 # --- jobs ---------------------------------------------------------------------------------
 
 
