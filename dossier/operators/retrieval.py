@@ -4,18 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.functions.text import looks_cut_off
 from dossier.functions.vectors import cosine_distance
 from dossier.operators.access import Scopes
+from dossier.operators.ordered import number_rows
 from dossier.schemas import TOP_K, UNKNOWN_DOCUMENT
+from dossier.session import materialise, stored
 
 # Distances are compared at this many decimals, so equal vectors tie and the id decides.
 DECIMALS = 12
@@ -60,10 +63,12 @@ def search(chunks: DataFrame, query_vector: list[float], within: Within, k: int
 
 # --- many questions at once ---------------------------------------------------------------
 
-# What may travel to every task: questions, bytes of their vectors, and (question, case) pairs.
+# What may travel to every task at a time: questions, bytes of their vectors, and (question, case) pairs.
 MAX_QUESTIONS = 4096
 MAX_QUESTION_BYTES = 256 * 1024 * 1024
 MAX_QUESTION_CASES = 1_000_000
+# Tasks a core for one block of questions: each gives its k best once, however many splits it has read.
+_TASKS_PER_CORE = 4
 _TILE = 4_000_000  # distances held at a time
 
 _MATCH = T.StructType([
@@ -192,51 +197,41 @@ def _nearest_broadcast(chunks: DataFrame, questions: pd.DataFrame, own: pd.DataF
     needed = chunks.select(*[F.col(c) for c in _KEYS], "embedding")
     if not len(free) and len(of_case) <= 1000:
         needed = needed.where(F.col("case_id").isin(sorted(of_case)))  # reaches the scan
+    # First level of the merge: one task for several splits, so fewer partial results go to the ranking.
+    tasks = _TASKS_PER_CORE * chunks.sparkSession.sparkContext.defaultParallelism
+    if needed.rdd.getNumPartitions() > tasks:
+        needed = needed.coalesce(tasks)
     return needed.mapInArrow(rank, _MATCH)
 
 
-def _nearest_grid(chunks: DataFrame, questions: DataFrame, zone: Column | None, k: int,
-                  rows_per_cell: int = 8192, questions_per_cell: int = 2048) -> DataFrame:
-    """Questions and chunks of a zone meet in cells of bounded size, spread by hash.
+def _question_blocks(scoped: DataFrame, restricted: DataFrame, most: int,
+                     most_cases: int) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
+    """Questions (query_id, all_cases, embedding) and their (query_id, case_id) pairs in blocks of bounded size.
 
-    A zone is a case, or everything when there is no zone column. The more rows it has the more
-    cells it is cut into; a cell returns only its k best per question.
+    A question whose cases fill several blocks is in each of them with other cases; one of a user
+    without restriction is free in one block only.
     """
-    single = zone is None
-    zone = F.lit(0).cast("bigint") if single else zone
-    c = chunks.select(*_KEYS, "embedding", zone.alias("zone"))
-    q = questions.select("query_id", F.col("embedding").alias("question"), "zone")
-    n_chunks = c.groupBy("zone").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(rows_per_cell)).cast("int").alias("nc"))
-    n_questions = q.groupBy("zone").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(questions_per_cell)).cast("int").alias("nq"))
-    sizes = n_chunks.join(n_questions, "zone")
-    if single:
-        sizes = F.broadcast(sizes)  # one row
-    left = c.join(sizes, "zone").select(
-        "zone", *_KEYS, "embedding",
-        F.pmod(F.xxhash64("chunk_id"), "nc").cast("int").alias("cb"),
-        F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"))
-    right = q.join(sizes, "zone").select(
-        "zone", "query_id", "question",
-        F.pmod(F.xxhash64("query_id"), "nq").cast("int").alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.col("nc") - 1)).alias("cb"))
-
-    def rank(chunk_rows: pa.Table, question_rows: pa.Table) -> pa.Table:
-        empty = pa.schema([(f.name, pa.int32() if f.name == "sequence" else
-                            pa.float64() if f.name == "distance" else pa.int64())
-                           for f in _MATCH.fields])
-        if not chunk_rows.num_rows or not question_rows.num_rows:
-            return empty.empty_table()
-        ids = question_rows.column("query_id").to_numpy()
-        vectors = _matrix(question_rows.column("question").combine_chunks())
-        best = _Best(len(ids), k)
-        best.offer(_matrix(chunk_rows.column("embedding").combine_chunks()),
-                   _keys_matrix(chunk_rows), vectors, np.arange(len(ids)))
-        return pa.Table.from_batches([best.result(ids)])
-
-    cell = ["zone", "qb", "cb"]
-    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(rank, _MATCH)
+    few = scoped.select("query_id", "all_cases", "embedding").limit(most + 1).toPandas()
+    if few.empty:
+        return
+    most = max(1, min(most, MAX_QUESTION_BYTES // (8 * max(1, len(few["embedding"][0])))))
+    if len(few) <= most:
+        own = restricted.limit(most_cases + 1).toPandas()
+        if len(own) <= most_cases:
+            yield few, own
+            return
+    numbered = number_rows(scoped.select("query_id", "all_cases", "embedding"), [], ["query_id"], "_n")
+    asked = stored(numbered.withColumn("block", F.expr(f"_n div {most}").cast("int")).drop("_n"), "block")
+    pairs = number_rows(restricted.join(asked.select("query_id", "block"), "query_id"), ["block"], ["query_id", "case_id"], "_n")
+    pairs = stored(pairs.withColumn("part", F.expr(f"_n div {most_cases}").cast("int")).drop("_n"), "block", "part")
+    parts: dict[int, set[int]] = {r[0]: {0} for r in asked.select("block").distinct().collect()}
+    for block, part in pairs.select("block", "part").distinct().collect():
+        parts[block].add(part)
+    for block in sorted(parts):
+        questions = asked.where(F.col("block") == block).drop("block").toPandas()
+        for part in sorted(parts[block]):
+            own = pairs.where((F.col("block") == block) & (F.col("part") == part)).select("query_id", "case_id").toPandas()
+            yield questions.assign(all_cases=questions["all_cases"].to_numpy(bool) & (part == 0)), own
 
 
 def search_batch(questions: DataFrame, scopes: Scopes, chunks: DataFrame, k: int = TOP_K,
@@ -245,9 +240,9 @@ def search_batch(questions: DataFrame, scopes: Scopes, chunks: DataFrame, k: int
     """The k closest chunks of every question, each within the scope of its user.
 
     questions: query_id, user_id, embedding. Users without a scope row, or with an empty scope,
-    get nothing. Up to `max_questions` questions travel to the chunks; beyond that both sides
-    meet in cells. Both ways give the same rows. Where both sides name their model, it must be
-    the same one.
+    get nothing. Questions travel to the chunks in blocks of up to `max_questions`; each block is
+    one scan of the vectors, and no chunk is shuffled, however many questions there are. Where both
+    sides name their model, it must be the same one.
     """
     if "model" in questions.columns and "model" in chunks.columns:
         chunks = same_model(questions, chunks)
@@ -255,22 +250,11 @@ def search_batch(questions: DataFrame, scopes: Scopes, chunks: DataFrame, k: int
         scopes.users.select("user_id", "all_cases"), "user_id")
     restricted = scoped.where(~F.col("all_cases")).select("query_id", "user_id").join(
         scopes.edges, "user_id").select("query_id", "case_id")
-
-    few = scoped.select("query_id", "all_cases", "embedding").limit(max_questions + 1).toPandas()
-    if few.empty:
+    found = [_nearest_broadcast(chunks, few, own, k)
+             for few, own in _question_blocks(scoped, restricted, max(1, max_questions), max_question_cases)]
+    if not found:
         return _ranked(chunks.sparkSession.createDataFrame([], _MATCH), k)
-    if len(few) <= max_questions and len(few) * len(few["embedding"][0]) * 8 <= MAX_QUESTION_BYTES:
-        own = restricted.limit(max_question_cases + 1).toPandas()
-        if len(own) <= max_question_cases:
-            return _ranked(_nearest_broadcast(chunks, few, own, k), k)
-
-    by_case = restricted.join(scoped.select("query_id", "embedding"), "query_id").select(
-        "query_id", "embedding", F.col("case_id").alias("zone"))
-    free = scoped.where("all_cases").select(
-        "query_id", "embedding", F.lit(0).cast("bigint").alias("zone"))
-    found = _nearest_grid(chunks, by_case, F.col("case_id"), k).unionByName(
-        _nearest_grid(chunks, free, None, k))
-    return _ranked(found, k)
+    return _ranked(reduce(DataFrame.unionByName, found), k)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -298,10 +282,38 @@ def same_model(questions: DataFrame, chunks: DataFrame) -> DataFrame:
 # --- context ------------------------------------------------------------------------------
 
 
+# Rows of keys that may travel to every task of a scan.
+MAX_WANTED = 500_000
+
+
+def fetch(wanted: DataFrame, texts: DataFrame, keys: list[str], most: int = MAX_WANTED) -> DataFrame:
+    """Wanted rows with the rows of `texts` that have the same keys, document_id among them.
+
+    The wanted rows travel, in blocks of bounded size cut in order of document; texts do not. Each
+    block reads the range of documents it asks for, so where texts lie in that order (as in the
+    chunk store) their files are read once in all.
+    """
+    wanted = materialise(wanted)
+    n, low, high = wanted.agg(F.count(F.lit(1)), F.min("document_id"), F.max("document_id")).head()
+    if n <= most:
+        return _met(wanted, texts, keys, low, high)
+    numbered = number_rows(wanted, [], ["document_id", *[k for k in keys if k != "document_id"]], "_n")
+    blocks = stored(numbered.withColumn("_block", F.expr(f"_n div {most}").cast("int")).drop("_n"), "_block")
+    ranges = blocks.groupBy("_block").agg(F.min("document_id"), F.max("document_id")).collect()  # one row per block
+    return reduce(DataFrame.unionByName, [
+        _met(blocks.where(F.col("_block") == block).drop("_block"), texts, keys, low, high) for block, low, high in sorted(ranges)])
+
+
+def _met(wanted: DataFrame, texts: DataFrame, keys: list[str], low, high) -> DataFrame:
+    """`wanted` is bounded by the caller; the range of documents reaches the scan."""
+    near = texts if low is None else texts.where(F.col("document_id").between(low, high))
+    return near.join(F.broadcast(wanted), keys)
+
+
 def with_neighbours(matches: DataFrame, chunks: DataFrame) -> DataFrame:
     """Context rows of each match: itself, and its neighbours when its text looks cut off.
 
-    One equi-join fetches the match text and both candidate neighbours together. `matches` has
+    One bounded fetch finds the match text and both candidate neighbours together. `matches` has
     query_id, match_rank, case_id, document_id, sequence (and `pass` when there are several).
     """
     group = [c for c in ["query_id", "pass", "match_rank"] if c in matches.columns]
@@ -311,7 +323,7 @@ def with_neighbours(matches: DataFrame, chunks: DataFrame) -> DataFrame:
     ).withColumn("sequence", (F.col("sequence") + F.col("off")).cast("int"))
     texts = chunks.select("case_id", "document_id", "sequence", "page_number", "chunk_id", "text")
     # Placed by question once: the windows here, the passages and the prompts all go on from it.
-    found = wanted.join(texts, ["case_id", "document_id", "sequence"]).repartition("query_id")
+    found = fetch(wanted, texts, ["case_id", "document_id", "sequence"]).repartition("query_id")
     own = Window.partitionBy(*group)  # three rows at most
     cut = F.max(F.when(F.col("off") == 0, looks_cut_off(F.col("text")))).over(own)
     return found.withColumn("_cut", cut).where((F.col("off") == 0) | F.col("_cut")).select(

@@ -82,21 +82,32 @@ def brute(rows, asked, flags, edges, k):
     return out
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_questions": 0}, {"max_question_cases": 3}])
+@pytest.mark.parametrize("limits", [{}, {"max_questions": 7}, {"max_question_cases": 3}, {"max_questions": 13, "max_question_cases": 5}])
 def test_batch_search_equals_brute_force(frame, limits):
     chunk_rows, questions, scopes, *world = random_world(frame)
     found = retrieval.search_batch(questions, scopes, chunk_rows, 5, **limits)
     assert {(r["query_id"], r["match_rank"], r["chunk_id"]) for r in found.collect()} == brute(*world, 5)
 
 
-def test_cells_of_any_size_give_the_same(frame):
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [60, 59, 10])
+def test_one_question_more_than_a_block_holds(frame, most):
+    """No exchange below the ranking, and the same rows."""
     chunk_rows, questions, scopes, *world = random_world(frame, seed=6)
-    free = questions.withColumn("zone", F.lit(0).cast("bigint"))
-    found = retrieval._ranked(retrieval._nearest_grid(
-        chunk_rows, free, None, 4, rows_per_cell=37, questions_per_cell=11), 4)
-    everyone = {u: True for u in world[2]}
-    assert {(r["query_id"], r["match_rank"], r["chunk_id"]) for r in found.collect()} == brute(
-        world[0], world[1], everyone, set(), 4)
+    found = retrieval.search_batch(questions, scopes, chunk_rows, 4, max_questions=most)
+    below = plan(found).split("WindowGroupLimit")[-1]
+    assert below.count("MapInArrow") == -(-60 // most) and "Exchange" not in below
+    assert {(r["query_id"], r["match_rank"], r["chunk_id"]) for r in found.collect()} == brute(*world, 4)
+
+
+def test_many_splits_are_merged_before_the_ranking(spark, frame):
+    chunk_rows, questions, scopes, *world = random_world(frame, seed=7)
+    found = retrieval.search_batch(questions, scopes, chunk_rows.repartition(50), 3)
+    assert "Coalesce 32" in plan(found)
+    assert {(r["query_id"], r["match_rank"], r["chunk_id"]) for r in found.collect()} == brute(*world, 3)
 
 
 def test_small_tiles_give_the_same(frame, monkeypatch):
@@ -119,7 +130,7 @@ def test_no_scope_no_rows(frame, chunks):
                     frame([], "user_id bigint, case_id bigint"))
     asked = frame([(1, 1, vector("x")), (2, 99, vector("x"))], "query_id bigint, user_id bigint, embedding array<double>")
     assert retrieval.search_batch(asked, scopes, chunks).count() == 0
-    assert retrieval.search_batch(asked, scopes, chunks, max_questions=0).count() == 0
+    assert retrieval.search_batch(asked, scopes, chunks, max_questions=1).count() == 0
 
 
 MATCH = "query_id bigint, match_rank int, case_id bigint, document_id bigint, sequence int"
@@ -168,3 +179,29 @@ def test_a_very_long_scope_is_joined(chunks, monkeypatch):
     monkeypatch.setattr(retrieval, "MAX_LISTED_CASES", 1)
     asked = vector("The notice period is a month.")
     assert set(ids(retrieval.search(chunks, asked, retrieval.these_cases(10, 77), 5))) == {1, 2, 3}
+
+
+def test_texts_are_not_shuffled_and_only_their_range_is_read(spark, frame, tmp_path):
+    """With broadcasting by estimates off, as for tables that look large."""
+    path = str(tmp_path / "chunks")
+    rows = spark.range(3000).selectExpr("id AS chunk_id", "id % 3 AS case_id", "id div 3 AS document_id", "CAST(id % 3 AS int) AS sequence",
+                                        "1 AS page_number", "concat('Text ', id, CASE WHEN id % 2 = 0 THEN '.' ELSE '' END) AS text")
+    rows.repartitionByRange(10, "document_id").write.parquet(path)
+    matches = frame([(q, 1, q % 3, q * 7, q % 3) for q in range(100)], MATCH)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = retrieval.with_neighbours(matches, spark.read.parquet(path))
+        whole = sorted(map(tuple, found.collect()))
+        text = plan(found)
+        cut = text[:text.index("BroadcastHashJoin")]
+        assert "SortMergeJoin" not in text and cut.count("Exchange hashpartitioning(query_id") >= 1
+        assert "GreaterThanOrEqual(document_id,0)" in text and "LessThanOrEqual(document_id,693)" in text
+        wanted = matches.select("query_id", "case_id", "document_id", "sequence")
+        texts = spark.read.parquet(path)
+        keys = ["case_id", "document_id", "sequence"]
+        once, blocks = retrieval.fetch(wanted, texts, keys), retrieval.fetch(wanted, texts, keys, most=9)
+        assert plan(blocks).count("BroadcastHashJoin") == 12 and "SortMergeJoin" not in plan(blocks)
+        assert sorted(map(str, once.collect())) == sorted(map(str, blocks.select(once.columns).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert whole == sorted(map(tuple, retrieval.with_neighbours(matches, spark.read.parquet(path)).collect()))
