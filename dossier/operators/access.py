@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.operators.ordered import Fold, ordered_fold
-from dossier.operators.workflow import can_transition
+from dossier.operators.workflow import can_transition, rejection_message
 from dossier.schemas import (
     ASSIGNABLE_ROLES, NEXT_STATUSES, PERMISSIONS_FOR_TARGET, PERMISSIONS_OF_ROLE,
     RATE_LIMIT_ATTEMPTS, RATE_LIMIT_SECONDS, SESSION_HOURS,
@@ -144,6 +144,8 @@ _ACTIONS = {
     "edit": (("case:edit:any", "case:edit:assigned"), "case:edit:any"),
     "respond": (("case:edit:any", "case:edit:assigned"), "case:edit:any"),
     "documents": (("case:read:any", "case:read:assigned"), "case:read:any"),
+    "upload": (("case:edit:any", "case:edit:assigned"), "case:read:any"),
+    "review": (("case:review",), "case:review"),
 }
 
 
@@ -159,23 +161,38 @@ def _verdict(*rules: tuple[Column, int, str]) -> tuple[Column, Column]:
 
 def access_verdict(requests: DataFrame, users: DataFrame, cases: DataFrame,
                    assignments: DataFrame) -> DataFrame:
-    """Each (user, case, action) request with its status code and the rule behind it."""
+    """Each (user, case, action) request with its status code and the rule behind it.
+
+    The action `transition` moves the case to the request's `target_status`: the role must be
+    allowed that target, the user must be able to read the case, and the move must be a legal one.
+    A `review` moves it to under review.
+    """
+    role, action = F.col("role"), F.col("action")
     permitted, free = F.lit(False), F.lit(False)
-    for action, (door, unassigned) in _ACTIONS.items():
-        is_it = F.col("action") == action
-        permitted = permitted | (is_it & has_any_permission(F.col("role"), *door))
-        free = free | (is_it & has_any_permission(F.col("role"), unassigned))
+    for name, (door, unassigned) in _ACTIONS.items():
+        is_it = action == name
+        permitted = permitted | (is_it & has_any_permission(role, *door))
+        free = free | (is_it & has_any_permission(role, unassigned))
+    asked = F.col("target_status") if "target_status" in requests.columns else F.lit(None).cast("string")
+    moves = action == "transition"
+    permitted = permitted | (moves & role.isNotNull() & may_target(role, asked))
+    free = free | (moves & reads_any(role))
+    target = F.when(moves, asked).when(action == "review", F.lit("under_review"))
+    state = F.col("_state")
+    held = F.col("status") if "status" in cases.columns else F.lit(None).cast("string")
     facts = (
         is_assigned(requests, assignments)
         .join(users.select("user_id", "role"), "user_id", "left")
-        .join(cases.select("case_id", F.lit(True).alias("_exists")), "case_id", "left")
+        .join(cases.select("case_id", F.lit(True).alias("_exists"), held.alias("_state")), "case_id", "left")
     )
     status, reason = _verdict(
         (~permitted, 403, "Not permitted"),
         (F.col("_exists").isNull(), 404, "Case not found"),
         (~free & ~F.col("assigned"), 403, "You are not assigned to this case"),
+        (action.isin("transition", "review") & ~can_transition(state, target), 409, ""),
     )
-    return facts.withColumn("status", status).withColumn("reason", reason).drop("_exists")
+    told = F.when(status == 409, F.coalesce(rejection_message(state, target), F.lit("No target status"))).otherwise(reason)
+    return facts.withColumn("status", status).withColumn("reason", told).drop("_exists", "_state")
 
 
 def gate_order(requests: DataFrame, users: DataFrame, *required: str) -> DataFrame:
@@ -294,5 +311,6 @@ def admit_rate_limited(attempts: DataFrame, window_seconds: int = RATE_LIMIT_SEC
         step=lambda recent, values: admit(recent, values, window, limit),
         inputs=["_us"],
         outputs=[T.StructField("admitted", T.BooleanType())],
+        gap=("_us", window),  # nothing admitted that long ago counts any more
     )
     return ordered_fold(timed, ["client"], ["_us", tie], fold).drop("_us")

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from dossier.operators.ordered import Fold, number_rows, ordered_fold
+from dossier.operators.ordered import Machine, number_rows, replay
 from dossier.schemas import MAX_ATTEMPTS, STALE_MINUTES
 
 
@@ -60,6 +59,8 @@ def append_chunks(path: str, new: DataFrame) -> None:
     new.write.mode("append").parquet(path)
 
 
+JOB_EVENTS = ["enqueue", "claim", "success", "failure", "stale"]
+
 # --- the job ledger -----------------------------------------------------------------------
 
 
@@ -143,13 +144,28 @@ def advance(state: tuple, values: tuple, max_attempts: int) -> tuple[tuple, tupl
 
 def replay_jobs(events: DataFrame, order: list[str], key: str = "job_id",
                 max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """Last state of each job from its events (event, error) in order."""
-    fold = Fold(
-        start=(None, 0, None),
-        step=lambda state, values: advance(state, values, max_attempts),
-        inputs=["event", "error"],
-        outputs=[T.StructField("status", T.StringType()), T.StructField("attempts", T.IntegerType()),
-                 T.StructField("last_error", T.StringType())],
-    )
-    return ordered_fold(events, [key], order, fold, last_only=True).select(
-        key, "status", "attempts", "last_error")
+    """Last state of each job from its events (event, error) in order.
+
+    Status and attempts are a machine of few states. The last error is that of the last event
+    that set or cleared one, which depends on the status before it.
+    """
+    states = [(None, 0), *[(s, n) for s in ("pending", "running", "done", "failed") for n in range(max(1, max_attempts) + 1)]]
+    machine = Machine(states, (None, 0), JOB_EVENTS, lambda state, event: _bounded(
+        advance((*state, None), (event, None), max_attempts)[0][:2], states))
+    seen = replay(events, [key], order, machine, "event", "_before", "_after")
+    status = F.array(*[F.lit(s).cast("string") for s, _ in states])
+    attempts = F.array(*[F.lit(n) for _, n in states])
+    was, event = status[F.col("_before")], F.col("event")
+    failed = event.isin("failure", "stale") & (was == "running")
+    cleared = ((event == "enqueue") & (was.isNull() | was.isin("done", "failed"))) | ((event == "success") & (was == "running"))
+    told = F.when(F.coalesce(failed, F.lit(False)), F.coalesce(F.when(F.col("error") != "", F.col("error")), event))
+    at = F.struct(*order)
+    last = seen.groupBy(key).agg(
+        F.max_by("_after", at).alias("_state"),
+        F.max_by(told, F.when(failed | cleared, at)).alias("last_error"))
+    return last.select(key, status[F.col("_state")].alias("status"), attempts[F.col("_state")].alias("attempts"), "last_error")
+
+
+def _bounded(state: tuple, states: list) -> tuple:
+    """A state that no run of events leads to may count beyond the last one; it is never entered."""
+    return state if state in states else (state[0], states[-1][1])

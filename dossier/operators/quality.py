@@ -20,6 +20,12 @@ def foreign_key_violations(child: DataFrame, column: str, parent: DataFrame,
     return child.where(F.col(column).isNotNull()).join(keys, column, "left_anti")
 
 
+def chunk_case_violations(chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Chunks that name another case than their document does, with that case; null where there is no such document."""
+    owner = documents.select("document_id", F.col("case_id").alias("document_case_id"))
+    return chunks.join(owner, "document_id", "left").where(~F.col("case_id").eqNullSafe(F.col("document_case_id")))
+
+
 def domain_violations(df: DataFrame, column: str, values: list[str]) -> DataFrame:
     return df.where(~F.coalesce(F.col(column).isin(values), F.lit(False)))
 

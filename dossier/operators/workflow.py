@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dossier.operators.ordered import Fold, number_rows, ordered_fold
+from dossier.operators.ordered import Machine, number_rows, replay
 from dossier.schemas import CASE_STATUSES, NEXT_STATUSES, STATUS_LABELS
 from dossier.session import materialise
 
@@ -66,18 +66,13 @@ def move(state: str, values: tuple) -> tuple[str, tuple]:
 
 def replay_transitions(events: DataFrame, order: list[str], initial: str = "draft") -> DataFrame:
     """Requests per case in order; a refused one leaves the state as it is."""
-    fold = Fold(
-        start=initial,
-        step=move,
-        inputs=["target_status"],
-        outputs=[T.StructField("status", T.StringType()), T.StructField("accepted", T.BooleanType())],
-        possible=CASE_STATUSES,
-    )
-    replayed = ordered_fold(events, ["case_id"], order, fold)
-    message = F.when(
-        ~F.col("accepted"), rejection_message(F.col("status"), F.col("target_status"))
-    )
-    return replayed.withColumn("message", message)
+    machine = Machine(CASE_STATUSES, initial, CASE_STATUSES, lambda state, target: move(state, (target,))[0])
+    states = F.array(*[F.lit(s) for s in CASE_STATUSES])
+    replayed = replay(events, ["case_id"], order, machine, "target_status", "_before", "_after").withColumn(
+        "status", states[F.col("_before")]).drop("_before", "_after")
+    accepted = can_transition(F.col("status"), F.col("target_status"))
+    message = F.when(~accepted, rejection_message(F.col("status"), F.col("target_status")))
+    return replayed.withColumn("accepted", accepted).withColumn("message", message)
 
 
 # --- reviews ------------------------------------------------------------------------------
@@ -128,11 +123,27 @@ def open_reviews(requests: DataFrame, cases: DataFrame) -> OpenedReviews:
     )
 
 
+@dataclass(frozen=True)
+class Rights:
+    """Who may respond to reviews is found from these."""
+
+    users: DataFrame
+    cases: DataFrame
+    assignments: DataFrame
+
+
 def _feedback_verdict(requests: DataFrame, id_column: str, feedback: DataFrame,
-                      reviews: DataFrame) -> DataFrame:
+                      reviews: DataFrame, rights: Rights | None) -> DataFrame:
+    """With rights, requests have a user_id, and the right to respond to the case comes before the comment."""
     target = feedback.select(F.col("feedback_id").alias(id_column), "review_id")
     owner = reviews.select("review_id", F.col("case_id").alias("_owner"))
-    facts = requests.join(target, id_column, "left").join(owner, "review_id", "left")
+    asked = requests
+    if rights is not None:
+        from dossier.operators.access import access_verdict  # which uses the rules above
+
+        judged = access_verdict(requests.withColumn("action", F.lit("respond")), rights.users, rights.cases, rights.assignments)
+        asked = judged.select(*requests.columns, F.col("status").alias("_status"), F.col("reason").alias("_reason"))
+    facts = asked.join(target, id_column, "left").join(owner, "review_id", "left")
     status = (
         F.when(F.col("review_id").isNull(), F.lit(404))
         .when(~F.col("_owner").eqNullSafe(F.col("case_id")), F.lit(400))
@@ -143,25 +154,28 @@ def _feedback_verdict(requests: DataFrame, id_column: str, feedback: DataFrame,
         .when(status == 400, F.lit("Feedback does not belong to this case"))
         .otherwise(F.lit("ok"))
     )
+    if rights is not None:
+        refused = F.col("_status") != 200
+        status, reason = F.when(refused, F.col("_status")).otherwise(status), F.when(refused, F.col("_reason")).otherwise(reason)
     return facts.select(*requests.columns, "review_id", status.alias("verdict"),
                         reason.alias("reason"))
 
 
-def reply_verdict(replies: DataFrame, feedback: DataFrame, reviews: DataFrame) -> DataFrame:
+def reply_verdict(replies: DataFrame, feedback: DataFrame, reviews: DataFrame, rights: Rights | None = None) -> DataFrame:
     """Replies (case_id, parent_id, ...) with their verdict and the review they inherit."""
-    return _feedback_verdict(replies, "parent_id", feedback, reviews)
+    return _feedback_verdict(replies, "parent_id", feedback, reviews, rights)
 
 
-def resolve_verdict(requests: DataFrame, feedback: DataFrame, reviews: DataFrame) -> DataFrame:
-    checked = _feedback_verdict(requests, "feedback_id", feedback, reviews)
+def resolve_verdict(requests: DataFrame, feedback: DataFrame, reviews: DataFrame, rights: Rights | None = None) -> DataFrame:
+    checked = _feedback_verdict(requests, "feedback_id", feedback, reviews, rights)
     return checked.withColumn(
         "verdict", F.when(F.col("verdict") == 201, F.lit(200)).otherwise(F.col("verdict")))
 
 
-def resolve_feedback(requests: DataFrame, feedback: DataFrame, reviews: DataFrame) -> DataFrame:
+def resolve_feedback(requests: DataFrame, feedback: DataFrame, reviews: DataFrame, rights: Rights | None = None) -> DataFrame:
     """The feedback table after the accepted requests have marked their rows resolved."""
     done = (
-        resolve_verdict(requests, feedback, reviews).where(F.col("verdict") == 200)
+        resolve_verdict(requests, feedback, reviews, rights).where(F.col("verdict") == 200)
         .select("feedback_id").distinct().withColumn("_done", F.lit(True))
     )
     return feedback.join(done, "feedback_id", "left").withColumn(
@@ -177,28 +191,61 @@ def feedback_of_cases(feedback: DataFrame, reviews: DataFrame) -> DataFrame:
     return feedback.join(reviews.select("review_id", "case_id"), "review_id")
 
 
+def _climb(nodes: DataFrame, paths: bool) -> DataFrame:
+    """Every comment that hangs on a root, with its depth and root, and with `path` from the root down.
+
+    Pointers double: in each round a row takes over the pointer of the row it points to, so the
+    rounds grow with the logarithm of the deepest thread. Each round is written before the next. A
+    row whose pointer finds no row hangs on an orphan and goes. Rows on a cycle are known by a
+    path that meets them again, or without paths by still climbing when any thread would have ended.
+    """
+    rows = materialise(nodes.select(
+        "feedback_id", "review_id", F.col("parent_id").alias("jump"),
+        F.when(F.col("parent_id").isNull(), F.col("feedback_id")).alias("root_id"), F.lit(0).cast("bigint").alias("depth"),
+        *([F.array("feedback_id").alias("path")] if paths else [])))
+    limit, rounds = max(1, rows.count()).bit_length() + 1, 0
+    while rounds < limit and rows.where(F.col("jump").isNotNull()).head() is not None:
+        above = rows.select(
+            F.col("feedback_id").alias("jump"), "review_id", F.col("jump").alias("_jump"), F.col("root_id").alias("_root"),
+            F.col("depth").alias("_depth"), *([F.col("path").alias("_path")] if paths else []))
+        climbing = rows.where(F.col("jump").isNotNull()).join(above, ["review_id", "jump"])
+        if paths:
+            climbing = climbing.where(~F.array_contains("_path", F.col("feedback_id")))
+        step = F.lit(1 << rounds).cast("bigint")  # each pointer still on its way spans that many rows
+        climbing = climbing.select(
+            "feedback_id", "review_id", F.col("_jump").alias("jump"), F.col("_root").alias("root_id"),
+            (F.col("_depth") + step).alias("depth"), *([F.concat("_path", "path").alias("path")] if paths else []))
+        rows = materialise(rows.where(F.col("jump").isNull()).unionByName(climbing))
+        rounds += 1
+    return rows.where(F.col("jump").isNull()).drop("jump")
+
+
+def thread_depths(feedback: DataFrame) -> DataFrame:
+    """feedback_id, review_id, root_id and depth of every reachable comment, for threads of any depth."""
+    return _climb(feedback, paths=False)
+
+
 def thread_tree(feedback: DataFrame) -> DataFrame:
     """Depth, path from the root, and depth-first position of every reachable comment.
 
-    One join per level of the deepest thread; each level is written before the next one. What is
-    never reached hangs on an orphan or on a cycle.
+    What is never reached hangs on an orphan or on a cycle.
     """
-    nodes = materialise(feedback.select("feedback_id", "review_id", "parent_id"))
-    children = nodes.where(F.col("parent_id").isNotNull())
-    level = nodes.where(F.col("parent_id").isNull()).select(
-        "feedback_id", "review_id", F.lit(0).alias("depth"), F.array("feedback_id").alias("path"))
-    found = level
-    while not level.isEmpty():
-        above = level.select(F.col("feedback_id").alias("parent_id"), "review_id", "depth", "path")
-        level = materialise(
-            children.join(above, ["review_id", "parent_id"]).select(
-                "feedback_id", "review_id", (F.col("depth") + 1).alias("depth"),
-                F.concat("path", F.array("feedback_id")).alias("path"))
-        )
-        found = found.unionByName(level)
+    found = _climb(feedback, paths=True).select("feedback_id", "review_id", F.col("depth").cast("int").alias("depth"), "path")
     return number_rows(found, ["review_id"], ["path"], "position")
 
 
+def unreachable(feedback: DataFrame) -> DataFrame:
+    """Comments that hang on no root: `orphan` for those below a missing parent, `cycle` for those on or below a cycle."""
+    key = ["feedback_id", "review_id"]
+    nodes = materialise(feedback)
+    lost = nodes.join(thread_depths(nodes).select(*key), key, "left_anti")
+    orphans = orphan_check(nodes).select(*key, F.lit(True).alias("_orphan"))
+    # With orphans as roots, only what leads to a cycle stays out of reach.
+    as_roots = lost.join(orphans, key, "left").withColumn("parent_id", F.when(F.col("_orphan").isNull(), F.col("parent_id")))
+    below = thread_depths(as_roots).select(*key, F.lit("orphan").alias("reason"))
+    return lost.join(below, key, "left").withColumn("reason", F.coalesce("reason", F.lit("cycle")))
+
+
 def orphan_check(feedback: DataFrame) -> DataFrame:
     """Replies whose parent does not exist in the same review."""
     parents = feedback.select(F.col("feedback_id").alias("parent_id"), "review_id")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dossier.operators import access, workflow
-from dossier.schemas import CASE_STATUSES, NEXT_STATUSES, ROLES
+from dossier.schemas import CASE_STATUSES, NEXT_STATUSES, PERMISSIONS_FOR_TARGET, PERMISSIONS_OF_ROLE, ROLES
 from dossier.sources.files import lookup
 
 USERS = [(1, "admin", False), (2, "partner", False), (3, "attorney", False), (4, "paralegal", True), (5, "attorney", False)]
@@ -161,6 +161,54 @@ def test_resolve(frame, threads):
     assert [r["feedback_id"] for r in done.where("resolved").collect()] == [2] and done.count() == len(FEEDBACK)
 
 
+def test_rights_come_before_the_comment(frame, world, threads):
+    """Absent case, user without assignment, user who may edit any case, unknown user."""
+    rights = workflow.Rights(world[0], world[1], world[2])
+    allowed = {(r["user_id"], r["case_id"]): (r["status"], r["reason"]) for r in access.access_verdict(
+        frame([(u, c, "respond") for u in range(1, 6) for c in (10, 11, 99)], "user_id bigint, case_id bigint, action string"), *world[:3]).collect()}
+    asked = [(u, c, p) for u, c in allowed for p in (1, 5, 99)]
+    own = {1: 10, 5: 11}
+    got = {(r["user_id"], r["case_id"], r["parent_id"]): (r["verdict"], r["reason"]) for r in workflow.reply_verdict(
+        frame(asked, "user_id bigint, case_id bigint, parent_id bigint"), *threads, rights).collect()}
+    for (u, c, p), verdict in got.items():
+        if allowed[u, c][0] != 200:
+            assert verdict == allowed[u, c]
+        elif p == 99:
+            assert verdict == (404, "Feedback not found")
+        else:
+            assert verdict[0] == (201 if own[p] == c else 400)
+    assert {v[0] for v in got.values()} >= {201, 400, 403, 404}
+    done = workflow.resolve_feedback(frame([(u, 10, 2) for u in range(1, 6) if allowed[u, 10][0] != 200], "user_id bigint, case_id bigint, feedback_id bigint"), *threads, rights)
+    assert done.where("resolved").count() == 0
+
+
+def test_upload_review_and_transition(frame, world):
+    """Every action of every user on a case, with the target of the move."""
+    rows = [(u, c, a, t) for u in range(1, 7) for c in (10, 11, 99) for a, t in
+            [("upload", None), ("review", None), ("transition", "in_progress"), ("transition", "under_review"), ("transition", "nowhere"), ("transition", None), ("delete", None)]]
+    got = {(r["user_id"], r["case_id"], r["action"], r["target_status"]): (r["status"], r["reason"]) for r in access.access_verdict(
+        frame(rows, "user_id bigint, case_id bigint, action string, target_status string"), *world[:3]).collect()}
+    roles = {r["user_id"]: r["role"] for r in world[0].collect()}
+    state = {r["case_id"]: r["status"] for r in world[1].collect()}
+    assigned = {(r["user_id"], r["case_id"]) for r in world[2].collect()}
+    for (u, c, action, target), (status, reason) in got.items():
+        held = set(PERMISSIONS_OF_ROLE.get(roles.get(u), []))
+        door = {"upload": held & {"case:edit:any", "case:edit:assigned"}, "review": held & {"case:review"}, "delete": set(),
+                "transition": held & set(PERMISSIONS_FOR_TARGET.get(target, held)) if target or held else set()}[action]
+        goal = "under_review" if action == "review" else target
+        if not door:
+            assert (status, reason) == (403, "Not permitted"), (u, c, action, target)
+        elif c not in state:
+            assert (status, reason) == (404, "Case not found")
+        elif action != "review" and "case:read:any" not in held and (u, c) not in assigned:
+            assert (status, reason) == (403, "You are not assigned to this case")
+        elif action != "upload" and goal not in NEXT_STATUSES[state[c]]:
+            assert status == 409 and (f"to '{goal}'" in reason or goal is None)
+        else:
+            assert (status, reason) == (200, "ok")
+    assert {s for s, _ in got.values()} == {200, 403, 404, 409}
+
+
 def test_thread_order(threads):
     got = workflow.thread_tree(threads[0]).orderBy("review_id", "position").collect()
     assert [(r["review_id"], r["feedback_id"], r["depth"], r["position"]) for r in got] == [
@@ -172,6 +220,27 @@ def test_deep_thread(frame):
     assert [r["depth"] for r in workflow.thread_tree(rows).orderBy("position").collect()] == list(range(12))
 
 
+def test_ten_thousand_levels_in_few_rounds(spark, monkeypatch):
+    rows = spark.range(10_000).selectExpr("id AS feedback_id", "1L AS review_id", "CASE WHEN id > 0 THEN id - 1 END AS parent_id")
+    rounds, write = [], workflow.materialise
+    monkeypatch.setattr(workflow, "materialise", lambda df: rounds.append(1) or write(df))
+    got = workflow.thread_depths(rows)
+    assert len(rounds) <= 1 + 15
+    assert got.where("depth = feedback_id AND root_id = 0").count() == 10_000
+
+
+def test_cycles_and_orphans_are_never_reached(frame):
+    parents = {1: None, 2: 1, 3: 2, 10: 11, 11: 12, 12: 10, 13: 12, 14: 13, 20: 20, 21: 20, 30: 99, 31: 30, 32: 31}
+    rows = frame([(i, 1, p) for i, p in parents.items()] + [(30, 2, None), (99, 2, 30)], "feedback_id bigint, review_id bigint, parent_id bigint")
+    assert {(r["review_id"], r["feedback_id"], r["depth"]) for r in workflow.thread_tree(rows).collect()} == {
+        (1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 30, 0), (2, 99, 1)}
+    assert {(r["review_id"], r["feedback_id"], r["root_id"]) for r in workflow.thread_depths(rows).collect()} == {
+        (1, 1, 1), (1, 2, 1), (1, 3, 1), (2, 30, 30), (2, 99, 30)}
+    assert {(r["feedback_id"], r["reason"]) for r in workflow.unreachable(rows).collect()} == {
+        *[(i, "cycle") for i in (10, 11, 12, 13, 14, 20, 21)], (30, "orphan"), (31, "orphan"), (32, "orphan")}
+    assert workflow.unreachable(rows.limit(0)).count() == 0
+
+
 def test_orphans(threads):
     assert {r["feedback_id"] for r in workflow.orphan_check(threads[0]).collect()} == {6, 7}
 

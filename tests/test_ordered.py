@@ -3,11 +3,12 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.operators import access, ingestion, workflow
-from dossier.operators.ordered import number_rows, range_blocks, BLOCK
+from dossier.operators import access, ingestion, ordered, workflow
+from dossier.operators.ordered import number_rows, range_blocks, running_totals, BLOCK
 from dossier.schemas import CASE_STATUSES, NEXT_STATUSES
 
 START = datetime(2024, 1, 1)
@@ -80,6 +81,77 @@ def test_rate_limit_without_quiet_gaps(frame, spacing, limit):
         assert [got[i] for _, i in own] == want
 
 
+def jobs_of(spark, group, work):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_a_key_over_many_blocks_costs_no_more_jobs(spark, frame):
+    """A client that never pauses for a whole window, over 6 and over 50 blocks."""
+    rows = [("hot", i, START + timedelta(seconds=i)) for i in range(5000)]
+    df = frame(rows, "client string, attempt_id int, ts timestamp_ntz")
+    want = plain_limit([r[2] for r in rows], timedelta(seconds=60), 7)
+    found = []
+    for blocks in (6, 50):
+        spark.conf.set("spark.sql.shuffle.partitions", str(blocks))
+
+        def work():
+            got = access.admit_rate_limited(df, 60, 7).collect()
+            assert [r["admitted"] for r in sorted(got, key=lambda r: r["attempt_id"])] == want
+
+        found.append(jobs_of(spark, f"limit-{blocks}", work))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1]
+
+
+def test_gaps_cut_a_key_into_segments(frame):
+    """Bursts with quiet time between them, some of which end at the edge of a block."""
+    rng = random.Random(8)
+    clock, rows = 0, []
+    for burst in range(60):
+        clock += 60 if burst % 3 else 61
+        for _ in range(rng.randrange(1, 60)):
+            rows.append(("hot", len(rows), START + timedelta(seconds=clock)))
+            clock += rng.randrange(0, 20)
+    got = access.admit_rate_limited(frame(rows, "client string, attempt_id int, ts timestamp_ntz"), 60, 3).collect()
+    assert [r["admitted"] for r in sorted(got, key=lambda r: r["attempt_id"])] == plain_limit([r[2] for r in rows], timedelta(seconds=60), 3)
+
+
+def test_running_totals(frame):
+    rng = random.Random(9)
+    rows = [(k, i, rng.choice([None, 0, 1, 5, -2])) for i, k in enumerate(skewed(2000, rng))]
+    got = running_totals(frame(rows, "k string, i int, v int"), ["k"], ["i"], "v", "t", start=3).collect()
+    sums, want = {}, {}
+    for k, i, v in rows:
+        want[i] = sums.setdefault(k, 3)
+        sums[k] += v or 0
+    assert {r["i"]: r["t"] for r in got} == want
+
+
+def test_maps_of_a_machine():
+    """Prefix products against steps one by one, for every length up to 40."""
+    rng = np.random.default_rng(1)
+    for n in range(1, 41):
+        maps = rng.integers(0, 5, (n, 5))
+        state, want = 2, []
+        for m in maps:
+            state = m[state]
+            want.append(state)
+        assert ordered._states_after(maps.astype(np.intp), 2).tolist() == want
+        assert ordered._product(maps.astype(np.intp))[2] == want[-1]
+
+
+def test_odd_symbols_leave_the_state(frame):
+    rows = [(1, i, s) for i, s in enumerate([None, "nonsense", "in_progress", None, "draft", "submitted_for_review"])]
+    got = workflow.replay_transitions(frame(rows, "case_id int, request_id int, target_status string"), ["request_id"]).orderBy("request_id").collect()
+    assert [(r["status"], r["accepted"]) for r in got] == [
+        ("draft", False), ("draft", False), ("draft", True), ("in_progress", False), ("in_progress", False), ("in_progress", True)]
+
+
 def test_rate_limit_rules(frame):
     at = lambda *s: [START + timedelta(seconds=x) for x in s]
     rows = [("a", i, t) for i, t in enumerate(at(0, 1, 2, 3, 4, 5, 59.9, 60, 60.5, 61))]

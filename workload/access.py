@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from dossier.operators import access
-from dossier.schemas import PERMISSIONS_OF_ROLE
+from dossier.schemas import NEXT_STATUSES, PERMISSIONS_FOR_TARGET, PERMISSIONS_OF_ROLE
 from workload.base import (
     ACCESS_REQUESTS, ASSIGNMENTS, CASE_DOCUMENTS, CASES, STATUS_OF_EVENT, USERS, access_requests,
     assignments, case_documents, cases, mapped, query, sql_mapped, table, users,
@@ -85,6 +85,44 @@ def access_verdict(spark, sf):
         F.sum("case_id").alias("sum_case"))
 
 
+# Every action on the customer's own case or on another one; a transition asks for the status of the next order's priority.
+_MOVES_SQL = "moves AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{s}', '{t}')" for s, targets in NEXT_STATUSES.items() for t in targets) + ") AS t(status, target_status))"
+_NEEDS_SQL = "CASE target_status " + " ".join(
+    f"WHEN '{t}' THEN coalesce(role IN ({', '.join(repr(r) for r in access.roles_holding(*p))}), false)" for t, p in PERMISSIONS_FOR_TARGET.items()) + " ELSE true END"
+
+
+@query("g6_actions", f"""
+WITH {USERS}, {CASES}, {ASSIGNMENTS}, {_MOVES_SQL},
+requests AS (
+  SELECT l_orderkey AS request_case, CASE WHEN l_linenumber = 4 THEN l_orderkey * 9 ELSE l_orderkey END AS case_id, CASE WHEN l_linenumber % 2 = 1 THEN o_custkey ELSE l_partkey END AS user_id,
+    ['upload', 'review', 'transition', 'transition', 'transition', 'upload', 'review'][l_linenumber] AS action,
+    ['in_progress', 'submitted_for_review', 'under_review', 'revisions_requested', 'closed', 'draft'][(l_suppkey % 6 + 1)::INT] AS target_status
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+facts AS (SELECT r.*, u.role, c.status AS state, c.case_id IS NOT NULL AS there, a.user_id IS NOT NULL AS assigned, CASE action WHEN 'review' THEN 'under_review' ELSE r.target_status END AS target
+  FROM requests r LEFT JOIN users u USING (user_id) LEFT JOIN cases c ON c.case_id = r.case_id LEFT JOIN (SELECT DISTINCT * FROM assignments) a ON a.user_id = r.user_id AND a.case_id = r.case_id),
+judged AS (SELECT *, CASE
+  WHEN role IS NULL OR (action = 'review' AND role NOT IN ({", ".join(repr(r) for r in access.roles_holding("case:review"))}))
+    OR (action = 'upload' AND role NOT IN ({", ".join(repr(r) for r in access.roles_holding("case:edit:any", "case:edit:assigned"))})) OR (action = 'transition' AND NOT {_NEEDS_SQL}) THEN 403
+  WHEN NOT there THEN 404 WHEN role NOT IN ('admin', 'partner') AND NOT assigned AND action <> 'review' THEN 403
+  WHEN action <> 'upload' AND NOT EXISTS (SELECT 1 FROM moves m WHERE m.status = state AND m.target_status = target) THEN 409 ELSE 200 END AS verdict FROM facts)
+SELECT action, coalesce(role, 'none') AS role, coalesce(state, '') AS state, target_status, verdict::INT AS status, count(*) AS n, sum(user_id)::BIGINT AS sum_user, sum(case_id)::BIGINT AS sum_case FROM judged GROUP BY ALL""")
+def actions(spark, sf):
+    line = F.col("l_linenumber")
+    listed = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), at.cast("int"))
+    owner = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    requests = table(spark, sf, "lineitem").join(owner, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.when(line == 4, F.col("l_orderkey") * 9).otherwise(F.col("l_orderkey")).alias("case_id"),
+        F.when(line % 2 == 1, F.col("o_custkey")).otherwise(F.col("l_partkey")).alias("user_id"),
+        listed(["upload", "review", "transition", "transition", "transition", "upload", "review"], line).alias("action"),
+        listed(["in_progress", "submitted_for_review", "under_review", "revisions_requested", "closed", "draft"], F.col("l_suppkey") % 6 + 1).alias("target_status"))
+    judged = access.access_verdict(requests, users(spark, sf), cases(spark, sf), assignments(spark, sf))
+    state = cases(spark, sf).select("case_id", F.col("status").alias("state"))
+    return judged.join(state, "case_id", "left").groupBy(
+        "action", F.coalesce("role", F.lit("none")).alias("role"), F.coalesce("state", F.lit("")).alias("state"), "target_status", "status").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("user_id").alias("sum_user"), F.sum("case_id").alias("sum_case"))
+
+
 @query("g7_gate_order", f"""
 WITH {USERS}, {ACCESS_REQUESTS},
 judged AS (SELECT r.*, CASE WHEN role IS NULL THEN 'Not authenticated' WHEN must_change_password THEN 'Password change required'

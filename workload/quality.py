@@ -28,11 +28,18 @@ def foreign_keys(spark, sf):
 
 
 @query("k2_chunk_case_mismatch", f"""
-WITH {CASE_DOCUMENTS} SELECT case_id, document_id, count(*) AS n FROM case_documents WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = case_id AND o_orderstatus <> 'P') GROUP BY ALL""")
+WITH {CASE_DOCUMENTS}, kept AS (SELECT * FROM case_documents WHERE document_id % 10 <> 6),
+pieces AS (SELECT l_orderkey * 10 + l_linenumber AS document_id, CASE WHEN l_linenumber = 5 THEN l_orderkey + 1 ELSE l_orderkey END AS case_id, l_partkey AS chunk_id FROM lineitem)
+SELECT p.document_id, p.case_id, coalesce(k.case_id, -1) AS document_case_id, count(*) AS n FROM pieces p LEFT JOIN kept k USING (document_id)
+WHERE p.case_id IS DISTINCT FROM k.case_id GROUP BY ALL""")
 def mismatch(spark, sf):
-    settled = table(spark, sf, "orders").where(F.col("o_orderstatus") != "P")
-    found = quality.foreign_key_violations(case_documents(spark, sf), "case_id", settled, "o_orderkey")
-    return found.groupBy("case_id", "document_id").agg(F.count(F.lit(1)).alias("n"))
+    """Line items as chunks: every fifth names a neighbouring case, and every sixth document is not there."""
+    order, line = F.col("l_orderkey"), F.col("l_linenumber")
+    pieces = table(spark, sf, "lineitem").select(
+        (order * 10 + line).alias("document_id"), F.when(line == 5, order + 1).otherwise(order).alias("case_id"), F.col("l_partkey").alias("chunk_id"))
+    kept = case_documents(spark, sf).where(F.col("document_id") % 10 != 6)
+    return quality.chunk_case_violations(pieces, kept).groupBy(
+        "document_id", "case_id", F.coalesce("document_case_id", F.lit(-1)).alias("document_case_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("k3_domain_violations", """

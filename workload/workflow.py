@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from dossier.operators import workflow
+from dossier.operators.access import roles_holding
 from dossier.schemas import NEXT_STATUSES, STATUS_LABELS
 from workload.base import (
-    CASES, STATUS_OF_EVENT, cases, mapped, query, sql_mapped, table,
+    ASSIGNMENTS, CASES, STATUS_OF_EVENT, USERS, assignments, cases, mapped, query, sql_mapped, table, users,
 )
 
 _MOVES = "moves AS (SELECT * FROM (VALUES " + ", ".join(
@@ -138,6 +139,42 @@ def resolve_feedback(spark, sf):
         "feedback_id", "resolved")
 
 
+# Who replies is the customer of the order with the case's number, or the user with a number near it.
+_RIGHTS = f"""{USERS}, {CASES}, {ASSIGNMENTS}, {_FEEDBACK}, {_REVIEWS},
+said AS (SELECT r.*, CASE WHEN r.reply_id % 2 = 0 THEN o_custkey ELSE r.case_id + r.reply_id % 7 END AS user_id FROM ({_REPLY_SQL}) r LEFT JOIN orders ON o_orderkey = r.case_id),
+judged AS (SELECT s.*, f.review_id, CASE WHEN u.role IS NULL OR u.role NOT IN ({", ".join(repr(r) for r in roles_holding("case:edit:any", "case:edit:assigned"))}) THEN 403
+    WHEN c.case_id IS NULL THEN 404
+    WHEN u.role NOT IN ({", ".join(repr(r) for r in roles_holding("case:edit:any"))}) AND a.user_id IS NULL THEN 403
+    WHEN f.review_id IS NULL THEN 404 WHEN v.case_id IS DISTINCT FROM s.case_id THEN 400 ELSE 201 END AS verdict
+  FROM said s LEFT JOIN users u ON u.user_id = s.user_id LEFT JOIN cases c ON c.case_id = s.case_id
+  LEFT JOIN (SELECT DISTINCT * FROM assignments) a ON a.user_id = s.user_id AND a.case_id = s.case_id
+  LEFT JOIN feedback f ON f.feedback_id = s.parent_id LEFT JOIN reviews v ON v.review_id = f.review_id)"""
+
+
+def _replies_of_users(spark, sf, target):
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"), "o_custkey")
+    user = F.when(F.col("reply_id") % 2 == 0, F.col("o_custkey")).otherwise(F.col("case_id") + F.col("reply_id") % 7)
+    return _replies(spark, sf, target).join(orders, "case_id", "left").select("reply_id", "case_id", target, user.alias("user_id"))
+
+
+def rights(spark, sf):
+    return workflow.Rights(users(spark, sf), cases(spark, sf), assignments(spark, sf))
+
+
+@query("h4_reply_rights", f"""
+WITH {_RIGHTS} SELECT reply_id, verdict::INT AS verdict, coalesce(review_id, -1) AS review_id FROM judged""")
+def reply_rights(spark, sf):
+    judged = workflow.reply_verdict(_replies_of_users(spark, sf, "parent_id"), feedback(spark, sf), reviews(spark, sf), rights(spark, sf))
+    return judged.select("reply_id", "verdict", F.coalesce("review_id", F.lit(-1)).alias("review_id"))
+
+
+@query("h5_resolve_rights", f"""
+WITH {_RIGHTS} SELECT f.feedback_id, f.resolved OR EXISTS (SELECT 1 FROM judged j WHERE j.parent_id = f.feedback_id AND verdict = 201) AS resolved FROM feedback f""")
+def resolve_rights(spark, sf):
+    return workflow.resolve_feedback(
+        _replies_of_users(spark, sf, "feedback_id"), feedback(spark, sf), reviews(spark, sf), rights(spark, sf)).select("feedback_id", "resolved")
+
+
 @query("h6_reviews_of_cases", f"""
 WITH {_REVIEWS}, {CASES} SELECT review_id, case_id FROM reviews WHERE case_id IN (SELECT case_id FROM cases WHERE status = 'draft')""")
 def reviews_of_cases(spark, sf):
@@ -175,6 +212,30 @@ def orphan_check(spark, sf):
     return workflow.orphan_check(kept).select("feedback_id", "review_id", "parent_id")
 
 
+_TURNED = f"""{_FEEDBACK}, turned AS (
+  SELECT feedback_id, review_id, CASE WHEN review_id % 5 = 0 AND feedback_id % 1000 = 1 THEN feedback_id + 2
+    WHEN review_id % 7 = 0 AND feedback_id % 1000 = 2 THEN -1 ELSE parent_id END AS parent_id FROM feedback)"""
+
+
+@query("h9_unreachable", f"""
+WITH RECURSIVE {_TURNED},
+reached AS (
+  SELECT feedback_id, review_id FROM turned WHERE parent_id IS NULL
+  UNION ALL SELECT t.feedback_id, t.review_id FROM turned t JOIN reached r ON t.parent_id = r.feedback_id AND t.review_id = r.review_id),
+below AS (
+  SELECT feedback_id, review_id FROM turned t WHERE parent_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM turned p WHERE p.feedback_id = t.parent_id AND p.review_id = t.review_id)
+  UNION ALL SELECT t.feedback_id, t.review_id FROM turned t JOIN below b ON t.parent_id = b.feedback_id AND t.review_id = b.review_id)
+SELECT feedback_id, review_id, CASE WHEN feedback_id IN (SELECT feedback_id FROM below) THEN 'orphan' ELSE 'cycle' END AS reason
+FROM turned WHERE feedback_id NOT IN (SELECT feedback_id FROM reached)""")
+def unreachable(spark, sf):
+    """In every fifth thread the second comment answers the fourth, its own child, if there is one; in every seventh the third answers nothing."""
+    turn, key = F.col("feedback_id") % 1000, F.col("feedback_id")
+    turned = feedback(spark, sf).withColumn(
+        "parent_id", F.when((F.col("review_id") % 5 == 0) & (turn == 1), key + 2)
+        .when((F.col("review_id") % 7 == 0) & (turn == 2), F.lit(-1)).otherwise(F.col("parent_id")))
+    return workflow.unreachable(turned).select("feedback_id", "review_id", "reason")
+
+
 @query("h10_patch_cases", f"""
 WITH {CASES}, patches AS (
   SELECT c_custkey AS case_id, CASE WHEN c_acctbal > 0 THEN c_name END AS title, CASE WHEN c_nationkey > 12 THEN c_mktsegment END AS description FROM customer)
