@@ -1,7 +1,8 @@
 """Streams over attempts, job events, status requests and arriving files.
 
-Rows later than the watermark are dropped; within a micro-batch the rows of a key are taken in
-event order. The batch operators give the expected result.
+Rows later than the watermark are dropped (`in_time` is the batch rule). Attempts and requests wait
+until the watermark has passed them and are taken in event order; job events are taken in event
+order within a micro-batch. The batch operators give the expected result.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql import types as T
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 from dossier.operators.access import admit
 from dossier.operators.ingestion import advance, stale_error
 from dossier.operators.workflow import move
-from dossier.plans.ingest import ingest, read_ledger, store
+from dossier.plans.ingest import ingest, read_ledger, register_files, store
 from dossier.schemas import (
     MAX_ATTEMPTS, PARSEABLE_EXTENSIONS, RATE_LIMIT_ATTEMPTS, RATE_LIMIT_SECONDS, STALE_MINUTES,
 )
@@ -27,77 +28,162 @@ def _in_order(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable")
 
 
-class _RateLimit(StatefulProcessor):
-    def __init__(self, window: int, limit: int) -> None:
-        self.window, self.limit = window, limit
+class _InOrder(StatefulProcessor):
+    """Rows of a key wait until the watermark has passed them and are then taken in event order.
+
+    A row comes in only while its time is beyond the watermark, so nothing can come before a row
+    that has been taken. `take(rows)` gives the output of the rows that are due, `(us, id, value)`
+    in order; `rest_until()` the time in microseconds up to which the other state is needed, if
+    there is an end to it, and `forget()` lets it go.
+    """
+
+    columns: list[str] = []
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # Times older than the window mean nothing any more; the entry goes with them.
-        self.recent = handle.getListState("recent", T.StructType([
-            T.StructField("us", T.LongType())]), ttlDurationMs=None)
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", T.StructType([
+            T.StructField("us", T.LongType()), T.StructField("id", T.LongType()), T.StructField("value", T.StringType())]))
+        self.open_state(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            self.waiting.appendList([
+                (int(us), int(i), value if isinstance(value, str) else None)
+                for us, i, value in zip(frame["us"], frame["id"], frame["value"])])
+        self._wake(min((r[0] for r in self.waiting.get()), default=None))
+        yield pd.DataFrame(columns=self.columns)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2])
+        due = [r for r in rows if r[0] <= passed]
+        later = rows[len(due):]
+        out = self.take(key, due) if due else pd.DataFrame(columns=self.columns)
+        if due and later:
+            self.waiting.put(later)
+        elif due:
+            self.waiting.clear()
+        until = self.rest_until()
+        if until is not None and until <= passed:
+            self.forget()
+            until = None
+        self._wake(later[0][0] if later else until)
+        yield out
+
+    def _wake(self, us: int | None) -> None:
+        """One timer: for the first row that waits, or for the end of the state."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        if us is not None:
+            self.handle.registerTimer(-(-us // 1000))
+
+    def rest_until(self) -> int | None:
+        return None
+
+    def forget(self) -> None:
+        pass
+
+    def close(self) -> None:
+        pass
+
+
+class _RateLimit(_InOrder):
+    columns = ["client", "attempt_id", "us", "admitted"]
+
+    def __init__(self, window: int, limit: int) -> None:
+        self.window, self.limit = window, limit
+
+    def open_state(self, handle: StatefulProcessorHandle) -> None:
+        self.recent = handle.getListState("recent", T.StructType([T.StructField("us", T.LongType())]))
+
+    def take(self, key, rows: list[tuple]) -> pd.DataFrame:
         recent = tuple(r[0] for r in self.recent.get())
-        frame = _in_order(rows, ["us", "attempt_id"])
         admitted = []
-        for us in frame["us"]:
-            recent, (ok,) = admit(recent, (int(us),), self.window, self.limit)
+        for us, _, _ in rows:
+            recent, (ok,) = admit(recent, (us,), self.window, self.limit)
             admitted.append(ok)
-        if recent:
-            self.recent.put([(t,) for t in recent])
-        else:
-            self.recent.clear()
-        yield pd.DataFrame({"client": key[0], "attempt_id": frame["attempt_id"],
-                            "us": frame["us"], "admitted": admitted})
+        self.recent.put([(t,) for t in recent])  # the last one that was taken is among them, or others as young
+        return pd.DataFrame({"client": key[0], "attempt_id": [r[1] for r in rows], "us": [r[0] for r in rows], "admitted": admitted})
 
-    def close(self) -> None:
-        pass
+    def rest_until(self) -> int | None:
+        newest = max((r[0] for r in self.recent.get()), default=None)
+        return None if newest is None else newest + self.window
+
+    def forget(self) -> None:
+        self.recent.clear()
+
+
+def _waiting_rows(rows: DataFrame, key: str, row_id: str, value: Column, delay: str) -> DataFrame:
+    """The watermark is one of whole milliseconds, to which times are rounded up: it then passes the latest row too."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    timed = rows.select(key, F.col(row_id).alias("id"), us.alias("us"), value.alias("value"), F.timestamp_millis(_ceil_ms(us)).alias("time"))
+    return timed.withWatermark("time", delay)
+
+
+def _ceil_ms(us: Column) -> Column:
+    return F.ceil(us / 1000).cast("bigint")
 
 
 def rate_limit_stream(attempts: DataFrame, window_seconds: int = RATE_LIMIT_SECONDS,
-                      limit: int = RATE_LIMIT_ATTEMPTS) -> DataFrame:
-    """attempts: client, attempt_id bigint, ts. Each attempt with `admitted`."""
+                      limit: int = RATE_LIMIT_ATTEMPTS, delay: str = "0 seconds") -> DataFrame:
+    """attempts: client, attempt_id bigint, ts. Each attempt with `admitted`, once the watermark has passed it.
+
+    A client's state goes when the watermark is a window beyond its last admitted attempt.
+    """
     kind = dict(attempts.dtypes)["client"]
-    timed = attempts.select(
-        "client", "attempt_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return timed.groupBy("client").transformWithStateInPandas(
+    rows = _waiting_rows(attempts, "client", "attempt_id", F.lit(None).cast("string"), delay)
+    return rows.groupBy("client").transformWithStateInPandas(
         _RateLimit(window_seconds * 1_000_000, limit),
-        f"client {kind}, attempt_id bigint, us bigint, admitted boolean", "Append", "None")
+        f"client {kind}, attempt_id bigint, us bigint, admitted boolean", "Append", "EventTime")
+
 
+class _Transitions(_InOrder):
+    columns = ["case_id", "request_id", "target_status", "status", "accepted"]
 
-class _Transitions(StatefulProcessor):
     def __init__(self, initial: str) -> None:
         self.initial = initial
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open_state(self, handle: StatefulProcessorHandle) -> None:
         self.status = handle.getValueState(
             "status", T.StructType([T.StructField("status", T.StringType())]))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def take(self, key, rows: list[tuple]) -> pd.DataFrame:
         status = self.status.get()[0] if self.status.exists() else self.initial
-        frame = _in_order(rows, ["us", "request_id"])
-        before, accepted = [], []
-        for target in frame["target_status"]:
-            status, (was, ok) = move(status, (target,))
-            before.append(was)
-            accepted.append(ok)
+        moves = []
+        for _, _, target in rows:
+            status, moved = move(status, (target,))
+            moves.append(moved)
         self.status.update((status,))
-        yield pd.DataFrame({
-            "case_id": key[0], "request_id": frame["request_id"],
-            "target_status": frame["target_status"], "status": before, "accepted": accepted})
+        return pd.DataFrame({
+            "case_id": key[0], "request_id": [r[1] for r in rows], "target_status": [r[2] for r in rows],
+            "status": [m[0] for m in moves], "accepted": [m[1] for m in moves]})
 
-    def close(self) -> None:
-        pass
 
+def transition_stream(requests: DataFrame, initial: str = "draft", delay: str = "0 seconds") -> DataFrame:
+    """requests: case_id bigint, request_id bigint, ts, target_status.
 
-def transition_stream(requests: DataFrame, initial: str = "draft") -> DataFrame:
-    """requests: case_id bigint, request_id bigint, ts, target_status."""
-    timed = requests.select("case_id", "request_id", "target_status",
-                            F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return timed.groupBy("case_id").transformWithStateInPandas(
+    Requests that come out of order by less than `delay` are taken in order of ts and request_id, as the batch replay
+    takes them; a case's status stays for good.
+    """
+    rows = _waiting_rows(requests, "case_id", "request_id", F.col("target_status"), delay)
+    return rows.groupBy("case_id").transformWithStateInPandas(
         _Transitions(initial),
         "case_id bigint, request_id bigint, target_status string, status string, accepted boolean",
-        "Append", "None")
+        "Append", "EventTime")
+
+
+def in_time(arrivals: DataFrame, delay_seconds: float = 0, batch: str = "batch") -> DataFrame:
+    """Rows (ts, number of their micro-batch from 0 without holes) that a stream does not drop as late.
+
+    The batch rule behind the streams: a micro-batch drops what is not beyond the watermark that
+    the one before it ran with, the latest time of all still earlier ones less the delay.
+    """
+    time = _ceil_ms(F.unix_micros(F.col("ts").cast("timestamp")))
+    latest = arrivals.groupBy(batch).agg(F.max(time).alias("_latest"))
+    before = Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, -2)  # one row per micro-batch
+    marks = latest.select(batch, (F.max("_latest").over(before) - int(delay_seconds * 1000)).alias("_mark"))
+    kept = arrivals.join(F.broadcast(marks), batch)  # one row per micro-batch
+    return kept.where(F.col("_mark").isNull() | (time > F.col("_mark"))).drop("_mark")
 
 
 class _Jobs(StatefulProcessor):
@@ -182,10 +268,12 @@ def stale_job_stream(events: DataFrame, minutes: int = STALE_MINUTES,
 def ingest_stream(spark: SparkSession, root: str, chunk_path: str, ledger_path: str,
                   checkpoint: str, parser: Callable, embedder: Callable, width: int,
                   files_per_batch: int = 1000,
-                  extensions: list[str] = PARSEABLE_EXTENSIONS) -> StreamingQuery:
+                  extensions: list[str] = PARSEABLE_EXTENSIONS,
+                  documents_path: str | None = None) -> StreamingQuery:
     """Ingest the files that have arrived under <root>/<case id>/ and stop when none is left.
 
-    The stream's own checkpoint remembers which files were taken, so a restart goes on there.
+    The stream's own checkpoint remembers which files were taken, so a restart goes on there. A file's document id
+    is its number in the documents table (beside the ledger unless named), so a batch that is run again finds the same ids.
     """
     schema = T.StructType([
         T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()),
@@ -197,10 +285,11 @@ def ingest_stream(spark: SparkSession, root: str, chunk_path: str, ledger_path:
     )
     from dossier.sources.files import _with_case
 
-    named = _with_case(files, root).withColumn("document_id", F.xxhash64("file_path"))
+    named = _with_case(files, root)
 
     def drain(batch: DataFrame, _: int) -> None:
-        result = ingest(batch, read_ledger(batch.sparkSession, ledger_path), parser, embedder, width,
+        documents = register_files(batch.sparkSession, documents_path or f"{ledger_path}-documents", batch)
+        result = ingest(batch.join(documents, "file_path"), read_ledger(batch.sparkSession, ledger_path), parser, embedder, width,
                         extensions=extensions)
         store(result, chunk_path, ledger_path)
 

@@ -47,6 +47,70 @@ def test_rate_limit(spark, tmp_path):
         (r["attempt_id"], r["admitted"]) for r in want.collect()}
 
 
+def shuffled_feed(spark, tmp_path, rows, schema, rng, n_files):
+    """Rows in order of time, each moved to one of the two files after its own or staying; and the number of its file."""
+    placed = [(min(n_files - 1, i * n_files // len(rows) + rng.randrange(3)), row) for i, row in enumerate(rows)]
+    source = tmp_path / "in"
+    for n in range(n_files):
+        part = [row for f, row in placed if f == n]
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    batches = spark.createDataFrame([(*row, f) for f, row in placed], schema + ", batch int")
+    return stream, batches
+
+
+def progress(spark, tmp_path, frame):
+    """The stream drained, its output and the rows of state it ends with."""
+    out, state = str(tmp_path / "out"), str(tmp_path / f"state-{uuid.uuid4().hex}")
+    run = (frame.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state)
+           .trigger(availableNow=True).start(out))
+    run.awaitTermination()
+    return spark.read.schema(frame.schema).parquet(out), run.lastProgress["stateOperators"][0]
+
+
+ATTEMPT = "client string, attempt_id bigint, ts timestamp"
+
+
+def test_rate_limit_out_of_order_and_late(spark, tmp_path):
+    """Rows over micro-batches out of order: the late ones are dropped as the batch rule says, the others admitted as in batch."""
+    rng, clock, rows = random.Random(4), 0.0, []
+    for i in range(500):
+        clock += rng.expovariate(1 / 3)
+        rows.append((rng.choice("aaab"), i, START + timedelta(seconds=clock)))
+    end = START + timedelta(days=1)
+    rows += [("closing", 10_000 + i, end + timedelta(hours=i)) for i in range(4)]
+    for delay in (30, 3600):
+        path = tmp_path / str(delay)
+        stream, batches = shuffled_feed(spark, path, rows, ATTEMPT, random.Random(5), 8)
+        got, _ = progress(spark, path, streams.rate_limit_stream(stream, delay=f"{delay} seconds"))
+        kept = streams.in_time(batches, delay)
+        want = {(r["attempt_id"], r["admitted"]) for r in access.admit_rate_limited(kept).collect() if r["attempt_id"] < 10_000}
+        assert {(r["attempt_id"], r["admitted"]) for r in got.collect() if r["attempt_id"] < 10_000} == want
+        assert (len(want) == 500) == (delay == 3600)
+
+
+def test_state_is_empty_after_the_window(spark, tmp_path):
+    rows = [("a", i, START + timedelta(seconds=i)) for i in range(10)] + [("b", 100, START + timedelta(days=1))] + [
+        ("c", 200, START + timedelta(days=2))]
+    got, state = progress(spark, tmp_path, streams.rate_limit_stream(feed(spark, tmp_path, rows, ATTEMPT, 4)))
+    assert sum(r["admitted"] for r in got.where("client = 'a'").collect()) == 5
+    # Of the four clients' rows only the last one's admitted time and its timer are left.
+    assert state["numRowsTotal"] <= 4
+
+
+def test_transitions_out_of_order(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(rng.randrange(5), i, START + timedelta(minutes=i), rng.choice(CASE_STATUSES[:5])) for i in range(300)]
+    closing = [(99, 1000 + i, START + timedelta(days=9 + i), "draft") for i in range(4)]
+    schema = "case_id bigint, request_id bigint, ts timestamp, target_status string"
+    stream, _ = shuffled_feed(spark, tmp_path, rows + closing, schema, rng, 9)
+    got = drain(spark, tmp_path, streams.transition_stream(stream, delay="2 days"))
+    want = workflow.replay_transitions(spark.createDataFrame(rows, schema), ["ts", "request_id"])
+    key = lambda r: (r["request_id"], r["status"], r["accepted"])
+    assert {key(r) for r in got.where("case_id < 99").collect()} == {key(r) for r in want.collect()}
+
+
 def test_transitions(spark, tmp_path):
     rng = random.Random(2)
     rows = [(rng.randrange(5), i, START + timedelta(minutes=i), rng.choice(CASE_STATUSES[:5])) for i in range(400)]
