@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html as html_entities
+from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,14 +22,82 @@ def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or "&" not in t else html_entities.unescape(t))
 
 
+# Elements without content: they have no end tag.
+VOID_ELEMENTS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"]
+
+
+class _Inside(HTMLParser):
+    """Text nodes of the first such element, by the open tags: an end tag closes the last open element of its name
+    and whatever is open inside that; one without an open element closes nothing."""
+
+    def __init__(self, element: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.element, self.open, self.at, self.done = element, [], None, False
+        self.texts: list[str] = []
+        self.piece: list[str] = []
+
+    def _end_piece(self) -> None:
+        text = "".join(self.piece).strip()
+        self.piece = []
+        if text:
+            self.texts.append(text)
+
+    def handle_starttag(self, tag, attrs):
+        self._end_piece()
+        if tag in VOID_ELEMENTS:
+            return
+        if self.at is None and tag == self.element:
+            self.at = len(self.open)
+        self.open.append(tag)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        self.handle_endtag(tag)
+
+    def handle_endtag(self, tag):
+        self._end_piece()
+        if tag in self.open:
+            while self.open.pop() != tag:
+                pass
+            self.done = self.done or (self.at is not None and len(self.open) <= self.at)
+
+    def handle_data(self, data):
+        if self.at is not None and not self.done and not {"script", "style"} & set(self.open[-1:]):
+            self.piece.append(data)
+
+    def handle_comment(self, data):
+        self._end_piece()
+
+    handle_decl = handle_pi = unknown_decl = handle_comment
+
+
+def text_inside(html: str, element: str) -> str:
+    reader = _Inside(element)
+    reader.feed(html)
+    reader.close()
+    reader._end_piece()
+    return "\n".join(reader.texts)
+
+
 def html_main_text(html: Column, element: str = "main") -> Column:
-    """Text nodes of the first such element, each stripped, blank ones left out, one per line."""
-    inside = F.regexp_extract(html, rf"(?is)<{element}\b[^>]*>(.*?)</{element}\s*>", 1)
+    """Text nodes of the first such element, each stripped, blank ones left out, one per line.
+
+    A page with one start and one end tag of the element, as nearly all have, is cut by pattern.
+    Where they are nested, or the end tag is missing, the tags of the page are followed.
+    """
     hidden = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
+    tags = F.regexp_extract_all(F.regexp_replace(html, hidden, ""), F.lit(rf"(?i)<(/?){element}\b[^>]*>"), F.lit(1))
+    plain = (F.size(tags) == 0) | (tags == F.array(F.lit(""), F.lit("/")))
+    inside = F.regexp_extract(F.when(plain, html), rf"(?is)<{element}\b[^>]*>(.*?)</{element}\s*>", 1)
     visible = F.regexp_replace(inside, hidden, _BREAK)
     marked = _unescape(F.regexp_replace(visible, r"(?s)<[^>]*>", _BREAK))
     texts = F.filter(F.transform(F.split(marked, _BREAK), strip), lambda t: t != "")
-    return F.array_join(texts, "\n")
+
+    @F.pandas_udf(T.StringType())
+    def follow(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda page: None if page is None else text_inside(page, element))
+
+    return F.when(plain, F.array_join(texts, "\n")).otherwise(follow(F.when(~plain, html)))
 
 
 def rows_to_cases(splits: dict[str, DataFrame], order: str, prefix: str,

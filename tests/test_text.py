@@ -135,6 +135,15 @@ def test_merge_pages_in_order(frame):
     ("<main>x<script>var a='</p>';</script><!-- hidden -->y<style>p{}</style></main>", "x\ny"),
     ("<MAIN class='a'>&amp;lt; &euro;&#8364;&nbsp;</MAIN>", "&lt; €€"),
     ("<main></main>", ""),
+    ("<main>a<main>b</main>c</main>d", "a\nb\nc"),
+    ("<body><main>a<p>b", "a\nb"),
+    ("<div><main>a<p>b</div>c", "a\nb"),
+    ("<main>a<div>b</main>c</div>d", "a\nb"),
+    ("</main><main>a</p>b<br>c</section>d</main>e", "a\nb\nc\nd"),
+    ("<main>a<main/>b<img src='</main>'>c</main>d", "a\nb\nc"),
+    ("<main>x &amp;<!-- <main> -->y<script>'<main>'</script>z</main>", "x &\ny\nz"),
+    ("<main>x<style>q</style><main>y</main> &lt; </main>", "x\ny\n<"),
+    ("<maine>x</maine><main>y</main>", "y"),
 ])
 def test_html_main_text(frame, html, expected):
     assert frame([(html,)], "h string").select(corpus.html_main_text(F.col("h"))).head()[0] == expected

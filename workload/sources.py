@@ -151,13 +151,15 @@ def read_history(spark, sf):
 
 
 @query("a8_count_malformed", """
-SELECT count(*) FILTER (WHERE n_nationkey % 2 = 0) AS n_malformed FROM nation""")
+SELECT count(*) FILTER (WHERE o_orderkey % 4 = 1 OR (o_orderkey % 4 = 2 AND o_orderpriority = '1-URGENT')) AS n_malformed FROM orders""")
 def malformed(spark, sf):
+    """A line per order: whole runs, runs cut off in the middle, blank lines, and lines that are no records."""
     path = scratch(spark, "history")
-    runs.append_history(history(spark, sf), path)
-    table(spark, sf, "nation").select(
-        F.when(F.col("n_nationkey") % 2 == 0, F.lit('{"stamp": "2026')).otherwise(F.lit("")).alias("value")
-    ).write.mode("append").text(path)
+    key = F.col("o_orderkey")
+    whole = F.to_json(F.struct(key.cast("string").alias("stamp"), F.lit("direct").alias("mode"), F.col("o_custkey").alias("total")))
+    line = (F.when(key % 4 == 1, F.substring(whole, 1, 15)).when((key % 4 == 2) & (F.col("o_orderpriority") == "1-URGENT"), F.lit("not a record"))
+            .when(key % 4 == 3, F.lit("  ")).otherwise(whole))
+    table(spark, sf, "orders").select(line.alias("value")).write.text(path)
     return runs.count_malformed(spark, path)
 
 
@@ -215,6 +217,27 @@ def html_main_text(spark, sf):
     return text.select("page_id", F.size(F.split("t", "\n")).alias("n_lines"), F.md5("t").alias("text_md5"))
 
 
+# In every third page the article holds a second one and goes on after it; in the next the article is not closed and ends with
+# the section around it.
+@query("a12_html_nested", r"""
+WITH turned AS (SELECT page_id, html, page_id % 3 AS kind, regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article\s*>', 1) AS t FROM pages),
+marked AS (SELECT page_id, kind, regexp_replace(regexp_replace(t, '(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->', chr(1), 'g'),
+  '(?s)<[^>]*>', chr(1), 'g') AS t FROM turned),
+plain AS (SELECT page_id, kind, replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''),
+  '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM marked),
+nodes AS (SELECT page_id, list_concat(CASE kind WHEN 0 THEN ['Opening & more'] ELSE [] END,
+  list_filter(list_transform(string_split(t, chr(1)), lambda x: trim(x, E' \n\t')), lambda x: x <> ''), CASE kind WHEN 0 THEN ['closing words'] ELSE [] END) AS t FROM plain)
+SELECT page_id, len(t)::INT AS n_lines, md5(array_to_string(t, E'\n')) AS text_md5 FROM nodes""")
+def html_nested(spark, sf):
+    html, kind = F.col("html"), F.col("page_id") % 3
+    nested = F.replace(F.replace(html, F.lit("<article>"), F.lit("<article>Opening &amp; more<article>")),
+                       F.lit("</article>"), F.lit("</article>closing words</article>"))
+    open_end = F.replace(F.replace(html, F.lit("<article>"), F.lit("<section><article>")), F.lit("</article>"), F.lit("</section>"))
+    turned = F.when(kind == 0, nested).when(kind == 1, open_end).otherwise(html)
+    text = texts(spark, sf, "pages", "page_id", "html").select("page_id", corpus.html_main_text(turned, "article").alias("t"))
+    return text.select("page_id", F.size(F.split("t", "\n")).alias("n_lines"), F.md5("t").alias("text_md5"))
+
+
 @query("a13_rows_to_cases", """
 WITH numbered AS (SELECT *, CASE WHEN lang = 'en' THEN 'train' ELSE 'test' END AS split,
   row_number() OVER (PARTITION BY lang = 'en' ORDER BY doc_id) - 1 AS n FROM documents)
