@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.functions.replies import answer_prompt, check_reply, resolve_citations
+from dossier.operators.embedding import CALL_COLUMNS
 from dossier.schemas import CONTINUE, DONE, MULTI_STEP, NOT_FOUND, SINGLE_SHOT
 
 
@@ -59,20 +61,16 @@ class ScriptedProvider(ExtractiveProvider):
 
 def generate(df: DataFrame, provider: Callable[[], TextProvider], prompt: str = "prompt",
              reply: str = "reply") -> DataFrame:
-    """Rows with reply, usage and error; a failed call is a row with an error, not a failed job."""
-    schema = T.StructType([
-        *df.schema.fields,
-        T.StructField(reply, T.StringType()),
-        T.StructField("usage", T.MapType(T.StringType(), T.LongType())),
-        T.StructField("error", T.StringType()),
-    ])
+    """Rows with reply, usage, error and milliseconds; a failed call is a row with an error, not a failed job."""
+    schema = T.StructType([*df.schema.fields, T.StructField(reply, T.StringType()), *CALL_COLUMNS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
         for batch in batches:
-            replies, usages, errors = [], [], []
+            replies, usages, errors, times = [], [], [], []
             for text in batch.column(batch.schema.get_field_index(prompt)).to_pylist():
                 model = model or provider()
+                begun = time.perf_counter()
                 try:
                     answer, counts = model.generate(text)
                     error = None
@@ -81,10 +79,12 @@ def generate(df: DataFrame, provider: Callable[[], TextProvider], prompt: str =
                 replies.append(answer)
                 usages.append(list(counts.items()))
                 errors.append(error)
+                times.append((time.perf_counter() - begun) * 1000)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(replies, pa.string()),
-                 pa.array(usages, pa.map_(pa.string(), pa.int64())), pa.array(errors, pa.string())],
-                names=[*batch.schema.names, reply, "usage", "error"],
+                 pa.array(usages, pa.map_(pa.string(), pa.int64())), pa.array(errors, pa.string()),
+                 pa.array(times, pa.float64())],
+                names=schema.fieldNames(),
             )
 
     return df.mapInArrow(run, schema)

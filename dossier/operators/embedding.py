@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -14,6 +15,8 @@ from pyspark.sql import types as T
 
 
 class EmbeddingProvider(Protocol):
+    """A provider may have `embed_counted(texts)` too, which gives the vectors and each text's token counts."""
+
     dimensions: int
     model: str
 
@@ -43,6 +46,22 @@ class HashProvider:
         return (raw / length).tolist()
 
 
+def _checked(vectors: list, n: int, width: int) -> list:
+    if len(vectors) != n:
+        raise ValueError(f"expected {n} vectors, got {len(vectors)}")
+    wrong = next((len(v) for v in vectors if len(v) != width), None)
+    if wrong is not None:
+        raise ValueError(f"the model made a {wrong}-wide vector, expected {width}")
+    return vectors
+
+
+def _built(provider: Callable[[], EmbeddingProvider], width: int) -> EmbeddingProvider:
+    model = provider()
+    if model.dimensions != width:
+        raise ValueError(f"the provider makes {model.dimensions}-wide vectors, the table holds {width}")
+    return model
+
+
 def embed(df: DataFrame, provider: Callable[[], EmbeddingProvider], width: int,
           text: str = "text", vector: str = "embedding") -> DataFrame:
     """Rows with the vector of their text; one provider per task, one call per Arrow batch."""
@@ -53,19 +72,9 @@ def embed(df: DataFrame, provider: Callable[[], EmbeddingProvider], width: int,
         for batch in batches:
             vectors: list = []
             if batch.num_rows:
-                if model is None:
-                    model = provider()
-                    if model.dimensions != width:
-                        raise ValueError(
-                            f"the provider makes {model.dimensions}-wide vectors, "
-                            f"the table holds {width}")
+                model = model or _built(provider, width)
                 texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-                vectors = model.embed(texts)
-                if len(vectors) != len(texts):
-                    raise ValueError(f"expected {len(texts)} vectors, got {len(vectors)}")
-                wrong = next((len(v) for v in vectors if len(v) != width), None)
-                if wrong is not None:
-                    raise ValueError(f"the model made a {wrong}-wide vector, expected {width}")
+                vectors = _checked(model.embed(texts), len(texts), width)
             column = pa.array(vectors, pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, column],
                                              names=[*batch.schema.names, vector])
@@ -73,6 +82,44 @@ def embed(df: DataFrame, provider: Callable[[], EmbeddingProvider], width: int,
     return df.mapInArrow(run, schema)
 
 
+CALL_COLUMNS = [T.StructField("usage", T.MapType(T.StringType(), T.LongType())),
+                T.StructField("error", T.StringType()), T.StructField("ms", T.DoubleType())]
+
+
+def embed_outcomes(df: DataFrame, provider: Callable[[], EmbeddingProvider], width: int,
+                   text: str = "text", vector: str = "embedding") -> DataFrame:
+    """Rows with vector, usage, error and milliseconds. A failed call is an error of each of its rows, not a failed job.
+
+    The time of a call is shared out evenly over its rows. A model of another width is still an error of the job.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField(vector, T.ArrayType(T.FloatType())), *CALL_COLUMNS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            model = model or _built(provider, width)
+            texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
+            begun, usages, error = time.perf_counter(), [None] * n, None
+            try:
+                if hasattr(model, "embed_counted"):
+                    vectors, counts = model.embed_counted(texts)
+                    usages = [list(c.items()) for c in counts]
+                else:
+                    vectors = model.embed(texts)
+                vectors = _checked(vectors, n, width)
+            except Exception as exc:  # noqa: BLE001 - any provider failure becomes a row
+                vectors, usages, error = [None] * n, [None] * n, f"{type(exc).__name__}: {exc}"
+            each = (time.perf_counter() - begun) * 1000 / n
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(vectors, pa.list_(pa.float32())), pa.array(usages, pa.map_(pa.string(), pa.int64())),
+                 pa.array([error] * n, pa.string()), pa.array([each] * n, pa.float64())], names=schema.fieldNames())
+
+    return df.mapInArrow(run, schema)
+
+
 def width_report(chunks: DataFrame, width: int, vector: str = "embedding") -> DataFrame:
     """How many vectors have each width, and whether it is the one the table holds."""
     return (

@@ -14,7 +14,7 @@ from dossier.operators.access import Scopes, resolve_scope, scope_label
 from dossier.operators.answering import (
     TextProvider, answer_prompts, check_replies, citations_of, generate,
 )
-from dossier.operators.embedding import EmbeddingProvider, embed
+from dossier.operators.embedding import EmbeddingProvider, embed_outcomes
 from dossier.operators.evaluation import usage_tally
 from dossier.operators.retrieval import (
     accumulate_passes, name_citations, search_batch, unique_passages, with_neighbours,
@@ -36,21 +36,22 @@ class Models:
 class Loop:
     """What the retrieval passes left behind."""
 
-    state: DataFrame  # per question: route, steps, iterations, retrievals
+    state: DataFrame  # per question: route, steps, iterations, retrievals, error, ms
     context: DataFrame  # context rows of all passes
-    usage: DataFrame  # query_id, usage: one row per model call
+    usage: DataFrame  # query_id, usage: one row per model call that counted tokens
 
 
 def route_questions(questions: DataFrame, writer: Callable[[], TextProvider],
                     multi_step: bool) -> DataFrame:
-    """Questions with their route and the usage of finding it; no model call when switched off."""
+    """Questions with their route, and usage, error and milliseconds of finding it; no model call when switched off."""
     if not multi_step:
-        return questions.withColumn("route", F.lit("single_shot")).withColumn(
-            "usage", F.lit(None).cast("map<string,bigint>"))
+        return questions.select(
+            *questions.columns, F.lit("single_shot").alias("route"), F.lit(None).cast("map<string,bigint>").alias("usage"),
+            F.lit(None).cast("string").alias("error"), F.lit(0.0).alias("ms"))
     asked = questions.withColumn("prompt", route_prompt(F.col("question")))
     replied = generate(asked, writer)
-    return replied.select(
-        *questions.columns, parse_route(F.col("reply")).getField("route").alias("route"), "usage")
+    route = F.when(F.col("error").isNull(), parse_route(F.col("reply")).getField("route"))
+    return replied.select(*questions.columns, route.alias("route"), "usage", "error", "ms")
 
 
 def retrieve_reason_loop(questions: DataFrame, scopes: Scopes, chunks: DataFrame, models: Models,
@@ -59,7 +60,8 @@ def retrieve_reason_loop(questions: DataFrame, scopes: Scopes, chunks: DataFrame
     """Retrieve on the question; while more is asked for, retrieve on the newest sub-question.
 
     Every pass searches within the scope resolved at the start. A question takes part in at most
-    max_iterations + 1 retrievals; each pass is written before the next one begins.
+    max_iterations + 1 retrievals; each pass is written before the next one begins. A question of
+    which a model call fails leaves the loop with the error and makes no further call.
     """
     routed = materialise(route_questions(
         questions.select("query_id", "user_id", "question"), models.writer, multi_step))
@@ -67,13 +69,22 @@ def retrieve_reason_loop(questions: DataFrame, scopes: Scopes, chunks: DataFrame
     state = routed.select(
         "query_id", "user_id", "question", "route",
         F.array().cast("array<string>").alias("steps"), F.lit(0).alias("iterations"),
-        F.lit(1).alias("retrievals"), (F.col("route") == "multi_step").alias("active"))
-    wanted = state.select("query_id", "user_id", F.col("question").alias("text"))
+        F.col("error").isNull().cast("int").alias("retrievals"), "error", "ms",
+        (F.col("error").isNull() & (F.col("route") == "multi_step")).alias("active"))
+    wanted = state.where("error IS NULL").select("query_id", "user_id", F.col("question").alias("text"))
     context = None
 
     for number in range(max_iterations + 1):
-        vectors = materialise(embed(wanted, models.embedder, models.width))
-        matches = search_batch(vectors, scopes, chunks, k)
+        vectors = materialise(embed_outcomes(wanted, models.embedder, models.width))
+        calls = calls.unionByName(vectors.where(F.col("usage").isNotNull()).select("query_id", "usage"))
+        # A search that could not be made is not a retrieval.
+        made = vectors.select("query_id", F.col("error").alias("_error"), F.col("ms").alias("_ms"))
+        state = materialise(state.join(made, "query_id", "left").select(
+            "query_id", "user_id", "question", "route", "steps", "iterations",
+            (F.col("retrievals") - F.col("_error").isNotNull().cast("int")).alias("retrievals"),
+            F.coalesce("error", "_error").alias("error"), (F.col("ms") + F.coalesce("_ms", F.lit(0.0))).alias("ms"),
+            (F.col("active") & F.col("_error").isNull()).alias("active")))
+        matches = search_batch(vectors.where("error IS NULL"), scopes, chunks, k)
         found = with_neighbours(matches, chunks)
         context = materialise(accumulate_passes(context, found, number))
         if not multi_step:
@@ -86,20 +97,19 @@ def retrieve_reason_loop(questions: DataFrame, scopes: Scopes, chunks: DataFrame
         seen = context.where("is_match").groupBy("query_id").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("pass", "match_rank", "text"))),
                         lambda m: m["text"]).alias("found"))
-        asked = active.join(seen, "query_id", "left").withColumn(
+        asked = active.withColumnsRenamed({"error": "_error", "ms": "_ms"}).join(seen, "query_id", "left").withColumn(
             "prompt", reason_prompt(F.col("question"), F.col("steps"), F.coalesce(
                 "found", F.array().cast("array<string>")))).drop("found")
         replied = materialise(generate(asked, models.writer))
         calls = calls.unionByName(replied.select("query_id", "usage"))
-        verdict = parse_reason(F.col("reply"), F.col("question"))
-        moved = replied.withColumn("_v", verdict).select(
+        goes_on = F.col("error").isNull() & F.col("_v.should_continue")
+        moved = replied.withColumn("_v", parse_reason(F.col("reply"), F.col("question"))).select(
             "query_id", "user_id", "question", "route",
-            F.when(F.col("_v.should_continue"),
-                   F.concat("steps", F.array("_v.sub_question"))).otherwise(F.col("steps"))
-            .alias("steps"),
+            F.when(goes_on, F.concat("steps", F.array("_v.sub_question"))).otherwise(F.col("steps")).alias("steps"),
             (F.col("iterations") + 1).alias("iterations"),
-            (F.col("retrievals") + F.col("_v.should_continue").cast("int")).alias("retrievals"),
-            F.col("_v.should_continue").alias("active"))
+            (F.col("retrievals") + F.coalesce(goes_on, F.lit(False)).cast("int")).alias("retrievals"),
+            "error", (F.col("_ms") + F.col("ms")).alias("ms"),
+            F.coalesce(goes_on, F.lit(False)).alias("active"))
         state = materialise(state.where("NOT active").unionByName(moved))
         wanted = state.where("active").select(
             "query_id", "user_id", F.element_at("steps", -1).alias("text"))
@@ -114,7 +124,8 @@ def ask_batch(questions: DataFrame, users: DataFrame, assignments: DataFrame, ch
     """One row per question (query_id, user_id, question) with answer, citations and their story.
 
     Questions without anything to search make no model call. Answer and citations are null or
-    empty together.
+    empty together. Where any model call of a question fails, `why` is "model error" and no further
+    call is made for it: an outage is not the same as documents without an answer.
     """
     scopes = scopes or resolve_scope(users, assignments)
     # Only the askers' scopes, worked out once for all passes.
@@ -128,7 +139,8 @@ def ask_batch(questions: DataFrame, users: DataFrame, assignments: DataFrame, ch
     may_search = (F.col("all_cases") | (F.col("n_cases") > 0)) & ~blank
     loop = retrieve_reason_loop(scoped.where(may_search), scopes, chunks, models, k, multi_step,
                                 max_iterations)
-    passages = unique_passages(loop.context)
+    failed = loop.state.where("error IS NOT NULL").select("query_id")
+    passages = unique_passages(loop.context.join(failed, "query_id", "left_anti"))
     prompts = answer_prompts(questions.select("query_id", "question"), passages)
     replied = materialise(generate(prompts, models.writer))
     checked = check_replies(replied)
@@ -147,17 +159,19 @@ def ask_batch(questions: DataFrame, users: DataFrame, assignments: DataFrame, ch
         .alias("match_texts"))
     calls = loop.usage.unionByName(replied.select("query_id", "usage"))
     tokens = usage_tally(calls, ["query_id"])
-    answers = checked.select("query_id", "n_passages", "contexts", "answered", "rule", "text", "error")
+    answers = checked.select("query_id", "n_passages", "contexts", "answered", "rule", "text", F.col("error").alias("_error"),
+                             F.col("ms").alias("_ms"))
     answered = F.coalesce("answered", F.lit(False))
+    error = F.coalesce("error", "_error")
     why = (
         F.when(blank, F.lit("blank question"))
         .when(~F.col("all_cases") & (F.col("n_cases") == 0), F.lit("no authorized cases"))
+        .when(error.isNotNull(), F.lit("model error"))
         .when(F.col("rule").isNull(), F.lit("no passages"))
-        .when(F.col("error").isNotNull(), F.lit("model error"))
         .when(~answered, F.col("rule"))
     )
     return (
-        scoped.join(loop.state.select("query_id", "route", "steps", "iterations", "retrievals"),
+        scoped.join(loop.state.select("query_id", "route", "steps", "iterations", "retrievals", "error", "ms"),
                     "query_id", "left")
         .join(counts, "query_id", "left").join(answers, "query_id", "left")
         .join(listed, "query_id", "left").join(tokens, "query_id", "left")
@@ -169,11 +183,12 @@ def ask_batch(questions: DataFrame, users: DataFrame, assignments: DataFrame, ch
             F.coalesce("retrievals", F.lit(0)).alias("retrieval_passes"),
             F.coalesce("n_matches", F.lit(0)).alias("n_matches"),
             F.coalesce("n_passages", F.lit(0)).alias("n_passages"),
-            (F.coalesce("n_context", F.lit(0)) - F.coalesce("n_passages", F.lit(0)))
+            F.when(F.col("n_passages").isNull(), F.lit(0)).otherwise(F.col("n_context") - F.col("n_passages"))
             .alias("duplicate_passages_avoided"),
             F.coalesce("contexts", F.array().cast("array<string>")).alias("contexts"),
             F.coalesce("match_texts", F.array().cast("array<string>")).alias("match_texts"),
-            answered.alias("answered"), why.alias("why"), F.col("error").alias("model_error"),
+            answered.alias("answered"), why.alias("why"), error.alias("model_error"),
+            F.round(F.coalesce("ms", F.lit(0.0)) + F.coalesce("_ms", F.lit(0.0))).cast("bigint").alias("latency_ms"),
             F.col("text").alias("answer"),
             F.coalesce("citations", F.array().cast(
                 "array<struct<document_id:bigint,document_name:string,page_number:int>>"))

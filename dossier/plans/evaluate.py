@@ -56,8 +56,9 @@ def eval_run(gold: DataFrame, chunks: DataFrame, documents: DataFrame, models: M
         .alias("answer_hit"),
         F.coalesce("answer", F.lit("")).alias("answer_text"), "contexts",
         (F.lit(None).cast("string") if mode == "direct" else F.col("route")).alias("route"),
-        "iterations", "duplicate_passages_avoided", F.lit(None).cast("bigint").alias("latency_ms"),
-        "tokens", F.lit(None).cast("string").alias("trace_id"))
+        "iterations", "duplicate_passages_avoided", "latency_ms", "tokens",
+        # Names the question's row in the ledger of this run.
+        F.concat_ws("-", F.lit(mode), "round_index", "id", "query_id").alias("trace_id"))
     items = materialise(items)
     grades = materialise(grade(items, grader))
     per_round = materialise(summarise_round(items, grades))

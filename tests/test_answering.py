@@ -1,6 +1,7 @@
 """Replies, the loop, and whole answers."""
 
 import sys
+from collections import Counter
 
 import pytest
 from pyspark import cloudpickle
@@ -163,6 +164,62 @@ def test_model_failure_is_a_row(frame, world):
     assert got[2]["why"] == "model error" and got[2]["model_error"] == "TimeoutError: no reply" and not got[2]["answered"]
 
 
+class Logged(answering.ScriptedProvider):
+    """Notes every call in a file; is away at the given end of a prompt."""
+
+    def __init__(self, path, away):
+        super().__init__(1)
+        self.path, self.away = path, away
+
+    def generate(self, prompt):
+        stage = next((s for s in ("Classification:", "Decision:") if prompt.endswith(s)), "Answer")
+        with open(self.path, "a") as log:
+            log.write(stage + "\n")
+        if stage == self.away:
+            raise TimeoutError("no reply")
+        reply, _ = super().generate(prompt)
+        return reply, {"input": 1}
+
+
+@pytest.mark.parametrize("away, calls, retrievals", [
+    ("Classification:", {"Classification:": 2}, 0), ("Decision:", {"Classification:": 2, "Decision:": 2}, 1),
+    ("Answer", {"Classification:": 2, "Decision:": 4, "Answer": 2}, 2), ("none", {"Classification:": 2, "Decision:": 4, "Answer": 2}, 2)])
+def test_a_failed_question_leaves_the_loop(frame, world, tmp_path, away, calls, retrievals):
+    log = tmp_path / "calls"
+    got = run(frame, world, lambda: Logged(str(log), away), multi_step=True)
+    assert dict(Counter(log.read_text().split())) == calls
+    for q in (1, 2):
+        row = got[q]
+        assert row["retrieval_passes"] == retrievals and row["latency_ms"] is not None and row["latency_ms"] >= 0
+        if away == "none":
+            assert row["answered"] and row["why"] is None and row["model_error"] is None and row["tokens"]["input"] == 4
+        else:
+            assert (row["why"], row["model_error"], row["answered"], row["answer"]) == ("model error", "TimeoutError: no reply", False, None)
+    assert got[3]["why"] == "no authorized cases" and got[3]["latency_ms"] == 0
+
+
+class AwayEmbedder(HashProvider):
+    def embed(self, texts):
+        raise ConnectionError("no vectors")
+
+
+class CountedEmbedder(HashProvider):
+    def embed_counted(self, texts):
+        return self.embed(texts), [{"embedding": len(t.split())} for t in texts]
+
+
+def test_a_failed_embedding_is_an_outage(frame, world):
+    models = ask.Models(lambda: AwayEmbedder(WIDTH), CountingWriter, WIDTH)
+    got = {r["query_id"]: r for r in ask.ask_batch(frame(QUESTIONS, "query_id bigint, user_id bigint, question string"), *world, models).collect()}
+    assert (got[2]["why"], got[2]["model_error"], got[2]["retrieval_passes"]) == ("model error", "ConnectionError: no vectors", 0)
+
+
+def test_embedding_tokens_count(frame, world):
+    models = ask.Models(lambda: CountedEmbedder(WIDTH), CountingWriter, WIDTH)
+    got = {r["query_id"]: r for r in ask.ask_batch(frame(QUESTIONS, "query_id bigint, user_id bigint, question string"), *world, models).collect()}
+    assert got[2]["tokens"]["embedding"] == 6 and got[2]["tokens"]["input"] > 0
+
+
 def test_public_answer_hides_the_reason(frame, world):
     models = ask.Models(lambda: HashProvider(WIDTH), CountingWriter, WIDTH)
     asks = ask.ask_batch(frame(QUESTIONS, "query_id bigint, user_id bigint, question string"), *world, models)

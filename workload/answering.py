@@ -1,5 +1,7 @@
 """Prompts, replies, citations, and the whole answering flow."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from dossier.functions import replies
@@ -201,6 +203,60 @@ cited AS (SELECT query_id, reply, n, list_transform(regexp_extract_all(reply, '\
 checked AS (SELECT * FROM cited WHERE reply <> 'NOT_FOUND' AND len(numbers) > 0 AND len(list_filter(numbers, lambda x: x IS NULL OR x < 1 OR x > n)) = 0)"""
 
 
+def two_passes_sql(asked: str) -> str:
+    """The flow for a reader who asks for one further search, on the first line of the question and a number."""
+    return f"""
+both_asked AS (SELECT query_id * 10 + pass AS query_id, user_id, CASE pass WHEN 0 THEN question ELSE trim(string_split(question, chr(10))[1]) || ' 1' END AS question, all_cases
+  FROM {asked}, (VALUES (0), (1)) p(pass)),
+""" + asked_sql("both_asked").replace(PASSAGES[len(CONTEXT):], """,
+of_both AS (SELECT query_id // 10 AS query_id, query_id % 10 AS pass, * EXCLUDE (query_id) FROM context),
+passages AS (SELECT * EXCLUDE (first), row_number() OVER (PARTITION BY query_id ORDER BY pass, match_rank, ctx_pos)::INT AS passage
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id, document_id, sequence ORDER BY pass, match_rank, ctx_pos) AS first FROM of_both) WHERE first = 1)""")
+
+
+@query("f10_ask_multi_step", f"""
+WITH {USERS}, {CHUNKS}, {SCOPES}, mine AS (SELECT user_id, count(*) AS n_cases FROM scope_edges GROUP BY user_id),
+asked AS (SELECT conv_id * 1000 + turn AS query_id, conv_id AS user_id, text AS question, all_cases FROM conversations JOIN scopes ON user_id = conv_id WHERE conversations.role = 'user'),
+{two_passes_sql("asked")},
+placed AS (SELECT query_id, count(*) AS n_context FROM of_both GROUP BY 1)
+SELECT a.query_id, coalesce(md5(k.reply), '') AS answer_md5, coalesce(c.n, 0)::INT AS n_passages, coalesce(n_context - c.n, 0) AS duplicate_passages_avoided,
+  CASE WHEN all_cases OR n_cases > 0 THEN 2 ELSE 0 END::INT AS iterations, CASE WHEN all_cases OR n_cases > 0 THEN 2 ELSE 0 END::INT AS retrieval_passes
+FROM asked a LEFT JOIN mine USING (user_id) LEFT JOIN checked k ON k.query_id = a.query_id LEFT JOIN counts c ON c.query_id = a.query_id LEFT JOIN placed p ON p.query_id = a.query_id""")
+def ask_multi_step(spark, sf):
+    """Every question leads to one further search; its passages follow those of the first."""
+    models = ask.Models(lambda: HashProvider(64), lambda: answering.ScriptedProvider(1), 64)
+    return asks(spark, sf, models, multi_step=True).select(
+        "query_id", F.coalesce(F.md5("answer"), F.lit("")).alias("answer_md5"), "n_passages", "duplicate_passages_avoided",
+        "iterations", "retrieval_passes")
+
+
+class Outages(answering.ScriptedProvider):
+    """A model that is away for some questions, by the length of their first line: when they are routed, reasoned on, or answered."""
+
+    def generate(self, prompt):
+        stage = next((i for i, end in enumerate(("Classification:", "Decision:")) if prompt.endswith(end)), 2)
+        asked = re.findall(r"^(?:Original question|Question): ([^\n]*)", prompt, re.M)
+        if asked and len(asked[-1]) % 5 == stage:
+            raise ConnectionError("away")
+        return super().generate(prompt)
+
+
+@query("f10_ask_outage", f"""
+WITH {USERS}, {SCOPES}, mine AS (SELECT user_id, count(*) AS n FROM scope_edges GROUP BY user_id),
+asked AS (SELECT conv_id * 1000 + turn AS query_id, len(string_split(text, chr(10))[1]) % 5 AS fails, all_cases OR coalesce(n, 0) > 0 AS searched
+  FROM conversations JOIN scopes ON user_id = conv_id LEFT JOIN mine USING (user_id) WHERE conversations.role = 'user')
+SELECT query_id, CASE WHEN NOT searched THEN 'no authorized cases' WHEN fails < 3 THEN 'model error' ELSE '' END AS why, searched AND fails >= 3 AS answered,
+  CASE WHEN NOT searched THEN 0 WHEN fails = 0 THEN 0 WHEN fails = 1 THEN 1 ELSE 2 END::INT AS retrieval_passes,
+  CASE WHEN NOT searched OR fails = 0 THEN 0 WHEN fails = 1 THEN 1 ELSE 2 END::INT AS iterations,
+  CASE WHEN searched AND fails < 3 THEN 'ConnectionError: away' ELSE '' END AS model_error, true AS timed FROM asked""")
+def ask_outage(spark, sf):
+    """A question for which a call fails makes no further one, and the outage is not taken for documents without an answer."""
+    models = ask.Models(lambda: HashProvider(64), lambda: Outages(1), 64)
+    return asks(spark, sf, models, multi_step=True).select(
+        "query_id", F.coalesce("why", F.lit("")).alias("why"), "answered", "retrieval_passes", "iterations",
+        F.coalesce("model_error", F.lit("")).alias("model_error"), F.col("latency_ms").isNotNull().alias("timed"))
+
+
 @query("f10_ask_batch", f"""
 WITH {USERS}, {CHUNKS}, {SCOPES},
 asked AS (SELECT conv_id * 1000 + turn AS query_id, conv_id AS user_id, text AS question, all_cases FROM conversations JOIN scopes ON user_id = conv_id WHERE conversations.role = 'user'),

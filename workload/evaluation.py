@@ -5,12 +5,12 @@ import re
 from pyspark.sql import functions as F
 
 from dossier.operators import evaluation
-from dossier.operators.answering import ExtractiveProvider
+from dossier.operators.answering import ExtractiveProvider, ScriptedProvider
 from dossier.operators.embedding import HashProvider
 from dossier.plans.ask import Models
 from dossier.plans.evaluate import eval_run
 from dossier.sources import runs as runs_
-from workload.answering import asked_sql, file_names
+from workload.answering import asked_sql, file_names, two_passes_sql
 from workload.base import CHUNKS, CONTEXT, RANKED, chunks, context, query, scratch, table
 from workload.sources import history
 
@@ -314,12 +314,31 @@ SELECT 'direct' AS mode, 2::BIGINT AS rounds, count(*) AS total, round_even(avg(
   round_even(avg(done::INT), 3) AS answered, 0::INT AS n_unstable, true AS answers_repeated_exactly FROM judged"""))
 def run(spark, sf):
     """Benchmark texts as the gold set, two rounds."""
-    gold_set = table(spark, sf, "benchmark").select(
-        F.col("item_id").cast("string").alias("id"), F.lit("en").alias("lang"), F.col("text").alias("question"),
-        F.substring_index("text", " ", 1).alias("expected_section"), F.split("text", " ").alias("expected_answer_contains"))
     models = Models(lambda: HashProvider(64), ExtractiveProvider, 64)
-    done = eval_run(gold_set, chunks(spark, sf), file_names(spark, sf), models, "direct", rounds=2)
+    done = eval_run(gold_set(spark, sf), chunks(spark, sf), file_names(spark, sf), models, "direct", rounds=2)
     return done.aggregate.select(
         "mode", "rounds", "total", F.col("context_hit_rate.mean").alias("context_hit"),
         F.col("answer_hit_rate.mean").alias("answer_hit"), F.col("answered_rate.mean").alias("answered"),
         F.col("n_unstable").cast("int").alias("n_unstable"), "answers_repeated_exactly")
+
+
+def gold_set(spark, sf):
+    return table(spark, sf, "benchmark").select(
+        F.col("item_id").cast("string").alias("id"), F.lit("en").alias("lang"), F.col("text").alias("question"),
+        F.substring_index("text", " ", 1).alias("expected_section"), F.split("text", " ").alias("expected_answer_contains"))
+
+
+@query("j20_eval_graph", f"""
+WITH {CHUNKS}, scope_edges AS (SELECT 0 AS user_id, 0 AS case_id WHERE false),
+asked AS (SELECT item_id AS query_id, 0 AS user_id, text AS question, true AS all_cases FROM benchmark),
+{two_passes_sql("asked")},
+found AS (SELECT query_id // 10 AS query_id, string_agg(text, E'\\n' ORDER BY query_id, match_rank) AS texts FROM matches JOIN chunks USING (chunk_id) GROUP BY 1)
+SELECT 'graph' AS mode, a.query_id::VARCHAR AS id, 0::INT AS round_index, 'multi_step' AS route, 2::INT AS iterations, contains(texts, string_split(question, ' ')[1]) AS context_hit,
+  reply IS NOT NULL AS answered, coalesce(len(list_filter(string_split(question, ' '), lambda w: contains(reply, w))) > 0, false) AS answer_hit, true AS timed, true AS traced
+FROM asked a JOIN found f ON f.query_id = a.query_id LEFT JOIN checked k ON k.query_id = a.query_id""")
+def graph_run(spark, sf):
+    """The same gold set in the mode that may search again, and does so once."""
+    models = Models(lambda: HashProvider(64), lambda: ScriptedProvider(1), 64)
+    items = eval_run(gold_set(spark, sf), chunks(spark, sf), file_names(spark, sf), models, "graph", multi_step=True).items
+    return items.select("mode", "id", F.col("round_index").cast("int").alias("round_index"), "route", "iterations", "context_hit", "answered", "answer_hit",
+                        F.col("latency_ms").isNotNull().alias("timed"), F.col("trace_id").startswith("graph-").alias("traced"))
