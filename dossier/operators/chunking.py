@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dossier.functions.rows import rows_of
 from dossier.functions.text import preview, words
-from dossier.operators.ordered import number_rows
+from dossier.operators.ordered import number_rows, running_totals
 from dossier.schemas import (
     CHUNK_OVERLAP, CHUNK_SIZE, HEADER_CASE, HEADER_SECTION, WINDOW_OVERLAP, WINDOW_SIZE,
 )
@@ -57,13 +57,28 @@ def chunk_pages(pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_O
     return rows_of(pages, kept, packed_pieces(F.col("text"), size, overlap), "piece", "text")
 
 
-def chunk_fixed(pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """Pieces of all pages with `sequence` running over the pages of a document."""
+# Pages whose offsets may travel to every task: two numbers each.
+MAX_OFFSETS = 2_000_000
+
+
+def chunk_fixed(pages: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, most: int = MAX_OFFSETS) -> DataFrame:
+    """Pieces of all pages with `sequence` running over the pages of a document.
+
+    Pages are cut where they lie. Only how many pieces each has is ordered and added up; up to
+    `most` pages these offsets travel back to the texts. Beyond that the pages are placed in order first.
+    """
     _check(size, overlap)
-    return number_rows(
-        pages, ["document_id"], ["page_number"], "sequence",
-        expand=lambda placed: chunk_pages(placed, size, overlap),
-    ).drop("piece")
+    if pages.count() > most:
+        return number_rows(
+            pages, ["document_id"], ["page_number"], "sequence",
+            expand=lambda placed: chunk_pages(placed, size, overlap)).drop("piece")
+    kept = [c for c in pages.columns if c != "text"]
+    cut = materialise(pages.select(*kept, packed_pieces(F.col("text"), size, overlap).alias("_pieces"), F.monotonically_increasing_id().alias("_page")))
+    counts = cut.select("document_id", "page_number", "_page", F.size("_pieces").alias("_n"))
+    offsets = running_totals(counts, ["document_id"], ["page_number", "_page"], "_n", "_before").select("_page", "_before")
+    placed = cut.join(F.broadcast(offsets), "_page")
+    return rows_of(placed, [*kept, "_before"], F.col("_pieces"), "_piece", "text").withColumn(
+        "sequence", F.col("_before") + F.col("_piece")).drop("_before", "_piece")
 
 
 def chunk_document(pages: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:

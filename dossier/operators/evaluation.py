@@ -148,9 +148,16 @@ def thousandths(value: Column) -> Column:
         F.floor(F.abs(v)) * 1000 + let(fraction(F.abs(v)), nearest)) / F.lit(1000.0))
 
 
+def _all_rounded(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns in thousandths, by one expression over all of them."""
+    names = [c for c in df.columns if c not in columns]
+    return df.select(*names, F.transform(F.array(*[F.col(c).cast("double") for c in columns]), thousandths).alias("_r")).select(
+        *names, *[F.col("_r")[i].alias(c) for i, c in enumerate(columns)])
+
+
 def summarise_round(items: DataFrame, grades: DataFrame) -> DataFrame:
     """One row per (mode, round): rates, graded means with their coverage, cost."""
-    rate = lambda c: thousandths(F.avg(F.col(c).cast("int"))).alias(f"{c}_rate")
+    rate = lambda c: F.avg(F.col(c).cast("int")).alias(f"{c}_rate")
     base = items.groupBy(*RUN).agg(
         F.count(F.lit(1)).alias("total"),
         rate("context_hit"), rate("answer_hit"), rate("answered"),
@@ -161,16 +168,14 @@ def summarise_round(items: DataFrame, grades: DataFrame) -> DataFrame:
         F.max("latency_ms").alias("max_latency_ms"),
     )
     quality = grades.groupBy(*RUN).agg(
-        thousandths(F.avg(_graded(F.col("faithfulness")))).alias("mean_faithfulness"),
-        thousandths(F.avg(_graded(F.col("answer_relevancy")))).alias("mean_answer_relevancy"),
+        F.avg(_graded(F.col("faithfulness"))).alias("mean_faithfulness"),
+        F.avg(_graded(F.col("answer_relevancy"))).alias("mean_answer_relevancy"),
         F.count(_graded(F.col("faithfulness"))).alias("faithfulness_graded"),
         F.count(_graded(F.col("answer_relevancy"))).alias("answer_relevancy_graded"),
     )
     tokens = usage_tally(items.withColumnRenamed("tokens", "usage"), RUN)
-    return (
-        base.join(quality, RUN, "left").join(tokens, RUN, "left")
-        .fillna(0, ["faithfulness_graded", "answer_relevancy_graded"])
-    )
+    joined = base.join(quality, RUN, "left").join(tokens, RUN, "left")
+    return _all_rounded(joined, METRICS).select(joined.columns).fillna(0, ["faithfulness_graded", "answer_relevancy_graded"])
 
 
 def spread(value: Column) -> Column:
@@ -182,6 +187,21 @@ def spread(value: Column) -> Column:
     )
 
 
+def _spreads(rounds: DataFrame) -> DataFrame:
+    """Per mode and metric: mean, sample deviation (null for one round), least, most, rounds counted; a column per metric.
+
+    Metrics are rows while they are added up and rounded, and columns again at the end.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in METRICS]))
+    value = F.col("value")
+    stats = rounds.select("mode", each.alias("_m")).select("mode", "_m.*").groupBy("mode", "metric").agg(
+        F.avg(value).alias("mean"), F.stddev_samp(value).alias("stdev"), F.min(value).alias("min"), F.max(value).alias("max"),
+        F.count(value).alias("rounds"))
+    rounded = _all_rounded(stats, ["mean", "stdev", "min", "max"])
+    of = F.struct("mean", "stdev", "min", "max", "rounds")
+    return rounded.groupBy("mode").agg(*[F.max(F.when(F.col("metric") == m, of)).alias(m) for m in METRICS])
+
+
 def _round_counts(items: DataFrame) -> DataFrame:
     return items.groupBy("mode").agg(F.count_distinct("round_index").alias("_rounds"))
 
@@ -214,12 +234,11 @@ def answers_repeated_exactly(items: DataFrame) -> DataFrame:
 def aggregate_runs(rounds: DataFrame, items: DataFrame) -> DataFrame:
     """One row per mode: spread of five metrics, cost, and how many items are unstable.
 
-    Which ones they are is a table of its own (`unstable_items`), kept beside the history.
+    Which ones they are is a table of its own (`unstable_items`), kept beside the history. Verdicts
+    and texts of an item are compared in one pass over the items.
     """
-    first = F.min_by("total", "round_index")
     summary = rounds.groupBy("mode").agg(
-        F.count(F.lit(1)).alias("rounds"), first.alias("total"),
-        *[spread(F.col(m)).alias(m) for m in METRICS],
+        F.count(F.lit(1)).alias("rounds"), F.min_by("total", "round_index").alias("total"),
         *[_whole(F.avg(c)).alias(c) for c in ["faithfulness_graded", "answer_relevancy_graded",
                                               "mean_latency_ms"]],
         F.max("max_latency_ms").alias("max_latency_ms"),
@@ -229,11 +248,17 @@ def aggregate_runs(rounds: DataFrame, items: DataFrame) -> DataFrame:
     tokens = usage_tally(
         rounds.select("mode", F.col("tokens").alias("usage")), ["mode"]
     ).withColumnRenamed("tokens", "total_tokens")
-    counts = unstable_items(items).groupBy("mode").agg(F.count(F.lit(1)).alias("n_unstable"))
+    verdict = F.struct("context_hit", "answer_hit")
+    per_item = items.groupBy("mode", "id").agg(
+        (F.min(verdict) != F.max(verdict)).alias("differs"), (F.min("answer_text") == F.max("answer_text")).alias("same"),
+        F.min("round_index").alias("least"), F.max("round_index").alias("most"))
+    compared = per_item.groupBy("mode").agg(
+        F.count_if("differs").alias("n_unstable"), F.bool_and("same").alias("answers_repeated_exactly"),
+        (F.min("least") < F.max("most")).alias("_several"))
     return (
-        summary.join(tokens, "mode", "left").join(counts, "mode", "left")
-        .join(answers_repeated_exactly(items), "mode", "left")
-        .withColumn("n_unstable", F.coalesce("n_unstable", F.lit(0)))
+        summary.join(_spreads(rounds), "mode").join(tokens, "mode", "left").join(compared, "mode", "left")
+        .withColumn("n_unstable", F.when(F.col("_several"), F.col("n_unstable")).otherwise(F.lit(0)))
+        .withColumn("answers_repeated_exactly", F.when(F.col("_several"), F.col("answers_repeated_exactly"))).drop("_several")
     )
 
 

@@ -164,3 +164,15 @@ def test_embed_of_nothing_makes_no_call(frame):
 def test_vectors_from_payload(frame, payload, vectors, error):
     got = frame([(payload,)], "p string").select(vectors_from_payload(F.col("p"), F.lit(2), 2).alias("v")).head()["v"]
     assert (got["vectors"], got["error"]) == (vectors, error)
+
+
+def test_numbers_by_prefix_sums_and_by_placing_are_the_same(frame):
+    """Pages of any number of pieces, blank ones, and two rows with one page number; the text itself is not shuffled."""
+    rows = [(d, p, " ".join(f"w{d}{p}{i}" for i in range((d * 7 + p * 3) % 11))) for d in range(6) for p in (3, 1, 2, 9)] + [(2, 2, "again here"), (None, 1, "no document")]
+    pages = frame(rows, "document_id bigint, page_number int, text string")
+    few, many = chunking.chunk_fixed(pages, 12, 4), chunking.chunk_fixed(pages, 12, 4, most=1)
+    assert set(few.columns) == set(many.columns)
+    key = lambda r: (str(r["document_id"]), r["sequence"], r["page_number"])
+    take = lambda df: sorted((key(r), r["text"]) for r in df.where("document_id <> 2").collect())
+    assert take(few) == take(many)
+    assert sorted(r["sequence"] for r in few.where("document_id = 2").collect()) == list(range(few.where("document_id = 2").count()))
