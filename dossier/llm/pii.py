@@ -28,10 +28,23 @@ ADDRESS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 DIGIT = re.compile("[0-9]")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+# Spelled digits and marks in English, German, Spanish and French.
 SPELLED = {
     "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7",
-    "eight": "8", "nine": "9", "plus": "+", "dot": ".", "point": ".", "dash": "-", "hyphen": "-",
+    "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6",
+    "sieben": "7", "acht": "8", "neun": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "plus": "+", "más": "+", "mas": "+", "dot": ".", "point": ".", "punkt": ".", "punto": ".",
+    "dash": "-", "hyphen": "-", "strich": "-", "bindestrich": "-", "guion": "-", "guión": "-", "tiret": "-",
 }
+REPEATS = {"double": 2, "doble": 2, "doppelt": 2, "triple": 3}
+# Words for the sign of an address, each with the words for a dot that go with it; @ itself goes with all.
+AT_WORDS = {"at": ["dot"], "ät": ["punkt", "dot"], "klammeraffe": ["punkt", "dot"], "arroba": ["punto", "dot"],
+            "arobase": ["point", "dot"], "arobas": ["point", "dot"], "@": ["dot", "punkt", "punto", "point"]}
+# These say by themselves that an address follows; after the others one of its dots must be a word.
+SURE_AT = frozenset(["arroba", "arobase", "arobas", "klammeraffe"])
 LOOK_ALIKES = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X",
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x",
@@ -42,7 +55,6 @@ LOOK_ALIKES = {
     "\ufe52": ".", "\u00a0": " ", "\u2007": " ", "\u202f": " ", "\u3000": " ", "\u200b": "", "\u200c": "",
     "\u200d": "", "\u2060": "", "\ufeff": "", "\u00ad": "",
 }
-TOP_DOMAINS = frozenset("com org net edu gov info biz io co de fr es uk eu us ch at it nl be pl ru in cn jp br".split())
 # -------------------------------------------------------------------------------------------------
 
 # Wide forms of printable ASCII lie in one row of the code chart.
@@ -51,17 +63,21 @@ OTHER_DIGITS = "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isdecimal(
 DISGUISED = re.compile("[" + "".join(re.escape(c) for c in GLYPHS) + OTHER_DIGITS + "]")
 # No character of these ranges is in DISGUISED; most texts of European languages have no other.
 UNUSUAL = re.compile("[^\\x00-\\x9f\\xa1-\\xac\\xae-\\u0250\\u0262-\\u0390\\u2018-\\u201f]")
-DIGIT_WORD = "|".join(w for w, c in SPELLED.items() if c.isdigit())
-ANY_WORD = "|".join(SPELLED)
+longest = lambda words: "|".join(sorted(map(re.escape, words), key=len, reverse=True))
+DIGIT_WORDS = [w for w, c in SPELLED.items() if c.isdigit()]
+PLUS_WORDS = [w for w, c in SPELLED.items() if c == "+"]
+DIGIT_WORD, ANY_WORD, REPEAT = longest(DIGIT_WORDS), longest(SPELLED), longest(REPEATS)
 SPELLED_RUN = re.compile(
-    rf"(?<![^\W_])(?:plus[\s,.-]{{1,3}})?(?:{DIGIT_WORD})(?:[\s,.-]{{1,3}}(?:{ANY_WORD}|[0-9]+)(?![^\W_])){{3,}}", re.I)
-SPELLED_ITEM = re.compile(rf"{ANY_WORD}|[0-9]", re.I)
+    rf"(?<![^\W_])(?:(?:{longest(PLUS_WORDS)}|\+)[\s,.-]{{1,3}})?(?:(?:{REPEAT})[\s,.-]{{1,3}})?(?:{DIGIT_WORD})"
+    rf"(?:[\s,.-]{{1,3}}(?:(?:{REPEAT})[\s,.-]{{1,3}})?(?:{ANY_WORD}|[0-9]+)(?![^\W_])){{3,}}", re.I)
+SPELLED_ITEM = re.compile(rf"(?:({REPEAT})[\s,.-]{{1,3}})?({ANY_WORD}|[0-9+])", re.I)
+_AT, _DOT = longest(AT_WORDS), longest(sorted({d for dots in AT_WORDS.values() for d in dots}))
 BRACKET_SIGN = re.compile(
-    r"(?<=\S)\x20{0,3}(?:[\[({<]\x20{0,2}(?P<sign>at|@|dot|punkt|punto|point|\.)\x20{0,2}[\])}>])\x20{0,3}(?=\S)", re.I)
+    rf"(?<=\S)\x20{{0,3}}(?:[\[({{<]\x20{{0,2}}(?P<sign>{_AT}|{_DOT}|\.)\x20{{0,2}}[\])}}>])\x20{{0,3}}(?=\S)", re.I)
 PLAIN_SIGN = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?P<at>\x20at\x20)[A-Za-z0-9-]{1,63}"
-    r"(?:(?:\x20dot\x20|\.)[A-Za-z0-9-]{1,63}){0,4}(?:\x20dot\x20|\.)(?P<top>[A-Za-z]{2,8})(?![A-Za-z0-9-])", re.I)
-PLAIN_DOT = re.compile(r"\x20dot\x20", re.I)
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?P<at>\x20(?:{_AT})\x20|@)[A-Za-z0-9-]++(?:(?:\x20(?:{_DOT})\x20|\.)[A-Za-z0-9-]++)++", re.I)
+PLAIN_DOT = re.compile(rf"\x20({_DOT})\x20", re.I)
+LABEL, ENDING = re.compile(r"[A-Za-z0-9-]+"), re.compile(r"[A-Za-z]{2,}")
 
 
 def luhn(digits: str) -> bool:
@@ -149,34 +165,57 @@ def phrases(r: Rewritten) -> Rewritten:
     for run in SPELLED_RUN.finditer(r.text):
         at, items = run.start(), []
         for item in SPELLED_ITEM.finditer(r.text, run.start(), run.end()):
-            items.append((at, item.end(), SPELLED.get(item[0].lower(), item[0])))
+            times = REPEATS[item[1].lower()] if item[1] else 1
+            items.append((at, item.end(), SPELLED.get(item[2].lower(), item[2]) * times))
             at = item.end()
         edits += items
     if edits:
         r = r.replace(edits)
-    edits = [(m.start(), m.end(), "@" if m["sign"].lower() in ("at", "@") else ".") for m in BRACKET_SIGN.finditer(r.text)]
+    edits = [(m.start(), m.end(), "@" if m["sign"].lower() in AT_WORDS else ".") for m in BRACKET_SIGN.finditer(r.text)]
     if edits:
         r = r.replace(edits)
     edits = []
     for m in PLAIN_SIGN.finditer(r.text):
-        dots = [(d.start(), d.end(), ".") for d in PLAIN_DOT.finditer(r.text, m.end("at") - 1, m.end())]
-        if dots and m["top"].lower() in TOP_DOMAINS:
-            edits += [(m.start("at"), m.end("at"), "@"), *dots]
+        edits += _signs(m)
     return r.replace(edits) if edits else r
 
 
-# Every match of SPELLED_RUN, BRACKET_SIGN and PLAIN_SIGN holds one of SPELLED_START, OPENING and PLAIN_DOT. In lower case a pattern
+def _signs(m: re.Match) -> list[tuple[int, int, str]]:
+    """The signs to be rewritten in what may be an address: up to the last dot that goes with its at, before an ending of letters."""
+    at = m["at"].strip().lower()
+    dots, place, spelled = [], m.end("at"), False
+    while True:
+        label = LABEL.match(m.string, place, m.end())
+        dot = PLAIN_DOT.match(m.string, label.end(), m.end()) if label else None
+        if dot and dot[1].lower() in AT_WORDS[at]:
+            dots.append((dot.start(), dot.end(), "."))
+            spelled, place = True, dot.end()
+        elif label and not dot and m.string[label.end():label.end() + 1] == "." and label.end() < m.end():
+            dots.append((label.end(), label.end() + 1, "."))
+            place = label.end() + 1
+        else:
+            break
+    if not dots or not (label and ENDING.fullmatch(label[0])) or not (spelled or at in SURE_AT):
+        return []
+    return [*([(m.start("at"), m.end("at"), "@")] if at != "@" else []), *[d for d in dots if d[1] - d[0] > 1]]
+
+
+# Every match of SPELLED_RUN and BRACKET_SIGN holds one of SPELLED_START and OPENING, and every rewritten one of PLAIN_SIGN a
+# word for its at that is sure, the word dot, or an @ and a word for a dot. In lower case a pattern
 # for each word is faster; letters that only re.I takes for i, k and s are left to the one pattern.
-SPELLED_START = re.compile(rf"(?:{DIGIT_WORD})[\s,.-]{{1,3}}(?:{ANY_WORD}|[0-9])", re.I)
-SPELLED_STARTS = [re.compile(rf"{w}[\s,.-]{{1,3}}(?:{ANY_WORD}|[0-9])") for w in DIGIT_WORD.split("|")]
+SPELLED_START = re.compile(rf"(?:{DIGIT_WORD})[\s,.-]{{1,3}}(?:{ANY_WORD}|{REPEAT}|[0-9])", re.I)
+SPELLED_STARTS = [re.compile(rf"{w}[\s,.-]{{1,3}}(?:{ANY_WORD}|{REPEAT}|[0-9])") for w in DIGIT_WORDS]
 ODD_CASE = re.compile("[\u0130\u0131\u017f\u212a]")
-OPENING = re.compile(r"[\[({<]\x20{0,2}(?:at|@|dot|punkt|punto|point|\.)\x20{0,2}[\])}>]", re.I)
+OPENING = re.compile(rf"[\[({{<]\x20{{0,2}}(?:{_AT}|{_DOT}|\.)\x20{{0,2}}[\])}}>]", re.I)
+SURE_SIGN = re.compile(rf"\x20(?:{longest([w for w in AT_WORDS if w not in ('at', '@')])})\x20", re.I)
+EASY_DOT = re.compile(r"\x20dot\x20", re.I)
 
 
 def says_something(text: str) -> bool:
     """Quick test for what the second transducer could rewrite: true wherever it would."""
     low = text.lower()
-    return (PLAIN_DOT.search(text) is not None or OPENING.search(text) is not None or any(p.search(low) for p in SPELLED_STARTS)
+    return (EASY_DOT.search(text) is not None or OPENING.search(text) is not None or SURE_SIGN.search(text) is not None
+            or "@" in text and PLAIN_DOT.search(text) is not None or any(p.search(low) for p in SPELLED_STARTS)
             or not text.isascii() and ODD_CASE.search(text) is not None and SPELLED_START.search(text) is not None)
 
 

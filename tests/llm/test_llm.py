@@ -163,6 +163,32 @@ def test_spans_are_source_offsets(text, kind, span):
     assert (kind, span) in found and span not in pii.masked(text)
 
 
+@pytest.mark.parametrize("text, kind, span, read", [
+    ("ruf plus vier neun drei null eins zwei drei vier fünf sechs an", "phone", "plus vier neun drei null eins zwei drei vier fünf sechs", None),
+    ("llama más tres cuatro nueve uno dos tres cuatro cinco seis siete hoy", "phone", "más tres cuatro nueve uno dos tres cuatro cinco seis siete", None),
+    ("le plus trois trois un deux zéro quatre cinq six sept huit ici", "phone", "plus trois trois un deux zéro quatre cinq six sept huit", None),
+    ("call + four four double five one two triple three nine now", "phone", "+ four four double five one two triple three nine", None),
+    ("jo arroba mail punto com", "email", "jo arroba mail punto com", None), ("jo arroba mail.com.", "email", "jo arroba mail.com", None),
+    ("jo at mail dot xyz", "email", "jo at mail dot xyz", None), ("jo@mail dot com", "email", "jo@mail dot com", None),
+    ("jo@mail punkt de", "email", "jo@mail punkt de", None), ("jo arobase mail point fr", "email", "jo arobase mail point fr", None),
+    ("jo [arroba] mail [punto] es", "email", "jo [arroba] mail [punto] es", None), ("jo at a.b dot c.d dot e dot museum", "email", "jo at a.b dot c.d dot e dot museum", None),
+    ("x" * 300 + " at " + "y" * 200 + " dot org", "email", "x" * 300 + " at " + "y" * 200 + " dot org", None),
+    ("Jo Ät Mail Punkt De", "email", "Jo Ät Mail Punkt De", None),
+])
+def test_disguises_of_four_languages(monkeypatch, text, kind, span, read):
+    got = pii.find_spans(text)
+    assert [(pii.KINDS[k], text[s:e]) for s, k, e in got[1]] == [(kind, span)] and span not in pii.masked(text)
+    monkeypatch.setattr(pii, "says_something", lambda text: True)
+    assert got == pii.find_spans(text)
+
+
+@pytest.mark.parametrize("text", [
+    "look at this point we agree", "look at example.com now", "mas un dos", "at noon. Point taken", "a point de vue at home", "jo at mail dot 5",
+    "un deux trois", "@ point", "jo arroba mail", "double five", "plus one more", "jo@mail point"])
+def test_plain_words_are_no_disguise(text):
+    assert pii.find_spans(text)[1] == []
+
+
 NUMBER = "one five five five one two three four five six".split()
 
 
