@@ -11,7 +11,8 @@ recurs and all its words are links. If nothing is left of a page, the subtree th
 is one of several on more than TEXT_SHARE of them: such a page is all template. The template goes first: an article or main
 in a deleted container is not looked at.
 
-The text is that of the outermost article elements; failing these, of main; failing that, of the body. Blocks are joined by one
+The text is that of the outermost article elements; failing these, of main; failing that, of articles or main inside a form or a
+section dropped for its names; failing that, of the body. Blocks are joined by one
 space, inline elements by nothing.
 
 A null or empty html gives an empty text. A page without a host takes part in no count. Repeated rows are pages of their own.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 import xxhash
@@ -50,10 +52,12 @@ NO_ARTICLE = frozenset(
     "canvas object head title datalist".split())
 NO_ARTICLE_NAMES = frozenset(
     "nav navbar navigation menu submenu footer sidebar ad ads adv advert adverts advertisement sponsor sponsored promo banner "
-    "cookie cookies consent gdpr notice notices alert comment comments disqus respond replies share sharing social "
+    "cookie cookies consent gdpr notice notices alert comment comments commentlist disqus respond replies discussion discussions "
+    "reactions talkback guestbook share sharing social "
     "related recommended newsletter subscribe breadcrumb breadcrumbs popup modal overlay login signup toolbar pagination "
     "pager masthead widget widgets skip copyright".split())
 NO_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
+SOFT = frozenset("form div section td span center fieldset".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
@@ -66,6 +70,7 @@ TOKEN = re.compile(
     r"""<(?:!--(?P<comment>.*?)(?:--!?>|\Z)|(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^"'>]++|"[^"]*"|'[^']*')*+)>"""
     r"""|(?P<odd>/?[A-Za-z][^\s/>]*[^>]*(?:>|\Z))|[!?/][^>]*(?:>|\Z))""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 NAME = re.compile(r"[A-Za-z0-9]+")
 DIGITS = re.compile(r"[0-9]")
 
@@ -98,22 +103,24 @@ def names_of(attrs: str) -> tuple[str, bool, bool]:
 def parse(text: str) -> tuple[Node, list[Node]]:
     """The tree of a page and all its closed elements."""
     root = Node("#", False, "")
-    stack, nodes, at, lower = [root], [], 0, None
+    stack, nodes, at = [root], [], 0
+    places: dict[str, list[int]] = defaultdict(list)  # of the open elements of a tag
 
     def close(depth: int) -> None:
         while len(stack) > depth:
             node = stack.pop()
+            places[node.tag].pop()
             node.hash = node.mark.intdigest()
             stack[-1].mark.update(node.hash.to_bytes(8, "little"))
             nodes.append(node)
 
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
     def depth_of(tags, stops) -> int:
-        for d in range(len(stack) - 1, 0, -1):
-            if stack[d].tag in tags:
-                return d
-            if stack[d].tag in stops:
-                return 0
-        return 0
+        """The innermost open element of the tags, unless one of the stops is open inside it."""
+        found = last(tags)
+        return found if found >= last(stops) else 0
 
     def data(piece: str) -> None:
         if piece:
@@ -121,7 +128,6 @@ def parse(text: str) -> tuple[Node, list[Node]]:
             top.parts.append(piece)
             top.mark.update(" ".join(DIGITS.sub("0", piece).split()).encode("utf-8", "surrogatepass"))
 
-    inside_article = 0
     while True:
         m = TOKEN.search(text, at)
         data(text[at:m.start()] if m else text[at:])
@@ -159,7 +165,7 @@ def parse(text: str) -> tuple[Node, list[Node]]:
         elif tag == "article":
             no = comment
         elif tag == "header":
-            no = no or not any(n.tag in ("article", "main") for n in stack)
+            no = no or not (places["article"] or places["main"])
         elif tag in NO_ARTICLE:
             no = True
         node = Node(tag, no, label)
@@ -167,13 +173,10 @@ def parse(text: str) -> tuple[Node, list[Node]]:
         if tag in VOID:
             continue
         if tag in RAW:
-            if lower is None:
-                lower = text.lower() if text.isascii() else re.sub("[A-Z]+", lambda x: x[0].lower(), text)
-            stop = lower.find(f"</{tag}", at)
-            at = len(text) if stop < 0 else stop
-            stop = text.find(">", at)
-            at = len(text) if stop < 0 else stop + 1
+            stop = RAW_END[tag].search(text, at)
+            at = stop.end() if stop else len(text)
             continue
+        places[tag].append(len(stack))
         stack.append(node)
     close(1)
     return root, nodes
@@ -196,15 +199,16 @@ def body_and_hashes(text: str | None) -> tuple[int, list[int]]:
     return signed(body), sorted(map(signed, found))
 
 
-def _tops(root: Node, tag: str, template: dict[int, float]) -> list[Node]:
-    """The outermost elements of a tag that are not dropped and in no container of the template."""
+def _tops(root: Node, tag: str, template: dict[int, float], hidden: bool = False) -> list[Node]:
+    """The outermost elements of a tag that are not dropped and in no container of the template. With `hidden` also those in a
+    form or a section dropped for its names: an article or main ends the reach of these."""
     found, todo = [], [root]
     while todo:
         node = todo.pop()
-        if node.tag == tag:
+        if node.tag == tag and not node.dropped:
             found.append(node)
         else:
-            todo.extend(p for p in reversed(node.parts) if isinstance(p, Node) and not p.dropped
+            todo.extend(p for p in reversed(node.parts) if isinstance(p, Node) and (not p.dropped or hidden and p.tag in SOFT)
                         and (p.tag == tag or p.tag in TEXT_BLOCKS or p.hash not in template))
     return found
 
@@ -261,9 +265,10 @@ def _texts(nodes: list[Node], template: dict[int, float], protects: bool, last:
 
 
 def _main_text(root: Node, template: dict[int, float]) -> str:
-    for tag in ("article", "main"):
-        if found := _texts(_tops(root, tag, template), template, True, False):
-            return found
+    for hidden in (False, True):
+        for tag in ("article", "main"):
+            if found := _texts(_tops(root, tag, template, hidden), template, True, False):
+                return found
     return _texts([root], template, False, True)
 
 

@@ -1,5 +1,7 @@
 """Main text of single pages."""
 
+import time
+
 import pytest
 
 from dossier.llm.templates import extract, main_text
@@ -67,3 +69,29 @@ def test_the_template_goes_before_the_main_block_is_picked(spark):
     pages = [page(top, notice, f"<div class=c><p>Only {w} here, and a longer text than that.</p></div>", foot) for w in WORDS]
     got = texts_of(spark, pages)
     assert [got[i] for i in range(len(WORDS))] == [f"Only {w} here, and a longer text than that." for w in WORDS]
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<body><form id=aspnetForm><article><p>Whole article.</p></article></form></body>", "Whole article."),
+    ("<body><div class=widget><article>Kept</article></div><footer>no</footer></body>", "Kept"),
+    ("<body><div class='post comment-enabled'><main>Kept</main></div></body>", "Kept"),
+    ("<body><article>Story</article><div class=related><article>Teaser</article></div></body>", "Story"),
+    ("<body><article>Story</article><div class=comments><article class=comment>Reader</article></div></body>", "Story"),
+    ("<body><div class=comments><article class=comment>Reader</article></div><p>Body text</p></body>", "Body text"),
+    ("<article>a<script>var a='</scripted>'; y</script>b</article>", "ab"),
+    ("<article>a<style>p{}</STYLE  >b<script>x</script\n>c</article>", "abc"),
+    ("<article>a</article><section id=reader-discussion><p>I think so.</p></section>", "a"),
+    ("<body><p>Only text</p><section id=reader-discussion><p>I think so.</p></section></body>", "Only text"),
+    ("<script>never closed <article>x</article>", ""),
+])
+def test_names_forms_and_raw_elements(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 20_000 + "x" + "</span>" * 20_000, "<header>" * 8_000, "<p>" * 30_000, "<li>a" * 30_000, "<table><tr><td>" * 8_000,
+    "<b>" * 20_000 + "</i>" * 20_000])
+def test_time_grows_with_the_page(page):
+    begun = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - begun < 5
