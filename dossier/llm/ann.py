@@ -1,18 +1,21 @@
 """Approximate nearest neighbours by cosine: multiprobe p-stable hashing.
 
 On unit vectors the order by cosine is the order by Euclidean distance, for which Gaussian projections are stable. Each of TABLES tables cuts
-PROJECTIONS projections into slots of WIDTH; a query visits its own bucket and the PROBES - 1 perturbed ones of greatest
-estimated success (least sum of squared distances to the slot borders), and what the tables find is ranked again
-by the exact cosine of the original vectors. Every vector is indexed; nothing is fitted to the data.
+projections into slots of WIDTH; a query visits its own bucket and the perturbed ones of greatest estimated success (least sum of
+squared distances to the slot borders). What all tables find is merged before anything is compared, and ranked again by the exact
+cosine of the original vectors, so a pair is compared once at most. Every vector is hashed into every table.
 
-Equal vectors are one class with its 6 smallest ids, so a vector that a third of all rows share is one entry. A bucket of more
-than BLOCK vectors, or of more than BLOCK probing queries, is split into blocks that meet each other in separate tasks; of each block
-only the best TOP + 1 of a query leave the task. A query for which the probed buckets hold fewer than it asks for is compared with
-all vectors, CHUNK queries at a time.
+How many projections and probes there are is fitted: a sample of SAMPLE queries is compared with all vectors, and of SETTINGS the one
+that visits the fewest vectors and finds WANTED_RECALL of the sample's neighbours is taken. Where the neighbours are
+close that is a setting of many projections; vectors without close neighbours need wide ones.
+
+Queries travel with their buckets, CHUNK at a time; vectors stay where they are, and of a batch only the best TOP + 1 of a query
+leave the task. So no bucket is gathered, however many vectors share it. Equal vectors are one class with its 6 smallest ids. A
+query that has met too few vectors visits the buckets of the widest setting, and if that is not enough all vectors.
 
 Vectors that are null or zero, or hold null, NaN or infinity, take no part, nor do rows with a null id; vectors are compared with those of
 their own length only. Rows that repeat id and vector count once. Columns beside vec_id and embedding are not read.
-Recall of the 5 nearest against brute force is stated in the README; it depends on the data, and PROBES trades it for work.
+Recall of the 5 nearest against brute force and the share of pairs compared are stated in the README.
 """
 
 from __future__ import annotations
@@ -23,24 +26,27 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from dossier.llm.base import map_batches, query, table, written
 
-TABLES, PROJECTIONS, WIDTH, PROBES = 8, 5, 1.2, 96
+TABLES, WIDTH = 16, 1.2
+# Projections and probes, from the one that visits the fewest vectors to the one that visits the most.
+SETTINGS = [(14, 64), (12, 64), (10, 96), (9, 96), (8, 128), (7, 96), (6, 64), (6, 160), (5, 128), (4, 128)]
+SAMPLE, WANTED_RECALL = 96, 0.94
 TOP = 5
-BLOCK = 2048
-CHUNK = 1024
+CHUNK = 2048  # queries that travel to every task at a time
 
 
 class Hashes:
     """The projections of one table for vectors of one length; the same in every task."""
 
-    def __init__(self, dim: int, number: int):
+    def __init__(self, dim: int, number: int, projections: int):
         rng = np.random.default_rng([dim, number])
-        self.a = rng.standard_normal((dim, PROJECTIONS))
-        self.b = rng.random(PROJECTIONS) * WIDTH
-        self.mix = rng.integers(1, 1 << 62, PROJECTIONS, dtype=np.int64) | 1
+        self.a = rng.standard_normal((dim, projections))
+        self.b = rng.random(projections) * WIDTH
+        self.mix = rng.integers(1, 1 << 62, projections, dtype=np.int64) | 1
         self.dim = np.int64(dim)
 
     def slots(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,6 +57,11 @@ class Hashes:
     def keys(self, slots: np.ndarray) -> np.ndarray:
         return (slots * self.mix).sum(axis=-1) ^ self.dim
 
+    def visited(self, unit: np.ndarray, probes: int) -> np.ndarray:
+        """The buckets that a query visits, in sorted order."""
+        slots, inside = self.slots(unit[None])
+        return np.unique(self.keys(slots[0] + np.stack(perturbations(inside[0], probes))))
+
 
 def perturbations(inside: np.ndarray, probes: int) -> list[np.ndarray]:
     """Slot shifts in the order of estimated success; `inside` is the place within each slot, 0 to 1."""
@@ -109,47 +120,22 @@ def classes_of(rows: DataFrame) -> DataFrame:
     return kept.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
-def _hashed(rows: DataFrame, probing: bool) -> DataFrame:
-    """rep, embedding, number of the table and bucket; a probing row for each bucket it visits."""
-    kind = rows.schema["embedding"].dataType.simpleString()
+def _probes(asking: DataFrame, setting: tuple[int, int]) -> DataFrame:
+    """rep, embedding and, by table, the buckets that the query visits."""
+    projections, probes = setting
+    schema = T.StructType([*asking.schema.fields, T.StructField("buckets", T.ArrayType(T.ArrayType(T.LongType())))])
 
     def work(batch):
-        where, numbers, buckets = [], [], []
-        for dim, (at, matrix) in stacked(batch.column("embedding")).items():
-            unit = units(matrix)
-            for number in range(TABLES):
-                h = Hashes(dim, number)
-                slots, inside = h.slots(unit)
-                if probing:
-                    for i, row in enumerate(at):
-                        keys = np.unique(h.keys(slots[i] + np.stack(perturbations(inside[i], PROBES))))
-                        where.append(np.full(len(keys), row))
-                        buckets.append(keys)
-                        numbers.append(np.full(len(keys), number, np.int32))
-                else:
-                    where.append(at)
-                    buckets.append(h.keys(slots))
-                    numbers.append(np.full(len(at), number, np.int32))
-        take = pa.array(np.concatenate(where))
-        return pa.RecordBatch.from_arrays(
-            [batch.column("rep").take(take), batch.column("embedding").take(take), pa.array(np.concatenate(numbers)), pa.array(np.concatenate(buckets))],
-            ["rep", "embedding", "number", "bucket"])
-
-    return map_batches(rows.select("rep", "embedding"), work, f"rep bigint, embedding {kind}, number int, bucket bigint")
+        out = []
+        for vector in batch.column("embedding"):
+            unit = units(np.asarray(vector.values, np.float64)[None])[0]
+            out.append([Hashes(len(unit), number, projections).visited(unit, probes).tolist() for number in range(TABLES)])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.list_(pa.int64())))], names=schema.fieldNames())
 
+    return map_batches(asking, work, schema)
 
-FOUND = "query bigint, rep bigint, score double"
 
-
-def best_of(queries: list, query_matrix: np.ndarray, reps: list, matrix: np.ndarray) -> list[tuple]:
-    """The TOP + 1 best of the block for each query, and what ties with the last, by exact cosine."""
-    rough = units(query_matrix) @ units(matrix).T
-    keep = min(TOP + 1, matrix.shape[0])
-    least = np.partition(rough, matrix.shape[0] - keep, axis=1)[:, matrix.shape[0] - keep] - 1e-9
-    rows, columns = np.nonzero(rough >= least[:, None])
-    a, b = query_matrix[rows], matrix[columns]
-    scores = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
-    return [(queries[i], reps[j], float(s)) for i, j, s in zip(rows.tolist(), columns.tolist(), scores, strict=True)]
+FOUND = "query bigint, rep bigint, score double"
 
 
 def _table(found: list[tuple]):
@@ -157,45 +143,72 @@ def _table(found: list[tuple]):
     return [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)]
 
 
-def _probed(index: DataFrame, probes: DataFrame) -> DataFrame:
-    at = ["number", "bucket"]
-    sizes = (index.groupBy(at).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-             .join(probes.groupBy(at).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("query_blocks")), at))
-    dealt = lambda of: F.pmod(F.xxhash64("rep"), F.col(of)).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    vectors = index.join(sizes, at).select(*at, dealt("blocks").alias("block"), every("query_blocks").alias("query_block"), "rep", "embedding", F.lit(False).alias("asks"))
-    asking = probes.join(sizes, at).select(*at, every("blocks").alias("block"), dealt("query_blocks").alias("query_block"), "rep", "embedding", F.lit(True).alias("asks"))
+class Block:
+    """Some queries of one length with the buckets they visit, by table; without buckets they visit every vector."""
 
-    def work(group):
-        asks = group.column("asks").to_numpy()
-        reps = group.column("rep").to_pylist()
-        (matrix,) = (m for _, m in stacked(group.column("embedding").combine_chunks()).values())
-        mine, others = np.flatnonzero(asks), np.flatnonzero(~asks)
-        found = best_of([reps[i] for i in mine], matrix[mine], [reps[i] for i in others], matrix[others]) if len(mine) and len(others) else []
-        return pa.table(_table(found), names=["query", "rep", "score"])
+    def __init__(self, rows: list, with_buckets: bool):
+        self.ids = np.array([r["rep"] for r in rows], np.int64)
+        self.matrix = np.array([r["embedding"] for r in rows], np.float64)
+        self.tables = None
+        if with_buckets:
+            self.tables = []
+            for number in range(TABLES):
+                sizes = [len(r["buckets"][number]) for r in rows]
+                keys = np.concatenate([np.array(r["buckets"][number], np.int64) for r in rows])
+                order = np.argsort(keys, kind="stable")
+                self.tables.append((keys[order], np.repeat(np.arange(len(rows)), sizes)[order]))
+
+    def met(self, unit: np.ndarray, projections: int) -> np.ndarray:
+        """Which queries visit which vectors, the candidates of all tables merged."""
+        if self.tables is None:
+            return np.ones((len(self.ids), len(unit)), bool)
+        found = np.zeros((len(self.ids), len(unit)), bool)
+        for number, (keys, queries) in enumerate(self.tables):
+            h = Hashes(unit.shape[1], number, projections)
+            own = h.keys(h.slots(unit)[0])
+            first, last = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+            sizes = last - first
+            row = np.repeat(np.arange(len(own)), sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first, sizes)
+            found[queries[place], row] = True
+        return found
+
+
+def reranked(block: Block, reps: np.ndarray, matrix: np.ndarray, projections: int) -> list[tuple]:
+    """For each query of a block its TOP + 1 best candidates, and what ties with the last, by exact cosine. Each pair is compared once."""
+    unit, asked, out = units(matrix), units(block.matrix), []
+    for q, visits in enumerate(block.met(unit, projections)):
+        at = np.flatnonzero(visits)
+        if len(at):
+            rough = unit[at] @ asked[q]
+            keep = min(TOP + 1, len(at))
+            at = at[rough >= np.partition(rough, len(at) - keep)[len(at) - keep] - 1e-9]
+            out += [(int(block.ids[q]), int(reps[i]), cosine(block.matrix[q], matrix[i])) for i in at.tolist()]
+    return out
 
-    return vectors.unionByName(asking).groupBy(*at, "block", "query_block").applyInArrow(work, FOUND)
 
+def _searched(classes: DataFrame, asking: DataFrame, setting: tuple[int, int] | None) -> DataFrame | None:
+    """The best classes of each query (rep, embedding), CHUNK queries at a time; without a setting they are compared with all.
 
-def _compared_with_all(classes: DataFrame, few: DataFrame) -> DataFrame | None:
-    """The queries of `few` (rep, embedding) against every class, CHUNK of them at a time."""
-    n = few.count()
-    found = None
+    Vectors stay where they are: each is hashed once a table and scan, and compared with a query once at most.
+    """
+    n = asking.count()
     chunks = -(-n // CHUNK)
+    rows = written(_probes(asking, setting), "probes") if setting else asking
+    found = None
     for chunk in range(chunks):
-        rows = few.where(F.pmod(F.xxhash64("rep"), F.lit(chunks)) == chunk).collect()
-        by_dim: dict[int, tuple[list, list]] = {}
-        for r in rows:
-            ids, vectors = by_dim.setdefault(len(r["embedding"]), ([], []))
-            ids.append(r["rep"])
-            vectors.append(np.array(r["embedding"], np.float64))
-
-        def work(batch, by_dim=by_dim):
+        by_dim: dict[int, list] = {}
+        for r in rows.where(F.pmod(F.xxhash64("rep"), F.lit(chunks)) == chunk).collect():  # about CHUNK rows
+            by_dim.setdefault(len(r["embedding"]), []).append(r)
+        shipped = classes.sparkSession.sparkContext.broadcast({dim: Block(some, setting is not None) for dim, some in by_dim.items()})
+
+        def work(batch, shipped=shipped):
             out = []
             for dim, (at, matrix) in stacked(batch.column("embedding")).items():
-                if dim in by_dim:
-                    reps = batch.column("rep").take(pa.array(at)).to_pylist()
-                    out += best_of(by_dim[dim][0], np.stack(by_dim[dim][1]), reps, matrix)
+                if dim in shipped.value:
+                    reps = batch.column("rep").to_numpy()[at]
+                    for some in range(0, len(at), 1024):
+                        out += reranked(shipped.value[dim], reps[some:some + 1024], matrix[some:some + 1024], setting[0] if setting else 0)
             return pa.RecordBatch.from_arrays(_table(out), ["query", "rep", "score"])
 
         part = map_batches(classes.select("rep", "embedding"), work, FOUND)
@@ -203,6 +216,38 @@ def _compared_with_all(classes: DataFrame, few: DataFrame) -> DataFrame | None:
     return found
 
 
+def fitted(classes: DataFrame, asking: DataFrame) -> tuple[int, int]:
+    """The first of SETTINGS that finds WANTED_RECALL of the true neighbours of a sample of SAMPLE queries.
+
+    The sample's neighbours come from a comparison with all vectors; a setting finds one if some table puts it into a visited bucket.
+    """
+    sample = written(asking.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE), "sample")
+    true = _searched(classes, sample, None)
+    if true is None:
+        return SETTINGS[0]
+    best = _best_classes(true).where(F.col("query") != F.col("rep"))
+    pairs = (best.join(classes.select("rep", F.col("embedding").alias("near")), "rep")
+             .join(sample.select(F.col("rep").alias("query"), "embedding"), "query").groupBy("query", "embedding").agg(F.collect_list("near").alias("near")))
+
+    def count(batch):
+        hits, n = np.zeros(len(SETTINGS), np.int64), 0
+        for vector, near in zip(batch.column("embedding"), batch.column("near")):
+            unit = units(np.asarray(vector.values, np.float64)[None])[0]
+            others = units(np.array(near.as_py(), np.float64))
+            n += len(others)
+            for i, (projections, probes) in enumerate(SETTINGS):
+                got = np.zeros(len(others), bool)
+                for number in range(TABLES):
+                    h = Hashes(len(unit), number, projections)
+                    got |= np.isin(h.keys(h.slots(others)[0]), h.visited(unit, probes))
+                hits[i] += got.sum()
+        return pa.RecordBatch.from_arrays([pa.array([*range(len(SETTINGS)), -1], pa.int32()), pa.array([*hits, n], pa.int64())], ["setting", "n"])
+
+    counts = {r[0]: r[1] for r in map_batches(pairs.repartition(16, "query"), count, "setting int, n bigint").groupBy("setting").agg(F.sum("n")).collect()}
+    total = counts.get(-1, 0)
+    return next((s for i, s in enumerate(SETTINGS) if counts.get(i, 0) >= WANTED_RECALL * total), SETTINGS[-1])
+
+
 def _best_classes(found: DataFrame) -> DataFrame:
     best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
     return (found.groupBy("query", "rep").agg(F.max("score").alias("score"))
@@ -217,13 +262,19 @@ def nearest(vectors: DataFrame, is_query) -> DataFrame:
     asked = written(rows.where(is_query).join(classes.select("embedding", "rep"), "embedding").select(F.col("vec_id").alias("query_id"), "rep"), "queries")
     asking = written(classes.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "embedding"), "query-classes")
 
-    probed = _probed(_hashed(classes, False), _hashed(asking, True))
+    setting = fitted(classes, asking)
+    probed = _searched(classes, asking, setting)
+    if probed is None:
+        probed = vectors.sparkSession.createDataFrame([], FOUND)
     best = written(_best_classes(probed), "best")
-    held = best.join(members, "rep").groupBy("query").agg(F.sum(F.size("ids")).alias("n"))
-    few = asking.join(held.where(F.col("n") > TOP), asking["rep"] == held["query"], "left_anti")
-    more = _compared_with_all(classes, written(few, "few"))
-    if more is not None:
-        best = best.unionByName(_best_classes(more)).groupBy("query", "rep").agg(F.max("score").alias("score"))
+    # A query that has not met enough visits more buckets, then all vectors.
+    for wider in (SETTINGS[-1], None):
+        held = best.join(members, "rep").groupBy("query").agg(F.sum(F.size("ids")).alias("n"))
+        few = written(asking.join(held.where(F.col("n") > TOP), asking["rep"] == held["query"], "left_anti"), "few")
+        more = _searched(classes, few, wider)
+        if more is None:
+            break
+        best = written(_best_classes(best.unionByName(_best_classes(more))), "best")
     ids = best.join(members, "rep").select("query", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (asked.join(ids, asked["rep"] == ids["query"]).where("vec_id <> query_id")
