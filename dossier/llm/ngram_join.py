@@ -10,15 +10,19 @@ Two documents link when 100 * |intersection| >= 75 * |union| of their shingle se
    most n // 4 of its own. Rare shingles are indexed singly, frequent ones as pairs within small classes; the prefix
    extends until more than n // 4 shingles would have to be missed to lose every index entry. A class of k
    frequent shingles counts k - 1. The number of classes follows the size of the set, on levels that a partner shares.
-3. Documents of an index entry are not paired all with all. They are compared with the smallest of them; what links is one
-   component. Only entries whose documents are still in several components are looked at again, HUBS
+3. Documents of an index entry are not paired all with all. They are compared with the one that has the smallest share of
+   shingles of its own; what links is one component. The shingles of its own cap the sizes a document can link to: of its n it shares
+   u at most, and links hold 7 * common >= 3 * (n + m), so m <= 7 * u / 3 - n; a pair outside either cap is never formed, and a
+   document whose cap no other of the entry meets leaves it. In an entry of frequent shingles u counts the frequent ones alone:
+   documents there with a rare one in common meet in its entry too. Before sets travel, maps of BITS places bound what a pair can
+   have in common. Only entries whose documents are still in several components are looked at again, HUBS
    more documents of each entry at a time (twice as many after a round that finds no link), until none is left. So a group of thousands of near copies costs
    one comparison each, and no link between components is lost.
 
 Each comparison counts the common shingles exactly (hashes of 46 bits and more within a pair). Equal sets are one node
 from the start: identical texts are never compared.
 
-A null text or one without words has no shingles and no links. Rows that repeat a doc_id are one node: they share a
+A null text or one without words has no shingles, no links and its own id. Other rows that repeat a doc_id are one node: they share a
 component. A row with a null doc_id has no links and component null. Other columns are not read.
 """
 
@@ -34,14 +38,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from dossier.llm.base import map_batches, query, table, written
+from dossier.llm.base import give_back, map_batches, query, table, written
 from dossier.llm.components import components, merged
 from dossier.llm.shingles import mixed, shingle_sets
 
 FREQUENT = 64
 HUBS = 32
-PART_TOKENS = 1 << 21
-BUCKET_TOKENS = 1 << 21
+PART_TOKENS = 1 << 20
+BUCKET_TOKENS = 1 << 19
+CENTRAL = ["own", "n", "doc_id"]  # order in which the documents of an entry are compared with the others
+BITS = 512
+FIRST = 8
 GROUP = 256  # documents compared with one hub in one task
 
 INDEX, LOCAL, SIZES = 0, 1, 2
@@ -131,6 +138,8 @@ def _packed(docs: DataFrame, bits: int) -> DataFrame:
                     chunk, ids, sets, held, seen = chunk + 1, [], [], 0, {}
         if sets:
             yield flush()
+        del sets, ids, seen
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, PACKED)
 
@@ -168,6 +177,8 @@ def _shared(packed: DataFrame) -> DataFrame:
             o = np.argsort(doc[a:b], kind="stable")
             out.append((key[0].as_py(), int(parts[i]), INDEX, doc[a:b][o].tobytes(), held[a:b][o].tobytes(), _pack5(h[a:b][o]), b""))
         columns = zip(*out, strict=True) if out else [[] for _ in PACKED_ARROW]
+        del h, doc, owner, held
+        give_back()
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, PACKED_ARROW, strict=True)], schema=PACKED_ARROW)
 
     return packed.groupBy("key").applyInArrow(work, PACKED)
@@ -178,7 +189,11 @@ def level_of(n: int) -> int:
 
 
 def entries(n: int, rare: np.ndarray, held: np.ndarray, frequent: np.ndarray, single: int) -> list[np.ndarray]:
-    """Index entries of one set: n its size, `single` its shingles that no other set holds. Empty: it can't link."""
+    """Index entries of one set: n its size, `single` its shingles that no other set holds. Empty: it can't link.
+
+    First the entries of rare shingles, then those of pairs of frequent ones. A set that has the second kind has all its rare
+    shingles among the first: two such sets meet there if they have a rare one in common.
+    """
     need = n // 4 + 1 - single
     if need <= 0:
         return []
@@ -190,7 +205,7 @@ def entries(n: int, rare: np.ndarray, held: np.ndarray, frequent: np.ndarray, si
         return out
     frequent = np.sort(mixed(frequent ^ np.uint64(0x5BD1E995)))
     for level in {level_of(n), level_of(-(-3 * n // 4))}:
-        classes = 1 << max(0, level - 2)
+        classes = 1 << max(0, level - 1)  # at most half as many as shingles, so what is not missed fills some class twice
         of = (frequent >> np.uint64(17)) % np.uint64(classes)
         fresh = np.zeros(len(of), np.int64)
         fresh[np.unique(of, return_index=True)[1]] = 1
@@ -207,7 +222,13 @@ def entries(n: int, rare: np.ndarray, held: np.ndarray, frequent: np.ndarray, si
     return out
 
 
-INDEXED = "doc_id bigint, n bigint, entries array<bigint>, shared binary"
+INDEXED = "doc_id bigint, n bigint, n_often bigint, entries array<bigint>, often array<bigint>, shared binary, bits array<bigint>"
+
+
+def bits_of(shared: np.ndarray) -> np.ndarray:
+    """A map of BITS places with those of an odd number of the hashes set. Where two maps differ, a hash is in one set only."""
+    places = np.bincount((shared % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(places.astype(np.uint8)).view(np.int64)
 
 
 def _indexed(shared: DataFrame, bits: int) -> DataFrame:
@@ -230,7 +251,7 @@ def _indexed(shared: DataFrame, bits: int) -> DataFrame:
                 docs.append(np.frombuffer(d, np.int32))
                 hashes.append(keys(kind, key, h))
                 held.append(np.frombuffer(c, np.uint8) if kind == INDEX else np.full(len(h) // 8, FREQUENT, np.uint8))
-        out_id, out_n, out_entries, out_shared = [], [], [], []
+        out_id, out_n, out_f, out_entries, out_often, out_shared, out_bits = [], [], [], [], [], [], []
         if docs:
             doc, h, c = np.concatenate(docs), np.concatenate(hashes), np.concatenate(held)
             order = np.argsort(doc, kind="stable")
@@ -244,16 +265,31 @@ def _indexed(shared: DataFrame, bits: int) -> DataFrame:
                 if sum(map(len, found)):
                     out_id.append(int(ids[i]))
                     out_n.append(int(sizes[i]))
-                    out_entries.append(np.unique(np.concatenate(found)).view(np.int64))
+                    out_f.append(int((~rare).sum()))
+                    out_entries.append(found[0].view(np.int64))
+                    out_often.append(np.unique(np.concatenate([np.empty(0, np.uint64), *found[1:]])).view(np.int64))
                     out_shared.append(np.sort(mine).tobytes())
-        return pa.table([pa.array(out_id, pa.int64()), pa.array(out_n, pa.int64()), pa.array(out_entries, pa.list_(pa.int64())),
-                         pa.array(out_shared, pa.binary())], names=["doc_id", "n", "entries", "shared"])
+                    out_bits.append(bits_of(mine))
+        lists = pa.list_(pa.int64())
+        return pa.table([pa.array(out_id, pa.int64()), pa.array(out_n, pa.int64()), pa.array(out_f, pa.int64()), pa.array(out_entries, lists),
+                         pa.array(out_often, lists), pa.array(out_shared, pa.binary()), pa.array(out_bits, lists)],
+                        names=["doc_id", "n", "n_often", "entries", "often", "shared", "bits"])
 
     return shared.groupBy("part").applyInArrow(work, INDEXED)
 
 
+def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, hub) that may link: at most half of what is not in one map only is common. No set travels for the others."""
+    light = sets.select("doc_id", "n", F.expr("length(shared) div 8").alias("u"), "bits")
+    side = lambda name: light.select(F.col("doc_id").alias(name), F.struct("n", "u", "bits").alias(f"_{name}"))
+    apart = F.aggregate(F.zip_with("_a.bits", "_hub.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    common = F.expr("_a.u + _hub.u") - apart  # twice as many
+    return pairs.join(side("a"), "a").join(side("hub"), "hub").where(7 * common >= F.expr("6 * (_a.n + _hub.n)")).select("a", "hub")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those pairs (a, hub) that link. The sets of the documents go to their hub, at most about GROUP of them to a task."""
+    pairs = written(_possible(pairs, sets), "possible-pairs")
     sizes = pairs.groupBy("hub").agg(F.count("*").alias("k"))
     dealt = pairs.join(sizes, "hub").select(
         "a", "hub", F.pmod(F.xxhash64("a"), F.ceil(F.col("k") / GROUP)).cast("int").alias("block"))
@@ -290,7 +326,8 @@ def link_components(docs: DataFrame) -> DataFrame:
     named = marks.where("doc_id is not null and mark is not null")
     classes = named.groupBy("mark").agg(F.min("doc_id").alias("rep"))
     # A doc_id that stands for several sets ties their classes together.
-    ids = named.join(classes, "mark").select("doc_id", "rep")
+    repeated = named.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select("doc_id")
+    ids = named.join(repeated, "doc_id", "left_semi").join(classes, "mark").select("doc_id", "rep")
     several = ids.groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
     ties = ids.join(several, "doc_id").select(F.col("rep").alias("a"), F.col("least").alias("b")).where("a <> b")
 
@@ -298,10 +335,18 @@ def link_components(docs: DataFrame) -> DataFrame:
     bits = max(6, int(total // BUCKET_TOKENS).bit_length())
     sets = written(_indexed(_shared(_packed(docs, bits)), bits), "indexed")
 
-    postings = sets.select("doc_id", "n", F.explode("entries").alias("entry"))
-    hubs = (postings.groupBy("entry").agg(F.min(F.struct("n", "doc_id")).alias("h"), F.count("*").alias("k")).where("k > 1")
-            .select("entry", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("hub_n")))
-    star = (postings.join(hubs, "entry").where("doc_id <> hub and 3 * n <= 4 * hub_n")
+    # What two documents can have in common: all shingles that are not single ones. Of two that meet in an entry of frequent
+    # ones, though, and not in one of a rare one, only the frequent ones.
+    kinds = [sets.select("doc_id", "n", common.alias("u"), F.posexplode(F.array_sort(column)).alias("place", "entry"))
+             for column, common in (("entries", F.expr("length(shared) div 8")), ("often", F.col("n_often")))]
+    postings = kinds[0].unionByName(kinds[1]).where("7 * u div 3 - n >= 3 * n / 4").select(
+        "doc_id", F.col("n").cast("int").alias("n"), F.expr("int(7 * u div 3 - n)").alias("cap"), F.expr("int(4096 * (n - u) div n)").alias("own"), "entry", (F.col("place") < FIRST).alias("first"))
+    # The first comparisons go by the FIRST smallest entries of each kind, which like sets have in common; the rounds below see all.
+    tried_first = postings.where("first")
+    postings = postings.drop("first")
+    hubs = (tried_first.groupBy("entry").agg(F.min(F.struct(*CENTRAL, "cap")).alias("h"), F.count("*").alias("k")).where("k > 1")
+            .select("entry", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.cap").alias("hub_cap")))
+    star = (tried_first.join(hubs, "entry").where("doc_id <> hub and n <= hub_cap and hub_n <= cap")
             .groupBy(F.col("doc_id").alias("a"), "hub").agg(F.count("*").alias("k")))
     star = written(star.join(classes.select("rep"), F.col("a") == F.col("rep"), "left_semi"), "star")
     best = star.groupBy("a").agg(F.max_by("hub", F.struct("k", -F.col("hub"))).alias("hub"))
@@ -318,14 +363,16 @@ def link_components(docs: DataFrame) -> DataFrame:
     open_entries = postings.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
     width = HUBS
     while True:
-        open_entries = written(_unsettled(open_entries.select("entry", "doc_id", "n"), found), "open-entries")
+        open_entries = written(_unsettled(open_entries.select("entry", "doc_id", "n", "cap", "own"), found), "open-entries")
         if open_entries.isEmpty():
             break
-        first = Window.partitionBy("entry").orderBy("n", "doc_id")
+        first = Window.partitionBy("entry").orderBy(*CENTRAL)
         ranked = open_entries.withColumn("place", F.row_number().over(first)).where(F.col("place") <= width)
-        chosen = written(ranked.select("entry", F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component")), "hubs")
+        chosen = written(ranked.select("entry", F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("cap").alias("hub_cap"),
+                                       F.col("own").alias("hub_own"), F.col("component").alias("hub_component")), "hubs")
+        later = F.struct("own", "n", "doc_id") > F.struct("hub_own", "hub_n", "hub")
         pairs = (open_entries.join(chosen, "entry")
-                 .where("component <> hub_component and 3 * n <= 4 * hub_n and (n > hub_n or (n = hub_n and doc_id > hub))")
+                 .where(F.expr("component <> hub_component and n <= hub_cap and hub_n <= cap") & later)
                  .select(F.col("doc_id").alias("a"), "hub").distinct().join(tried, ["a", "hub"], "left_anti"))
         pairs = written(pairs, "pairs")
         links = written(_linked(pairs, sets), "links")
@@ -337,7 +384,8 @@ def link_components(docs: DataFrame) -> DataFrame:
         open_entries = open_entries.join(chosen.select("entry", F.col("hub").alias("doc_id")), ["entry", "doc_id"], "left_anti")
 
     label = classes.join(found, classes["rep"] == found["node"], "left").select("mark", F.coalesce("component", "rep").alias("c"))
-    labelled = marks.join(label, "mark", "left")
+    none = marks.where("mark is null").withColumn("c", F.lit(None).cast("bigint"))  # one key otherwise
+    labelled = marks.where("mark is not null").join(label, "mark", "left").select(*marks.columns, "c").unionByName(none)
     return labelled.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
 
 
@@ -354,10 +402,24 @@ def _between(pairs: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _unsettled(postings: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents of those entries that hold several components."""
+    """The documents of those entries that hold several components, as far as one of another component is within their cap
+    and they may be within its cap: the least n and the greatest cap of the other components decide."""
     rows = _labelled(postings, "doc_id", found, "component")
-    several = rows.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("entry")
-    return rows.join(several, "entry", "left_semi")
+    mixed_ones = rows.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("entry")
+    rows = written(rows.join(mixed_ones, "entry", "left_semi"), "mixed-entries")
+    per = rows.groupBy("entry", "component").agg(F.min("n").alias("n"), F.max("cap").alias("cap"))
+
+    def two(column: str, order) -> DataFrame:
+        """The best value of an entry, its component, and the best one of the other components."""
+        place = F.row_number().over(Window.partitionBy("entry").orderBy(order, "component"))
+        at = lambda n, c: F.max(F.when(F.col("_p") == n, F.col(c)))
+        return (per.select("entry", "component", column, place.alias("_p")).where("_p <= 2").groupBy("entry")
+                .agg(at(1, column).alias(f"{column}1"), at(1, "component").alias(f"{column}_of"), at(2, column).alias(f"{column}2")))
+
+    sides = two("n", F.asc("n")).join(two("cap", F.desc("cap")), "entry").where("n2 is not null")
+    return (rows.join(sides, "entry")
+            .where("cap >= if(component = n_of, n2, n1) and n <= if(component = cap_of, cap2, cap1)")
+            .select("entry", "doc_id", "n", "cap", "own", "component"))
 
 
 @query("op1_ngram_join", """
