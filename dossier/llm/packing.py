@@ -29,7 +29,7 @@ TIERS = (256, 512, 1024, 2048)
 END_ID = 1
 GROUP_TOKENS = 16 * 2048
 BUFFER_TOKENS = 1 << 19
-CACHED_CHUNKS = 250_000
+CACHED_BYTES = 24 << 20  # chunks remembered by a worker, with 160 bytes a chunk for the two objects
 
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
           "offset bigint, tier int, step_group bigint")
@@ -41,13 +41,19 @@ class _Chunks(dict):
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
+        self.size = 0
 
     def __missing__(self, chunk: str) -> bytes:
         if not stands_alone(chunk):
             raise LookupError
         ids = self[chunk] = self.encode(" " + chunk)
+        self.size += len(chunk) + len(ids) + 160
         return ids
 
+    def clear(self) -> None:
+        super().clear()
+        self.size = 0
+
 
 def stands_alone(chunk: str) -> bool:
     """Whether the pre-tokeniser surely cuts at the single spaces on both sides of it."""
@@ -87,7 +93,7 @@ class Encoder:
         first, *rest = text.split(" ")
         if rest and not stands_alone(first):
             return self.encode(text)
-        if len(self.chunks) > CACHED_CHUNKS:
+        if self.chunks.size > CACHED_BYTES:
             self.chunks.clear()
         try:
             return self.encode(first) + b"".join(map(self.chunks.__getitem__, rest))

@@ -13,18 +13,22 @@ import pyarrow as pa
 
 SIZE = 5
 SLICE_BYTES = 2 << 20
+KEPT_POWERS = 1 << 16
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _POWERS = np.ones(1, np.uint64)
 
 
 def powers(n: int) -> np.ndarray:
-    """Powers of an odd number modulo 2**64, at least n of them; kept for the worker's next texts."""
+    """Powers of an odd number modulo 2**64, at least n of them; kept for the worker's next texts unless a word is very long."""
     global _POWERS
-    if len(_POWERS) < n:
-        grown = np.full(max(n, 64), 0x5851F42D4C957F2D, np.uint64)
-        grown[0] = 1
-        _POWERS = np.cumprod(grown, dtype=np.uint64)
-    return _POWERS
+    if len(_POWERS) >= n:
+        return _POWERS
+    grown = np.full(max(n, 64), 0x5851F42D4C957F2D, np.uint64)
+    grown[0] = 1
+    grown = np.cumprod(grown, dtype=np.uint64)
+    if n <= KEPT_POWERS:
+        _POWERS = grown
+    return grown
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
