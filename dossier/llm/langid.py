@@ -29,22 +29,24 @@ MAX_SAMPLE = 20_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.5
 SNIPPET = 40
+ABOVE_CHANCE = 1.2
+END_OF_LETTERS = 0x40000  # beyond are no letters
 
 _LETTERS: np.ndarray | None = None
 
 
 def letters_table() -> np.ndarray:
-    """Whether a code point below 0x30000 is a letter; built once in a worker."""
+    """Whether a code point below END_OF_LETTERS is a letter; built once in a worker."""
     global _LETTERS
     if _LETTERS is None:
-        _LETTERS = np.fromiter((chr(c).isalpha() for c in range(0x30000)), bool, 0x30000)
+        _LETTERS = np.fromiter((chr(c).isalpha() for c in range(END_OF_LETTERS)), bool, END_OF_LETTERS)
     return _LETTERS
 
 
 def letter_codes(text: str) -> np.ndarray:
     """Code points in lower case, with one space (0) around and between stretches of letters; empty without a letter."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = letters_table()[np.minimum(codes, 0x2FFFF)]
+    letter = letters_table()[np.minimum(codes, END_OF_LETTERS - 1)]
     if not letter.any():
         return np.empty(0, np.uint32)
     codes = np.where(letter, codes, 0).astype(np.uint32)
@@ -76,8 +78,18 @@ def vector(columns: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarr
 class Model:
     """Weights by feature and language, inverse document frequencies, temperature."""
 
-    def __init__(self, languages: list[str], weights: np.ndarray, idf: np.ndarray, temperature: float):
+    def __init__(self, languages: list[str], weights: np.ndarray, idf: np.ndarray, temperature: float, usual: float = 0.0):
         self.languages, self.weights, self.idf, self.temperature = languages, weights, idf, temperature
+        self.usual = usual  # score that all but one in a hundred of the held-out rows reach
+
+    def least_score(self, above_chance: float) -> float:
+        """The score below which a text is taken for one of no learned language.
+
+        A text of which the model knows nothing has one chance for each language. The limit lies half way between that
+        and the usual score, but between `above_chance` and 2 chances; with one language there is none.
+        """
+        chance = 1.0 / max(1, len(self.languages))
+        return min(2.0 * chance, max(above_chance * chance, (chance + self.usual) / 2)) if len(self.languages) > 1 else 0.0
 
     def predict(self, text: str | None) -> tuple[str, float]:
         codes = letter_codes(text) if text and self.languages else ()
@@ -187,7 +199,9 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     weights = follow_leader(fit, len(languages))
     logits = np.stack([x @ weights[c] for c, x, _ in kept]) if kept else np.zeros((1, len(languages)))
     temperature = temperature_of(logits, np.array([y for _, _, y in kept])) if kept else 1.0
-    return Model(languages, weights.astype(np.float32), idf.astype(np.float32), temperature)
+    p = np.exp((logits - logits.max(axis=1, keepdims=True)) / temperature)
+    usual = float(np.quantile(p.max(axis=1) / p.sum(axis=1), 0.01))
+    return Model(languages, weights.astype(np.float32), idf.astype(np.float32), temperature, usual)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -210,8 +224,10 @@ def trained_on(docs: DataFrame) -> Model:
     return train(docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
 
 
-def known_language(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """The rows whose text is in a known language with a calibrated score of at least `least`; all columns stay."""
+def known_language(docs: DataFrame, model: Model, above_chance: float = ABOVE_CHANCE) -> DataFrame:
+    """The rows whose text is in a known language, with a calibrated score of `Model.least_score`; all columns stay. With one
+    learned language only texts without letters go."""
+    least = model.least_score(above_chance)
 
     def work(batch):
         found = [model.predict(t) for t in batch.column("text").to_pylist()]
