@@ -337,16 +337,15 @@ def link_components(docs: DataFrame) -> DataFrame:
 
     # What two documents can have in common: all shingles that are not single ones. Of two that meet in an entry of frequent
     # ones, though, and not in one of a rare one, only the frequent ones.
-    kinds = [sets.select("doc_id", "n", common.alias("u"), F.posexplode(F.array_sort(column)).alias("place", "entry"))
-             for column, common in (("entries", F.expr("length(shared) div 8")), ("often", F.col("n_often")))]
-    postings = kinds[0].unionByName(kinds[1]).where("7 * u div 3 - n >= 3 * n / 4").select(
-        "doc_id", F.col("n").cast("int").alias("n"), F.expr("int(7 * u div 3 - n)").alias("cap"), F.expr("int(4096 * (n - u) div n)").alias("own"), "entry", (F.col("place") < FIRST).alias("first"))
+    kinds = [sets.select("doc_id", F.posexplode(F.array_sort(column)).alias("place", "entry")).select(
+        "doc_id", F.expr(f"shiftleft(entry, 1) | {kind}L").alias("entry"), "place") for kind, column in enumerate(("entries", "often"))]
+    everything = kinds[0].unionByName(kinds[1])
+    facts = sets.select("doc_id", F.col("n").cast("int").alias("n"), F.expr("length(shared) div 8").alias("u"), "n_often")
+    postings = _described(everything.where(F.col("place") < FIRST).drop("place"), facts)
     # The first comparisons go by the FIRST smallest entries of each kind, which like sets have in common; the rounds below see all.
-    tried_first = postings.where("first")
-    postings = postings.drop("first")
-    hubs = (tried_first.groupBy("entry").agg(F.min(F.struct(*CENTRAL, "cap")).alias("h"), F.count("*").alias("k")).where("k > 1")
+    hubs = (postings.groupBy("entry").agg(F.min(F.struct(*CENTRAL, "cap")).alias("h"), F.count("*").alias("k")).where("k > 1")
             .select("entry", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.cap").alias("hub_cap")))
-    star = (tried_first.join(hubs, "entry").where("doc_id <> hub and n <= hub_cap and hub_n <= cap")
+    star = (postings.join(hubs, "entry").where("doc_id <> hub and n <= hub_cap and hub_n <= cap")
             .groupBy(F.col("doc_id").alias("a"), "hub").agg(F.count("*").alias("k")))
     star = written(star.join(classes.select("rep"), F.col("a") == F.col("rep"), "left_semi"), "star")
     best = star.groupBy("a").agg(F.max_by("hub", F.struct("k", -F.col("hub"))).alias("hub"))
@@ -360,7 +359,9 @@ def link_components(docs: DataFrame) -> DataFrame:
         found = merged(found, written(_linked(rest, sets), "links"))
     tried = written(star.select("a", "hub"), "tried")
 
-    open_entries = postings.join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
+    # Only an entry and its document travel until it is known which entries hold several components.
+    chosen = everything.drop("place").join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
+    open_entries = written(_described(_mixed(chosen, found), facts), "mixed-entries")
     width = HUBS
     while True:
         open_entries = written(_unsettled(open_entries.select("entry", "doc_id", "n", "cap", "own"), found), "open-entries")
@@ -401,12 +402,25 @@ def _between(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return both.where("ca <> ch").select("a", "hub")
 
 
+def _described(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Postings (entry, doc_id) with n, cap and own share of their document; those that can't link to anything are left out.
+    The lowest bit of an entry says that it is one of frequent shingles."""
+    u = F.expr("if(entry % 2 = 0, u, n_often)")
+    return (rows.join(facts, "doc_id").withColumn("_u", u).where("7 * _u div 3 - n >= 3 * n / 4")
+            .select("doc_id", "n", F.expr("int(7 * _u div 3 - n)").alias("cap"), F.expr("int(4096 * (n - _u) div n)").alias("own"), "entry"))
+
+
+def _mixed(postings: DataFrame, found: DataFrame) -> DataFrame:
+    """The postings of those entries that hold several components."""
+    ends = (_labelled(postings, "doc_id", found, "component").groupBy("entry")
+            .agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi"))
+    return postings.join(ends.select("entry"), "entry", "left_semi")
+
+
 def _unsettled(postings: DataFrame, found: DataFrame) -> DataFrame:
     """The documents of those entries that hold several components, as far as one of another component is within their cap
     and they may be within its cap: the least n and the greatest cap of the other components decide."""
     rows = _labelled(postings, "doc_id", found, "component")
-    mixed_ones = rows.groupBy("entry").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("entry")
-    rows = written(rows.join(mixed_ones, "entry", "left_semi"), "mixed-entries")
     per = rows.groupBy("entry", "component").agg(F.min("n").alias("n"), F.max("cap").alias("cap"))
 
     def two(column: str, order) -> DataFrame:
