@@ -33,8 +33,8 @@ from dossier.llm.base import map_batches, query, table, written
 
 TABLES, WIDTH = 16, 1.2
 # Projections and probes, from the one that visits the fewest vectors to the one that visits the most.
-SETTINGS = [(14, 64), (12, 64), (10, 96), (9, 96), (8, 128), (7, 96), (6, 64), (6, 160), (5, 128), (4, 128)]
-SAMPLE, WANTED_RECALL = 96, 0.94
+SETTINGS = [(14, 64), (12, 64), (10, 96), (9, 96), (8, 128), (7, 128), (6, 64), (6, 80), (6, 96), (6, 128), (5, 96), (4, 128)]
+SAMPLE, WANTED_RECALL = 128, 0.93
 TOP = 5
 CHUNK = 2048  # queries that travel to every task at a time
 
