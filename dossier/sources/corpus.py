@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html as html_entities
+import re
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -17,9 +19,13 @@ from dossier.schemas import COURT_ROW_SECTIONS
 _BREAK = "\u0001"
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or "&" not in t else html_entities.unescape(t))
+# An ampersand with the character reference that it begins, if there is one with its semicolon.
+_REFERENCE = re.compile(r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]*;)?")
+
+
+def _open_escaped(html: str) -> str:
+    """References without their semicolon, and those of no known name, as the plain characters they are made of."""
+    return _REFERENCE.sub(lambda m: m[0] if m[1] and (m[1][0] == "#" or m[1] in html5) else "&amp;" + m[0][1:], html)
 
 
 # Elements without content: they have no end tag.
@@ -79,10 +85,11 @@ def text_inside(html: str, element: str) -> str:
     return "\n".join(reader.texts)
 
 
-def html_main_text(html: Column, element: str = "main") -> Column:
+def html_main_text(html: Column, element: str = "main", closed_only: bool = False) -> Column:
     """Text nodes of the first such element, each stripped, blank ones left out, one per line.
 
-    A page with one start and one end tag of the element, as nearly all have, is cut by pattern.
+    Character references are decoded as browsers do, some also without their semicolon (`&amp` at the end of a text that
+    was cut); with `closed_only`, such a one stays as it is written. A page with one start and one end tag of the element, as nearly all have, is cut by pattern.
     Where they are nested, or the end tag is missing, the tags of the page are followed.
     """
     hidden = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->"
@@ -90,12 +97,18 @@ def html_main_text(html: Column, element: str = "main") -> Column:
     plain = (F.size(tags) == 0) | (tags == F.array(F.lit(""), F.lit("/")))
     inside = F.regexp_extract(F.when(plain, html), rf"(?is)<{element}\b[^>]*>(.*?)</{element}\s*>", 1)
     visible = F.regexp_replace(inside, hidden, _BREAK)
-    marked = _unescape(F.regexp_replace(visible, r"(?s)<[^>]*>", _BREAK))
-    texts = F.filter(F.transform(F.split(marked, _BREAK), strip), lambda t: t != "")
+    written = _open_escaped if closed_only else str
+
+    @F.pandas_udf(T.StringType())
+    def unescape(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t if t is None or "&" not in t else html_entities.unescape(written(t)))
 
     @F.pandas_udf(T.StringType())
     def follow(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda page: None if page is None else text_inside(page, element))
+        return pages.map(lambda page: None if page is None else text_inside(written(page), element))
+
+    marked = unescape(F.regexp_replace(visible, r"(?s)<[^>]*>", _BREAK))
+    texts = F.filter(F.transform(F.split(marked, _BREAK), strip), lambda t: t != "")
 
     return F.when(plain, F.array_join(texts, "\n")).otherwise(follow(F.when(~plain, html)))
 

@@ -147,3 +147,11 @@ def test_merge_pages_in_order(frame):
 ])
 def test_html_main_text(frame, html, expected):
     assert frame([(html,)], "h string").select(corpus.html_main_text(F.col("h"))).head()[0] == expected
+
+
+@pytest.mark.parametrize("page", ["<main>{}</main>", "<main>{}<main></main></main>"])
+@pytest.mark.parametrize("closed_only,expected", [(False, "a && <x &¬it; ☺"), (True, "a &&amp &ltx &amp&notit; ☺")])
+def test_references_without_semicolon(frame, page, closed_only, expected):
+    """Both ways of reading a page: by pattern, and by following nested tags."""
+    html = page.format("a &&amp &ltx &amp&notit; &#9786;")
+    assert frame([(html,)], "h string").select(corpus.html_main_text(F.col("h"), closed_only=closed_only)).head()[0] == expected
