@@ -204,6 +204,97 @@ def _nearest_broadcast(chunks: DataFrame, questions: pd.DataFrame, own: pd.DataF
     return needed.mapInArrow(rank, _MATCH)
 
 
+# Blocks that are pulled to the driver and sent out again, each a scan of the vectors; more questions meet the chunks in a shuffle.
+MAX_BLOCKS = 8
+# Bytes of chunk vectors that a task holds while questions are streamed past them, and cases of a user in one row.
+MAX_SHARE_BYTES = 64 * 1024 * 1024
+MAX_LIST = 10_000
+
+
+def _nearest_spread(chunks: DataFrame, scoped: DataFrame, edges: DataFrame, k: int, most: int, most_cases: int) -> DataFrame:
+    """Every share of the chunks meets every question in one job, whatever the number of questions; nothing goes through the driver.
+
+    A task holds one share of bounded size and reads its group of the questions as a stream, up to `most` of them and
+    `most_cases` (question, case) pairs at a time. Chunks are copied to each group and questions to each share; both are few.
+    """
+    session = chunks.sparkSession
+    needed = chunks.select(*_KEYS, "embedding")
+    n, width = needed.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).head()
+    shares = max(1, -(-n * 8 * max(1, width or 1) // MAX_SHARE_BYTES))
+    groups = max(1, -(-_TASKS_PER_CORE * session.sparkContext.defaultParallelism // shares))
+    cell = (F.col("_share") * groups + F.col("_group")).cast("int").alias("_cell")
+    placed = lambda column, into: F.pmod(F.xxhash64(column), F.lit(into))
+    copies = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+
+    least = min(MAX_LIST, most_cases)
+    of_user = edges.join(scoped.select("user_id").distinct(), "user_id", "left_semi")
+    parts = of_user.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / least).alias("_parts"))
+    lists = of_user.join(parts, "user_id").groupBy("user_id", F.expr("pmod(xxhash64(case_id), _parts)").alias("_part")).agg(
+        F.collect_list(F.col("case_id").cast("bigint")).alias("cases")).drop("_part")
+    bound = scoped.where(~F.col("all_cases")).join(lists, "user_id")
+    free = scoped.where("all_cases").withColumn("cases", F.lit(None).cast("array<bigint>"))
+    asked = free.unionByName(bound).withColumns({"_group": placed("query_id", groups), "_share": copies(shares)}).select(
+        cell, F.lit(True).alias("_asked"), F.col("query_id").cast("bigint").alias("chunk_id"), F.lit(None).cast("bigint").alias("case_id"),
+        F.lit(None).cast("bigint").alias("document_id"), F.lit(None).cast("int").alias("sequence"), "all_cases", "cases", "embedding")
+    held = needed.withColumns({"_share": placed("chunk_id", shares), "_group": copies(groups)}).select(
+        cell, F.lit(False).alias("_asked"), *_KEYS, F.lit(None).cast("boolean").alias("all_cases"),
+        F.lit(None).cast("array<bigint>").alias("cases"), "embedding")
+    met = held.unionByName(asked).repartitionById(shares * groups, "_cell").sortWithinPartitions("_cell", "_asked", "chunk_id")
+
+    def answers(batch: pa.RecordBatch, keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """The questions of a batch against a share in order of case."""
+        ids = batch.column("chunk_id").to_numpy(zero_copy_only=False).astype(np.int64)
+        vectors = _matrix(batch.column("embedding"))
+        free = batch.column("all_cases").to_numpy(zero_copy_only=False).astype(bool)
+        ends = np.cumsum(batch.column("cases").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        cases = batch.column("cases").flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        own = np.repeat(np.arange(len(ids)), np.diff(ends, prepend=0))
+        known = np.isin(cases, keys[:, 1])
+        at = 0
+        while at < len(ids):
+            before = int(ends[at - 1]) if at else 0
+            end = max(at + 1, min(at + most, int(np.searchsorted(ends, before + most_cases, "right"))))
+            best = _Best(end - at, k)
+            here = np.flatnonzero(free[at:end])
+            if len(here):
+                best.offer(rows, keys, vectors[at:end], here)
+            pairs = slice(before, int(ends[end - 1]))
+            case, place = cases[pairs][known[pairs]], own[pairs][known[pairs]] - at
+            order = np.lexsort((place, case))
+            case, place = case[order], place[order]
+            for one, first, n_pairs in zip(*np.unique(case, return_index=True, return_counts=True)):
+                low, high = np.searchsorted(keys[:, 1], [one, one + 1])
+                best.offer(rows[low:high], keys[low:high], vectors[at:end], np.unique(place[first:first + n_pairs]))
+            result = best.result(ids[at:end])
+            if result is not None:
+                yield result
+            at = end
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, share, held = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells = batch.column("_cell").to_numpy(zero_copy_only=False).astype(np.int64) * 2 + batch.column("_asked").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), batch.num_rows]
+            for begin, end in zip(cuts, cuts[1:]):
+                piece = batch.slice(begin, end - begin)
+                cell, asks = divmod(int(cells[begin]), 2)
+                if cell != current:
+                    current, share, held = cell, [], None
+                if not asks:
+                    share.append((_keys_matrix(piece), _matrix(piece.column("embedding"))))
+                    continue
+                if held is None and share:
+                    keys, rows = np.concatenate([s[0] for s in share]), np.concatenate([s[1] for s in share])
+                    order = np.argsort(keys[:, 1], kind="stable")
+                    held, share = (keys[order], rows[order]), []
+                if held is not None:
+                    yield from answers(piece, *held)
+
+    return met.mapInArrow(rank, _MATCH)
+
+
 def _question_blocks(scoped: DataFrame, restricted: DataFrame, most: int,
                      most_cases: int) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
     """Questions (query_id, all_cases, embedding) and their (query_id, case_id) pairs in blocks of bounded size.
@@ -241,8 +332,9 @@ def search_batch(questions: DataFrame, scopes: Scopes, chunks: DataFrame, k: int
 
     questions: query_id, user_id, embedding. Users without a scope row, or with an empty scope,
     get nothing. Questions travel to the chunks in blocks of up to `max_questions`; each block is
-    one scan of the vectors, and no chunk is shuffled, however many questions there are. Where both
-    sides name their model, it must be the same one.
+    one scan of the vectors, and no chunk is shuffled. More than a few blocks would be that many branches of one
+    plan and as many trips through the driver; such questions meet the chunks in one shuffle instead. Where both sides name
+    their model, it must be the same one.
     """
     if "model" in questions.columns and "model" in chunks.columns:
         chunks = same_model(questions, chunks)
@@ -250,8 +342,11 @@ def search_batch(questions: DataFrame, scopes: Scopes, chunks: DataFrame, k: int
         scopes.users.select("user_id", "all_cases"), "user_id")
     restricted = scoped.where(~F.col("all_cases")).select("query_id", "user_id").join(
         scopes.edges, "user_id").select("query_id", "case_id")
+    most = max(1, max_questions)
+    if scoped.count() > MAX_BLOCKS * most or restricted.count() > MAX_BLOCKS * max_question_cases:
+        return _ranked(_nearest_spread(chunks, scoped, scopes.edges, k, most, max_question_cases), k)
     found = [_nearest_broadcast(chunks, few, own, k)
-             for few, own in _question_blocks(scoped, restricted, max(1, max_questions), max_question_cases)]
+             for few, own in _question_blocks(scoped, restricted, most, max_question_cases)]
     if not found:
         return _ranked(chunks.sparkSession.createDataFrame([], _MATCH), k)
     return _ranked(reduce(DataFrame.unionByName, found), k)
@@ -282,8 +377,9 @@ def same_model(questions: DataFrame, chunks: DataFrame) -> DataFrame:
 # --- context ------------------------------------------------------------------------------
 
 
-# Rows of keys that may travel to every task of a scan.
+# Rows of keys that may travel to every task of a scan, and rows that may do so in all.
 MAX_WANTED = 500_000
+MAX_SENT = 1_000_000
 
 
 def fetch(wanted: DataFrame, texts: DataFrame, keys: list[str], most: int = MAX_WANTED) -> DataFrame:
@@ -291,12 +387,15 @@ def fetch(wanted: DataFrame, texts: DataFrame, keys: list[str], most: int = MAX_
 
     The wanted rows travel, in blocks of bounded size cut in order of document; texts do not. Each
     block reads the range of documents it asks for, so where texts lie in that order (as in the
-    chunk store) their files are read once in all.
+    chunk store) their files are read once in all. So many wanted rows that most texts are asked for, and
+    that would be a load for the driver, are joined with the texts where Spark places both.
     """
     wanted = materialise(wanted)
     n, low, high = wanted.agg(F.count(F.lit(1)), F.min("document_id"), F.max("document_id")).head()
     if n <= most:
         return _met(wanted, texts, keys, low, high)
+    if n > MAX_SENT:
+        return texts.join(wanted, keys)
     numbered = number_rows(wanted, [], ["document_id", *[k for k in keys if k != "document_id"]], "_n")
     blocks = stored(numbered.withColumn("_block", F.expr(f"_n div {most}").cast("int")).drop("_n"), "_block")
     ranges = blocks.groupBy("_block").agg(F.min("document_id"), F.max("document_id")).collect()  # one row per block

@@ -205,3 +205,14 @@ def test_texts_are_not_shuffled_and_only_their_range_is_read(spark, frame, tmp_p
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert whole == sorted(map(tuple, retrieval.with_neighbours(matches, spark.read.parquet(path)).collect()))
+
+
+@pytest.mark.parametrize("share,limits", [(64 * WIDTH * 8, {}), (10**9, {"max_question_cases": 7}), (64 * WIDTH * 8, {"max_question_cases": 1})])
+def test_many_questions_meet_the_chunks_in_one_shuffle(frame, monkeypatch, share, limits):
+    """However many blocks of questions there are, the plan has one step that ranks and the driver gets no question."""
+    monkeypatch.setattr(retrieval, "MAX_SHARE_BYTES", share)
+    monkeypatch.setattr(retrieval, "_question_blocks", None)
+    chunk_rows, questions, scopes, *world = random_world(frame, seed=8)
+    found = retrieval.search_batch(questions, scopes, chunk_rows, 4, max_questions=2, **limits)
+    assert plan(found).split("Initial Plan")[-1].count("MapInArrow") == 1
+    assert {(r["query_id"], r["match_rank"], r["chunk_id"]) for r in found.collect()} == brute(*world, 4)
