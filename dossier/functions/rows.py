@@ -1,7 +1,11 @@
-"""Arrays to rows."""
+"""Arrays to rows, and batches in parts of bounded size."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,3 +19,25 @@ def rows_of(df: DataFrame, keep: list[Column | str], items: Column, position: st
     """
     exploded = df.select(*keep, F.posexplode_outer(items).alias(position, item))
     return exploded.where(F.col(position).isNotNull())
+
+
+# Bytes of a batch that are Python objects at a time; a batch may hold many times that.
+MAX_PART_BYTES = 4 * 1024 * 1024
+
+
+def parts_of(column: pa.Array, most: int = MAX_PART_BYTES) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of the parts of a column, each of about `most` bytes or of one row."""
+    at, n = 0, len(column)
+    step = max(1, n * most // max(1, column.nbytes))
+    while at < n:
+        rows = min(step, n - at)
+        while rows > 1 and column.slice(at, rows).nbytes > 2 * most:
+            rows = -(-rows // 2)
+        yield at, rows
+        at += rows
+
+
+def row_by_row(column: pa.Array, function: Callable[[Any], Any], kind: pa.DataType) -> pa.Array:
+    """The function of each row, of which only some rows are Python objects at a time."""
+    made = [pa.array([function(v.as_py()) for v in column.slice(at, rows)], kind) for at, rows in parts_of(column)]
+    return pa.concat_arrays(made) if made else pa.array([], kind)

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.functions.rows import rows_of
+from dossier.functions.rows import row_by_row, rows_of
 from dossier.functions.text import preview, words
 from dossier.operators.ordered import number_rows, running_totals
 from dossier.schemas import (
@@ -45,9 +45,9 @@ def packed_pieces(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVE
     """Pieces of one page, in order."""
     _check(size, overlap)
 
-    @F.pandas_udf("array<string>")
-    def pack(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: pack_words(t, size, overlap))
+    @F.arrow_udf("array<string>")
+    def pack(texts: pa.Array) -> pa.Array:
+        return row_by_row(texts, lambda t: pack_words(t, size, overlap), pa.list_(pa.string()))
 
     return pack(text)
 
@@ -89,14 +89,16 @@ def chunk_document(pages: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_O
     """
     _check(size, overlap)
 
-    @F.pandas_udf("array<struct<sequence:int,page_number:int,text:string>>")
-    def chunk(documents: pd.Series) -> pd.Series:
+    kind = pa.list_(pa.struct([("sequence", pa.int32()), ("page_number", pa.int32()), ("text", pa.string())]))
+
+    @F.arrow_udf("array<struct<sequence:int,page_number:int,text:string>>")
+    def chunk(documents: pa.Array) -> pa.Array:
         def one(document):
             rows = [(p["page_number"], piece) for p in document
                     for piece in pack_words(p["text"], size, overlap)]
             return [{"sequence": i, "page_number": n, "text": t} for i, (n, t) in enumerate(rows)]
 
-        return documents.map(lambda d: None if d is None else one(d))
+        return row_by_row(documents, lambda d: None if d is None else one(d), kind)
 
     return chunk(pages)
 

@@ -176,3 +176,16 @@ def test_numbers_by_prefix_sums_and_by_placing_are_the_same(frame):
     take = lambda df: sorted((key(r), r["text"]) for r in df.where("document_id <> 2").collect())
     assert take(few) == take(many)
     assert sorted(r["sequence"] for r in few.where("document_id = 2").collect()) == list(range(few.where("document_id = 2").count()))
+
+
+def test_batches_are_python_objects_in_parts_only():
+    import pyarrow as pa
+
+    from dossier.functions.rows import parts_of, row_by_row
+
+    column = pa.array([None, "", *["x" * 1000] * 500, "y" * 60_000, *["z"] * 300]).slice(1)
+    parts = list(parts_of(column, 10_000))
+    assert [at for at, _ in parts] == [0, *[at + n for at, n in parts][:-1]] and sum(n for _, n in parts) == len(column)
+    assert all(n == 1 or column.slice(at, n).nbytes <= 20_000 for at, n in parts)
+    assert row_by_row(column, len, pa.int64()).to_pylist() == [len(v) for v in column.to_pylist()]
+    assert len(row_by_row(column.slice(0, 0), len, pa.int64())) == 0
