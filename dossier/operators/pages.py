@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dossier.functions.rows import rows_of
+from dossier.functions.rows import parts_of, rows_of
 from dossier.functions.text import normalise_text, strip, tidy_line
 from dossier.operators.ordered import number_rows
 from dossier.schemas import ARABIC, ARTICLE_HEADING, LEFT_TO_RIGHT, NUMBER_JOINERS, PAGE
@@ -97,22 +97,24 @@ def parse_documents(files: DataFrame, parser: Callable[[], Callable[[bytes], lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = None
-        for batch in batches:
-            texts, errors = [], []
-            for value in batch.column(batch.schema.get_field_index(content)).to_pylist():
-                read = read or parser()
-                try:
-                    texts.append([t or "" for t in read(value)])
-                    errors.append(None)
-                except Exception as exc:  # noqa: BLE001 - an unreadable file becomes a row
-                    texts.append(None)
-                    errors.append(f"ParserError: {exc}")
-            keep = [i for i, n in enumerate(batch.schema.names) if n != content]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in keep], pa.array(texts, pa.list_(pa.string())),
-                 pa.array(errors, pa.string())],
-                names=[*[batch.schema.names[i] for i in keep], "texts", "error"],
-            )
+        for whole in batches:
+            place = whole.schema.get_field_index(content)
+            keep = [i for i in range(whole.num_columns) if i != place]
+            for at, rows in parts_of(whole.column(place)):
+                batch, texts, errors = whole.slice(at, rows), [], []
+                for value in batch.column(place):
+                    read = read or parser()
+                    try:
+                        texts.append([t or "" for t in read(value.as_py())])
+                        errors.append(None)
+                    except Exception as exc:  # noqa: BLE001 - an unreadable file becomes a row
+                        texts.append(None)
+                        errors.append(f"ParserError: {exc}")
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(i) for i in keep], pa.array(texts, pa.list_(pa.string())),
+                     pa.array(errors, pa.string())],
+                    names=[*[batch.schema.names[i] for i in keep], "texts", "error"],
+                )
 
     parsed = files.mapInArrow(run, raw)
     tidy = F.transform("texts", lambda t, i: F.struct(
