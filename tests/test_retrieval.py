@@ -216,3 +216,21 @@ def test_many_questions_meet_the_chunks_in_one_shuffle(frame, monkeypatch, share
     found = retrieval.search_batch(questions, scopes, chunk_rows, 4, max_questions=2, **limits)
     assert plan(found).split("Initial Plan")[-1].count("MapInArrow") == 1
     assert {(r["query_id"], r["match_rank"], r["chunk_id"]) for r in found.collect()} == brute(*world, 4)
+
+
+def test_one_search_for_two_passes(spark):
+    """The query that accumulates passes ranks once and goes on from what it found."""
+    from workload.retrieval import accumulate
+
+    assert "MapInArrow" not in plan(accumulate(spark, "/root/testdata/sf0.001"))
+
+
+def test_many_wanted_rows_are_joined_with_the_texts(frame, monkeypatch):
+    wanted = frame([(q, 1, q % 7, q % 3) for q in range(60)], "query_id bigint, case_id bigint, document_id bigint, sequence int")
+    texts = frame([(1, d, s, f"{d} {s}") for d in range(7) for s in range(2)], "case_id bigint, document_id bigint, sequence int, text string")
+    keys = ["case_id", "document_id", "sequence"]
+    sent = retrieval.fetch(wanted, texts, keys, most=9)
+    monkeypatch.setattr(retrieval, "MAX_SENT", 20)
+    joined = retrieval.fetch(wanted, texts, keys, most=9)
+    assert sorted(map(str, joined.select(sent.columns).collect())) == sorted(map(str, sent.collect()))
+    assert "Union" not in plan(joined)

@@ -6,6 +6,7 @@ from dossier.functions.text import looks_cut_off
 from dossier.functions.vectors import cosine_distance
 from dossier.operators import access, retrieval
 from dossier.operators.embedding import HashProvider
+from dossier.session import materialise
 from workload.base import (
     CHUNKS, CONTEXT, CUT_OFF, PASSAGES, RANKED, SCOPES, USERS, chunk_vectors, chunks, context, matches, passages,
     query, scopes, table,
@@ -110,7 +111,7 @@ two AS (SELECT query_id, 0 AS pass, match_rank, chunk_id FROM matches
 SELECT query_id, count(*) AS n, string_agg(chunk_id::VARCHAR, ',' ORDER BY pass, match_rank) AS chunk_ids
 FROM two GROUP BY query_id""")
 def accumulate(spark, sf):
-    first = matches(spark, sf)
+    first = materialise(matches(spark, sf))  # both passes go on from one search
     both = retrieval.accumulate_passes(None, first, 0)
     both = retrieval.accumulate_passes(both, first.where("match_rank <= 3"), 1)
     # Eight matches per question.
