@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.functions.cells import metric_cell, stability_cell, tokens_cell
+from dossier.functions.rows import parts_of
 from dossier.functions.vectors import let
 from dossier.schemas import QUALITY_METRICS, RATE_METRICS
 
@@ -97,22 +98,24 @@ def grade(items: DataFrame, grader: Callable[[], Callable] = lexical_grader) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = None
-        for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(n)).to_pylist()
-                       for n in ("question", "answer_text", "contexts")]
-            grades: dict[str, list[float]] = {n: [] for n in names}
-            for row in zip(*columns):
-                score = score or grader()
-                try:
-                    given = score(*row)
-                except Exception:  # noqa: BLE001 - a grader that gives up leaves no grade
-                    given = {}
-                for n in names:
-                    grades[n].append(float(given.get(n, float("nan"))))
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in range(3)],
-                 *[pa.array(grades[n], pa.float64()) for n in names]],
-                names=[*batch.schema.names[:3], *names])
+        for whole in batches:
+            for at, rows in parts_of(whole.column(whole.schema.get_field_index("answer_text"))):
+                batch = whole.slice(at, rows)
+                columns = [batch.column(batch.schema.get_field_index(n)).to_pylist()
+                           for n in ("question", "answer_text", "contexts")]
+                grades: dict[str, list[float]] = {n: [] for n in names}
+                for row in zip(*columns):
+                    score = score or grader()
+                    try:
+                        given = score(*row)
+                    except Exception:  # noqa: BLE001 - a grader that gives up leaves no grade
+                        given = {}
+                    for n in names:
+                        grades[n].append(float(given.get(n, float("nan"))))
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(i) for i in range(3)],
+                     *[pa.array(grades[n], pa.float64()) for n in names]],
+                    names=[*batch.schema.names[:3], *names])
 
     return asked.mapInArrow(run, schema)
 

@@ -195,3 +195,12 @@ def test_whole_run(spark, frame, tmp_path):
     assert evaluation.latest_run(history).head()["mode"] == "graph"
     runs.write_run(done.items, done.grades, done.aggregate, str(tmp_path / "run"))
     assert spark.read.json(str(tmp_path / "run")).count() == 4
+
+
+def test_grades_of_a_batch_in_parts(frame, monkeypatch):
+    """Long answers of one batch are not all Python objects at a time; every one is graded."""
+    long = "common " * 100_000
+    items = frame([("direct", 0, str(i), "common", long, True, ["common"]) for i in range(30)],
+                  "mode string, round_index int, id string, question string, answer_text string, answered boolean, contexts array<string>")
+    sizes = items.coalesce(1).transform(evaluation.grade)
+    assert sizes.count() == 30 and sizes.where("faithfulness = 1 AND answer_relevancy = 1").count() == 30
