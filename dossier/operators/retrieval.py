@@ -415,19 +415,42 @@ def with_neighbours(matches: DataFrame, chunks: DataFrame) -> DataFrame:
     One bounded fetch finds the match text and both candidate neighbours together. `matches` has
     query_id, match_rank, case_id, document_id, sequence (and `pass` when there are several).
     """
+    return _context(matches, chunks, "text")
+
+
+def neighbour_places(matches: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The rows of `with_neighbours` without their texts, which stay where they are; `with_texts` fetches them."""
+    return _context(matches, chunks)
+
+
+def _context(matches: DataFrame, chunks: DataFrame, *more: str) -> DataFrame:
     group = [c for c in ["query_id", "pass", "match_rank"] if c in matches.columns]
     wanted = matches.select(
         *group, "case_id", "document_id", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("off"),
         "sequence",
     ).withColumn("sequence", (F.col("sequence") + F.col("off")).cast("int"))
-    texts = chunks.select("case_id", "document_id", "sequence", "page_number", "chunk_id", "text")
+    texts = chunks.select("case_id", "document_id", "sequence", "page_number", "chunk_id",
+                          looks_cut_off(F.col("text")).alias("_own_cut"), *more)
     # Placed by question once: the windows here, the passages and the prompts all go on from it.
     found = fetch(wanted, texts, ["case_id", "document_id", "sequence"]).repartition("query_id")
     own = Window.partitionBy(*group)  # three rows at most
-    cut = F.max(F.when(F.col("off") == 0, looks_cut_off(F.col("text")))).over(own)
+    cut = F.max(F.when(F.col("off") == 0, F.col("_own_cut"))).over(own)
     return found.withColumn("_cut", cut).where((F.col("off") == 0) | F.col("_cut")).select(
         *group, (F.col("off") + 1).alias("ctx_pos"), (F.col("off") == 0).alias("is_match"),
-        "chunk_id", "case_id", "document_id", "sequence", "page_number", "text")
+        "chunk_id", "case_id", "document_id", "sequence", "page_number", *more)
+
+
+_PLACE = ["case_id", "document_id", "sequence", "chunk_id"]
+
+
+def with_texts(places: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Context rows with the texts of their chunks."""
+    return fetch(places, chunks.select(*_PLACE, "text"), _PLACE)
+
+
+def texts_later(places: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The same as a plain join, of which nothing runs until the texts are asked for."""
+    return places.join(chunks.select(*_PLACE, "text"), _PLACE)
 
 
 def unique_passages(context: DataFrame) -> DataFrame:

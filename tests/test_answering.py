@@ -225,3 +225,22 @@ def test_public_answer_hides_the_reason(frame, world):
     asks = ask.ask_batch(frame(QUESTIONS, "query_id bigint, user_id bigint, question string"), *world, models)
     assert ask.answers(asks).columns == ["query_id", "answer", "citations"]
     assert "why" in ask.run_ledger(asks).columns
+
+
+def test_texts_are_not_kept_between_passes(frame, world, monkeypatch):
+    """What is written between the passes holds places of chunks, no texts; prompts are not written either."""
+    kept = []
+    monkeypatch.setattr(ask, "materialise", lambda df, real=ask.materialise: kept.append(set(df.columns)) or real(df))
+    got = run(frame, world, lambda: answering.ScriptedProvider(1), multi_step=True)
+    assert len(kept) > 8 and not any({"prompt", "contexts", "found"} & columns for columns in kept)
+    assert not any("text" in columns and {"passage", "match_rank"} & columns for columns in kept)
+    assert got[1]["n_passages"] == len(got[1]["contexts"]) and len(got[1]["match_texts"]) == got[1]["n_matches"] == 8
+    assert sorted(got[2]["contexts"]) == sorted(t for *_, t in TEXTS[:3])
+    assert got[3]["contexts"] == got[3]["match_texts"] == []
+
+
+def test_texts_nobody_asks_for_are_not_listed(frame, world):
+    models = ask.Models(lambda: HashProvider(WIDTH), answering.ExtractiveProvider, WIDTH)
+    found = ask.ask_batch(frame(QUESTIONS, "query_id bigint, user_id bigint, question string"), *world, models)
+    listed = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("text#")
+    assert listed(found.select("query_id", "n_matches", "citations")) < listed(found)
