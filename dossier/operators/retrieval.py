@@ -377,15 +377,15 @@ def same_model(questions: DataFrame, chunks: DataFrame) -> DataFrame:
 # --- context ------------------------------------------------------------------------------
 
 
-# Rows of keys that may travel to every task of a scan, and rows that may do so in all.
-MAX_WANTED = 500_000
-MAX_SENT = 1_000_000
+# Rows of keys that may travel to every task of a scan, and rows that may do so in all: each of them passes the driver.
+MAX_WANTED = 250_000
+MAX_SENT = 250_000
 
 
 def fetch(wanted: DataFrame, texts: DataFrame, keys: list[str], most: int = MAX_WANTED) -> DataFrame:
     """Wanted rows with the rows of `texts` that have the same keys, document_id among them.
 
-    The wanted rows travel, in blocks of bounded size cut in order of document; texts do not. Each
+    The wanted rows travel, in blocks of at most `most` rows cut in order of document; texts do not. Each
     block reads the range of documents it asks for, so where texts lie in that order (as in the
     chunk store) their files are read once in all. So many wanted rows that most texts are asked for, and
     that would be a load for the driver, are joined with the texts where Spark places both.

@@ -234,3 +234,15 @@ def test_many_wanted_rows_are_joined_with_the_texts(frame, monkeypatch):
     joined = retrieval.fetch(wanted, texts, keys, most=9)
     assert sorted(map(str, joined.select(sent.columns).collect())) == sorted(map(str, sent.collect()))
     assert "Union" not in plan(joined)
+
+
+def test_many_wanted_rows_do_not_pass_the_driver(spark):
+    """A search of 20,000 questions asks for 300,000 places; these are joined with the texts."""
+    wanted = spark.range(300_000).selectExpr("id AS query_id", "id % 10 AS case_id", "id % 1000 AS document_id", "0 AS sequence")
+    texts = spark.range(1000).selectExpr("id % 10 AS case_id", "id AS document_id", "0 AS sequence", "'Text.' AS text")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = retrieval.fetch(wanted, texts, ["case_id", "document_id", "sequence"])
+        assert "Broadcast" not in plan(found) and found.count() == 300_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
