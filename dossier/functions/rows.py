@@ -40,4 +40,7 @@ def parts_of(column: pa.Array, most: int = MAX_PART_BYTES) -> Iterator[tuple[int
 def row_by_row(column: pa.Array, function: Callable[[Any], Any], kind: pa.DataType) -> pa.Array:
     """The function of each row, of which only some rows are Python objects at a time."""
     made = [pa.array([function(v.as_py()) for v in column.slice(at, rows)], kind) for at, rows in parts_of(column)]
-    return pa.concat_arrays(made) if made else pa.array([], kind)
+    whole = pa.concat_arrays(made) if made else pa.array([], kind)
+    del made
+    pa.default_memory_pool().release_unused()  # the parts, and what the batch before held
+    return whole

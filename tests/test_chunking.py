@@ -189,3 +189,19 @@ def test_batches_are_python_objects_in_parts_only():
     assert all(n == 1 or column.slice(at, n).nbytes <= 20_000 for at, n in parts)
     assert row_by_row(column, len, pa.int64()).to_pylist() == [len(v) for v in column.to_pylist()]
     assert len(row_by_row(column.slice(0, 0), len, pa.int64())) == 0
+
+
+def test_memory_of_a_batch_is_handed_back(monkeypatch):
+    import pyarrow as pa
+
+    from dossier.functions import rows
+
+    released = []
+
+    class Pool:
+        def release_unused(self):
+            released.append(True)
+
+    monkeypatch.setattr(rows.pa, "default_memory_pool", Pool)
+    got = rows.row_by_row(pa.array(["a", None, "bc"]), lambda t: t and t * 2, pa.string())
+    assert got.to_pylist() == ["aa", None, "bcbc"] and released == [True]
