@@ -15,8 +15,11 @@ def unique_violations(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def foreign_key_violations(child: DataFrame, column: str, parent: DataFrame,
                            parent_key: str) -> DataFrame:
-    """Child rows whose reference (null aside) is not a key of the parent."""
-    keys = parent.select(F.col(parent_key).alias(column)).distinct()
+    """Child rows whose reference (null aside) is not a key of the parent.
+
+    The child is streamed past the parent's keys and not sorted: a task holds its share of the keys only.
+    """
+    keys = parent.select(F.col(parent_key).alias(column)).distinct().hint("shuffle_hash")
     return child.where(F.col(column).isNotNull()).join(keys, column, "left_anti")
 
 

@@ -237,3 +237,18 @@ def test_stored_documents_fill_several_files(spark, tmp_path):
     found = drained(spark, str(tmp_path)).collect()
     assert [r["case_id"] for r in found] == [7]
     assert found[0]["n_chunks"] > 3 * 4_000_000 // 800
+
+
+def test_foreign_keys_are_checked_without_sorting_the_child(spark):
+    from dossier.operators import quality as checks
+
+    child = spark.range(1000).selectExpr("id", "CASE WHEN id % 10 < 9 THEN id % 10 END AS ref")
+    parent = spark.range(7).selectExpr("id AS key")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = checks.foreign_key_violations(child, "ref", parent, "key")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Sort [" not in plan
+        assert sorted({r["ref"] for r in found.collect()}) == [7, 8] and found.count() == 200
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
