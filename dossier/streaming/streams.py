@@ -33,12 +33,10 @@ class _InOrder(StatefulProcessor):
 
     A row comes in only while its time is beyond the watermark, so nothing can come before a row
     that has been taken. `take(rows)` gives the output of the rows that are due, `(us, id, value)`
-    in order; `rest_until()` the time in microseconds up to which the other state is needed, if
-    there is an end to it, and `forget()` lets it go.
+    in order, and the time in microseconds up to which the other state is needed, if there is an
+    end to it; `rest_until()` gives that time where no row is due, and `forget()` lets the state go.
     """
 
-    columns: list[str] = []
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", T.StructType([
@@ -46,36 +44,49 @@ class _InOrder(StatefulProcessor):
         self.open_state(handle)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for frame in rows:
-            self.waiting.appendList([
-                (int(us), int(i), value if isinstance(value, str) else None)
-                for us, i, value in zip(frame["us"], frame["id"], frame["value"])])
-        self._wake(min((r[0] for r in self.waiting.get()), default=None))
-        yield pd.DataFrame(columns=self.columns)
+            new = [(int(us), int(i), value if isinstance(value, str) else None)
+                   for us, i, value in zip(frame["us"].tolist(), frame["id"].tolist(), frame["value"].tolist())]
+            if new:
+                self.waiting.appendList(new)
+                earliest = min(r[0] for r in new)
+                first = earliest if first is None else min(first, earliest)
+        self._wake_by(first)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2])
         due = [r for r in rows if r[0] <= passed]
         later = rows[len(due):]
-        out = self.take(key, due) if due else pd.DataFrame(columns=self.columns)
+        out, until = self.take(key, due) if due else (None, self.rest_until())
         if due and later:
             self.waiting.put(later)
         elif due:
             self.waiting.clear()
-        until = self.rest_until()
         if until is not None and until <= passed:
             self.forget()
             until = None
-        self._wake(later[0][0] if later else until)
-        yield out
+        # The timer that has just fired, the only one, is deleted by Spark.
+        self._wake_by(later[0][0] if later else until, fired=True)
+        if out is not None:
+            yield out
 
-    def _wake(self, us: int | None) -> None:
-        """One timer: for the first row that waits, or for the end of the state."""
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        if us is not None:
-            self.handle.registerTimer(-(-us // 1000))
+    def _wake_by(self, us: int | None, fired: bool = False) -> None:
+        """One timer, for the first row that waits or for the end of the state; rows that wait are not read for that.
+
+        The timer there is stays unless a row must be taken before it.
+        """
+        if us is None:
+            return
+        due = -(-us // 1000)
+        timers = [] if fired else [t[0] if isinstance(t, tuple) else t for t in self.handle.listTimers()]
+        if any(t <= due for t in timers):
+            return
+        for timer in timers:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(due)
 
     def rest_until(self) -> int | None:
         return None
@@ -88,26 +99,27 @@ class _InOrder(StatefulProcessor):
 
 
 class _RateLimit(_InOrder):
-    columns = ["client", "attempt_id", "us", "admitted"]
-
     def __init__(self, window: int, limit: int) -> None:
         self.window, self.limit = window, limit
 
     def open_state(self, handle: StatefulProcessorHandle) -> None:
         self.recent = handle.getListState("recent", T.StructType([T.StructField("us", T.LongType())]))
 
-    def take(self, key, rows: list[tuple]) -> pd.DataFrame:
+    def take(self, key, rows: list[tuple]) -> tuple[pd.DataFrame, int | None]:
         recent = tuple(r[0] for r in self.recent.get())
         admitted = []
         for us, _, _ in rows:
             recent, (ok,) = admit(recent, (us,), self.window, self.limit)
             admitted.append(ok)
         self.recent.put([(t,) for t in recent])  # the last one that was taken is among them, or others as young
-        return pd.DataFrame({"client": key[0], "attempt_id": [r[1] for r in rows], "us": [r[0] for r in rows], "admitted": admitted})
+        out = pd.DataFrame({"client": key[0], "attempt_id": [r[1] for r in rows], "us": [r[0] for r in rows], "admitted": admitted})
+        return out, self._end(recent)
+
+    def _end(self, recent: tuple) -> int | None:
+        return max(recent) + self.window if recent else None
 
     def rest_until(self) -> int | None:
-        newest = max((r[0] for r in self.recent.get()), default=None)
-        return None if newest is None else newest + self.window
+        return self._end(tuple(r[0] for r in self.recent.get()))
 
     def forget(self) -> None:
         self.recent.clear()
@@ -138,8 +150,6 @@ def rate_limit_stream(attempts: DataFrame, window_seconds: int = RATE_LIMIT_SECO
 
 
 class _Transitions(_InOrder):
-    columns = ["case_id", "request_id", "target_status", "status", "accepted"]
-
     def __init__(self, initial: str) -> None:
         self.initial = initial
 
@@ -147,7 +157,7 @@ class _Transitions(_InOrder):
         self.status = handle.getValueState(
             "status", T.StructType([T.StructField("status", T.StringType())]))
 
-    def take(self, key, rows: list[tuple]) -> pd.DataFrame:
+    def take(self, key, rows: list[tuple]) -> tuple[pd.DataFrame, None]:
         status = self.status.get()[0] if self.status.exists() else self.initial
         moves = []
         for _, _, target in rows:
@@ -156,7 +166,7 @@ class _Transitions(_InOrder):
         self.status.update((status,))
         return pd.DataFrame({
             "case_id": key[0], "request_id": [r[1] for r in rows], "target_status": [r[2] for r in rows],
-            "status": [m[0] for m in moves], "accepted": [m[1] for m in moves]})
+            "status": [m[0] for m in moves], "accepted": [m[1] for m in moves]}), None
 
 
 def transition_stream(requests: DataFrame, initial: str = "draft", delay: str = "0 seconds") -> DataFrame:

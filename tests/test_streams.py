@@ -175,3 +175,36 @@ def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
     schema = "job_id bigint, event_id bigint, ts timestamp, event string, error string"
     got = drain(spark, tmp_path, streams.stale_job_stream(feed(spark, tmp_path, rows, schema, 4)))
     assert {r["job_id"] for r in got.collect()} == {1, 2, 4}
+
+
+def test_waiting_rows_are_not_read_when_rows_come_in():
+    """Rows that come in cost no look at those that wait; the one timer moves only to an earlier row."""
+    import pandas as pd
+
+    class Handle:
+        timers = [40]
+
+        def listTimers(self):
+            return iter([(t,) for t in self.timers])
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+
+        def registerTimer(self, t):
+            self.timers.append(t)
+
+    class Waiting:
+        rows = []
+
+        def appendList(self, rows):
+            self.rows += rows
+
+        def get(self):
+            raise AssertionError("read")
+
+    one = streams._RateLimit(1000, 1)
+    one.handle, one.waiting = Handle(), Waiting()
+    come = lambda *us: list(one.handleInputRows((1,), iter([pd.DataFrame({"us": us, "id": range(len(us)), "value": None})]), None))
+    assert come(90_000, 50_000) == [] and one.handle.timers == [40]
+    come(30_001, 60_000)
+    assert one.handle.timers == [31] and len(one.waiting.rows) == 4
