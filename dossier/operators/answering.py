@@ -51,7 +51,9 @@ class ScriptedProvider(ExtractiveProvider):
         if prompt.endswith("Classification:"):
             return MULTI_STEP, {}
         if prompt.endswith("Decision:"):
-            steps = len(re.findall(r"^\d+\. ", prompt, re.M))
+            # Neither the texts found nor the question are steps, whatever their lines begin with.
+            before = re.split(r"\n(?:Retrieved so far:|Nothing retrieved yet\.)\n", prompt, maxsplit=1)[0]
+            steps = len(re.findall(r"^\d+\. ", before.partition("\nReasoning so far:\n")[2], re.M))
             if steps < self.passes:
                 question = prompt.split("Original question: ")[1].split("\n")[0]
                 return f"{CONTINUE}\n{question} {steps + 1}", {}
@@ -60,9 +62,13 @@ class ScriptedProvider(ExtractiveProvider):
 
 
 def generate(df: DataFrame, provider: Callable[[], TextProvider], prompt: str = "prompt",
-             reply: str = "reply") -> DataFrame:
-    """Rows with reply, usage, error and milliseconds; a failed call is a row with an error, not a failed job."""
-    schema = T.StructType([*df.schema.fields, T.StructField(reply, T.StringType()), *CALL_COLUMNS])
+             reply: str = "reply", keep: bool = True) -> DataFrame:
+    """Rows with reply, usage, error and milliseconds; a failed call is a row with an error, not a failed job.
+
+    With `keep` off the prompt, which holds all texts, does not come back from the task's Python.
+    """
+    kept = [f for f in df.schema.fields if keep or f.name != prompt]
+    schema = T.StructType([*kept, T.StructField(reply, T.StringType()), *CALL_COLUMNS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
@@ -81,7 +87,7 @@ def generate(df: DataFrame, provider: Callable[[], TextProvider], prompt: str =
                 errors.append(error)
                 times.append((time.perf_counter() - begun) * 1000)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(replies, pa.string()),
+                [*[batch.column(f.name) for f in kept], pa.array(replies, pa.string()),
                  pa.array(usages, pa.map_(pa.string(), pa.int64())), pa.array(errors, pa.string()),
                  pa.array(times, pa.float64())],
                 names=schema.fieldNames(),

@@ -69,7 +69,8 @@ MAX_QUESTION_BYTES = 256 * 1024 * 1024
 MAX_QUESTION_CASES = 1_000_000
 # Tasks a core for one block of questions: each gives its k best once, however many splits it has read.
 _TASKS_PER_CORE = 4
-_TILE = 4_000_000  # distances held at a time
+_TILE = 1_000_000  # products held at a time; they stay in the cache
+_FIRST = 256  # rows from which questions take their first bound
 
 _MATCH = T.StructType([
     T.StructField("query_id", T.LongType()),
@@ -98,6 +99,7 @@ class _Best:
     def __init__(self, n_questions: int, k: int) -> None:
         self.k = k
         self.bound = np.full(n_questions, np.inf)
+        self.seen = np.zeros(n_questions, np.int64)
         self.question: list[np.ndarray] = []
         self.distance: list[np.ndarray] = []
         self.keys: list[np.ndarray] = []
@@ -105,23 +107,55 @@ class _Best:
 
     def offer(self, vectors: np.ndarray, keys: np.ndarray, questions: np.ndarray,
               asked: np.ndarray) -> None:
-        """Rows (unit vectors and their keys) for the questions with these indices."""
-        tile = max(1, _TILE // max(1, len(asked)))
-        for at in range(0, len(vectors), tile):
-            rows, row_keys = vectors[at:at + tile], keys[at:at + tile]
-            distance = np.round(1.0 - rows @ questions[asked].T, DECIMALS) + 0.0  # no -0.0
+        """Rows (unit vectors and their keys) for the questions with these indices.
+
+        Products in single precision, which are off by less than `slack`, tell the few rows that can be among the
+        nearest; only those are measured, in double precision. Tiles grow with the rows seen, so that a bound is never
+        much older than the rows it is held against.
+        """
+        width = vectors.shape[1]
+        slack = (width + 16) * 2.0 ** -23
+        padded = -(-len(asked) // 8) * 8  # eight comparisons are looked at as one word
+        near = np.zeros((padded, width), np.float32)
+        near[:len(asked)] = questions[asked]
+        lost = np.isnan(near).any(axis=1)  # no direction: no distance to any row
+        near[lost] = 0
+        most, seen, at = max(1, _TILE // max(1, padded)), int(self.seen[asked].min(initial=0)), 0
+        least = np.full(padded, np.inf, np.float32)
+        while at < len(vectors) and len(asked):
+            part = vectors[at:at + min(most, max(_FIRST, 3 * seen))].astype(np.float32)
+            blank = np.isnan(part).any(axis=1)
+            part[blank] = 0
+            product = part @ near.T
+            product[blank] = -np.inf
+            product[:, lost] = -np.inf
+            first = product[:_FIRST]
+            fresh = np.flatnonzero(np.isinf(self.bound[asked]) & ~lost[:len(asked)])
+            if len(fresh) and len(first) >= self.k:
+                kth = np.partition(first[:, fresh], len(first) - self.k, axis=0)[len(first) - self.k]
+                self.bound[asked[fresh]] = 1.0 - kth.astype(np.float64) + slack
+            least[:len(asked)] = 1.0 - self.bound[asked] - slack
+            hits = (product >= least).reshape(-1, 8)
+            words = np.flatnonzero(hits.view(np.uint64))
+            word, byte = np.nonzero(hits[words])
+            row, column = np.divmod(words[word] * 8 + byte, padded)
+            self._measure(vectors, keys, questions, row + at, asked[column])
+            at, seen = at + len(part), seen + len(part)
+        self.seen[asked] += len(vectors)
+
+    def _measure(self, vectors: np.ndarray, keys: np.ndarray, questions: np.ndarray, row: np.ndarray, question: np.ndarray) -> None:
+        """Distances of some pairs of a row and a question; those within the bound are held."""
+        step = max(1, 2_000_000 // vectors.shape[1])
+        for at in range(0, len(row), step):
+            r, q = row[at:at + step], question[at:at + step]
+            distance = np.round(1.0 - np.einsum("ij,ij->i", vectors[r], questions[q]), DECIMALS) + 0.0  # no -0.0
             distance[np.isnan(distance)] = np.inf
-            bound = self.bound[asked]
-            if len(rows) >= self.k:
-                kth = np.partition(distance, self.k - 1, axis=0)[self.k - 1]
-                bound = np.minimum(bound, kth)
-                self.bound[asked] = bound
-            row, column = np.nonzero(distance <= bound)
-            self.question.append(asked[column])
-            self.distance.append(distance[row, column])
-            self.keys.append(row_keys[row])
-            self.held += len(row)
-            if self.held > 1_000_000:
+            within = distance <= self.bound[q]
+            self.question.append(q[within])
+            self.distance.append(distance[within])
+            self.keys.append(keys[r[within]])
+            self.held += len(self.question[-1])
+            if self.held > 3 * self.k * len(self.bound):
                 self._prune()
 
     def _prune(self) -> None:
@@ -232,13 +266,13 @@ def _nearest_spread(chunks: DataFrame, scoped: DataFrame, edges: DataFrame, k: i
     lists = of_user.join(parts, "user_id").groupBy("user_id", F.expr("pmod(xxhash64(case_id), _parts)").alias("_part")).agg(
         F.collect_list(F.col("case_id").cast("bigint")).alias("cases")).drop("_part")
     bound = scoped.where(~F.col("all_cases")).join(lists, "user_id")
-    free = scoped.where("all_cases").withColumn("cases", F.lit(None).cast("array<bigint>"))
+    none = F.array().cast("array<bigint>")  # not null: on its way to Python a batch goes over its null lists again for each row
+    free = scoped.where("all_cases").withColumn("cases", none)
     asked = free.unionByName(bound).withColumns({"_group": placed("query_id", groups), "_share": copies(shares)}).select(
         cell, F.lit(True).alias("_asked"), F.col("query_id").cast("bigint").alias("chunk_id"), F.lit(None).cast("bigint").alias("case_id"),
         F.lit(None).cast("bigint").alias("document_id"), F.lit(None).cast("int").alias("sequence"), "all_cases", "cases", "embedding")
     held = needed.withColumns({"_share": placed("chunk_id", shares), "_group": copies(groups)}).select(
-        cell, F.lit(False).alias("_asked"), *_KEYS, F.lit(None).cast("boolean").alias("all_cases"),
-        F.lit(None).cast("array<bigint>").alias("cases"), "embedding")
+        cell, F.lit(False).alias("_asked"), *_KEYS, F.lit(None).cast("boolean").alias("all_cases"), none.alias("cases"), "embedding")
     met = held.unionByName(asked).repartitionById(shares * groups, "_cell").sortWithinPartitions("_cell", "_asked", "chunk_id")
 
     def answers(batch: pa.RecordBatch, keys: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -419,18 +453,26 @@ def with_neighbours(matches: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def neighbour_places(matches: DataFrame, chunks: DataFrame) -> DataFrame:
-    """The rows of `with_neighbours` without their texts, which stay where they are; `with_texts` fetches them."""
+    """The rows of `with_neighbours` without their texts, which stay where they are; `with_texts` fetches them.
+
+    Instead of chunks it takes their `marks` too.
+    """
     return _context(matches, chunks)
 
 
+def marks(chunks: DataFrame) -> DataFrame:
+    """Places of chunks, and whether the text there looks cut off."""
+    return chunks.select("case_id", "document_id", "sequence", "page_number", "chunk_id", looks_cut_off(F.col("text")).alias("_own_cut"))
+
+
 def _context(matches: DataFrame, chunks: DataFrame, *more: str) -> DataFrame:
     group = [c for c in ["query_id", "pass", "match_rank"] if c in matches.columns]
     wanted = matches.select(
         *group, "case_id", "document_id", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("off"),
         "sequence",
     ).withColumn("sequence", (F.col("sequence") + F.col("off")).cast("int"))
-    texts = chunks.select("case_id", "document_id", "sequence", "page_number", "chunk_id",
-                          looks_cut_off(F.col("text")).alias("_own_cut"), *more)
+    texts = chunks if "_own_cut" in chunks.columns else marks(chunks) if not more else chunks.select(
+        "case_id", "document_id", "sequence", "page_number", "chunk_id", looks_cut_off(F.col("text")).alias("_own_cut"), *more)
     # Placed by question once: the windows here, the passages and the prompts all go on from it.
     found = fetch(wanted, texts, ["case_id", "document_id", "sequence"]).repartition("query_id")
     own = Window.partitionBy(*group)  # three rows at most

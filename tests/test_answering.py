@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from dossier.functions import replies
-from dossier.operators import answering
+from dossier.operators import answering, retrieval
 from dossier.operators.embedding import HashProvider
 from dossier.plans import ask
 
@@ -244,3 +244,29 @@ def test_texts_nobody_asks_for_are_not_listed(frame, world):
     found = ask.ask_batch(frame(QUESTIONS, "query_id bigint, user_id bigint, question string"), *world, models)
     listed = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("text#")
     assert listed(found.select("query_id", "n_matches", "citations")) < listed(found)
+
+
+def test_numbered_lines_of_texts_are_not_steps():
+    scripted = answering.ScriptedProvider(1)
+    head = "How.\n\nOriginal question: 1. What?\n2. When?\n\n"
+    assert scripted.generate(f"{head}Retrieved so far:\n- a\n1. b\n2. c\n\nDecision:")[0] == "CONTINUE\n1. What? 1"
+    assert scripted.generate(f"{head}Nothing retrieved yet.\n\nDecision:")[0] == "CONTINUE\n1. What? 1"
+    assert scripted.generate(f"{head}Reasoning so far:\n1. x\n\nRetrieved so far:\n- a\n\nDecision:")[0] == "DONE"
+
+
+def test_a_prompt_can_stay_in_the_task(frame):
+    asked = frame([(1, "Q\n\nDecision:")], "query_id bigint, prompt string")
+    got = answering.generate(asked, answering.ExtractiveProvider, keep=False)
+    assert got.columns == ["query_id", "reply", "usage", "error", "ms"] and got.head()["reply"] == "DONE"
+
+
+def test_many_questions_have_the_texts_judged_once(frame, world, monkeypatch):
+    judged = []
+    few = run(frame, world, lambda: answering.ScriptedProvider(2), multi_step=True)
+    monkeypatch.setattr(retrieval, "looks_cut_off", lambda text, real=retrieval.looks_cut_off: judged.append(1) or real(text))
+    monkeypatch.setattr(ask, "MAX_SENT", 1)
+    many = run(frame, world, lambda: answering.ScriptedProvider(2), multi_step=True)
+    assert len(judged) == 1
+    for q in few:
+        a, b = few[q].asDict(), many[q].asDict()
+        assert {k: v for k, v in a.items() if k != "latency_ms"} == {k: v for k, v in b.items() if k != "latency_ms"}

@@ -246,3 +246,40 @@ def test_many_wanted_rows_do_not_pass_the_driver(spark):
         assert "Broadcast" not in plan(found) and found.count() == 300_000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_few_pairs_are_measured(monkeypatch):
+    """Products in single precision leave a few rows a question, of which some are equal; the nearest are those of double precision."""
+    rng = np.random.default_rng(2)
+    rows, asked = rng.normal(size=(4000, 16)), rng.normal(size=(30, 16))
+    rows[::9], rows[5], asked[3] = rows[0], 0, 0
+    rows[100] = rows[200] * (1 + 1e-9)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        rows /= np.linalg.norm(rows, axis=1)[:, None]
+        asked /= np.linalg.norm(asked, axis=1)[:, None]
+    keys = np.stack([rng.permutation(4000)] * 4, axis=1)
+    measured, real = [], np.round
+    monkeypatch.setattr(retrieval.np, "round", lambda a, *more: measured.append(np.size(a)) or real(a, *more))
+    best = retrieval._Best(30, 5)
+    for at in range(0, 4000, 1000):
+        few = np.flatnonzero((np.arange(30) + at // 1000) % 3)  # some questions come later than others
+        best.offer(rows[at:at + 1000], keys[at:at + 1000], asked, few)
+    got = best.result(np.arange(30)).to_pydict()
+    monkeypatch.undo()
+    assert sum(measured) < 30 * 4000 / 4
+    for q in range(30):
+        seen = np.concatenate([np.arange(at, at + 1000) for at in range(0, 4000, 1000) if (q + at // 1000) % 3])
+        distance = np.round(1 - rows[seen] @ asked[q], 12)
+        want = keys[seen[np.lexsort((keys[seen, 0], np.where(np.isnan(distance), np.inf, distance)))[:5]], 0]
+        assert [c for c, i in zip(got["chunk_id"], got["query_id"]) if i == q] == list(want)
+        assert len(got["chunk_id"]) == 150
+
+
+def test_no_null_lists_on_the_way_to_the_ranking(spark, frame, monkeypatch):
+    """A batch goes over its null lists again for each of its rows."""
+    monkeypatch.setattr(retrieval, "_question_blocks", None)
+    chunk_rows, questions, scopes, *_ = random_world(frame, seed=8)
+    sent, real = [], type(chunk_rows).mapInArrow
+    monkeypatch.setattr(type(chunk_rows), "mapInArrow", lambda self, *a, **k: sent.append(self) or real(self, *a, **k))
+    retrieval.search_batch(questions, scopes, chunk_rows, 4, max_questions=2)
+    assert "cases" in sent[0].columns and sent[0].where("cases IS NULL").count() == 0

@@ -10,7 +10,7 @@ from dossier.operators import answering
 from dossier.operators.embedding import HashProvider
 from dossier.plans import ask
 from workload.base import (
-    CHUNKS, CONTEXT, PASSAGES, SCOPES, USERS, chunks, passages, query, scope_assignments, table, users,
+    CHUNKS, CONTEXT, PASSAGES, SCOPES, USERS, chunks, kept_chunks, passages, query, scope_assignments, table, users,
 )
 
 
@@ -160,7 +160,7 @@ def file_names(spark, sf):
 
 def asks(spark, sf, models=MODELS, multi_step=False):
     return ask.ask_batch(asked(spark, sf), users(spark, sf), scope_assignments(spark, sf),
-                         chunks(spark, sf), file_names(spark, sf), models, multi_step=multi_step)
+                         (kept_chunks if multi_step else chunks)(spark, sf), file_names(spark, sf), models, multi_step=multi_step)
 
 
 @query("f7_retrieve_reason_loop", f"""
@@ -173,9 +173,9 @@ def loop(spark, sf):
     from dossier.operators.access import resolve_scope
 
     models = ask.Models(lambda: HashProvider(64), lambda: answering.ScriptedProvider(2), 64)
-    scopes = resolve_scope(users(spark, sf), scope_assignments(spark, sf))
+    scopes = ask.scopes_of(asked(spark, sf), resolve_scope(users(spark, sf), scope_assignments(spark, sf)))
     questions = asked(spark, sf).join(scopes.users.where("all_cases OR n_cases > 0").select("user_id"), "user_id")
-    found = ask.retrieve_reason_loop(questions, scopes, chunks(spark, sf), models, multi_step=True)
+    found = ask.retrieve_reason_loop(questions, scopes, kept_chunks(spark, sf), models, multi_step=True)
     state = found.state
     outside = (
         found.context.join(state.select("query_id", "user_id"), "query_id")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.operators.access import Scopes, resolve_scope
-from dossier.session import checkpoint_dir, fill_cores
+from dossier.session import checkpoint_dir, fill_cores, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -167,6 +167,11 @@ def chunks(spark, sf) -> DataFrame:
     )
 
 
+def kept_chunks(spark, sf) -> DataFrame:
+    """The same chunks as a table of their own, for a flow that reads them several times."""
+    return stored(chunks(spark, sf))
+
+
 def chunk_vectors(spark, sf) -> DataFrame:
     """The same chunks without their texts, which ranking does not need."""
     return table(spark, sf, "embeddings").select(
