@@ -33,20 +33,22 @@ REASON_INSTRUCTIONS = (
 )
 
 
+ANSWER_HEAD = f"{ANSWER_INSTRUCTIONS}\nPassages:\n"
+
+
+def passage_piece(number: Column, text: Column) -> Column:
+    """A passage as it stands in the answer prompt."""
+    return F.concat(F.lit("["), number.cast("string"), F.lit("] "), text, F.lit("\n\n"))
+
+
+def answer_tail(question: Column) -> Column:
+    return F.concat(F.lit("Question: "), question, F.lit("\n\nAnswer:"))
+
+
 def answer_prompt(question: Column, passages: Column) -> Column:
     """Passages numbered from 1, then the question; null when there is nothing to read."""
-    numbered = F.array_join(
-        F.transform(
-            passages,
-            lambda text, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), text),
-        ),
-        "\n\n",
-    )
-    return F.when(
-        F.size(passages) > 0,
-        F.concat(F.lit(f"{ANSWER_INSTRUCTIONS}\nPassages:\n"), numbered,
-                 F.lit("\n\nQuestion: "), question, F.lit("\n\nAnswer:")),
-    )
+    numbered = F.array_join(F.transform(passages, lambda text, i: passage_piece(i + 1, text)), "")
+    return F.when(F.size(passages) > 0, F.concat(F.lit(ANSWER_HEAD), numbered, answer_tail(question)))
 
 
 def route_prompt(question: Column) -> Column:
@@ -54,21 +56,38 @@ def route_prompt(question: Column) -> Column:
                     F.lit("\n\nClassification:"))
 
 
-def reason_prompt(question: Column, steps: Column, found: Column) -> Column:
-    """Earlier steps numbered, texts found so far as a list, or a line saying there are none."""
+# What stands before and after the texts found so far, and what stands instead of them.
+REASON_FOUND = ("Retrieved so far:\n", "\n")
+REASON_NOTHING = "Nothing retrieved yet.\n\n"
+REASON_TAIL = "Decision:"
+
+
+def reason_head(question: Column, steps: Column) -> Column:
+    """The question and earlier steps numbered."""
     numbered = F.transform(
         steps, lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), s, F.lit("\n"))
     )
-    listed = F.transform(found, lambda t: F.concat(F.lit("- "), t, F.lit("\n")))
     return F.concat(
         F.lit(f"{REASON_INSTRUCTIONS}\nOriginal question: "), question, F.lit("\n\n"),
         F.when(F.size(steps) > 0, F.concat(
             F.lit("Reasoning so far:\n"), F.array_join(numbered, ""), F.lit("\n")
         )).otherwise(F.lit("")),
+    )
+
+
+def found_piece(text: Column) -> Column:
+    """A text found so far as it stands in the reasoning prompt."""
+    return F.concat(F.lit("- "), text, F.lit("\n"))
+
+
+def reason_prompt(question: Column, steps: Column, found: Column) -> Column:
+    """Earlier steps numbered, texts found so far as a list, or a line saying there are none."""
+    return F.concat(
+        reason_head(question, steps),
         F.when(F.size(found) > 0, F.concat(
-            F.lit("Retrieved so far:\n"), F.array_join(listed, ""), F.lit("\n")
-        )).otherwise(F.lit("Nothing retrieved yet.\n\n")),
-        F.lit("Decision:"),
+            F.lit(REASON_FOUND[0]), F.array_join(F.transform(found, found_piece), ""), F.lit(REASON_FOUND[1])
+        )).otherwise(F.lit(REASON_NOTHING)),
+        F.lit(REASON_TAIL),
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dossier.functions.replies import answer_prompt, check_reply, resolve_citations
+from dossier.functions.rows import parts_of
 from dossier.operators.embedding import CALL_COLUMNS
 from dossier.schemas import CONTINUE, DONE, MULTI_STEP, NOT_FOUND, SINGLE_SHOT
 
@@ -61,41 +62,84 @@ class ScriptedProvider(ExtractiveProvider):
         return super().generate(prompt)
 
 
-def generate(df: DataFrame, provider: Callable[[], TextProvider], prompt: str = "prompt",
-             reply: str = "reply", keep: bool = True) -> DataFrame:
-    """Rows with reply, usage, error and milliseconds; a failed call is a row with an error, not a failed job.
+_CALL = pa.schema([("usage", pa.map_(pa.string(), pa.int64())), ("error", pa.string()), ("ms", pa.float64())])
 
-    With `keep` off the prompt, which holds all texts, does not come back from the task's Python.
-    """
-    kept = [f for f in df.schema.fields if keep or f.name != prompt]
-    schema = T.StructType([*kept, T.StructField(reply, T.StringType()), *CALL_COLUMNS])
+
+def _call(model: TextProvider, prompt: str) -> tuple[str | None, list, str | None, float]:
+    """Reply, usage, error and milliseconds."""
+    begun = time.perf_counter()
+    try:
+        answer, counts = model.generate(prompt)
+        error = None
+    except Exception as exc:  # noqa: BLE001 - any provider failure becomes a row
+        answer, counts, error = None, {}, f"{type(exc).__name__}: {exc}"
+    return answer, list(counts.items()), error, (time.perf_counter() - begun) * 1000
+
+
+def _call_columns(called: list[tuple]) -> list[pa.Array]:
+    replies, *rest = zip(*called) if called else ([], [], [], [])
+    return [pa.array(replies, pa.string()), *[pa.array(values, field.type) for values, field in zip(rest, _CALL)]]
+
+
+def generate(df: DataFrame, provider: Callable[[], TextProvider], prompt: str = "prompt",
+             reply: str = "reply") -> DataFrame:
+    """Rows with reply, usage, error and milliseconds; a failed call is a row with an error, not a failed job."""
+    schema = T.StructType([*df.schema.fields, T.StructField(reply, T.StringType()), *CALL_COLUMNS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
         for batch in batches:
-            replies, usages, errors, times = [], [], [], []
+            called = []
             for text in batch.column(batch.schema.get_field_index(prompt)).to_pylist():
                 model = model or provider()
-                begun = time.perf_counter()
-                try:
-                    answer, counts = model.generate(text)
-                    error = None
-                except Exception as exc:  # noqa: BLE001 - any provider failure becomes a row
-                    answer, counts, error = None, {}, f"{type(exc).__name__}: {exc}"
-                replies.append(answer)
-                usages.append(list(counts.items()))
-                errors.append(error)
-                times.append((time.perf_counter() - begun) * 1000)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(f.name) for f in kept], pa.array(replies, pa.string()),
-                 pa.array(usages, pa.map_(pa.string(), pa.int64())), pa.array(errors, pa.string()),
-                 pa.array(times, pa.float64())],
-                names=schema.fieldNames(),
-            )
+                called.append(_call(model, text))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_call_columns(called)], names=schema.fieldNames())
 
     return df.mapInArrow(run, schema)
 
 
+_LAST = 2 ** 63 - 1
+
+
+def generate_in_order(heads: DataFrame, pieces: DataFrame, provider: Callable[[], TextProvider],
+                      around: tuple[str, str] = ("", ""), nothing: str = "") -> DataFrame:
+    """query_id, reply, usage, error and ms of prompts that hold many texts.
+
+    heads: query_id, before, after. pieces: query_id, at (from 0), piece; only of questions that have a head. Heads and pieces are
+    dealt to tasks by question, in order, and become a prompt there: no list of texts is built, sorted or
+    copied on the way, and none comes back. `around` stands about the pieces, `nothing` instead of them.
+    """
+    ends = F.array(F.struct(F.lit(-1).cast("bigint").alias("at"), F.col("before").alias("piece")),
+                   F.struct(F.lit(_LAST).alias("at"), F.col("after").alias("piece")))
+    rows = heads.select("query_id", F.inline(ends)).unionByName(
+        pieces.select("query_id", F.col("at").cast("bigint").alias("at"), "piece"))
+    in_order = rows.repartition("query_id").sortWithinPartitions("query_id", "at")
+    schema = T.StructType([heads.schema["query_id"], T.StructField("reply", T.StringType()), *CALL_COLUMNS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, held = None, []
+        for batch in batches:
+            ids, called = [], []
+            for at, n in parts_of(batch.column("piece")):
+                part = batch.slice(at, n)
+                for question, place, piece in zip(*[part.column(c).to_pylist() for c in ("query_id", "at", "piece")]):
+                    if place < 0:
+                        held, some = [piece], False
+                    elif place < _LAST:
+                        held += [piece] if some else [around[0], piece]
+                        some = True
+                    else:
+                        model = model or provider()
+                        held += [around[1] if some else nothing, piece]
+                        ids.append(question)
+                        called.append(_call(model, "".join(p for p in held if p is not None)))
+                        held = []
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, batch.schema.field("query_id").type), *_call_columns(called)], names=schema.fieldNames())
+
+    return in_order.mapInArrow(run, schema)
+
+
 def answer_prompts(questions: DataFrame, passages: DataFrame) -> DataFrame:
     """One prompt per question that has passages; passage count and places come along.
 

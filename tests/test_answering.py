@@ -254,10 +254,32 @@ def test_numbered_lines_of_texts_are_not_steps():
     assert scripted.generate(f"{head}Reasoning so far:\n1. x\n\nRetrieved so far:\n- a\n\nDecision:")[0] == "DONE"
 
 
-def test_a_prompt_can_stay_in_the_task(frame):
-    asked = frame([(1, "Q\n\nDecision:")], "query_id bigint, prompt string")
-    got = answering.generate(asked, answering.ExtractiveProvider, keep=False)
-    assert got.columns == ["query_id", "reply", "usage", "error", "ms"] and got.head()["reply"] == "DONE"
+class Echo(answering.ExtractiveProvider):
+    def generate(self, prompt):
+        return prompt, {"input": 1}
+
+
+def test_prompts_are_made_in_the_task(frame):
+    """The same prompts as those of the columns, whatever the order the pieces come in; no list of texts on the way."""
+    found = {1: ["a", "b 1.\nc"], 2: [], 3: [f"text {i}" for i in range(40)]}
+    heads = frame([(q, f"Q{q}", ["s"] * (q - 1)) for q in found], "query_id bigint, question string, steps array<string>")
+    pieces = frame([(q, i, t) for q, ts in found.items() for i, t in reversed(list(enumerate(ts)))], "query_id bigint, at int, text string")
+    whole = heads.join(pieces.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda p: p["text"])
+                                                      .alias("texts")), "query_id", "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<string>")))
+    reasoned = answering.generate_in_order(
+        heads.select("query_id", replies.reason_head(F.col("question"), F.col("steps")).alias("before"), F.lit(replies.REASON_TAIL).alias("after")),
+        pieces.select("query_id", "at", replies.found_piece(F.col("text")).alias("piece")), Echo, replies.REASON_FOUND, replies.REASON_NOTHING)
+    assert reasoned.columns == ["query_id", "reply", "usage", "error", "ms"]
+    assert "ObjectHashAggregate" not in reasoned._jdf.queryExecution().executedPlan().toString()
+    want = whole.select("query_id", replies.reason_prompt(F.col("question"), F.col("steps"), F.col("texts")))
+    assert {r[0]: r[1] for r in reasoned.collect()} == {r[0]: r[1] for r in want.collect()}
+    answered = answering.generate_in_order(
+        heads.where("query_id <> 2").select("query_id", F.lit(replies.ANSWER_HEAD).alias("before"), replies.answer_tail(F.col("question")).alias("after")),
+        pieces.select("query_id", "at", replies.passage_piece(F.col("at") + 1, F.col("text")).alias("piece")), Echo)
+    want = whole.where("query_id <> 2").select("query_id", replies.answer_prompt(F.col("question"), F.col("texts")))
+    assert {r[0]: r[1] for r in answered.collect()} == {r[0]: r[1] for r in want.collect()}
+    assert [r["reply"] for r in answering.generate_in_order(heads.select("query_id", F.lit("x").alias("before"), F.lit("y").alias("after")),
+                                                            pieces.withColumnRenamed("text", "piece"), Broken).collect()] == [None] * 3
 
 
 def test_many_questions_have_the_texts_judged_once(frame, world, monkeypatch):
