@@ -120,7 +120,7 @@ class _Best:
         near[:len(asked)] = questions[asked]
         lost = np.isnan(near).any(axis=1)  # no direction: no distance to any row
         near[lost] = 0
-        most, seen, at = max(1, _TILE // max(1, padded)), int(self.seen[asked].min(initial=0)), 0
+        most, seen, at = max(1, _TILE // max(1, padded)), int(self.seen[asked].min()) if len(asked) else 0, 0
         least = np.full(padded, np.inf, np.float32)
         while at < len(vectors) and len(asked):
             part = vectors[at:at + min(most, max(_FIRST, 3 * seen))].astype(np.float32)
